@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from solvarium.llm import chat, secrets
+from solvarium.llm import chat, decontam, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_chat_format": chat.query,
+        "op8_decontamination": decontam.query,
         "op9_secret_scan": secrets.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": chat.ORACLE}
+    return {"op4_chat_format": chat.ORACLE, "op8_decontamination": decontam.ORACLE}
