@@ -198,34 +198,37 @@ def find_contamination(
     item_text: str = "text",
     window: int = WINDOW,
     block_words: int = BLOCK_WORDS,
+    prefix: str = "",
 ) -> DataFrame:
-    """`docs` with `words` (number), `spans` (merged word spans that are hit) and `items` (item ids, as strings)."""
+    """`docs` with `words` (number), `spans` (merged word spans that are hit) and `items` (item ids, as strings).
+
+    prefix: before the names of the three, so that columns of the same names can stay.
+    """
     spark = docs.sparkSession
-    out = docs.drop("words", "spans", "items").withColumns(
-        {
-            "words": F.lit(0).cast("long"),
-            "spans": F.array().cast("array<struct<start:int,end:int>>"),
-            "items": F.array().cast("array<string>"),
-        }
-    )
+    new = {
+        f"{prefix}words": F.lit(0).cast("long"),
+        f"{prefix}spans": F.array().cast("array<struct<start:int,end:int>>"),
+        f"{prefix}items": F.array().cast("array<string>"),
+    }
+    out = docs.drop(*new).withColumns(new)
     blocks = _blocks(benchmark, item_id, item_text, block_words)
-    out = _matched(spark, out, Automaton(next(blocks, []), window), text_col)
+    out = _matched(spark, out, Automaton(next(blocks, []), window), text_col, prefix)
     scratch = Scratch(spark, "decontam")
     for k, block in enumerate(blocks):
-        out = _matched(spark, scratch.save(out, f"block{k}"), Automaton(block, window), text_col)
+        out = _matched(spark, scratch.save(out, f"block{k}"), Automaton(block, window), text_col, prefix)
     return out
 
 
-def _matched(spark, docs: DataFrame, automaton: Automaton, text_col: str) -> DataFrame:
+def _matched(spark, docs: DataFrame, automaton: Automaton, text_col: str, prefix: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(automaton)
     schema = T.StructType(docs.schema.fields)
 
     def run(batches):
         own = shared.value
         for batch in batches:
-            at = {c: batch.schema.get_field_index(c) for c in (text_col, "words", "spans", "items")}
+            given = [batch[batch.schema.get_field_index(c)] for c in (text_col, f"{prefix}spans", f"{prefix}items")]
             n, spans, items = [], [], []
-            for text, old, names in zip(batch[at[text_col]], batch[at["spans"]], batch[at["items"]]):
+            for text, old, names in zip(*given):
                 said = words(text.as_py())
                 found, which = own.hits(said)
                 if old := old.as_py():
@@ -233,7 +236,7 @@ def _matched(spark, docs: DataFrame, automaton: Automaton, text_col: str) -> Dat
                 n.append(len(said))
                 spans.append([{"start": a, "end": b} for a, b in found])
                 items.append(sorted({*names.as_py(), *(str(x) for x in which if x is not None)}))
-            new = {"words": n, "spans": spans, "items": items}
+            new = {f"{prefix}words": n, f"{prefix}spans": spans, f"{prefix}items": items}
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(new[f.name], type=batch.schema.field(i).type) if f.name in new else batch[i]
@@ -256,9 +259,9 @@ def remove(
 ) -> DataFrame:
     """`docs` without contamination: a document of which more than `max_coverage` of the words is hit goes; from the
     others, hit spans are cut out of the text. Clean documents come back as they are, in the columns of `docs`."""
-    found = find_contamination(docs.select(*docs.columns, F.col(text_col).alias("__text")), benchmark, text_col="__text", window=window, **options)
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    keep = found.where(hit <= max_coverage * F.col("words"))
+    found = find_contamination(docs, benchmark, text_col=text_col, window=window, prefix="__hit_", **options)
+    hit = F.aggregate("__hit_spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    keep = found.where(hit <= max_coverage * F.col("__hit_words"))
     names = docs.columns
     if max_coverage <= 0:
         return keep.select(*names)
@@ -273,7 +276,7 @@ def remove(
                 names=names,
             )
 
-    return keep.select(*names, "spans").mapInArrow(cut, schema)
+    return keep.select(*names, "__hit_spans").mapInArrow(cut, schema)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
