@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from solvarium.llm import chat, decontam, secrets
+from solvarium.llm import chat, decontam, packing, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_chat_format": chat.query,
+        "op6_best_fit_packing": packing.query,
         "op8_decontamination": decontam.query,
         "op9_secret_scan": secrets.query,
     }
