@@ -6,17 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from solvarium.llm import chat, decontam, packing, secrets
+from solvarium.llm import chat, decontam, packing, secrets, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_chat_format": chat.query,
         "op6_best_fit_packing": packing.query,
+        "op7_warc_writer": warc.query,
         "op8_decontamination": decontam.query,
         "op9_secret_scan": secrets.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": chat.ORACLE, "op8_decontamination": decontam.ORACLE}
+    return {"op4_chat_format": chat.ORACLE, "op7_warc_writer": warc.ORACLE, "op8_decontamination": decontam.ORACLE}
