@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from solvarium.llm import chat, decontam, packing, secrets, warc
+from solvarium.llm import chat, decontam, packing, quality, secrets, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": quality.query,
         "op4_chat_format": chat.query,
         "op6_best_fit_packing": packing.query,
         "op7_warc_writer": warc.query,
