@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import bisect
 import os
+import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,24 +50,66 @@ class _Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        tokenizer = Tokenizer.from_file(path)
+        self.encode = tokenizer.encode_batch_fast
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.kept: dict[bytes, bytes] = {}
-
-    def _ids(self, chunks: list[bytes]) -> list[bytes]:
-        said = self.encode([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
-        return [b"".join(i.to_bytes(4, "little") for i in x.ids) for x in said]
-
-    def __call__(self, text: str | None) -> bytes:
-        chunks = (text or "").encode("utf-8", "replace").split()
-        found = list(map(self.kept.get, chunks))
-        if None in found:
-            new = list({c for c, ids in zip(chunks, found) if ids is None})
-            own = dict(zip(new, self._ids(new)))
-            if len(self.kept) + len(own) > KEPT:
-                self.kept.clear()
+        self.marks = dict(zip(b".,", self._alone([".", ","])))
+
+    def _alone(self, chunks: list[str]) -> list[bytes]:
+        said = self.encode(chunks, add_special_tokens=False)
+        return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in said]
+
+    def _words(self, chunks: list[str]) -> list[bytes]:
+        """Of chunks of letters only: each is one word, so they can be asked for at once and told apart by word ends."""
+        if not chunks:
+            return []
+        ids = np.array(self.encode([" ".join(chunks)], add_special_tokens=False)[0].ids, dtype="<u4")
+        bounds = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(bounds) != len(chunks):
+            return self._alone(chunks)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *bounds], bounds)]
+
+    def _new(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """A letter or digit and a full stop or comma after it are never one token: the mark's ids follow the rest's."""
+        bare = {c[:-1] if len(c) > 1 and c[-1] in self.marks and chr(c[-2]).isalnum() and c[-2] < 128 else c for c in chunks}
+        ask = [(c, c.decode("utf-8", "replace")) for c in bare if c not in self.kept]
+        words = [(c, t) for c, t in ask if t.isalpha() and t.lower().isalpha()]
+        others = [(c, t) for c, t in ask if not (t.isalpha() and t.lower().isalpha())]
+        own = dict(zip((c for c, _ in words), self._words([t for _, t in words])))
+        own |= dict(zip((c for c, _ in others), self._alone([t for _, t in others])))
+        for c in chunks:
+            if c not in own:
+                rest = own[c[:-1]] if c[:-1] in own else self.kept[c[:-1]]
+                own[c] = rest + self.marks[c[-1]]
+        return own
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        raw = [(t or "").encode("utf-8", "replace") for t in texts]
+        # The tokenizer lower-cases; only the names of special tokens tell upper case from lower.
+        said = [(t if b"<|" in t else t.lower()).split() for t in raw]
+        found = [list(map(self.kept.get, chunks)) for chunks in said]
+        new = {c for chunks, ids in zip(said, found) if None in ids for c, i in zip(chunks, ids) if i is None}
+        own = self._new(new) if new else {}
+        if len(self.kept) < KEPT:  # frequent chunks come early; the tail has no end
             self.kept.update((c, ids) for c, ids in own.items() if len(c) <= KEPT_BYTES)
-            found = [own[c] if ids is None else ids for c, ids in zip(chunks, found)]
-        return b"".join(found)
+        return [b"".join(ids) if None not in ids else b"".join([own[c] if i is None else i for c, i in zip(chunks, ids)]) for chunks, ids in zip(said, found)]
+
+
+def _groups(texts: pa.Array) -> Iterator[list[str | None]]:
+    """Texts in groups of some 128 KB."""
+    own, size = [], 0
+    for t in texts:
+        own.append(t.as_py())
+        size += len(own[-1] or "")
+        if size > 1 << 17:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
 
 
 def token_pieces(
@@ -103,8 +147,7 @@ def token_pieces(
                     x.clear()
                 return rows
 
-            for at, text in enumerate(batch[1]):
-                ids = encode(text.as_py()) + end
+            for at, ids in enumerate(ids + end for texts in _groups(batch[1]) for ids in encode(texts)):
                 for piece, a in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[a : a + 4 * capacity]
                     for k, v in zip(out, (at, piece, a // 4, len(own) // 4, own)):

@@ -39,10 +39,11 @@ def test_chunks_give_the_tokenizers_ids():
     path = packing.tokenizer_path()
     plain, own = Tokenizer.from_file(path), packing._Encoder(path)
     r = random.Random(3)
-    some = [c for t in TEXTS if t for c in t] + list("\t\n\r\x0b\x0c\x1c\x1f\x85 ﻿​'sStTdD")
-    for text in [t or "" for t in TEXTS] + ["".join(r.choices(some, k=r.randint(1, 80))) for _ in range(2000)]:
-        want = np.array(plain.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        assert own(text) == want, text
+    some = [c for t in TEXTS if t for c in t] + list('abcAB,.,. ') + list("\t\n\r\x0b\x0c\x1c\x1f\x85 ﻿​'sStTdD")
+    texts = [t or "" for t in TEXTS] + ["".join(r.choices(some, k=r.randint(1, 80))) for _ in range(2000)]
+    texts += ["Word, word. word., WORD.. ñ, ñandú. 1, a1. <|ENDOFTEXT|> <|endoftext|>, x", "İ, i̇. ǅ ǆ. ß, ﬁ."]
+    for text, ids in [*zip(texts, own(texts)), *((t, own([t])[0]) for t in texts)]:
+        assert ids == np.array(plain.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), text
 
 
 def test_sweep_is_best_fit_decreasing():
