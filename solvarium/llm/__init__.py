@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from solvarium.llm import chat, decontam, neardup, packing, quality, secrets, warc
+from solvarium.llm import ann, chat, decontam, neardup, packing, quality, secrets, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op10_minhash_neardup": neardup.query,
         "op1_quality_classifier": quality.query,
+        "op2_ann_learned_partitions": ann.query,
         "op4_chat_format": chat.query,
         "op6_best_fit_packing": packing.query,
         "op7_warc_writer": warc.query,
