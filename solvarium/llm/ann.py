@@ -227,7 +227,8 @@ def search(
     chunks = [-(-asks.get(p, 0) // BLOCK) for p in range(parts)]
     of = lambda n: F.element_at(F.array(*[F.lit(max(1, v)) for v in n]), F.col("part") + 1)
     spread = lambda n: F.explode(F.sequence(F.lit(0), of(n) - 1))
-    dealt = lambda n: F.pmod(F.xxhash64("id"), of(n).cast("long")).cast("int")
+    # By place, not by id: rows that repeat one id are dealt out as well.
+    dealt = lambda n: F.pmod(F.monotonically_increasing_id(), of(n).cast("long")).cast("int")
     left = index.withColumn("block", dealt(blocks)).withColumn("chunk", spread(chunks))
     right = asked.withColumn("chunk", dealt(chunks)).withColumn("block", spread(blocks))
 
@@ -236,7 +237,8 @@ def search(
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         ids, own = (t.column("id").to_numpy() for t in (vectors, queries))
         x, y = (_matrix(t.column("x").combine_chunks(), dim) for t in (vectors, queries))
-        q, v, score = best(y, own, x, ids, k)
+        repeats = len(ids) - len(np.unique(ids))  # these may stand among the best in place of other ids
+        q, v, score = best(y, own, x, ids, k + repeats)
         return pa.table({"query_id": own[q], "vec_id": ids[v], "score": score})
 
     keys = ("part", "block", "chunk")
