@@ -38,6 +38,8 @@ FIRST_TREES = 6
 #: Bytes of a tree's key: four for the first value, two for each further one.
 KEY = 4 + 2 * (DEPTH - 1)
 KEPT = 200_000
+#: Bits of the map of ids whose texts are wanted (8 MB).
+BITS = 1 << 26
 
 _R = np.random.default_rng(20)
 _MULTIPLY = _R.integers(1 << 31, size=TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -213,11 +215,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = scratch.save(groups.where("rep IS NOT NULL").withColumn("cid", F.monotonically_increasing_id()), "classes")
     pairs = candidates(classes, scratch)
 
-    # Texts of the classes in some pair, checked against the class, as ids need not be unique.
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rep", "digest"), "cid")
-    given = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("binary").alias("s"))
-    texts = scratch.save(given.join(scratch.save(wanted, "wanted"), "rep").select("cid", "digest", "s").mapInArrow(_own, "cid long, s binary"), "texts")
-    texts = texts.dropDuplicates(["cid"]) if _repeats(texts) else texts
+    texts = scratch.save(_texts(docs, scratch.save(wanted, "wanted"), id_col, text_col), "texts")
 
     first = scratch.save(_confirmed(pairs.where("later = 0"), texts), "first")
     labels = scratch.save(graph.components(first, scratch, "g"), "labels")
@@ -238,18 +237,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def _own(batches) -> Iterator[pa.RecordBatch]:
-    import xxhash
+def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(cid, s): the text of each wanted class (cid, rep, digest), one row a class.
 
-    words = _Words()
-    for batch in batches:
-        keep = [xxhash.xxh3_128_digest(shingles(t.as_py() or b"", words).tobytes()) == d.as_py() for d, t in zip(batch.column(1), batch.column(2))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["cid", "s"]).filter(pa.array(keep, pa.bool_()))
+    A bitmap of BITS bits, one for each hash of a wanted id, is all that is broadcast, whatever their number; it keeps
+    most other texts out of the shuffle. What passes is joined by the digest of its set, as ids need not be unique.
+    """
+    spark = docs.sparkSession
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(BITS))
+    words = wanted.select(slot("rep").alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
+    words = words.agg(F.expr("bit_or(shiftleft(1L, CAST(slot & 63 AS INT)))").alias("bits")).toArrow()
+    bitmap = np.zeros(BITS // 64, dtype=np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    def pick(batches) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        own, bits = _Words(), shared.value
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            hit = np.flatnonzero((bits[at >> 6] >> (at & 63)) & 1)
+            s = batch.column(1).take(pa.array(hit))
+            digests = [xxhash.xxh3_128_digest(shingles(t.as_py() or b"", own).tobytes()) for t in s]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), s], names=["digest", "s"])
+
+    given = docs.select(slot(id_col).alias("slot"), F.col(text_col).cast("binary").alias("s")).mapInArrow(pick, "digest binary, s binary")
+    found = given.join(wanted.select("cid", "digest"), "digest").select("cid", "s")
+    return found.groupBy("cid").agg(F.first("s").alias("s")) if _repeats(docs, id_col) else found
 
 
-def _repeats(texts: DataFrame) -> bool:
-    """Whether some class's text is there more than once, because rows of one id repeat."""
-    return bool(texts.groupBy("cid").count().where("count > 1").limit(1).count())
+def _repeats(docs: DataFrame, id_col: str) -> bool:
+    """Whether rows repeat an id, so that a class's text may come more than once."""
+    return bool(docs.groupBy(id_col).count().where("count > 1").limit(1).count())
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
