@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from solvarium.plans import orders
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(orders.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(orders.SQL)
