@@ -31,9 +31,9 @@ from solvarium.llm._shared import Scratch, table
 
 K = 20
 SAMPLE = 6144
-ROWS_A_PART, MOST_PARTS = 1024, 256
+ROWS_A_PART, LEAST_PARTS, MOST_PARTS = 8192, 16, 256
 TARGET, LEAST = 0.94, 2000
-BLOCK = 1024
+BLOCK = 8192
 NEIGHBOURS, ROUNDS, SLACK = 10, 30, 1.1
 HIDDEN, EPOCHS, RATE, SEED = 96, 40, 0.003, 11
 
@@ -195,7 +195,7 @@ def search(
     lengths, counts = np.unique([len(x) for x in some], return_counts=True)
     dim = int(lengths[counts.argmax()])
     n = given.count()
-    router = learn(np.array([x for x in some if len(x) == dim]), min(MOST_PARTS, max(4, -(-n // ROWS_A_PART))), target)
+    router = learn(np.array([x for x in some if len(x) == dim]), min(MOST_PARTS, max(LEAST_PARTS, -(-n // ROWS_A_PART))), target)
     parts = len(router.weights[3])
     shared = spark.sparkContext.broadcast(router)
 
@@ -238,7 +238,8 @@ def search(
         ids, own = (t.column("id").to_numpy() for t in (vectors, queries))
         x, y = (_matrix(t.column("x").combine_chunks(), dim) for t in (vectors, queries))
         repeats = len(ids) - len(np.unique(ids))  # these may stand among the best in place of other ids
-        q, v, score = best(y, own, x, ids, k + repeats)
+        some = [best(y[a : a + 256], own[a : a + 256], x, ids, k + repeats) for a in range(0, len(own), 256)]
+        q, v, score = (np.concatenate(c) for c in zip(*((q + 256 * i, v, s) for i, (q, v, s) in enumerate(some))))
         return pa.table({"query_id": own[q], "vec_id": ids[v], "score": score})
 
     keys = ("part", "block", "chunk")
