@@ -45,6 +45,12 @@ def cone(roots: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ("root",),
     return seen
 
 
+def full_cones(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo, root, uid): the cone of every vertex. Asked for all roots at once, doubling needs fewer rounds than cone()."""
+    own = vertices.select("repo", F.col("uid").alias("root"), "uid")
+    return own.unionByName(closure(edges).select("repo", F.col("src").alias("root"), F.col("dst").alias("uid"))).distinct()
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """(repo, src, dst) for every path of one edge or more, by doubling: paths of length up to 2^k after k rounds."""
     now = cut(edges.select("repo", "src", "dst").distinct())
@@ -168,10 +174,22 @@ def two_step_reach(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.select("repo", "uid").join(near, ["repo", "uid"], "left").na.fill(0, ["n"])
 
 
-def average_distance(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+def distances(edges: DataFrame) -> DataFrame:
+    """(repo, src, dst, distance) for every pair with a path, by doubling: after k rounds, paths of up to 2^k edges."""
+    now = cut(edges.select("repo", "src", "dst").distinct().withColumn("distance", F.lit(1).cast("long")))
+    before = None
+    while (said := tuple(now.agg(F.count("*"), F.sum("distance")).first())) != before:
+        before = said
+        step = now.select("repo", "src", F.col("dst").alias("mid"), F.col("distance").alias("d")).join(now.select("repo", F.col("src").alias("mid"), "dst", "distance"), ["repo", "mid"])
+        step = step.select("repo", "src", "dst", (F.col("d") + F.col("distance")).alias("distance"))
+        now = cut(now.unionByName(step).groupBy("repo", "src", "dst").agg(F.min("distance").alias("distance")))
+    return now
+
+
+def average_distance(edges: DataFrame) -> DataFrame:
     """(repo, pairs, distance_sum): over ordered pairs with a path, shortest distances."""
-    far = cone(vertices.select("repo", F.col("uid").alias("root"), "uid"), edges).where("level > 0")
-    return far.groupBy("repo").agg(F.count("*").alias("pairs"), F.sum("level").cast("long").alias("distance_sum"))
+    far = distances(edges).where("src <> dst")
+    return far.groupBy("repo").agg(F.count("*").alias("pairs"), F.sum("distance").alias("distance_sum"))
 
 
 def direct_dominators(closed: DataFrame) -> DataFrame:

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from solvarium.plans import orders
+from solvarium.plans import orders, parts, texts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(orders.QUERIES)
+    return orders.QUERIES | parts.QUERIES | texts.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(orders.SQL)
+    return orders.SQL | parts.SQL | texts.SQL
