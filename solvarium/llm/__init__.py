@@ -23,4 +23,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": chat.ORACLE, "op7_warc_writer": warc.ORACLE, "op8_decontamination": decontam.ORACLE}
+    """Learned, approximate and tokenised results have no SQL form; those are tested against brute force."""
+    return {
+        "op10_minhash_neardup": neardup.ORACLE,
+        "op4_chat_format": chat.ORACLE,
+        "op7_warc_writer": warc.ORACLE,
+        "op8_decontamination": decontam.ORACLE,
+        "op9_secret_scan": secrets.ORACLE,
+    }

@@ -32,7 +32,7 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
 #: Candidate runs by character class, and the entropy in bits from which a window is hot.
-CLASSES = {"hex": (r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{20,}", 2.87), "base64": (r"[A-Za-z0-9+/_=-]{20,}", 3.81)}
+CLASSES = {"hex": (r"[0-9A-Fa-f]{20,}", 2.87), "base64": (r"[A-Za-z0-9+/_=-]{20,}", 3.81)}
 #: Candidates that match are never secrets.
 ALLOW = (
     r"(?i)example|sample|dummy|changeme|placeholder|redacted|your[_-]|xxxx|lorem"
@@ -155,3 +155,39 @@ def query(spark, sf_dir: str) -> DataFrame:
         F.sha2(joined("filter(spans, x -> x.kind_rank < 3)"), 256).alias("base_sha256"),
         joined("spans").alias("spans"),
     )
+
+
+_ANY_CASE = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_SQL_ASSIGN = rf"""({_ANY_CASE})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _sql_found(kind: str, pattern: str) -> str:
+    return f"""SELECT doc_id, '{kind}' AS kind, hits[i] AS hit,
+      CAST(list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS INT) AS a
+    FROM (SELECT doc_id, hits, string_split_regex(t, '{pattern}') AS pieces, unnest(range(1, len(hits) + 1)) AS i
+          FROM (SELECT doc_id, t, regexp_extract_all(t, '{pattern}') AS hits FROM doc))"""
+
+
+ORACLE = f"""
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+assign AS ({_sql_found("assign", _SQL_ASSIGN)}),
+base AS (
+  SELECT doc_id, 0 AS k, kind, a, a + length(hit) AS b FROM assign WHERE length(regexp_extract(hit, '{_SQL_ASSIGN}', 2)) >= 12
+  UNION ALL SELECT doc_id, 1, kind, a, a + length(hit) FROM ({_sql_found("access", ACCESS)})
+  UNION ALL SELECT doc_id, 2, kind, a, a + length(hit) FROM ({_sql_found("hex", HEX)})),
+run AS ({" UNION ALL ".join(f"SELECT *, {limit} AS least FROM ({_sql_found(name, p)})" for name, (p, limit) in CLASSES.items())}),
+hot AS (
+  SELECT doc_id, a, list_filter(range(1, length(hit) - {WINDOW - 2}), lambda i: list_aggregate(c[i:i + {WINDOW - 1}], 'entropy') >= least) AS w
+  FROM (SELECT *, string_split(hit, '') AS c FROM run WHERE NOT regexp_matches(hit, '{ALLOW}'))),
+more AS (SELECT DISTINCT doc_id, CAST(a + list_min(w) - 1 AS INT) AS a, CAST(a + list_max(w) - 1 + {WINDOW} AS INT) AS b FROM hot WHERE len(w) > 0),
+span AS (
+  SELECT * FROM base UNION ALL SELECT doc_id, 3, 'entropy', a, b FROM more e
+  WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = e.doc_id AND base.a <= e.a AND base.b >= e.b)),
+said AS (
+  SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n0, count(*) FILTER (WHERE k = 1) AS n1, count(*) FILTER (WHERE k = 2) AS n2,
+    string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k, b) FILTER (WHERE k < 3) AS base,
+    string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k, b) AS spans
+  FROM span GROUP BY doc_id)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM doc LEFT JOIN said USING (doc_id)"""
