@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from solvarium.llm import ann, chat, decontam, neardup, packing, quality, secrets, warc
+from solvarium.llm import ann, chat, decontam, neardup, packing, pii, quality, secrets, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_classifier": quality.query,
         "op2_ann_learned_partitions": ann.query,
         "op4_chat_format": chat.query,
+        "op5_pii_surrogates": pii.query,
         "op6_best_fit_packing": packing.query,
         "op7_warc_writer": warc.query,
         "op8_decontamination": decontam.query,
