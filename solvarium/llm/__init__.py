@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from solvarium.llm import ann, chat, decontam, neardup, packing, pii, quality, secrets, warc
+from solvarium.llm import ann, chat, decontam, neardup, packing, pii, quality, secrets, tokens, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_minhash_neardup": neardup.query,
         "op1_quality_classifier": quality.query,
         "op2_ann_learned_partitions": ann.query,
+        "op3_token_counts": tokens.query,
         "op4_chat_format": chat.query,
         "op5_pii_surrogates": pii.query,
         "op6_best_fit_packing": packing.query,
@@ -27,6 +28,7 @@ def oracle_sql() -> dict[str, str]:
     """Learned, approximate and tokenised results have no SQL form; those are tested against brute force."""
     return {
         "op10_minhash_neardup": neardup.ORACLE,
+        "op3_token_counts": tokens.query,
         "op4_chat_format": chat.ORACLE,
         "op7_warc_writer": warc.ORACLE,
         "op8_decontamination": decontam.ORACLE,

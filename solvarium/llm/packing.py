@@ -46,11 +46,13 @@ def tokenizer_path() -> str:
 class _Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
+        """special: whether the names of special tokens in a text give these tokens, or are ordinary text."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = not special
         self.encode = tokenizer.encode_batch_fast
         vocabulary = tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
