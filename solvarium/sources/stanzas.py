@@ -71,7 +71,7 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 def read_synthesis(spark: SparkSession, path: str) -> DataFrame:
     """Records of `@tag@value@value...` lines, each ended by its @info@ line: name-version-release.arch, and lists."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     records = whole.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)(?:@(?!info@)[^\n]*\n)*@info@[^\n]*"), F.lit(0))).alias("r"))
     nvra = F.regexp_extract("r", r"@info@([^@\n]*)", 1)
     tag = lambda t: F.split(F.nullif(F.regexp_extract("r", rf"(?m)^@{t}@(.*)$", 1), F.lit("")), "@")
