@@ -19,6 +19,17 @@ def conjunctive_edges(resolved: DataFrame) -> DataFrame:
     return one.where("n = 1 AND uid <> dst").select("repo", F.col("uid").alias("src"), "dst").distinct()
 
 
+def syntactic_edges(resolved: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """(repo, src, dst, kind): packages p<uid>, disjunctions o<uid>.<clause>, missing clauses m<uid>.<clause>."""
+    size = F.count("target").over(Window.partitionBy("repo", "uid", "clause"))
+    r = resolved.withColumn("n", size)
+    p, q = F.concat(F.lit("p"), "uid"), F.concat(F.lit("p"), "target")
+    node = lambda k: F.concat(F.lit(k), F.concat_ws(".", "uid", "clause"))
+    edge = lambda when, src, dst, kind: r.where(when).select("repo", src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind")).distinct()
+    out = edge("n = 1", p, q, "direct").unionByName(edge("n > 1", p, node("o"), "or")).unionByName(edge("n > 1", node("o"), q, "or")).unionByName(edge("n = 0", p, node("m"), "missing"))
+    return out.unionByName(conflicts.select("repo", F.concat(F.lit("p"), "lo").alias("src"), F.concat(F.lit("p"), "hi").alias("dst"), F.lit("conflict").alias("kind")))
+
+
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select("repo", F.col("dst").alias("src"), F.col("src").alias("dst"))
 

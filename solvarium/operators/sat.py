@@ -124,11 +124,13 @@ def solve(requests: DataFrame, resolved: DataFrame, conflicts: DataFrame, broken
     return solved.unionByName(easy).unionByName(dead.withColumn("status", F.lit("broken")))
 
 
-def check(packages: DataFrame, resolved: DataFrame, conflicts: DataFrame, broken: DataFrame | None = None) -> DataFrame:
-    """(repo, uid, status) of every package by itself."""
+def check(packages: DataFrame, resolved: DataFrame, conflicts: DataFrame, broken: DataFrame | None = None, also: int | None = None) -> DataFrame:
+    """(repo, uid, status) of every package by itself; with `also`, together with that package, such as the one that
+    carries global constraints."""
     broken = cut(horn_broken(resolved)) if broken is None else broken
     none = F.array().cast("array<int>")
-    asked = packages.select("repo", F.col("uid").alias("req"), F.array("uid").alias("need"), none.alias("forbid"))
+    need = F.array("uid") if also is None else F.array(F.col("uid"), F.lit(also))
+    asked = packages.select("repo", F.col("uid").alias("req"), need.alias("need"), none.alias("forbid"))
     return solve(asked, resolved, conflicts, broken).withColumnRenamed("req", "uid")
 
 
@@ -195,3 +197,23 @@ def useless_alternatives(deps: DataFrame, provs: DataFrame, packages: DataFrame,
     works = coinstallable(pairs, resolved, conflicts, broken).where("status <> 'broken'").select("repo", F.col("lo").alias("uid"), F.col("hi").alias("target"))
     used = ways.join(works, ["repo", "uid", "target"], "left_semi").select("repo", "uid", "clause", "alt").distinct()
     return asked.select("repo", "uid", "clause", "alt").join(used, ["repo", "uid", "clause", "alt"], "left_anti")
+
+
+def reasons(resolved: DataFrame, deps: DataFrame, broken: DataFrame) -> DataFrame:
+    """(repo, uid, root, clause, cause): why the Horn-broken packages are broken: clauses that nothing provides, of the
+    package itself or of one that it needs whichever way; cause is the clause as text."""
+    dead = broken.select("repo", "uid")
+    gone = resolved.where("target IS NULL").select("repo", F.col("uid").alias("root"), "clause")
+    edges = resolved.where("target IS NOT NULL").join(dead, ["repo", "uid"], "left_semi").join(dead.withColumnRenamed("uid", "target"), ["repo", "target"], "left_semi")
+    alive = resolved.where("target IS NOT NULL").join(dead.withColumnRenamed("uid", "target"), ["repo", "target"], "left_anti").select("repo", "uid", "clause").distinct()
+    edges = edges.join(alive, ["repo", "uid", "clause"], "left_anti").select("repo", F.col("uid").alias("src"), F.col("target").alias("dst")).distinct()
+    reach = cone(dead.select("repo", F.col("uid").alias("first"), "uid"), edges, keys=("first",)).select("repo", F.col("first").alias("uid"), F.col("uid").alias("root"))
+    one = F.when(F.col("op") == "any", F.col("name")).otherwise(F.concat_ws(" ", "name", "op", "ver"))
+    text = deps.select("repo", F.col("uid").alias("root"), "clause", F.struct("alt", one.alias("t")).alias("a")).groupBy("repo", "root", "clause")
+    text = text.agg(F.array_join(F.transform(F.array_sort(F.collect_list("a")), lambda a: a["t"]), " | ").alias("cause"))
+    return reach.join(gone, ["repo", "root"]).join(text, ["repo", "root", "clause"]).select("repo", "uid", "root", "clause", "cause")
+
+
+def causes(found: DataFrame, least: int = 2) -> DataFrame:
+    """(cause, victims) of reasons(), with at least so many victims."""
+    return found.select("repo", "uid", "cause").distinct().groupBy("cause").agg(F.count("*").alias("victims")).where(F.col("victims") >= least)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from solvarium.operators import diffs, graphs, model, sat, sinks
+from solvarium.operators import diffs, graphs, model, sat, sinks, translate
 from solvarium.plans.fixtures import ORDERS_SQL, order_packages, order_universe
 from solvarium.plans.lineage import cut
 
@@ -209,3 +209,45 @@ def optimal_request_counts(spark, sf_dir):
 def clause_lines(spark, sf_dir):
     _, _, deps, confs = resolved(spark, sf_dir)
     return sinks.clause_lines(deps, confs)
+
+
+@query(
+    ", k AS (SELECT repo, bit_or(bit) AS m FROM fx_pkg WHERE installed AND q % 11 = 0 GROUP BY repo)"
+    " SELECT p.repo, p.uid, EXISTS (SELECT 1 FROM fx_valid v LEFT JOIN k ON k.repo = v.repo WHERE v.repo = p.repo AND (v.s & p.bit) <> 0 AND (v.s & coalesce(k.m, 0)) = coalesce(k.m, 0)) AS ok FROM fx_pkg p"
+)
+def installable_with_keeps(spark, sf_dir):
+    """Installed packages with q divisible by 11 keep their version."""
+    u, packages, deps, confs = resolved(spark, sf_dir)
+    kept = packages.withColumn("keep", F.when(F.col("q") % 11 == 0, "version").otherwise("none"))
+    more = cut(deps.unionByName(translate.keep_clauses(kept, u.provs)))
+    return sat.check(packages, more, confs, also=translate.GLOBAL).select("repo", "uid", (F.col("status") == "ok").alias("ok"))
+
+
+@query(
+    ", c AS (SELECT DISTINCT repo, uid, clause, target FROM fx_alt), n AS (SELECT repo, uid, clause, count(*) AS n FROM c GROUP BY ALL), x AS ("
+    " SELECT DISTINCT 'direct' AS kind, repo, uid::VARCHAR AS a, target::VARCHAR AS b FROM c JOIN n USING (repo, uid, clause) WHERE n = 1"
+    " UNION ALL SELECT 'or', repo, uid::VARCHAR, 'c' || clause FROM n WHERE n > 1 UNION ALL SELECT 'or', repo, uid || 'c' || clause, target::VARCHAR FROM c JOIN n USING (repo, uid, clause) WHERE n > 1"
+    " UNION ALL SELECT 'missing', repo, uid::VARCHAR, clause::VARCHAR FROM fx_clause WHERE mask = 0"
+    " UNION ALL SELECT DISTINCT 'conflict', repo, least(uid, other)::VARCHAR, greatest(uid, other)::VARCHAR FROM fx_conflict)"
+    " SELECT kind, count(*) AS n FROM x GROUP BY kind"
+)
+def syntactic_graph_kinds(spark, sf_dir):
+    _, _, deps, confs = resolved(spark, sf_dir)
+    return graphs.syntactic_edges(deps, confs).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(
+    ", t AS (SELECT d.repo, d.uid, d.clause, string_agg(name || CASE op WHEN 'any' THEN '' ELSE ' ' || op || ' ' || ver END, ' | ' ORDER BY alt) AS cause FROM fx_dep d JOIN fx_clause c USING (repo, uid, clause) WHERE c.mask = 0 GROUP BY ALL)"
+    " SELECT cause, count(*) AS packages FROM t GROUP BY cause"
+)
+def missing_causes(spark, sf_dir):
+    """How many packages have a clause that nothing provides, by the clause's text."""
+    u, _, deps, _ = resolved(spark, sf_dir)
+    broken = cut(sat.horn_broken(deps))
+    found = sat.reasons(deps, u.deps, broken).where("uid = root")
+    return found.groupBy("cause").agg(F.count("*").alias("packages"))
+
+
+@query("SELECT repo, uid, CAST(dense_rank() OVER (PARTITION BY repo, pk % 4 ORDER BY uid DESC) - 1 AS BIGINT) AS lag FROM fx_pkg")
+def version_lag(spark, sf_dir):
+    return translate.version_lag(order_packages(spark, sf_dir)).select("repo", "uid", F.col("lag").cast("long").alias("lag"))

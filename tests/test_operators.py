@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from solvarium.operators import diffs, evolution, graphs, model, requests, sat, sinks
+from solvarium.operators import diffs, evolution, graphs, model, requests, sat, sinks, translate
 from solvarium.plans import registry
 from solvarium.sources import stanzas
 from solvarium.streaming import snapshots
@@ -169,3 +169,79 @@ def test_queries_equal_their_sql(spark, name):
     cols = [d[0] for d in want.description]
     assert sorted(cols) == sorted(got.columns)
     assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in got.select(*cols).collect())
+
+
+DEBIAN = """Package: app
+Version: 1.0
+Architecture: amd64
+Depends: lib (>= 2.0), mta | editor
+
+Package: lib
+Version: 1.9
+Architecture: amd64
+
+Package: lib
+Version: 2.0~rc1
+Architecture: amd64
+
+Package: lib
+Version: 2.0+b1
+Architecture: amd64
+Conflicts: post
+
+Package: post
+Version: 3
+Architecture: all
+Provides: mta
+
+Package: vim
+Version: 9
+Architecture: amd64
+Provides: editor
+
+Package: lost
+Version: 1
+Architecture: amd64
+Depends: mta (>= 1)
+
+Package: old
+Version: 1
+Architecture: amd64
+Depends: lib (<< 2.0), app
+"""
+
+
+def test_debian_files_from_text_to_status(spark, tmp_path):
+    (tmp_path / "Packages").write_text(DEBIAN)
+    u = translate.debian(stanzas.debian_packages(stanzas.read_stanzas(spark, str(tmp_path / "Packages"))))
+    resolved, fights = model.resolve_deps(u), model.resolve_conflicts(u)
+    status = sat.check(u.packages, resolved, fights).join(u.packages.select("uid", "name", "version"), "uid")
+    got = {(r.name, r.version): r.status for r in status.collect()}
+    # An unversioned provide does not meet a versioned dependency; two versions of lib can't be in together.
+    assert {k for k, v in got.items() if v == "broken"} == {("lost", "1"), ("old", "1")}
+    assert len(got) == 8
+
+
+def test_keeps_essentials_and_sources(spark):
+    p = spark.createDataFrame([(0, 1, "a", True, "version", False), (0, 2, "b", True, "package", True), (0, 3, "b", False, "none", False)], "repo long, uid int, name string, installed boolean, keep string, essential boolean")
+    provs = p.select("repo", "uid", "name")
+    got = translate.keep_clauses(p, provs).groupBy("clause").agg(F.array_sort(F.collect_list("target")).alias("t")).collect()
+    assert sorted(r.t for r in got) == [[1], [2, 3]]
+    assert {r.target for r in translate.essential_clauses(p).collect()} == {2, 3}
+    binaries = spark.createDataFrame([("x", "1"), ("x", "2"), ("y", "1")], "source string, source_version string")
+    sources = spark.createDataFrame([("x", "1")], "name string, version string")
+    assert sorted((r.source, r.source_version, r.found) for r in translate.source_of(binaries, sources).collect()) == [("x", "1", "exact"), ("x", "2", "other"), ("y", "1", "none")]
+    atom = "struct<name:string,arch:string,op:string,version:string,archs:array<struct<wanted:boolean,name:string>>,profiles:array<array<struct<wanted:boolean,profile:string>>>>"
+    dep = lambda n, archs=(), profiles=(): (n, None, None, None, list(archs), [list(x) for x in profiles])
+    rows = [("s", "1", [[dep("a")], [dep("b", [(True, "linux-any")])], [dep("c", [(False, "amd64")])], [dep("d", (), [[(False, "nocheck")]])], [dep("e", [(True, "hurd-any")]), dep("f")]], [])]
+    df = spark.createDataFrame(rows, f"name string, version string, build_depends array<array<{atom}>>, build_conflicts array<array<{atom}>>")
+    r = translate.build_packages(df, "amd64", ("nocheck",)).first()
+    assert (r.name, [[a.name for a in c] for c in r.depends]) == ("src:s", [["a"], ["b"], ["f"], ["build-essential"]])
+
+
+def test_reasons_follow_broken_dependencies(spark):
+    resolved = spark.createDataFrame([(0, 1, 0, 2), (0, 2, 0, None), (0, 3, 0, 1), (0, 3, 0, 4), (0, 4, 0, None)], "repo long, uid int, clause int, target int")
+    deps = spark.createDataFrame([(0, 2, 0, 1, "x", ">=", 3), (0, 2, 0, 2, "y", "any", 0), (0, 4, 0, 1, "z", "any", 0)], "repo long, uid int, clause int, alt int, name string, op string, ver int")
+    found = sat.reasons(resolved, deps, sat.horn_broken(resolved))
+    assert {(r.uid, r.cause) for r in found.collect()} == {(1, "x >= 3 | y"), (2, "x >= 3 | y"), (3, "x >= 3 | y"), (3, "z"), (4, "z")}
+    assert {(r.cause, r.victims) for r in sat.causes(found).collect()} == {("x >= 3 | y", 3), ("z", 2)}
