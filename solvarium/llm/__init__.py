@@ -28,7 +28,6 @@ def oracle_sql() -> dict[str, str]:
     """Learned, approximate and tokenised results have no SQL form; those are tested against brute force."""
     return {
         "op10_minhash_neardup": neardup.ORACLE,
-        "op3_token_counts": tokens.query,
         "op4_chat_format": chat.ORACLE,
         "op7_warc_writer": warc.ORACLE,
         "op8_decontamination": decontam.ORACLE,
