@@ -227,13 +227,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(second)
     labels = graph.components(links, scratch, "h")
 
-    named = classes.select("cid", "digest", "rep").join(labels, F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cid"))
-    least = named.groupBy("label").agg(F.min("rep").alias("component"))
+    # Both written, so that the join by label reads two plain exchanges, of which Spark can split a large component.
+    named = classes.select("cid", "digest", "rep").join(labels, F.col("cid") == F.col("node"), "left")
+    named = scratch.save(named.select("digest", "rep", F.coalesce("label", "cid").alias("label")), "named")
+    least = scratch.save(named.groupBy("label").agg(F.min("rep").alias("component")), "least")
     named = scratch.save(named.select("digest", "label").join(least, "label").select("digest", "component"), "components")
     out = made.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    scratch.drop("classes", "near", "pairs", "wanted", "texts", "first", "second")
+    scratch.drop("classes", "near", "pairs", "wanted", "texts", "first", "labels", "second", "named", "least")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 

@@ -121,4 +121,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     root = root if "://" in root else f"file://{root}"
     files, order = write(table(spark, sf_dir, "documents").select("doc_id", "text"), root)
     counted = scan(files, root)
-    return order.join(counted, ["file", "ordinal"]).select(F.col("id").alias("doc_id"), "n_tokens")
+    # Both sides grow with the documents but compress to little, which would pass for small enough to broadcast.
+    return order.hint("merge").join(counted, ["file", "ordinal"]).select(F.col("id").alias("doc_id"), "n_tokens")
