@@ -5,12 +5,16 @@
 2. Each class enters TREES sorted orders, one a tree, by DEPTH MinHash values. Neighbours in an order are those with
    the longest common prefix. An entry is paired with the next WIDTH ones that share MIN_DEPTH values: where a region
    is sparse that reaches all of it at the least depth, and where many share a prefix, the sort itself goes deeper, so
-   depth adapts to the region and no bucket is ever expanded into all pairs. Orders are range-partitioned with the
-   class as tie-breaker, and entries at partition ends are stitched, so no region meets in one task.
+   depth adapts to the region. Orders are range-partitioned with the class as tie-breaker, and entries at partition
+   ends are stitched, so no region meets in one task.
 3. Candidates are confirmed on full sets: the neighbours of a few trees first. What that leaves in different
    components is confirmed next; pairs within one component cannot change the result. Two sets of 75% overlap share
    MIN_DEPTH values in a tree with probability 0.56, and in no tree with 1e-9.
-4. Components come from alternating stars over confirmed links.
+4. In a region of more than WIDTH + 1 entries some pairs were not neighbours. Where it still has several components,
+   all its pairs across components are compared on full sets: the entries are dealt into blocks of bounded size, and
+   two blocks are compared by a matrix product, so no pair becomes a row. The largest component's entries meet the
+   others only, never each other. Regions of one component, such as large groups of near copies, cost nothing.
+5. Components come from alternating stars over confirmed links.
 
 Defined cases: null and empty texts have the empty set and are linked with nothing; fewer than five words make one
 shingle; ties: the least id of a component is kept; rows that share an id are one document for what is kept, each with
@@ -37,6 +41,12 @@ TREES, DEPTH, MIN_DEPTH, WIDTH = 24, 6, 2, 2
 FIRST_TREES = 6
 #: Bytes of a tree's key: four for the first value, two for each further one.
 KEY = 4 + 2 * (DEPTH - 1)
+#: Bytes of a key that make a region: tree, and MIN_DEPTH values.
+REGION = 1 + 4 + 2 * (MIN_DEPTH - 1)
+#: Shingles in a block of a region's entries, each entry counting as LEAST at least.
+BLOCK, LEAST = 250_000, 250
+#: Cells of a matrix of entries by shingles.
+CELLS = 4_000_000
 KEPT = 200_000
 #: Bits of the map of ids whose texts are wanted (8 MB).
 BITS = 1 << 26
@@ -114,7 +124,7 @@ PAIRS = "a long, b long, later int, part int, at long, key binary"
 def _pairs(keys: np.ndarray, ids: np.ndarray, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, later, place of the second) of neighbours in one sorted run of entries."""
     out = []
-    prefix = np.ascontiguousarray(keys[:, : 1 + 4 + 2 * (MIN_DEPTH - 1)])
+    prefix = np.ascontiguousarray(keys[:, :REGION])
     for k in range(1, WIDTH + 1):
         near = (prefix[:-k] == prefix[k:]).all(axis=1)
         if part is not None:
@@ -126,7 +136,7 @@ def _pairs(keys: np.ndarray, ids: np.ndarray, part: np.ndarray | None = None) ->
 
 
 def _neighbours(batches) -> Iterator[pa.RecordBatch]:
-    """Pairs within a partition, then its first and last WIDTH entries for the stitching."""
+    """Pairs within a partition and entries of crowded regions, then the first and last WIDTH entries for the stitching."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
@@ -146,6 +156,10 @@ def _neighbours(batches) -> Iterator[pa.RecordBatch]:
         n = int(own.sum())
         none = pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(a[own]), pa.array(b[own]), pa.array(later[own].astype(np.int32)), *none], names=names)
+        many = np.flatnonzero(_crowded(new))
+        none = (pa.nulls(len(many), k) for k in kinds[1:5])
+        regions = pa.array([bytes(raw[i][:REGION]) for i in many], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(ids[held + many], pa.int64()), *none, regions], names=names)
         for i in range(len(raw)):
             if seen + i < WIDTH or i >= len(raw) - WIDTH:
                 ends[seen + i] = (int(ids[held + i]), raw[i])
@@ -158,8 +172,18 @@ def _neighbours(batches) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
 
-def candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b, later): class ids of neighbours in some tree, each pair once; later is 0 where the first trees have it."""
+def _crowded(keys: np.ndarray) -> np.ndarray:
+    """Which sorted entries are in a region of more than WIDTH + 1; so is the first and the last region, which may go on."""
+    start = np.flatnonzero(np.append(True, (keys[1:, :REGION] != keys[:-1, :REGION]).any(axis=1)))
+    size = np.diff(np.append(start, len(keys)))
+    many = size > WIDTH + 1
+    many[[0, -1]] = True
+    return np.repeat(many, size)
+
+
+def candidates(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(a, b, later): class ids of neighbours in some tree, each pair once; later is 0 where the first trees have it.
+    And (cid, region): the entries of all regions of more than WIDTH + 1, with some of smaller ones."""
     spark = classes.sparkSession
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     entries = classes.select("cid", "sig", tree).select(
@@ -169,13 +193,14 @@ def candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
     order = entries.repartitionByRange(n, "key", "cid").sortWithinPartitions("key", "cid")
     near = scratch.save(order.mapInArrow(_neighbours, PAIRS), "near")
     ends = near.where("part IS NOT NULL").select("part", "at", "a", "key").collect()  # 2 * WIDTH a partition at most
-    pairs = near.where("part IS NULL").select("a", "b", "later")
+    pairs = near.where("b IS NOT NULL").select("a", "b", "later")
+    dense = near.where("part IS NULL AND b IS NULL").select(F.col("a").alias("cid"), F.col("key").alias("region"))
     ends.sort()
     if len(ends) > 1:
         keys = np.frombuffer(b"".join(bytes(r.key) for r in ends), np.uint8).reshape(len(ends), 1 + KEY)
         a, b, later, _ = _pairs(keys, np.array([r.a for r in ends]), np.array([r.part for r in ends]))
         pairs = pairs.unionByName(spark.createDataFrame(pa.table({"a": a, "b": b, "later": later.astype(np.int32)})))
-    return scratch.save(pairs.groupBy("a", "b").agg(F.min("later").alias("later")), "pairs")
+    return scratch.save(pairs.groupBy("a", "b").agg(F.min("later").alias("later")), "pairs"), dense
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -206,14 +231,105 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _across(dense: DataFrame, named: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): labels to be joined, by all similar pairs across components of named(cid, n, label) within a region."""
+    entries = scratch.save(dense.join(named.select("cid", "n", "label"), "cid"), "dense")
+    weight = F.sum(F.greatest("n", F.lit(LEAST)))
+    each = entries.groupBy("region", "label").agg(F.count("*").alias("n"), weight.alias("w"))
+    most = F.max(F.struct("n", "label", "w")).alias("most")
+    split = each.groupBy("region").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum("w").alias("w"), most)
+    split = split.where(f"labels > 1 AND n > {WIDTH + 1}")
+    blocks = lambda w: F.ceil(w / BLOCK).cast("int")
+    split = scratch.save(split.select("region", F.col("most.label").alias("top"), blocks(F.col("w") - F.col("most.w")).alias("others"), blocks(F.col("most.w")).alias("tops")), "split")
+
+    # Blocks 0 to others - 1 are compared with one another and themselves, and with those of the largest component.
+    slot = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    is_top = F.col("label") == F.col("top")
+    own = F.when(is_top, F.col("others") + slot("tops")).otherwise(slot("others"))
+    last = F.when(is_top, F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1
+    units = entries.join(split, "region").select("region", "cid", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("to"))
+    units = scratch.save(units.select("region", F.least("own", "to").alias("x"), F.greatest("own", "to").alias("y"), "own", "cid", "label"), "units")
+
+    def hashed(batches):
+        words = _Words()
+        for batch in batches:
+            s = pa.array([shingles(t.as_py(), words).tobytes() for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), s], names=["cid", "s"])
+
+    sets = scratch.save(texts.join(units.select("cid").distinct(), "cid").select("cid", "s").mapInArrow(hashed, "cid long, s binary"), "hashed")
+    dealt = units.join(sets, "cid").select("region", "x", "y", "own", "label", "s")
+    dealt = dealt.repartition("region", "x", "y").sortWithinPartitions("region", "x", "y")
+
+    def run(batches):
+        for unit in _units(batches):
+            links = _joined(*unit)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
+
+    return scratch.save(dealt.mapInArrow(run, "a long, b long").distinct(), "across")
+
+
+def _units(batches) -> Iterator[tuple[list, list]]:
+    """Of entries sorted by unit: the (label, set) of its one block and of its other, which may be the same."""
+    unit, sides = None, ([], [])
+    done = lambda: (sides[0], sides[0] if unit[1] == unit[2] else sides[1])
+    for batch in batches:
+        region, x, y, own, label = (batch.column(k).to_pylist() for k in range(5))
+        for i, s in enumerate(batch.column(5)):
+            if (region[i], x[i], y[i]) != unit:
+                if unit is not None:
+                    yield done()
+                unit, sides = (region[i], x[i], y[i]), ([], [])
+            sides[own[i] != x[i]].append((label[i], np.frombuffer(s.as_py(), np.uint64)))
+    if unit is not None:
+        yield done()
+
+
+def _joined(one: list, two: list) -> list[tuple[int, int]]:
+    """Links between labels, as few as join what the similar pairs of two blocks join."""
+    if not one or not two:
+        return []
+    (la, lb), (sa, sb) = (np.array([e[0] for e in side]) for side in (one, two)), (np.array([len(e[1]) for e in side]) for side in (one, two))
+    n, total = len(one), sa.sum()
+    h, at = np.unique(np.concatenate([e[1] for e in (*one, *two)]), return_inverse=True)
+    shared = (np.bincount(at[:total], minlength=len(h)) > 0) & (np.bincount(at[total:], minlength=len(h)) > 0)
+    keep = shared[at]
+    column = (np.cumsum(shared) - 1)[at[keep]]
+    row = np.repeat(np.arange(n + len(two)), np.concatenate([sa, sb]))[keep]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    common, wide = np.zeros((n, len(two)), np.int64), max(64, CELLS // (n + len(two)))
+    for c in range(0, int(shared.sum()), wide):
+        of = slice(*np.searchsorted(column, [c, c + wide]))
+        m = np.zeros((n + len(two), wide), np.float32)
+        m[row[of], column[of] - c] = 1
+        common += (m[:n] @ m[n:].T).astype(np.int64)
+    i, j = np.nonzero((100 * common >= PERCENT * (sa[:, None] + sb - common)) & (la[:, None] != lb))
+    root: dict[int, int] = {}
+
+    def find(p: int) -> int:
+        while (q := root.get(p, p)) != p:
+            root[p] = root.get(q, q)
+            p = q
+        return p
+
+    out = []
+    for a, b in np.unique(np.stack([la[i], lb[j]], axis=1), axis=0).tolist():
+        p, q = find(a), find(b)
+        if p != q:
+            root[p] = q
+            out.append((a, b))
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     made = scratch.save(_sets(docs, id_col, text_col), "sets")
-    groups = made.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    groups = made.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
     classes = scratch.save(groups.where("rep IS NOT NULL").withColumn("cid", F.monotonically_increasing_id()), "classes")
-    pairs = candidates(classes, scratch)
+    pairs, dense = candidates(classes, scratch)
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rep", "digest"), "cid")
     texts = scratch.save(_texts(docs, scratch.save(wanted, "wanted"), id_col, text_col), "texts")
@@ -228,14 +344,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = graph.components(links, scratch, "h")
 
     # Both written, so that the join by label reads two plain exchanges, of which Spark can split a large component.
-    named = classes.select("cid", "digest", "rep").join(labels, F.col("cid") == F.col("node"), "left")
-    named = scratch.save(named.select("digest", "rep", F.coalesce("label", "cid").alias("label")), "named")
+    named = classes.select("cid", "n", "digest", "rep").join(labels, F.col("cid") == F.col("node"), "left")
+    named = scratch.save(named.select("cid", "n", "digest", "rep", F.coalesce("label", "cid").alias("label")), "named")
+    across = _across(dense, named, texts, scratch)
+    if not across.isEmpty():
+        moved = scratch.save(graph.components(across, scratch, "i").select(F.col("node").alias("label"), F.col("label").alias("to")), "moved")
+        named = named.join(moved, "label", "left").select("digest", "rep", F.coalesce("to", "label").alias("label"))
+        named = scratch.save(named, "renamed")
     least = scratch.save(named.groupBy("label").agg(F.min("rep").alias("component")), "least")
     named = scratch.save(named.select("digest", "label").join(least, "label").select("digest", "component"), "components")
     out = made.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    scratch.drop("classes", "near", "pairs", "wanted", "texts", "first", "labels", "second", "named", "least")
+    scratch.drop("classes", "near", "pairs", "wanted", "texts", "first", "labels", "second", "named", "least", "dense", "split", "units", "hashed", "across", "moved", "renamed")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 

@@ -110,3 +110,29 @@ def test_signatures_estimate_similarity():
     x, y = (np.frombuffer(neardup.signature(s), np.uint8).reshape(neardup.TREES, neardup.KEY) for s in (a, b))
     same = np.mean([(x[t, 4 + 2 * k : 6 + 2 * k] == y[t, 4 + 2 * k : 6 + 2 * k]).all() for t in range(neardup.TREES) for k in range(neardup.DEPTH - 1)])
     assert abs(same - want) < 0.15
+
+
+def test_large_group_around_the_limit(spark):
+    """Many copies of one text with 3 to 8 changed words each: most pairs lie around the limit."""
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for k in range(900):
+        words = list(base)
+        for at in rng.choice(200, size=rng.integers(3, 9), replace=False):
+            words[at] = f"x{k}-{at}"
+        texts.append(" ".join(words))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    words = neardup._Words()
+    sets = [neardup.shingles(t.encode(), words) for t in texts]
+    h, at = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(s) for s in sets])
+    m = np.zeros((len(sets), len(h)), np.float32)
+    m[np.repeat(np.arange(len(sets)), sizes), at] = 1
+    common = (m @ m.T).astype(np.int64)
+    near = 100 * common >= 75 * (sizes[:, None] + sizes - common)
+    label, before = np.arange(len(sets)), None
+    while before is None or (label != before).any():
+        before, label = label, np.where(near, label, len(sets)).min(axis=1)
+    assert got == dict(enumerate(label.tolist()))
