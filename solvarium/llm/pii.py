@@ -2,7 +2,7 @@
 
 Detected kinds: email, IBAN, payment card (Luhn-valid), phone, social security number, IPv4, person after a title. An
 entity's surrogate comes from a keyed hash of its kind and normal form, so it is the same wherever the entity is named
-(coreference), whatever its separators or case. It keeps kind and format: digits for digits, letters for letters in
+(coreference), whatever its separators, case or title. It keeps kind and format: digits for digits, letters for letters in
 their case and script, separators and country prefixes as they are, card and IBAN check digits valid, a person's title
 and gender.
 
@@ -37,6 +37,9 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Letters by script, of one length in both cases.
 ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшщэюя", "αβγδεζηθικλμνξοπρστυφχψω")
+_TITLE = r"^(\p{L}+\.? )"
+#: Country codes of phone numbers, with separators anywhere: none begins another.
+_COUNTRY = r"^(\+(?:1|7|2_[07]|3_[0-469]|4_[013-9]|5_[1-8]|6_[0-6]|8_[1246]|9_[0-58]|[0-9]_[0-9]_[0-9]))".replace("_", "[^0-9]*")
 _NAME = ("ba be bo da de do fa fi ga ge ha he ja jo ka ke la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si so ta te ti to va ve vi zo").split()
 _ENDINGS = {"m": "rn ld n s rt k".split(), "f": "ra na la lia nne tta".split()}
 
@@ -70,9 +73,26 @@ def kind_of(hit: Column) -> Column:
 
 
 def normal(kind: Column, hit: Column) -> Column:
-    """What makes two mentions one entity."""
+    """What makes two mentions one entity. It is a mention itself: its surrogate has the normal form of any mention's."""
     plain = F.upper(F.regexp_replace(hit, "[^0-9A-Za-z]", ""))
-    return F.when(kind.isin("card", "phone", "ssn"), _digits(hit)).when(kind == "iban", plain).otherwise(F.lower(hit))
+    title = F.regexp_extract(hit, _TITLE, 1)
+    name = F.lower(F.translate(F.substr(hit, F.length(title) + 1), "İ", "I"))
+    return (
+        F.when(kind.isin("card", "ssn"), _digits(hit))
+        .when(kind == "phone", F.concat(F.regexp_extract(hit, r"^\+?", 0), _digits(hit)))
+        .when(kind == "iban", plain)
+        .when(kind == "person", F.concat(F.when(_female(title), "Mrs ").otherwise("Mr "), name))
+        .otherwise(F.lower(hit))
+    )
+
+
+def _female(title: Column) -> Column:
+    return title.rlike(f"^(?:{_FEMALE})")
+
+
+def _prefix(hit: Column) -> Column:
+    """The country prefix as written; it follows from the number's digits, not from where they are separated."""
+    return F.regexp_extract(hit, _COUNTRY, 1)
 
 
 def _nibbles(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
@@ -115,9 +135,9 @@ def _iban(text: Column, h: Column) -> Column:
 
 
 def _person(text: Column, h: Column) -> Column:
-    title = F.regexp_extract(text, r"^(\p{L}+\.? )", 1)
+    title = F.regexp_extract(text, _TITLE, 1)
     words = F.split(F.substr(text, F.length(title) + 1), " ")
-    female = title.rlike(f"^(?:{_FEMALE})")
+    female = _female(title)
     syllable = lambda at: F.element_at(F.array(*map(F.lit, _NAME)), _number(h, at, len(_NAME)) + 1)
     end = lambda g, at: F.element_at(F.array(*map(F.lit, _ENDINGS[g])), _number(h, at, len(_ENDINGS[g])) + 1)
 
@@ -130,7 +150,7 @@ def _person(text: Column, h: Column) -> Column:
 
 def surrogate(kind: Column, hit: Column, attempt: Column, key: str = KEY) -> Column:
     h = _nibbles(kind, normal(kind, hit), attempt, key)
-    prefix = F.regexp_extract(hit, r"^(\+[0-9]{1,3}(?=[ .(-])|)", 1)
+    prefix = _prefix(hit)
     ip = F.concat_ws(".", _number(h, F.lit(0), 223) + 1, *[_number(h, F.lit(i), 256) for i in (1, 2, 3)])
     email = F.concat(_reletter(F.substring_index(hit, "@", 1), h), F.lit("@"), _reletter(F.regexp_replace(F.substring_index(hit, "@", -1), r"\.[A-Za-z]+$", ""), F.reverse(h)), F.lit(".example"))
     return (

@@ -71,3 +71,17 @@ def test_other_keys_give_other_surrogates_and_empty_table(spark):
     df = spark.createDataFrame([(1, "8.8.8.8")], "doc_id long, text string")
     assert pii.surrogates(df, key="a").first().text != pii.surrogates(df, key="b").first().text
     assert pii.surrogates(df.limit(0)).count() == 0
+
+
+def test_written_surrogates_are_distinct(spark):
+    """Few digits after a country prefix, so that first attempts collide in what is written."""
+    real = [f"+49 {k // 10000:02} {k // 100 % 100:02} {k % 100:02}" for k in range(0, 999000, 333)]
+    rows = [(i, f"call {n} now") for i, n in enumerate(real)]
+    rows += [(-1, "+1 (415) 555-0100 or +14155550100"), (-2, "Mrs. Anna Weber, Mrs Anna Weber and Frau Anna Weber")]
+    got = {r.doc_id: [e.surrogate for e in r.entities] for r in pii.surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    written = [got[i][0] for i in range(len(real))]
+    assert all(s.startswith("+49 ") for s in written)
+    assert len(set(written)) == len(real) and not set(written) & set(real)
+    a, b = got[-1]
+    assert "+" + "".join(c for c in a if c.isdigit()) == b
+    assert len({s.split(" ", 1)[1] for s in got[-2]}) == 1 and len(got[-2]) == 3
