@@ -1,4 +1,4 @@
-"""What the operators of this package share: table access, scratch tables, and word lists."""
+"""What the operators of this package share: table access, scratch tables, and scans over arrays."""
 
 from __future__ import annotations
 
@@ -49,3 +49,22 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def running(values: str, how: str = "sum") -> str:
+    """SQL: for each place of an array<int>, the sum (or the maximum, 0 at least) of what stands before it.
+
+    Appending to an array copies it, so the scan goes by chunks of 256: the totals of the chunks first, then each chunk
+    from its own start. That keeps the work in proportion to the array's length.
+    """
+    step = {"sum": "s.at + {x}", "max": "greatest(s.at, {x})"}[how]
+    total = {"sum": "aggregate(y, 0, (a, b) -> a + b)", "max": "coalesce(array_max(y), 0)"}[how]
+    empty = "CAST(array() AS array<int>)"
+    return f"""
+    transform(array({values}), v -> transform(
+      array(transform(sequence(0, CAST(greatest(0, (size(v) - 1) div 256) AS INT)), k -> slice(v, 256 * k + 1, 256))), c ->
+      flatten(zip_with(c,
+        aggregate(c, named_struct('at', 0, 'out', {empty}),
+          (s, y) -> named_struct('at', {step.format(x=total)}, 'out', concat(s.out, array(s.at))), s -> s.out),
+        (y, first) -> aggregate(y, named_struct('at', first, 'out', {empty}),
+          (s, x) -> named_struct('at', {step.format(x="x")}, 'out', concat(s.out, array(s.at))), s -> s.out))))[0])[0]"""

@@ -2,11 +2,11 @@
 
 Positions count code points and ends are exclusive. A text is cut at a pattern's matches with split() and the matches
 themselves come from regexp_extract_all(), so a match's start is the length of all that stands before it: a running
-sum over an array, without a UDF.
+sum over an array, without a UDF and linear in the number of matches.
 
 Entropy. A candidate is a maximal run of one character class. A window of WINDOW characters slides over it; the sum of
-count * log2(count) over the window's characters is kept up to date by the two counts that change at each step, so
-entropy costs no recount of the window's histogram. Windows at or above the class's limit are hot; the span runs from
+count * log2(count) over the window's characters, and the counts themselves, are carried from step to step: a step
+changes two counts, of the character that leaves and of the one that comes. Windows at or above the class's limit are hot; the span runs from
 the first hot window to the end of the last. Candidates on the allow-list (place-holders, runs with no digit or no
 letter, UUIDs) are left alone.
 
@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from solvarium.llm._shared import table
+from solvarium.llm._shared import running, table
 
 # Fixed patterns (kind, pattern, least length, group whose length counts).
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -48,16 +48,14 @@ def _quoted(pattern: str) -> str:
 def _found(text: str, pattern: str) -> str:
     """SQL: array of (hit, start) for the pattern's leftmost matches that do not overlap."""
     q = _quoted(pattern)
+    lengths = "zip_with(slice(f.pieces, 1, size(f.hits)), f.hits, (p, h) -> length(p) + length(h))"
     return f"""
     CASE WHEN {text} RLIKE {q} THEN
-      aggregate(
-        arrays_zip(split({text}, {q}, -1), regexp_extract_all({text}, {q}, 0)),
-        named_struct('at', 0, 'out', CAST(array() AS array<struct<hit:string,start:int>>)),
-        (s, x) -> named_struct(
-          'at', s.at + length(x['0']) + coalesce(length(x['1']), 0),
-          'out', CASE WHEN x['1'] IS NULL THEN s.out
-                      ELSE concat(s.out, array(named_struct('hit', x['1'], 'start', s.at + length(x['0'])))) END),
-        s -> s.out)
+      transform(array(named_struct('pieces', split({text}, {q}, -1), 'hits', regexp_extract_all({text}, {q}, 0))), f ->
+        zip_with(
+          zip_with(f.hits, slice(f.pieces, 1, size(f.hits)), (h, p) -> named_struct('hit', h, 'gap', length(p))),
+          {running(lengths)},
+          (m, before) -> named_struct('hit', m.hit, 'start', before + m.gap)))[0]
     ELSE CAST(array() AS array<struct<hit:string,start:int>>) END"""
 
 
@@ -68,26 +66,29 @@ def _spans(found: str, kind: str) -> str:
 
 
 def _hot(hit: str, limit: float) -> str:
-    """SQL: struct(first, last) of hot windows over the characters of `hit`, both 0 if there are none."""
+    """SQL: struct(first, last) of hot windows over the characters of `hit`, both 0 if there are none.
+
+    The window's counts are a string with one place for each ASCII character from + to z, which holds the character
+    whose code is 48 and the count; a step changes the places of the character that leaves and of the one that comes.
+    """
     w = WINDOW
     logs = "array(" + ", ".join(f"{k * math.log2(k) if k else 0.0!r}D" for k in range(w + 2)) + ")"
-    count = "size(filter(slice(c, greatest(1, i - {w}), least(i - 1, {w})), y -> y = {ch}))".replace("{w}", str(w))
-    came = count.format(ch="c[i - 1]")
-    left = count.format(ch=f"c[i - {w} - 1]")
+
+    def changed(state: str, ch: str, by: int) -> str:
+        at = f"ascii({ch}) - 42"
+        return f"""transform(array(ascii(substring({state}.n, {at}, 1)) - 48), k -> named_struct(
+            'sum', {state}.sum + {logs}[k + {by}] - {logs}[k], 'n', overlay({state}.n, char(48 + k + {by}), {at}, 1)))[0]"""
+
+    left = f"CASE WHEN i > {w} THEN {changed('s', f'c[i - {w} - 1]', -1)} ELSE named_struct('sum', s.sum, 'n', s.n) END"
+    hot = f"i >= {w} AND {math.log2(w)!r}D - t.sum / {w} >= {limit!r}D"
     return f"""
-    aggregate(array(split({hit}, '')), named_struct('first', 0, 'last', 0), (z, c) ->
-      aggregate(sequence(1, size(c)), named_struct('sum', 0.0D, 'first', 0, 'last', 0), (s, i) ->
-        aggregate(
-          array(s.sum
-            + CASE WHEN i > {w} THEN {logs}[{left} - 1] - {logs}[{left}] ELSE 0.0D END
-            + CASE WHEN i > {w} AND c[i - 1] = c[i - {w} - 1] THEN {logs}[{came}] - {logs}[{came} - 1]
-                   ELSE {logs}[{came} + 1] - {logs}[{came}] END),
-          s, (t, sum) -> named_struct(
-            'sum', sum,
-            'first', CASE WHEN t.first = 0 AND i >= {w} AND {math.log2(w)!r}D - sum / {w} >= {limit!r}D
-                          THEN i - {w} + 1 ELSE t.first END,
-            'last', CASE WHEN i >= {w} AND {math.log2(w)!r}D - sum / {w} >= {limit!r}D THEN i ELSE t.last END)),
-        s -> named_struct('first', s.first, 'last', s.last)))"""
+    transform(array(split({hit}, '')), c ->
+      aggregate(sequence(1, size(c)), named_struct('sum', 0.0D, 'n', repeat('0', 80), 'first', 0, 'last', 0), (s, i) ->
+        transform(array({left}), u -> transform(array({changed("u", "c[i - 1]", 1)}), t -> named_struct(
+          'sum', t.sum, 'n', t.n,
+          'first', CASE WHEN s.first = 0 AND {hot} THEN i - {w} + 1 ELSE s.first END,
+          'last', CASE WHEN {hot} THEN i ELSE s.last END))[0])[0],
+        s -> named_struct('first', s.first, 'last', s.last)))[0]"""
 
 
 def _entropy(found: str, limit: float) -> str:
@@ -115,13 +116,15 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     out = out.withColumn(f"{work}base", F.expr(f"concat({base})"))
     more = ", ".join(_entropy(f"{work}run_{name}", limit) for name, (_, limit) in CLASSES.items())
-    out = out.withColumn(f"{work}more", F.expr(f"array_distinct(concat({more}))"))
-    out = out.withColumn(
-        "spans",
-        F.expr(
-            f"array_sort(concat({work}base, filter({work}more, e -> NOT exists({work}base, b -> b.start <= e.start AND b.end >= e.end))))"
-        ),
-    )
+    out = out.withColumn(f"{work}all", F.expr(f"array_sort(concat({work}base, {more}))"))
+    # At one start, spans of patterns sort first: the furthest of their ends so far tells whether one holds this span.
+    ends = running("transform(a, x -> CASE WHEN x.kind_rank < 3 THEN x.end ELSE 0 END)", "max")
+    own = f"""
+      transform(array({work}all), a -> transform(
+        filter(zip_with(sequence(0, size(a) - 1), {ends}, (i, e) -> named_struct('i', i, 'e', e)),
+          z -> a[z.i].kind_rank < 3 OR z.e < a[z.i].end AND (z.i = 0 OR a[z.i - 1] <> a[z.i])),
+        z -> a[z.i]))[0]"""
+    out = out.withColumn("spans", F.expr(f"CASE WHEN size({work}all) > 0 THEN {own} ELSE {work}all END"))
     return out.drop(*[c for c in out.columns if c.startswith(work)])
 
 
@@ -129,14 +132,19 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
     """`docs` with each run of overlapping secret spans in the text replaced by `mark`; other texts stay as they are."""
     work = "__solvarium_"
     found = find_secrets(docs.withColumn("__given", F.col(text_col)), "__given")
-    # Walk the sorted spans: keep what lies between the end of those seen so far and the next start.
+    # Before each sorted span stands what lies between the furthest end so far (m) and its start. That is cut from the
+    # part of the text that 256 spans cover, since finding a place in a text takes time in proportion to the place.
+    ends = running("transform(spans, x -> x.end)", "max")
+    piece = f"""CASE WHEN z.m > 0 AND z.a < z.m THEN '' ELSE concat(substring(g.text, z.m - g.from + 1, z.a - z.m), {_quoted(mark)}) END"""
     cut = f"""
-      aggregate(spans, named_struct('at', 0, 'out', ''),
-        (s, x) -> named_struct(
-          'at', greatest(s.at, x.end),
-          'out', CASE WHEN s.at > 0 AND x.start < s.at THEN s.out
-                      ELSE concat(s.out, substring(__given, s.at + 1, x.start - s.at), {_quoted(mark)}) END),
-        s -> concat(s.out, substring(__given, s.at + 1)))"""
+      transform(array(zip_with(spans, {ends}, (x, m) -> named_struct('a', x.start, 'm', m))), all ->
+        array_join(concat(
+          flatten(transform(
+            transform(
+              transform(sequence(0, CAST((size(all) - 1) div 256 AS INT)), k -> slice(all, 256 * k + 1, 256)),
+              y -> named_struct('y', y, 'from', y[0].m, 'text', substring(__given, y[0].m + 1, greatest(0, y[size(y) - 1].a - y[0].m)))),
+            g -> transform(g.y, z -> {piece}))),
+          array(substring(__given, array_max(transform(spans, x -> x.end)) + 1))), ''))[0]"""
     out = found.withColumn(f"{work}text", F.expr(f"CASE WHEN size(spans) > 0 THEN {cut} ELSE __given END"))
     keep = [F.col(f"{work}text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*keep)

@@ -87,3 +87,30 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.find_secrets(df).count() == 0
     assert secrets.redact(df.withColumn("extra", F.lit(1))).columns == ["doc_id", "text", "extra"]
+
+
+def cut(text):
+    """The text with each run of overlapping spans replaced by a mark."""
+    at, out = 0, []
+    for start, _, end, _ in brute(text):
+        if not (at > 0 and start < at):
+            out += [text[at:start], "[SECRET]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_many_matches_in_one_text_take_time_in_proportion(spark):
+    import random
+    import time
+
+    r = random.Random(3)
+    some = "".join(r.choice(["%032x" % r.getrandbits(128), "%016x" % r.getrandbits(60), "é word", "token=%020d" % r.getrandbits(60)]) + " " for _ in range(3000))
+    large = "".join("%016x " % r.getrandbits(64) for _ in range(32_000))
+    df = spark.createDataFrame([(1, some), (2, large)], "doc_id long, text string")
+    secrets.find_secrets(df.limit(0)).collect()
+    began = time.time()
+    spans = {x.doc_id: x.spans for x in secrets.find_secrets(df).collect()}
+    assert time.time() - began < 20  # 5 s alone
+    assert [tuple(x) for x in spans[1]] == brute(some)
+    assert len(spans[2]) >= 31_000
+    assert {x.doc_id: x.text for x in secrets.redact(df).collect()}[1] == cut(some)
