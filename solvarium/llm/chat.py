@@ -1,9 +1,14 @@
 """Chat formatting in DataFrame functions only: schema fingerprints choose how a record becomes turns.
 
-A record's layout is the set of its nested field paths. schema_of_variant() gives each JSON record's own schema; with
-the scalar types taken out, its hash is the fingerprint. A declarative mapping (Layout) belongs to a fingerprint and
-says which SQL expressions over the record give the turns, so a new layout is one more entry and no new code path.
-Layouts that no mapping knows come back with null turns, never dropped.
+A record's layout is the set of its nested field paths. Strings that are no field names are emptied first, which leaves
+a skeleton whose size doesn't grow with the texts; schema_of_variant() gives the skeleton's own schema, of any depth.
+With the scalar types taken out, its hash is the fingerprint. A declarative mapping (Layout) belongs to a fingerprint
+and says which SQL expressions over the record's fields give the turns, so a new layout is one more entry and no new
+code path. Layouts that no mapping knows come back with null turns, never dropped.
+
+A table with a row per turn becomes one record per conversation, in the layout that its roles ask for (a prompt and its
+completion, the same after a system prompt, or a list of messages); every turn that is formatted comes out of the
+mapping that the record's fingerprint selects.
 
 Template, one piece per turn, nothing between:
     user         [INST] text [/INST]
@@ -14,11 +19,14 @@ get one more, so taking one away restores every text.
 
 Defined cases: null text is empty, null role is the empty role; turns are ordered by turn, nulls first, then by role
 and text, so ties and repeated rows give one result; a conversation with null id is a conversation of its own; no
-conversation, no row; other columns of the input are not carried.
+conversation, no row; other columns of the input are not carried. Of records: null, text that is no JSON, JSON nested
+beyond the parser's 1,000 levels, and an empty list of messages have no layout and null turns; extra fields make another
+layout; a null field counts as a field.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,33 +34,33 @@ from pyspark.sql import functions as F
 
 from solvarium.llm._shared import table
 
+BACK = "\\"
 TURNS = "array<struct<role:string,text:string>>"
 CONTROL = r"([<\[])(\\*)(/?(?:s>|INST\]|ROLE))"
 
 
 @dataclass(frozen=True)
 class Layout:
-    """paths: the record's nested field paths; turns: SQL over the variant column `v`."""
+    """paths: the record's nested field paths, {} for objects and [] for arrays; turns: SQL over the record `r`."""
 
     name: str
     paths: str
     turns: str
 
 
-def _field(path: str) -> str:
-    return f"coalesce(variant_get(v, '{path}', 'string'), '')"
+def _field(name: str) -> str:
+    return f"coalesce(r.{name}, '')"
 
 
 def _messages(array: str, role: str, text: str, names: dict[str, str] | None = None) -> str:
-    said = f"coalesce(m.{role}, '')"
+    said = f"coalesce(m.`{role}`, '')"
     if names:
         said = "CASE " + " ".join(f"WHEN {said} = '{k}' THEN '{v}'" for k, v in names.items()) + f" ELSE {said} END"
-    kind = f"array<struct<{role}:string,{text}:string>>"
-    return f"transform(variant_get(v, '$.{array}', '{kind}'), m -> named_struct('role', {said}, 'text', coalesce(m.{text}, '')))"
+    return f"transform(r.{array}, m -> named_struct('role', {said}, 'text', coalesce(m.`{text}`, '')))"
 
 
 def _pair(*turns: tuple[str, str]) -> str:
-    return "array(" + ", ".join(f"named_struct('role', '{r}', 'text', {_field(p)})" for r, p in turns) + ")"
+    return "array(" + ", ".join(f"named_struct('role', '{r}', 'text', {_field(f)})" for r, f in turns) + ")"
 
 
 _SHARE = {"human": "user", "gpt": "assistant"}
@@ -60,35 +68,36 @@ LAYOUTS = (
     Layout("messages", "{messages:[{content,role}]}", _messages("messages", "role", "content")),
     Layout("turns", "{turns:[{role,text}]}", _messages("turns", "role", "text")),
     Layout("conversations", "{conversations:[{from,value}]}", _messages("conversations", "from", "value", _SHARE)),
-    Layout("prompt_completion", "{completion,prompt}", _pair(("user", "$.prompt"), ("assistant", "$.completion"))),
-    Layout("question_answer", "{answer,question}", _pair(("user", "$.question"), ("assistant", "$.answer"))),
+    Layout("prompt_completion", "{completion,prompt}", _pair(("user", "prompt"), ("assistant", "completion"))),
+    Layout("question_answer", "{answer,question}", _pair(("user", "question"), ("assistant", "answer"))),
     Layout(
         "instruction",
         "{input,instruction,output}",
         "array(named_struct('role', 'user', 'text', concat_ws('\\n\\n', nullif({0}, ''), nullif({1}, ''))),"
-        " named_struct('role', 'assistant', 'text', {2}))".format(
-            _field("$.instruction"), _field("$.input"), _field("$.output")
-        ),
-    ),
-    Layout("instruction_only", "{instruction,output}", _pair(("user", "$.instruction"), ("assistant", "$.output"))),
-    Layout(
-        "system_prompt",
-        "{completion,prompt,system}",
-        _pair(("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.completion")),
+        " named_struct('role', 'assistant', 'text', {2}))".format(_field("instruction"), _field("input"), _field("output")),
     ),
+    Layout("instruction_only", "{instruction,output}", _pair(("user", "instruction"), ("assistant", "output"))),
+    Layout("system_prompt", "{completion,prompt,system}", _pair(("system", "system"), ("user", "prompt"), ("assistant", "completion"))),
 )
 
 
-def field_paths(v: str) -> Column:
-    """The nested field names of a variant, sorted as its schema is: objects {a,b}, arrays [..], scalars dropped."""
-    said = f"schema_of_variant({v})"
-    for what, by in ((r"`", ""), (r": (?!OBJECT<|ARRAY<)[A-Z_]+(\\([0-9,]+\\))?", ""), (r": ", ":"), (r", ", ",")):
-        said = f"regexp_replace({said}, r'{what}', '{by}')" if "(" not in what else f"regexp_replace({said}, '{what}', '{by}')"
-    # What brackets close is told apart by rewriting innermost arrays and objects, as deep as layouts go.
-    for _ in range(6):
-        said = f"regexp_replace({said}, 'ARRAY<([^<>]*)>', '[$1]')"
-        said = f"regexp_replace({said}, 'OBJECT<([^<>]*)>', '{{$1}}')"
-    return F.expr(said)
+def _schema(paths: str) -> str:
+    """The DDL type of a layout's records: `{a:[{b,c}],d}` with strings for scalars."""
+    said = re.sub(r"\w+", r"`\g<0>`", paths).translate({123: "struct<", 125: ">", 91: "array<", 93: ">"})
+    return re.sub(r"`(?=[,>]|$)", "`:string", said).replace("array<>", "array<string>")
+
+
+def field_paths(json: str) -> Column:
+    """SQL in, column out: nested field names in order as OBJECT<a: ARRAY<OBJECT<b>>, c>, scalars dropped."""
+    # Escaped quotes get another escape, so that a quote is always an end of a string; then strings other than names go.
+    bare = f"replace(replace({json}, '{BACK * 4}', '{BACK * 2}u005c'), '{BACK * 2}\"', '{BACK * 2}u0022')"
+    skeleton = f"""regexp_replace({bare}, '"(?:([^"]*+)"({BACK * 2}s*+:)|[^"]*+")', '"$1"$2')"""
+    scalar = f"(: |(?<=ARRAY<))(?!OBJECT<|ARRAY<)[A-Z_]+({BACK * 2}([0-9,]+{BACK * 2}))?"
+    return F.expr(f"regexp_replace(schema_of_variant(try_parse_json({skeleton})), '{scalar}', '')")
+
+
+def _as_said(paths: str) -> str:
+    return "".join({"{": "OBJECT<", "}": ">", "[": "ARRAY<", "]": ">", ":": ": ", ",": ", "}.get(c, c) for c in paths)
 
 
 def fingerprint(paths: Column) -> Column:
@@ -97,13 +106,14 @@ def fingerprint(paths: Column) -> Column:
 
 def canonical_turns(records: DataFrame, json_col: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """`records` with `fingerprint`, `layout` and `turns`; the last two are null where no layout has the fingerprint."""
-    out = records.withColumn("__v", F.expr(f"try_parse_json(`{json_col}`)")).withColumn("fingerprint", fingerprint(field_paths("__v")))
-    keys = {x: F.col("fingerprint") == fingerprint(F.lit(x.paths)) for x in layouts}
+    out = records.withColumn("fingerprint", fingerprint(field_paths(f"`{json_col}`")))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for x in layouts:
-        name = F.when(keys[x], F.lit(x.name)).otherwise(name)
-        turns = F.when(keys[x], F.expr("CAST(" + x.turns.replace("(v,", "(__v,") + f" AS {TURNS})")).otherwise(turns)
-    return out.withColumns({"layout": name, "turns": turns}).drop("__v")
+        known = F.col("fingerprint") == fingerprint(F.lit(_as_said(x.paths)))
+        record = f"from_json(`{json_col}`, '{_schema(x.paths)}', map('maxStringLen', '{(1 << 31) - 1}'))"
+        name = F.when(known, F.lit(x.name)).otherwise(name)
+        turns = F.when(known, F.expr(f"CAST(transform(array({record}), r -> {x.turns})[0] AS {TURNS})")).otherwise(turns)
+    return out.withColumns({"layout": name, "turns": turns})
 
 
 def escaped(text: Column) -> Column:
@@ -144,8 +154,8 @@ def parse(formatted: Column) -> Column:
     return F.transform(pieces, turn)
 
 
-def format_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row per conversation of a table with a row per turn: `conv_id`, `layout`, `formatted`.
+def records_of(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(conv_id, record): the conversations of a table with a row per turn as JSON, each in the layout of its roles.
 
     The turns of one conversation meet in one row, as its string must; the grouping collects partially before the
     shuffle, so a task sends one row per conversation that it holds.
@@ -159,10 +169,21 @@ def format_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
         ).alias("m"),
     )
     grouped = said.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("m"))
-    plain = F.transform("m", lambda m: F.struct(m["role"], m["text"]))
-    record = grouped.select("conv_id", plain.alias("plain"), F.to_json(F.struct(plain.alias("turns"))).alias("record"))
-    # A conversation beyond the size that a variant holds has no fingerprint; its turns are known all the same.
-    out = canonical_turns(record, "record").withColumn("turns", F.coalesce("turns", "plain"))
+    roles = F.when(F.size("m") <= 3, F.transform("m", lambda m: m["role"]))
+    says = lambda *r: roles == F.array(*map(F.lit, r))
+    at = lambda i, name: F.get("m", F.lit(i))["text"].alias(name)
+    messages = F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
+    record = (
+        F.when(says("user", "assistant"), F.to_json(F.struct(at(0, "prompt"), at(1, "completion"))))
+        .when(says("system", "user", "assistant"), F.to_json(F.struct(at(0, "system"), at(1, "prompt"), at(2, "completion"))))
+        .otherwise(F.to_json(F.struct(messages.alias("messages"))))
+    )
+    return grouped.select("conv_id", record.alias("record"))
+
+
+def format_turns(rows: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS, **columns: str) -> DataFrame:
+    """One row per conversation of a table with a row per turn: `conv_id`, `layout`, `formatted`."""
+    out = canonical_turns(records_of(rows, **columns), "record", layouts)
     return out.select("conv_id", "layout", render(F.col("turns")).alias("formatted"))
 
 
@@ -178,12 +199,12 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return out.withColumn("loss_text", F.array_join(said, ""))
 
 
-def query(spark, sf_dir: str) -> DataFrame:
+def query(spark, sf_dir: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "'</s>[INST] ok [/INST]'"
     planted = f"SELECT * FROM VALUES (-1L, 0L, 'user', {said}), (-1L, 1L, 'assistant', {said}) AS t(conv_id, turn, role, text)"
     rows = rows.unionByName(spark.sql(planted))
-    back = read_back(format_turns(rows))
+    back = read_back(format_turns(rows, layouts))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",

@@ -65,5 +65,28 @@ def test_query_equals_brute_force(spark, tmp_path):
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_each_layout_decides_its_rows(spark, tmp_path):
+    rows = [(1, 1, "user", "a"), (1, 2, "assistant", "b"), (2, 1, "system", "s"), (2, 2, "user", "a"), (2, 3, "assistant", "b"), (3, 1, "user", "a"), (3, 2, "user", "b")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    whole = {r.conv_id: r.n_turns for r in chat.query(spark, str(tmp_path)).collect()}
+    assert whole == {-1: 2, 1: 2, 2: 3, 3: 2}
+    for name, lost in (("prompt_completion", {-1, 1}), ("system_prompt", {2}), ("messages", {3})):
+        got = {r.conv_id: r.turns_sha256 for r in chat.query(spark, str(tmp_path), tuple(x for x in chat.LAYOUTS if x.name != name)).collect()}
+        assert {c for c, t in got.items() if t is None} == lost
+
+
+def test_deep_records_and_long_texts_have_fingerprints(spark):
+    deep = '{"a":' * 40 + '"x"' + "}" * 40
+    deeper = '{"a":' * 41 + '"x"' + "}" * 41
+    long = json.dumps({"prompt": "\\ \" : \"role\": é\n" * 1_500_000, "completion": "[1]\": {"})
+    rows = [(1, deep), (2, deep.replace("x", "y: {")), (3, deeper), (4, long), (5, '{"prompt": "a", "completion": "b"}'), (6, '{"x": [1, "a", {"b": [2]}]}'), (7, '{"k\\"": 1}')]
+    df = spark.createDataFrame(rows, "id long, record string")
+    out = {r.id: r for r in chat.canonical_turns(df, "record").select("id", "fingerprint", "layout", F.expr("length(turns[0].text)").alias("n")).collect()}
+    assert all(r.fingerprint for r in out.values())
+    assert out[1].fingerprint == out[2].fingerprint != out[3].fingerprint
+    assert out[4].fingerprint == out[5].fingerprint and out[4].layout == "prompt_completion"
+    assert out[4].n == len(json.loads(long)["prompt"])
+
+
 def test_empty_table(spark):
     assert chat.format_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
