@@ -2,16 +2,20 @@
 
 Detected kinds: email, IBAN, payment card (Luhn-valid), phone, social security number, IPv4, person after a title. An
 entity's surrogate comes from a keyed hash of its kind and normal form, so it is the same wherever the entity is named
-(coreference), whatever its separators, case or title. It keeps kind and format: digits for digits, letters for letters in
-their case and script, separators and country prefixes as they are, card and IBAN check digits valid, a person's title
-and gender.
+(coreference), whatever its separators or case. It keeps kind and format: digits for digits, letters for letters in
+their case and script, separators and country prefixes as they are, card and IBAN check digits valid. A person's title
+stays as it is written, and each part of the name is an entity of its own, so `Mr. John Smith`, `Mr Smith` and
+`Mrs Smith` share a surname; a given name's ending follows the title's gender, and that of a Cyrillic surname its own.
 
 Collision checks: over all distinct entities of the table, two that would get one surrogate, or one whose surrogate is
-itself an entity, take the next attempt of the hash until all are distinct. Entities beyond attempt 0 are few; only
-documents that hold one are joined with them.
+itself an entity, take the next attempt of the hash until all are distinct. From attempt WIDEN on each attempt makes the
+surrogate one letter, digit or syllable longer, so a format's code space can't run out (IPv4 addresses, which have no
+longer form, have 3.7 thousand million codes; after MOST attempts the job fails with a message). Entities beyond attempt
+0 are few; only documents that hold one are joined with them.
 
 Defined cases: a null text stays null and has no entities; texts without entities come back as they are; repeated rows
-get the same surrogates; an empty table gives an empty table; other columns are kept, and `entities` is replaced.
+get the same surrogates; an empty table gives an empty table; other columns are kept, and `entities` is replaced;
+letters of scripts that SCRIPTS doesn't list become Latin ones.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from solvarium.llm._shared import Scratch, table
+from solvarium.llm._shared import Scratch, running, table
 
 KEY = "solvarium"
 _MALE = "Mr|Herr|Monsieur|Señor|Sr|Don|Господин"
@@ -35,17 +39,48 @@ PATTERNS = {
     "person": rf"(?<!\p{{L}})(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Letters by script, of one length in both cases.
-ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшщэюя", "αβγδεζηθικλμνξοπρστυφχψω")
+#: From which attempt surrogates grow, and how many there are at most.
+WIDEN, MOST = 4, 64
+# For each script of Unicode, the first code point and the number of its (lower-case) letters in one
+# block, and the same for upper-case letters, where the script has them.
+SCRIPTS = {
+    "Latin": ((0x61, 26), (0x41, 26)),
+    "Cyrillic": ((0x430, 32), (0x410, 32)),
+    "Greek": ((0x3B1, 17), (0x391, 17)),
+    "Armenian": ((0x561, 38), (0x531, 38)),
+    "Georgian": ((0x10D0, 33), None),
+    "Hebrew": ((0x5D0, 27), None),
+    "Arabic": ((0x621, 26), None),
+    "Devanagari": ((0x915, 37), None),
+    "Bengali": ((0x995, 20), None),
+    "Gurmukhi": ((0xA15, 20), None),
+    "Gujarati": ((0xA95, 20), None),
+    "Telugu": ((0xC15, 20), None),
+    "Kannada": ((0xC95, 20), None),
+    "Malayalam": ((0xD15, 20), None),
+    "Sinhala": ((0xD9A, 24), None),
+    "Thai": ((0xE01, 46), None),
+    "Myanmar": ((0x1000, 33), None),
+    "Ethiopic": ((0x1200, 73), None),
+    "Khmer": ((0x1780, 35), None),
+    "Mongolian": ((0x1820, 35), None),
+    "Hiragana": ((0x3041, 86), None),
+    "Katakana": ((0x30A1, 90), None),
+    "Han": ((0x4E00, 20902), None),
+    "Hangul": ((0xAC00, 11172), None),
+}
 _TITLE = r"^(\p{L}+\.? )"
 #: Country codes of phone numbers, with separators anywhere: none begins another.
 _COUNTRY = r"^(\+(?:1|7|2_[07]|3_[0-469]|4_[013-9]|5_[1-8]|6_[0-6]|8_[1246]|9_[0-58]|[0-9]_[0-9]_[0-9]))".replace("_", "[^0-9]*")
+#: Syllables of made-up names, and the letters of other scripts that stand for theirs.
 _NAME = ("ba be bo da de do fa fi ga ge ha he ja jo ka ke la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si so ta te ti to va ve vi zo").split()
-_ENDINGS = {"m": "rn ld n s rt k".split(), "f": "ra na la lia nne tta".split()}
-
-
-def _q(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+_SPELT = {"Latin": "abdefghijklmnoprstuvz", "Cyrillic": "абдефгхийклмнопрстувз", "Greek": "αβδεφγχιξκλμνοπρστυθζ"}
+_ENDINGS = {
+    "Latin": {"m": "rn ld n s rt k".split(), "f": "ra na la lia nne tta".split()},
+    "Cyrillic": {"m": "ов ин ев ан ий ир".split(), "f": "ова ина ева ана ия ира".split()},
+    "Greek": {"m": "ος ης ας ων ις ους".split(), "f": "α η ια ινα ου ω".split()},
+}
+PARTS = "array<struct<t:string,kind:string,norm:string>>"
 
 
 def _digits(s: Column) -> Column:
@@ -72,20 +107,31 @@ def kind_of(hit: Column) -> Column:
     return out
 
 
-def normal(kind: Column, hit: Column) -> Column:
+def normal(kind: Column, text: Column) -> Column:
     """What makes two mentions one entity. It is a mention itself: its surrogate has the normal form of any mention's."""
-    plain = F.upper(F.regexp_replace(hit, "[^0-9A-Za-z]", ""))
-    title = F.regexp_extract(hit, _TITLE, 1)
-    name = F.lower(F.translate(F.substr(hit, F.length(title) + 1), "İ", "I"))
     return (
-        F.when(kind.isin("card", "ssn"), _digits(hit))
-        .when(kind == "phone", F.concat(F.regexp_extract(hit, r"^\+?", 0), _digits(hit)))
-        .when(kind == "iban", plain)
-        .when(kind == "person", F.concat(F.when(_female(title), "Mrs ").otherwise("Mr "), name))
-        .otherwise(F.lower(hit))
+        F.when(kind.isin("card", "ssn"), _digits(text))
+        .when(kind == "phone", F.concat(F.regexp_extract(text, r"^\+?", 0), _digits(text)))
+        .when(kind == "iban", F.upper(F.regexp_replace(text, "[^0-9A-Za-z]", "")))
+        .otherwise(F.lower(F.translate(text, "İ", "I")))
     )
 
 
+def parts(kind: Column, hit: Column) -> Column:
+    """The hit in pieces: entities with kind and normal form, and what stays as it is, without."""
+    plain = lambda t: F.struct(t.alias("t"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("norm"))
+    own = lambda t, k: F.struct(t.alias("t"), k.alias("kind"), normal(k, t).alias("norm"))
+
+    def person(x: Column) -> Column:
+        title, words = x["title"], x["words"]
+        kinds = lambda i: F.when(i == F.size(words) - 1, "surname").when(_female(title), "given_f").otherwise("given_m")
+        return F.concat(F.array(plain(title)), F.flatten(F.transform(words, lambda w, i: F.array(plain(F.when(i > 0, " ").otherwise("")), own(w, kinds(i))))))
+
+    title = F.regexp_extract(hit, _TITLE, 1)
+    split = F.struct(title.alias("title"), F.split(F.substr(hit, F.length(title) + 1), " ").alias("words"))
+    return F.when(kind == "person", _let(split, person)).when(kind.isNotNull(), F.array(own(hit, kind))).otherwise(F.array(plain(hit))).cast(PARTS)
+
+
 def _female(title: Column) -> Column:
     return title.rlike(f"^(?:{_FEMALE})")
 
@@ -99,77 +145,91 @@ def _nibbles(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.lit(key), kind, norm, attempt.cast("string")), 512)
 
 
-def _number(h: Column, at: Column, below: int) -> Column:
+def _number(h: Column, at: Column, below: int | Column) -> Column:
     """A number from 0 to below - 1 from the at-th four digits of the hash, which wrap around."""
     return (F.conv(F.substr(h, (at % 32) * 4 + 1, F.lit(4)), 16, 10).cast("int") % below).cast("int")
 
 
+def _let(value: Column, of) -> Column:
+    """`of` the value, which is worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def _reletter(text: Column, h: Column) -> Column:
     """Digits and letters replaced by the hash, each kind, case and script by its own; the n-th of these takes the n-th part."""
+    block = lambda b: F.struct(F.lit(b[0]).alias("first"), F.lit(b[1]).alias("size"))
 
     def one(c: Column, i: Column) -> Column:
         before = F.length(F.regexp_replace(F.substr(text, F.lit(1), i), r"[^\p{L}0-9]", ""))
-        out = F.when(c.rlike("^[0-9]$"), _number(h, before, 10).cast("string"))
-        for a in ALPHABETS:
-            pick = lambda s, n=len(a): F.substr(F.lit(s), _number(h, before, n) + 1, F.lit(1))
-            out = out.when(c.rlike(f"^[{a}]$"), pick(a)).when(c.rlike(f"^[{a.upper()}]$"), pick(a.upper()))
-        latin = F.when(c == F.upper(c), F.substr(F.lit(ALPHABETS[0].upper()), _number(h, before, 26) + 1, F.lit(1))).otherwise(F.substr(F.lit(ALPHABETS[0]), _number(h, before, 26) + 1, F.lit(1)))
-        return out.when(c.rlike(r"^\p{L}$"), latin).otherwise(c)
+        to = F.when(c.rlike("^[0-9]$"), block((0x30, 10))).when(~c.rlike(r"^\p{L}$"), F.lit(None))
+        for script, (lower, upper) in SCRIPTS.items():
+            fits = c.rlike(rf"^\p{{Is{script}}}$")
+            if upper:
+                to = to.when(fits & c.rlike(r"^\p{Lu}$"), block(upper))
+            to = to.when(fits, block(lower))
+        to = to.when(c.rlike(r"^\p{Lu}$"), block(SCRIPTS["Latin"][1])).otherwise(block(SCRIPTS["Latin"][0]))
+        code = lambda b: b["first"] + _number(h, before, b["size"])
+        return _let(to, lambda b: F.when(b.isNull(), c).otherwise(F.decode(F.unhex(F.lpad(F.hex(code(b)), 8, "0")), "UTF-32")))
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
-def _card(text: Column, h: Column) -> Column:
-    """The first digit stays, the last is made to fit."""
-    new = F.concat(F.substr(text, F.lit(1), F.lit(1)), _reletter(F.substr(text, F.lit(2), F.length(text) - 2), h))
-    return F.concat(new, ((10 - _luhn_sum(_digits(new), 1) % 10) % 10).cast("string"))
-
-
-def _iban(text: Column, h: Column) -> Column:
-    """The country stays; check digits are made to fit."""
-    body = _reletter(F.substr(text, F.lit(5)), h)
-    country = F.substr(text, F.lit(1), F.lit(2))
+def _iban_check(country: Column, body: Column) -> Column:
     said = F.split(F.concat(F.regexp_replace(body, " ", ""), country, F.lit("00")), "")
     rest = F.aggregate(said, F.lit(0), lambda r, c: F.when(c.rlike("[0-9]"), (r * 10 + c.try_cast("int")) % 97).otherwise((r * 100 + F.ascii(c) - 55) % 97).cast("int"))
-    return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), body)
-
-
-def _person(text: Column, h: Column) -> Column:
-    title = F.regexp_extract(text, _TITLE, 1)
-    words = F.split(F.substr(text, F.length(title) + 1), " ")
-    female = _female(title)
-    syllable = lambda at: F.element_at(F.array(*map(F.lit, _NAME)), _number(h, at, len(_NAME)) + 1)
-    end = lambda g, at: F.element_at(F.array(*map(F.lit, _ENDINGS[g])), _number(h, at, len(_ENDINGS[g])) + 1)
-
-    def name(w: Column, i: Column) -> Column:
-        latin = F.concat(syllable(i * 6), syllable(i * 6 + 1), syllable(i * 6 + 2), F.when(female & (i == 0), end("f", i * 6 + 3)).otherwise(end("m", i * 6 + 3)))
-        return F.when(w.rlike(r"^[\p{IsLatin}]+$"), F.initcap(latin)).otherwise(_reletter(w, h))
+    return F.lpad((98 - rest).cast("string"), 2, "0")
+
+
+def _name(kind: Column, text: Column, new: Column, h: Column, more: Column) -> Column:
+    """A made-up name of the text's script, in capitals if the text is; of other scripts than _SPELT, letter for letter (`new`)."""
+    of = lambda words, at: F.element_at(F.array(*map(F.lit, words)), _number(h, at, len(words)) + 1)
+    said = F.array_join(F.transform(F.sequence(F.lit(0), more + 2), lambda at: of(_NAME, at + 4)), "")
+    female = {"Cyrillic": (kind == "given_f") | (kind == "surname") & F.lower(text).rlike("[ая]$")}
+    out = new
+    for script, letters in _SPELT.items():
+        end = F.when(female.get(script, kind == "given_f"), of(_ENDINGS[script]["f"], F.lit(0))).otherwise(of(_ENDINGS[script]["m"], F.lit(0)))
+        out = F.when(text.rlike(rf"^\p{{Is{script}}}+$"), F.concat(F.translate(said, _SPELT["Latin"], letters), end)).otherwise(out)
+    return _let(out, lambda out: F.when(F.upper(text) == text, F.upper(out)).when(F.lower(text) == text, F.lower(out)).otherwise(F.initcap(out)))
+
+
+def surrogate(kind: Column, text: Column, attempt: Column, key: str = KEY) -> Column:
+    """Of an entity as it is written; for a person's, of one part of the name."""
+    more = F.greatest(F.lit(0), attempt - (WIDEN - 1))
+    longer = lambda t, by: F.concat(t, F.repeat(by, more))
+    first = lambda n: F.substr(text, F.lit(1), F.lit(n))
+    # What stays at the front, and what gets other letters and digits.
+    head = F.when(kind == "phone", _prefix(text)).when(kind == "card", first(1)).when(kind == "iban", first(2)).otherwise("")
+    body = (
+        F.when(kind == "email", F.concat(longer(F.substring_index(text, "@", 1), F.lit("a")), F.lit("@"), F.regexp_replace(F.substring_index(text, "@", -1), r"\.[A-Za-z]+$", "")))
+        .when(kind == "card", F.substr(longer(text, F.lit("0")), F.lit(2), F.length(text) + more - 2))
+        .when(kind == "iban", F.substr(longer(text, F.lit("0")), F.lit(5)))
+        .when(kind == "phone", F.substr(longer(text, F.lit("0")), F.length(_prefix(text)) + 1))
+        .when(kind == "ssn", longer(text, F.lit("0")))
+        .otherwise(longer(text, F.right(text, F.lit(1))))
+    )
 
-    return F.concat(title, F.array_join(F.transform(words, name), " "))
+    def made(m: Column) -> Column:
+        h, head, new = m["h"], m["head"], m["new"]
+        ip = F.concat_ws(".", _number(h, F.lit(0), 223) + 1, *[_number(h, F.lit(i), 256) for i in (1, 2, 3)])
+        return (
+            F.when(kind == "email", F.concat(new, F.lit(".example")))
+            .when(kind == "ip", ip)
+            .when(kind == "card", F.concat(head, new, ((10 - _luhn_sum(_digits(F.concat(head, new)), 1) % 10) % 10).cast("string")))
+            .when(kind == "iban", F.concat(head, _iban_check(head, new), new))
+            .when(kind.isin("phone", "ssn"), F.concat(head, new))
+            .otherwise(_name(kind, text, new, h, more))
+        )
 
-
-def surrogate(kind: Column, hit: Column, attempt: Column, key: str = KEY) -> Column:
-    h = _nibbles(kind, normal(kind, hit), attempt, key)
-    prefix = _prefix(hit)
-    ip = F.concat_ws(".", _number(h, F.lit(0), 223) + 1, *[_number(h, F.lit(i), 256) for i in (1, 2, 3)])
-    email = F.concat(_reletter(F.substring_index(hit, "@", 1), h), F.lit("@"), _reletter(F.regexp_replace(F.substring_index(hit, "@", -1), r"\.[A-Za-z]+$", ""), F.reverse(h)), F.lit(".example"))
-    return (
-        F.when(kind == "email", email)
-        .when(kind == "ip", ip)
-        .when(kind == "card", _card(hit, h))
-        .when(kind == "iban", _iban(hit, h))
-        .when(kind == "person", _person(hit, h))
-        .when(kind == "phone", F.concat(prefix, _reletter(F.substr(hit, F.length(prefix) + 1), h)))
-        .otherwise(_reletter(hit, h))
-    )
+    given = F.struct(_nibbles(kind, normal(kind, text), attempt, key).alias("h"), head.alias("head"), body.alias("body"))
+    return _let(_let(given, lambda g: F.struct(g["h"].alias("h"), g["head"].alias("head"), _reletter(g["body"], g["h"]).alias("new"))), made)
 
 
 def attempts(entities: DataFrame, scratch: Scratch, key: str = KEY) -> DataFrame:
     """(kind, norm, attempt) of the entities(kind, norm) whose first surrogate is not theirs alone; the rest have 0."""
     named = scratch.save(entities.select("kind", "norm").distinct().withColumn("attempt", F.lit(0)), "entities0")
-    k = 0
-    while True:
-        made = named.withColumn("code", normal(F.col("kind"), surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key)))
+    for k in range(MOST):
+        made = named.withColumn("made", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key))
+        made = made.select("kind", "norm", "attempt", _let(F.col("made"), lambda s: normal(F.col("kind"), s)).alias("code"))
         made = scratch.save(made, f"made{k}")
         shared = made.groupBy("kind", "code").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "norm")).alias("first")).where("n > 1")
         taken = made.select("kind", F.col("norm").alias("code")).withColumn("taken", F.lit(True))
@@ -177,9 +237,10 @@ def attempts(entities: DataFrame, scratch: Scratch, key: str = KEY) -> DataFrame
         again = F.coalesce(F.col("taken"), F.lit(False)) | (F.col("n").isNotNull() & (F.col("first.norm") != F.col("norm")))
         moved = scratch.save(bad.select("kind", "norm", (F.col("attempt") + again.cast("int")).alias("attempt"), again.alias("moved")), f"entities{k + 1}")
         scratch.drop(f"made{k}", f"entities{k}")
-        named, k = moved.select("kind", "norm", "attempt"), k + 1
+        named = moved.select("kind", "norm", "attempt")
         if moved.where("moved").isEmpty():
             return named.where("attempt > 0")
+    raise ValueError(f"entities without a surrogate of their own after {MOST} attempts")
 
 
 def surrogates(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
@@ -192,33 +253,28 @@ def surrogates(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataF
     plain = docs.where(~has).select(*names, F.array().cast(kinds).alias("entities"))
     given = docs.where(has).select(*names, F.split(F.col(text_col), ANY, -1).alias("__pieces"), F.regexp_extract_all(F.col(text_col), F.lit(ANY), 0).alias("__hits"))
     given = given.withColumn("__e", F.transform("__hits", lambda x: F.struct(x.alias("hit"), kind_of(x).alias("kind"))))
-    given = given.withColumn("__e", F.transform("__e", lambda e: F.struct(e["hit"].alias("hit"), e["kind"].alias("kind"), normal(e["kind"], e["hit"]).alias("norm"))))
+    given = given.withColumn("__e", F.transform("__e", lambda e: F.struct(e["hit"].alias("hit"), e["kind"].alias("kind"), parts(e["kind"], e["hit"]).alias("parts"))))
     given = scratch.save(given.drop("__hits").withColumn("__row", F.monotonically_increasing_id()), "found")
 
-    each = given.select("__row", F.explode("__e").alias("e")).where("e.kind IS NOT NULL").select("__row", "e.kind", "e.norm")
+    each = given.select("__row", F.explode(F.flatten(F.transform("__e", lambda e: e["parts"]))).alias("e")).where("e.kind IS NOT NULL").select("__row", "e.kind", "e.norm")
     late = scratch.save(attempts(each, scratch, key), "late")
     if late.isEmpty():
         given = given.withColumn("__late", F.array().cast("array<struct<kind:string,norm:string,attempt:int>>"))
     else:
         own = each.distinct().join(late, ["kind", "norm"]).groupBy("__row").agg(F.collect_list(F.struct("kind", "norm", "attempt")).alias("__late"))
         given = given.join(own, "__row", "left")
-    tried = lambda e: F.coalesce(F.get(F.filter("__late", lambda x: (x["kind"] == e["kind"]) & (x["norm"] == e["norm"])), F.lit(0))["attempt"], F.lit(0))
-    given = given.withColumn("__e", F.transform("__e", lambda e: F.struct(e["hit"].alias("hit"), e["kind"].alias("kind"), tried(e).alias("attempt"))))
-    made = F.transform("__e", lambda e: F.struct(e["hit"].alias("hit"), e["kind"].alias("kind"), F.when(e["kind"].isNull(), e["hit"]).otherwise(surrogate(e["kind"], e["hit"], e["attempt"], key)).alias("s")))
+    tried = lambda p: F.coalesce(F.get(F.filter("__late", lambda x: (x["kind"] == p["kind"]) & (x["norm"] == p["norm"])), F.lit(0))["attempt"], F.lit(0))
+    new = lambda p: F.when(p["kind"].isNull(), p["t"]).otherwise(surrogate(p["kind"], p["t"], tried(p), key))
+    made = F.transform("__e", lambda e: F.struct(e["hit"].alias("hit"), e["kind"].alias("kind"), F.array_join(F.transform(e["parts"], new), "").alias("s")))
     given = given.withColumn("__e", made)
     text = F.array_join(F.flatten(F.transform("__pieces", lambda p, i: F.array_compact(F.array(p, F.get("__e", i)["s"])))), "")
-    start = F.aggregate(
-        F.arrays_zip(F.slice("__pieces", F.lit(1), F.size("__e")).alias("p"), F.col("__e").alias("e")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(kinds).alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["p"]) + F.length(x["e"]["hit"])).alias("at"),
-            F.when(x["e"]["kind"].isNull(), s["out"])
-            .otherwise(F.array_append(s["out"], F.struct(x["e"]["kind"].alias("kind"), (s["at"] + F.length(x["p"])).alias("start"), F.length(x["e"]["hit"]).alias("length"), x["e"]["s"].alias("surrogate"))))
-            .cast(kinds).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    done = given.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names], start.alias("entities"))
+    before = running("zip_with(slice(__pieces, 1, size(__e)), __e, (p, e) -> length(p) + length(e.hit))")
+    spans = F.expr(f"""transform(
+        filter(
+          zip_with(zip_with(__e, slice(__pieces, 1, size(__e)), (e, p) -> named_struct('e', e, 'gap', length(p))), {before},
+            (x, at) -> named_struct('kind', x.e.kind, 'start', at + x.gap, 'length', length(x.e.hit), 'surrogate', x.e.s)),
+          x -> x.kind IS NOT NULL), x -> x)""").cast(kinds)
+    done = given.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names], spans.alias("entities"))
     return plain.unionByName(done)
 
 

@@ -1,5 +1,7 @@
-import re
+import hashlib
+import random
 
+import regex as re
 from pyspark.sql import functions as F
 
 from solvarium.llm import pii
@@ -51,7 +53,8 @@ def test_surrogates(spark):
     assert re.sub(r"\D", "", new(3)[2]) == re.sub(r"\D", "", new(3)[3]) and new(3)[2].startswith("+1 (")
     assert kinds(4) == ["card", "card"] and all(map(luhn, new(4))) and new(4)[0].replace(" ", "") == new(4)[1]
     assert kinds(5) == ["ip", "ip", "ssn"] and new(5)[0] != new(5)[1]
-    assert kinds(6) == ["person"] * 4 and new(6)[0] == new(6)[3] and new(6)[0].startswith("Mrs. ") and new(6)[0].split()[1].endswith("a")
+    assert kinds(6) == ["person"] * 4 and new(6)[0] == new(6)[3] and new(6)[0].startswith("Mrs. ") and new(6)[0].split()[1].endswith(tuple(pii._ENDINGS["Latin"]["f"]))
+    assert new(6)[0].split()[2] == new(6)[1].split()[2]  # one surname
     assert re.fullmatch(r"Господин [А-Я][а-я]+", new(6)[2]) and new(6)[0].split()[1] != new(6)[1].split()[1]
     assert kinds(7) == ["iban"] and iban(new(7)[0]) and new(7)[0].startswith("GB")
     assert len(set(new(8))) == 2 and len(new(8)) == 51
@@ -85,3 +88,142 @@ def test_written_surrogates_are_distinct(spark):
     a, b = got[-1]
     assert "+" + "".join(c for c in a if c.isdigit()) == b
     assert len({s.split(" ", 1)[1] for s in got[-2]}) == 1 and len(got[-2]) == 3
+
+
+def number(h, at, below):
+    at = at % 32 * 4
+    return int(h[at : at + 4], 16) % below
+
+
+def reletter(text, h):
+    out, n = "", 0
+    for c in text:
+        if re.match("[0-9]", c):
+            c, n = str(number(h, n, 10)), n + 1
+        elif re.match(r"\p{L}", c):
+            block = pii.SCRIPTS["Latin"]
+            for script, own in pii.SCRIPTS.items():
+                if re.match(rf"\p{{{script}}}", c):
+                    block = own
+                    break
+            first, size = block[1] if block[1] and re.match(r"\p{Lu}", c) else block[0]
+            c, n = chr(first + number(h, n, size)), n + 1
+        out += c
+    return out
+
+
+def check_digit(s):
+    d = [int(c) for c in s if c.isdigit()][::-1]
+    return str(-(sum(d[1::2]) + sum(sum(divmod(2 * x, 10)) for x in d[::2])) % 10)
+
+
+def norm(kind, t):
+    digits = re.sub("[^0-9]", "", t)
+    if kind in ("card", "ssn"):
+        return digits
+    if kind == "phone":
+        return "+" * t.startswith("+") + digits
+    return re.sub("[^0-9A-Za-z]", "", t).upper() if kind == "iban" else t.lower()
+
+
+def made(kind, t, attempt):
+    h = hashlib.sha512("\x1f".join([pii.KEY, kind, norm(kind, t), str(attempt)]).encode()).hexdigest()
+    more = max(0, attempt - pii.WIDEN + 1)
+    if kind == "email":
+        local, domain = t.rsplit("@", 1)
+        return reletter(local + "a" * more + "@" + re.sub(r"\.[A-Za-z]+$", "", domain), h) + ".example"
+    if kind == "ip":
+        return ".".join(str(number(h, i, 256 if i else 223) + (i == 0)) for i in range(4))
+    if kind == "card":
+        t += "0" * more
+        new = t[0] + reletter(t[1:-1], h)
+        return new + check_digit(new)
+    if kind == "iban":
+        body = reletter((t + "0" * more)[4:], h)
+        rest = int("".join(str(int(c, 36)) for c in body.replace(" ", "") + t[:2] + "00")) % 97
+        return f"{t[:2]}{98 - rest:02}{body}"
+    if kind in ("phone", "ssn"):
+        prefix = re.match(pii._COUNTRY, t)
+        n = len(prefix[0]) if prefix and kind == "phone" else 0
+        return t[:n] + reletter(t[n:] + "0" * more, h)
+    female = kind == "given_f"
+    out = reletter(t + t[-1:] * more, h)
+    for script, letters in pii._SPELT.items():
+        if re.fullmatch(rf"\p{{{script}}}+", t):
+            f = female or script == "Cyrillic" and kind == "surname" and t.lower()[-1] in "ая"
+            said = "".join(pii._NAME[number(h, k + 4, len(pii._NAME))] for k in range(more + 3))
+            ends = pii._ENDINGS[script]["f" if f else "m"]
+            out = said.translate(str.maketrans(pii._SPELT["Latin"], letters)) + ends[number(h, 0, len(ends))]
+    return out.upper() if t == t.upper() else out.lower() if t == t.lower() else out.capitalize()
+
+
+def brute(texts):
+    """The whole query in plain Python: what each text becomes, and its spans."""
+    found, known = [], set()
+    for t in texts:
+        hits = []
+        for m in re.finditer(pii.ANY, t or ""):
+            kind = next((k for k, p in pii.PATTERNS.items() if re.fullmatch(p, m[0]) and (k != "card" or luhn(m[0]))), None)
+            if kind == "person":
+                title, *names = re.match(r"(\p{L}+\.? )(.*)", m[0]).groups()
+                names = names[0].split(" ")
+                given = "given_f" if re.match(f"(?:{pii._FEMALE})", title) else "given_m"
+                own = [(given, w) for w in names[:-1]] + [("surname", names[-1])]
+                hits.append((m, kind, title, own))
+            elif kind:
+                hits.append((m, kind, "", [(kind, m[0])]))
+        found.append(hits)
+        known |= {(k, norm(k, w)) for *_, own in hits for k, w in own}
+    attempt = dict.fromkeys(known, 0)
+    while True:
+        codes = {}
+        for (kind, n), a in attempt.items():
+            codes.setdefault((kind, norm(kind, made(kind, n, a))), []).append((a, n))
+        moved = [(kind, n) for (kind, code), own in codes.items() for a, n in own if (kind, code) in known or n != min(own)[1]]
+        if not moved:
+            break
+        for e in moved:
+            attempt[e] += 1
+    out = []
+    for t, hits in zip(texts, found):
+        at, said, spans = 0, "", []
+        for m, kind, title, own in hits:
+            new = title + " ".join(made(k, w, attempt[k, norm(k, w)]) for k, w in own)
+            said += t[at : m.start()] + new
+            at = m.end()
+            spans.append(f"{kind}:{m.start()}:{m.end()}")
+        out.append((said + t[at:] if t is not None else None, ",".join(spans)))
+    return out
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    r = random.Random(4)
+    texts = list(TEXTS)
+    texts += [f"mail {r.choice('abc')}@{r.choice('xyz')}.{r.choice(['com', 'org'])}, {r.choice('AB')}@x.net" for _ in range(60)]
+    texts += [f"{r.choice(['Mr.', 'Mr', 'Herr', 'Mrs.', 'Frau'])} {r.choice(['Ann', 'Karl', 'JOHN'])} {r.choice(['Weber', 'Smith', 'O', 'SMITH'])}ova." for _ in range(40)]
+    texts += ["Господин Андрей Ёлкин, Госпожа Ольга Иванова; Госпожа Иванова", "Herr Παπαδόπουλος, Frau Ελένη Ψάλτη", "Mr Ալեքսանդր Պետրոսյան", "Mr. Smith, Mr Smith and Mr. John Smith", "Don Ñandú Íñigo; Mr Xუზუ Aかな漢字"]
+    texts += [f"+49 {k:02} {k:02} {k % 3:02} ssn 123-45-{k:04} 8.8.8.{k}" for k in range(80)]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in pii.query(spark, str(tmp_path)).collect()}
+    for (i, t), (text, spans) in zip(rows, brute(texts)):
+        assert (got[i].text, got[i].entities) == (text, spans), t
+        assert got[i].n_entities == len(spans.split(",")) * bool(spans)
+
+
+def test_scripts_are_kept(spark):
+    text = "Господин Андрей Ёлкин; Herr Παπαδόπουλος; Mr Ալեքսանդր; Don Xかな漢字"
+    new = [e.surrogate for e in pii.surrogates(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().entities]
+    for s, script in zip(new, ["Cyrillic", "Greek", "Armenian"]):
+        assert re.fullmatch(rf"\p{{L}}+( \p{{Lu}}\p{{{script}}}+)+", s)
+    assert re.fullmatch(r"Don \p{Latin}\p{Hiragana}{2}\p{Han}{2}", new[3])
+
+
+def test_a_full_code_space_is_widened(spark):
+    """All addresses digit@digit.org and .com: 200 entities for 100 codes, as every surrogate ends in .example."""
+    rows = [("email", f"{a}@{b}.{tld}") for a in range(10) for b in range(10) for tld in ("org", "com")]
+    df = spark.createDataFrame(rows, "kind string, norm string")
+    late = pii.attempts(df, Scratch(spark, "test"))
+    all_ = df.join(late, ["kind", "norm"], "left").na.fill(0, ["attempt"])
+    codes = [r.s for r in all_.select(pii.surrogate(F.col("kind"), F.col("norm"), F.col("attempt")).alias("s")).collect()]
+    assert len(set(codes)) == 200 and all(re.fullmatch(r"\d+\p{L}*@\d\.example", c) for c in codes)
