@@ -1,7 +1,9 @@
 """Quality scores by attention-based multiple-instance learning.
 
-A document is a bag of passages of WORDS words. Each passage is encoded from what its words look like: a histogram of
-hashed word shapes (letters, digits and signs, runs collapsed), repetition, variety, lengths, and the document's size.
+A document is a bag of passages of WORDS words. Each passage is encoded from which words it holds (a histogram of hashed
+words, case aside), from what they look like (a histogram of hashed shapes: letters, digits and signs, runs collapsed),
+from repetition, variety and lengths, and from the document's size. A run of more than LONGEST bytes without white space
+counts as several words, so scripts without spaces and long encoded blocks are read whole.
 The network is h = tanh(Wx + b), gated attention a = softmax(w . (tanh(Vh) * sigmoid(Uh))) over the document's
 passages, and sigmoid(c . sum(a h) + d). Only documents have labels; the attention weights are learned from them.
 
@@ -16,6 +18,7 @@ rows and duplicate ids are scored each; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,12 +30,13 @@ from pyspark.sql import functions as F
 from solvarium.llm._shared import table
 
 WORDS = 64
-SHAPES = 128
+SHAPES, LEXICAL = 128, 256
+LONGEST = 48
 HIDDEN, GATE = 24, 12
 SAMPLE = 4000
-EPOCHS, RATE, DECAY, SEED = 60, 0.01, 1e-4, 7
+EPOCHS, RATE, DECAY, SEED = 40, 0.01, 1e-4, 7
 EXTRA = 9
-WIDTH = SHAPES + EXTRA
+WIDTH = SHAPES + LEXICAL + EXTRA
 #: Words whose codes a worker keeps.
 KEPT = 200_000
 
@@ -42,27 +46,34 @@ _CLASS = bytes(
 
 
 class _Codes(dict):
-    """A word's code: shape bucket (bits 0 to 7), length (8 to 15), and 48 bits of hash."""
+    """A word's code: shape bucket (bits 0 to 7), length (8 to 15), and 48 bits of hash, the lowest of which are its bucket."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
         shape, last = bytearray(), 0
-        for c in word.translate(_CLASS)[:64]:
+        for c in word.translate(_CLASS):
             if c != last:
                 shape.append(c)
             last = c
         bucket = xxhash.xxh64_intdigest(bytes(shape[:12])) % SHAPES
-        code = bucket | min(len(word), 255) << 8 | (xxhash.xxh64_intdigest(word) >> 16) << 16
+        code = bucket | len(word) << 8 | (xxhash.xxh64_intdigest(word.lower()) >> 16) << 16
         if len(self) >= KEPT:
             self.clear()
         self[word] = code
         return code
 
 
+def _words(text: bytes) -> list[bytes]:
+    said = text.split()
+    if said and len(max(said, key=len)) > LONGEST:
+        return [w[k : k + LONGEST] for w in said for k in range(0, len(w), LONGEST)]
+    return said
+
+
 def encode(texts: list[bytes], codes: _Codes) -> tuple[np.ndarray, np.ndarray]:
     """Passage features (n, WIDTH) of all texts, and how many passages each text has (1 at least)."""
-    said = [t.split() for t in texts]
+    said = [_words(t) for t in texts]
     n = np.array([len(w) for w in said], dtype=np.int64)
     code = np.fromiter((c for w in said for c in map(codes.__getitem__, w)), dtype=np.uint64, count=int(n.sum()))
     passages = np.maximum(1, -(-n // WORDS))
@@ -74,24 +85,28 @@ def encode(texts: list[bytes], codes: _Codes) -> tuple[np.ndarray, np.ndarray]:
     size = np.bincount(own, minlength=total).astype(np.float32)
     safe = np.maximum(size, 1)
     shape = (code & np.uint64(0xFF)).astype(np.int64)
-    x[:, :SHAPES] = np.sqrt(np.bincount(own * SHAPES + shape, minlength=total * SHAPES).reshape(total, SHAPES) / safe[:, None])
+    lexical = ((code >> np.uint64(16)) % np.uint64(LEXICAL)).astype(np.int64)
+    for begin, width, bucket in ((0, SHAPES, shape), (SHAPES, LEXICAL, lexical)):
+        many = np.bincount(own * width + bucket, minlength=total * width).reshape(total, width)
+        x[:, begin : begin + width] = np.sqrt(many / safe[:, None])
     length = ((code >> np.uint64(8)) & np.uint64(0xFF)).astype(np.float32)
     mean = np.bincount(own, length, minlength=total) / safe
     again = np.zeros(len(code), dtype=bool)
     if len(code):
         again[1:] = (code[1:] == code[:-1]) & (at[1:] > 0)
     kinds = _kinds(own, code)
-    x[:, SHAPES] = mean / 8
-    x[:, SHAPES + 1] = np.sqrt(np.maximum(0, np.bincount(own, length * length, minlength=total) / safe - mean * mean)) / 4
-    x[:, SHAPES + 2] = np.bincount(own, again, minlength=total) / safe
-    x[:, SHAPES + 3] = np.bincount(kinds, minlength=total) / safe
-    x[:, SHAPES + 4] = np.log1p(size) / 4
+    extra = SHAPES + LEXICAL
+    x[:, extra] = mean / 8
+    x[:, extra + 1] = np.sqrt(np.maximum(0, np.bincount(own, length * length, minlength=total) / safe - mean * mean)) / 4
+    x[:, extra + 2] = np.bincount(own, again, minlength=total) / safe
+    x[:, extra + 3] = np.bincount(kinds, minlength=total) / safe
+    x[:, extra + 4] = np.log1p(size) / 4
     document = np.repeat(np.arange(len(texts)), passages)
     lines = np.array([t.count(b"\n") + 1 for t in texts], dtype=np.float32)
-    x[:, SHAPES + 5] = (np.log1p(n) / 8)[document]
-    x[:, SHAPES + 6] = (np.log1p(n / lines) / 4)[document]
-    x[:, SHAPES + 7] = (n < 12)[document]
-    x[:, SHAPES + 8] = 1
+    x[:, extra + 5] = (np.log1p(n) / 8)[document]
+    x[:, extra + 6] = (np.log1p(n / lines) / 4)[document]
+    x[:, extra + 7] = (n < 12)[document]
+    x[:, extra + 8] = 1
     return x, passages
 
 
@@ -133,7 +148,9 @@ def fit(x: np.ndarray, passages: np.ndarray, y: np.ndarray) -> Model:
         return Model(None, np.zeros(WIDTH), np.ones(WIDTH), float(y[0]) if len(y) else 0.5)
     r = np.random.default_rng(SEED)
     model = Model(None, x.mean(axis=0), np.maximum(x.std(axis=0), 0.02))
-    x = ((x - model.mean) / model.scale).astype(np.float32)
+    model.scale[SHAPES : SHAPES + LEXICAL] *= 2  # many and rare: they tell less, each
+    x = x - model.mean.astype(np.float32)
+    x /= model.scale.astype(np.float32)
     p = {"W": r.normal(0, WIDTH**-0.5, (WIDTH, HIDDEN)), "b": np.zeros(HIDDEN), "V": r.normal(0, HIDDEN**-0.5, (HIDDEN, GATE))}
     p |= {"U": r.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "w": r.normal(0, GATE**-0.5, GATE), "c": np.zeros(HIDDEN), "d": np.zeros(1)}
     p = model.weights = {k: v.astype(np.float32) for k, v in p.items()}
@@ -206,19 +223,20 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                     [
                         batch.column(0).slice(at, len(n)),
                         batch.column(2).slice(at, len(n)),
-                        pa.array([x[b - k : b].astype("<f4").tobytes() for b, k in zip(ends, n)], pa.binary()),
+                        pa.array(n, pa.int64()),
+                        pa.array([zlib.compress(x[b - k : b].astype("<f4").tobytes(), 1) for b, k in zip(ends, n)], pa.binary()),
                     ],
-                    names=["id", "y", "x"],
+                    names=["id", "y", "n", "x"],
                 )
                 at += len(n)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = rows.select("__id", "__text", "__y").mapInArrow(run, f"id {kind}, y double, x binary").toArrow().to_pylist()
+    got = rows.select("__id", "__text", "__y").mapInArrow(run, f"id {kind}, y double, n long, x binary").toArrow().to_pylist()
     got.sort(key=lambda r: (r["id"], r["y"], r["x"]))
     if not got:
         return fit(np.zeros((0, WIDTH)), np.zeros(0, np.int64), np.zeros(0))
-    x = [np.frombuffer(r["x"], "<f4").reshape(-1, WIDTH) for r in got]
-    return fit(np.concatenate(x), np.array([len(k) for k in x]), np.array([r["y"] for r in got], dtype=np.float32))
+    x = np.frombuffer(bytearray().join(zlib.decompress(r["x"]) for r in got), "<f4").reshape(-1, WIDTH)
+    return fit(x, np.array([r["n"] for r in got]), np.array([r["y"] for r in got], dtype=np.float32))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -234,7 +252,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
             scores = pa.array(np.concatenate(said) if said else [], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], scores], names=[*batch.schema.names[:n], score_col])
 
-    given = docs.withColumn("__raw", F.col(text_col).cast("binary"))
+    raw = next(name for k in range(n + 1) if (name := f"__raw{k}") not in docs.columns)
+    given = docs.withColumn(raw, F.col(text_col).cast("binary"))
     return given.mapInArrow(run, docs.withColumn(score_col, F.lit(0.0)).schema)
 
 
