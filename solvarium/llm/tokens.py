@@ -4,7 +4,8 @@ A token file is little-endian 16-bit ids and nothing else; each document ends wi
 blocks of fixed size that tasks read on their own, wherever documents begin. In a block, one vector comparison finds the
 separators and their differences give the lengths of the documents that lie inside. What a block can't know is how long
 the document was before it began: the tokens since the last separator of the blocks before, a prefix scan over one
-narrow row a block. Its result is added to each block's first length.
+narrow row a block (its number of separators and the tokens left after the last). Only its result meets the lengths, in
+a join by block, and is added to each block's first.
 
 The writer makes such files from documents (rolling by size, temporary names, a manifest written last), with a list of
 their ids in file order beside them, so that counts can be given by document; the scan itself reads token files alone.
@@ -97,19 +98,22 @@ def scan(files: DataFrame, root: str, *, separator: int = SEPARATOR, block_bytes
                     raw = f.read(min(block_bytes, row["bytes"] - row["block"] * block_bytes))
                 lengths, tail = scan_block(np.frombuffer(raw, "<u2"), separator)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["file"]]), pa.array([row["block"]], pa.int64()), pa.array([lengths.tolist()], pa.list_(pa.int64())), pa.array([tail], pa.int64())],
-                    names=["file", "block", "lengths", "tail"],
+                    [pa.array([row["file"]]), *(pa.array([v], pa.int64()) for v in (row["block"], len(lengths), tail)), pa.array([lengths.tolist()], pa.list_(pa.int64()))],
+                    names=["file", "block", "n", "tail", "lengths"],
                 )
 
-    found = blocks.repartition("file", "block").mapInArrow(run, "file string, block long, lengths array<long>, tail long")
+    # Written, so that the prefix scan reads the narrow columns alone and the lengths stay out of its shuffles.
+    found = blocks.repartition("file", "block").mapInArrow(run, "file string, block long, n long, tail long, lengths array<long>")
+    found = Scratch(files.sparkSession, "scan").save(found, "blocks")
     # The prefix scan: all tails so far, less those up to the last block that holds a separator.
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    seen = found.withColumn("tails", F.coalesce(F.sum("tail").over(before), F.lit(0))).withColumn("docs", F.coalesce(F.sum(F.size("lengths")).over(before), F.lit(0)))
-    cut_ = F.last(F.when(F.size("lengths") > 0, F.col("tails")), ignorenulls=True).over(before)
+    seen = found.select("file", "block", "n", "tail").withColumn("tails", F.coalesce(F.sum("tail").over(before), F.lit(0))).withColumn("docs", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    cut_ = F.last(F.when(F.col("n") > 0, F.col("tails")), ignorenulls=True).over(before)
     seen = seen.withColumn("carry", F.col("tails") - F.coalesce(cut_, F.lit(0)))
-    last = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("block"))) == 1
-    rest = F.when(F.size("lengths") > 0, F.col("tail")).otherwise(F.col("carry") + F.col("tail"))
-    seen = seen.withColumn("rest", F.when(last & (rest > 0), rest))
+    last = F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull()
+    rest = F.when(F.col("n") > 0, F.col("tail")).otherwise(F.col("carry") + F.col("tail"))
+    seen = seen.select("file", "block", "docs", "carry", F.when(last & (rest > 0), rest).alias("rest"))
+    seen = found.select("file", "block", "lengths").join(seen, ["file", "block"])
     full = F.transform("lengths", lambda n, i: F.struct((n + F.when(i == 0, F.col("carry")).otherwise(0)).alias("n"), F.lit(True).alias("closed")))
     full = F.when(F.col("rest").isNotNull(), F.array_append(full, F.struct(F.col("rest").alias("n"), F.lit(False).alias("closed")))).otherwise(full)
     out = seen.select("file", "docs", F.posexplode(full).alias("i", "d"))
