@@ -1,8 +1,8 @@
 """Deterministic sharded WARC writer, and the reader of what it wrote.
 
-Order. Records are range-sorted by id. Spark's own range bounds come from a random sample, so here bounds come from
-exact byte counts over fixed-width id bins (a bounded number of bins for each shard); the same pages and the same
-number of shards always give the same files, byte for byte.
+Order. Records are range-sorted by id, then by payload digest. Spark's own range bounds come from a random sample, so here
+a shard ends where the exact bytes of all records before reach its share, wherever ids lie and however many pages have
+one id; the same pages and the same number of shards always give the same files, byte for byte.
 
 Duplicates. Payload digests go, without payloads, through one grouping; which pages revisit which is then merged into
 the sorted stream as short rows beside the pages, so payloads are shuffled once, and a hot payload's pages meet in no
@@ -27,13 +27,14 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from solvarium.llm._shared import Scratch, shared_dir, table
 
 ROLL_BYTES = 64 << 20
-BINS_A_SHARD = 64
+#: What a null id counts as in the order.
+LEAST = -(1 << 63)
 LEVEL = 6
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -135,14 +136,14 @@ def write(
     scratch = Scratch(spark, "warc")
     short = scratch.save(made.select("id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n")), "digests")
 
-    shard = _bounds(short, shards)
+    shard = _bounds(short, shards, scratch)
     groups = short.where(F.col("n") >= revisit_from).groupBy("digest").agg(F.max("id").alias("keeper"), F.count("*").alias("rows"))
     groups = scratch.save(groups.where("rows > 1").select("digest", "keeper"), "groups")
     marks = short.join(groups, "digest").where("id IS NULL OR id <= keeper").select("id", "digest", "keeper").distinct()
 
-    stream = made.select("id", "url", "payload", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("keeper"))
+    stream = made.select("id", "url", "payload", F.lit(1).alias("kind"), F.sha1("payload").alias("digest"), F.lit(None).cast("long").alias("keeper"))
     stream = stream.unionByName(marks.select("id", F.lit("").alias("url"), F.lit(None).cast("binary").alias("payload"), F.lit(0).alias("kind"), "digest", "keeper"))
-    stream = stream.repartitionById(shards, shard(F.col("id"))).sortWithinPartitions("id", "kind", "url", "payload")
+    stream = stream.repartitionById(shards, shard(F.col("id"), F.col("digest"))).sortWithinPartitions("id", "digest", "kind", "url")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -158,7 +159,7 @@ def write(
                     marked[digest.as_py()] = keeper.as_py()
                     continue
                 body = body.as_py()
-                own = hashlib.sha1(body).hexdigest()
+                own = digest.as_py()
                 copy = copies[own] = copies.get(own, -1) + 1
                 revisit = own in marked and (page_id != marked[own] or copy > 0)
                 out.write(page_record(page_id, url.as_py(), body, copy, marked.get(own), revisit))
@@ -167,7 +168,7 @@ def write(
 
     written = scratch.save(stream.mapInArrow(run, MANIFEST), "manifest")
     commit(written, root).write.json(f"{root}/manifest", mode="overwrite")
-    scratch.drop("digests", "groups", "manifest")
+    scratch.drop("digests", "groups", "order", "manifest")
     _delete(spark, f"{root}/_temporary")
     return manifest(spark, root)
 
@@ -177,22 +178,28 @@ def _arrow() -> pa.Schema:
     return pa.schema([(n, kind[t]) for n, t in (x.split() for x in MANIFEST.split(", "))])
 
 
-def _bounds(short: DataFrame, shards: int):
-    """A function from the id's column to its shard: bins of equal width, dealt to shards by exact bytes, in order."""
-    lo, hi = short.agg(F.min("id"), F.max("id")).first()
-    if lo is None:
-        return lambda c: F.lit(0)
-    width = max(1, -(-(hi - lo + 1) // (shards * BINS_A_SHARD)))
-    bin_of = lambda c: F.floor((c - F.lit(lo)) / F.lit(width)).cast("long")
-    sizes = short.where("id IS NOT NULL").groupBy(bin_of(F.col("id")).alias("bin")).agg(F.sum(F.col("n") + 600).alias("n")).collect()
-    total, seen, starts = sum(r.n for r in sizes), 0, []  # BINS_A_SHARD * shards rows at most
-    for r in sorted(sizes):
-        if seen * shards >= total * len(starts):
-            starts.append(r.bin)
-        seen += r.n
-    # The shard of a bin is the number of shards that start at or before it, less one; nulls go to the first.
-    edges = F.array(*[F.lit(s).cast("long") for s in starts])
-    return lambda c: F.coalesce(F.size(F.filter(edges, lambda e: e <= bin_of(c))) - F.lit(1), F.lit(0)).cast("int")
+def _bounds(short: DataFrame, shards: int, scratch: Scratch):
+    """A function from (id, digest) to the shard: the rows in that order are cut where their exact bytes reach a shard's
+    share. Spark's range partitions, whose bounds come from a sample, only divide the work: where bytes add up to a
+    multiple of the share doesn't depend on them."""
+    order = short.select(F.coalesce("id", F.lit(LEAST)).alias("id"), F.coalesce("digest", F.lit("")).alias("digest"), (F.col("n") + 600).alias("n"))
+    order = order.groupBy("id", "digest").agg(F.sum("n").alias("n"))  # rows that repeat an id and a payload stay together
+    order = order.repartitionByRange(shards, "id", "digest").sortWithinPartitions("id", "digest")
+    order = scratch.save(order.withColumn("part", F.spark_partition_id()), "order")
+    parts = sorted(order.groupBy("part").agg(F.sum("n").alias("n")).collect())  # `shards` rows at most
+    if not parts:
+        return lambda *c: F.lit(0)
+    before, total = {}, 0
+    for r in parts:
+        before[r.part], total = total, total + r.n
+    start = F.element_at(F.create_map(*[F.lit(v) for p, n in before.items() for v in (p, n)]), F.col("part"))
+    upto = start + F.sum("n").over(Window.partitionBy("part").orderBy("id", "digest").rowsBetween(Window.unboundedPreceding, -1))
+    slot = lambda c: F.floor(F.coalesce(c, start).cast("double") * shards / total)
+    cuts = order.withColumn("slot", slot(upto)).groupBy("slot").agg(F.min(F.struct("id", "digest")).alias("first"))
+    cuts = sorted((r.first.id, r.first.digest) for r in cuts.collect())  # `shards` rows at most
+    edges = F.array(*[F.struct(F.lit(i).cast("long").alias("id"), F.lit(d).alias("digest")) for i, d in cuts])
+    key = lambda i, d: F.struct(F.coalesce(i, F.lit(LEAST)).alias("id"), F.coalesce(d, F.lit("")).alias("digest"))
+    return lambda i, d: F.greatest(F.lit(0), F.size(F.filter(edges, lambda e: e <= key(i, d))) - 1).cast("int")
 
 
 def commit(written: DataFrame, root: str) -> DataFrame:

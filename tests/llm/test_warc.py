@@ -74,3 +74,16 @@ def test_least_size_and_empty_table(spark, tmp_path):
     assert {r.id for r in back if r.record_type == "revisit"} == {None}
     none = warc.write(pages(spark).limit(0), f"file://{tmp_path}/n")
     assert none.count() == 0 and warc.read(none, f"file://{tmp_path}/n").count() == 0
+
+
+def test_shards_are_even_whatever_the_ids(spark, tmp_path):
+    """One id far off, one id on a third of the rows, many null ids: no shard holds more than its share and one page."""
+    rows = [(k, f"http://{k}", "x" * 500 + str(k)) for k in range(300)] + [(1 << 60, "http://far", "y")]
+    rows += [(None, f"http://n{k}", "z" * 500 + str(k)) for k in range(200)] + [(150, f"http://s{k}", "w" * 500 + str(k)) for k in range(250)]
+    files = warc.write(pages(spark, rows), f"file://{tmp_path}/s", shards=8).collect()
+    by = Counter()
+    for r in files:
+        by[r.shard] += r.records
+    assert len(by) == 8 and max(by.values()) <= len(rows) / 8 + 2
+    back = warc.read(warc.manifest(spark, f"file://{tmp_path}/s"), f"file://{tmp_path}/s").collect()
+    assert sorted((r.id is not None, r.id or 0, r.payload.decode()) for r in back) == sorted((i is not None, i or 0, h) for i, _, h in rows)
