@@ -27,6 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def shared_uri(spark: SparkSession) -> str:
+    """shared_dir() as a URI that file systems outside Spark know; Hadoop also writes `file:/folder`."""
+    root = shared_dir(spark)
+    if "://" in root:
+        return root
+    return "file://" + root.removeprefix("file:")
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage, and survive the loss of any executor.
 

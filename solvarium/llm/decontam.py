@@ -4,9 +4,11 @@ The automaton holds every substring of every item. A document's words are stream
 length says how long a suffix of what was read occurs in some item. Where it reaches the window, the window's words are
 hit; a shorter item is a window of its own and is found as a suffix of the state's string.
 
-Size. The items are a query set: they are brought to the driver in blocks of BLOCK_WORDS words at most (and one item
-may exceed that by itself), one automaton a block, broadcast one at a time, with the spans so far written to the shared
-folder between blocks. Documents are never shuffled: each stage maps over them in Arrow batches.
+Size. The items are a query set: they are brought to the driver in blocks of BLOCK_WORDS words at most, one automaton a
+block; an item of more words is cut into pieces that overlap by a window less one word, so that each window is in a
+piece. One block is broadcast. Several go to files in the shared folder, and a task matches BUFFER bytes of documents
+against one after the other, so that documents are read once, and one automaton and one buffer are in memory. Documents
+are never shuffled or rewritten: the only stage maps over them in Arrow batches.
 
 Words: A-Z lower-cased, then runs of characters other than ASCII punctuation, space and controls.
 
@@ -17,17 +19,23 @@ columns of the input are kept, and columns named words, spans or items are repla
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+import pickle
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from solvarium.llm._shared import Scratch, table
+from solvarium.llm._shared import shared_uri, table
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
+#: Bytes of text that a task holds while it goes through several blocks.
+BUFFER = 16 << 20
 #: Lower-cases A-Z and turns every ASCII character that is no letter or digit into a space; other bytes stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _GAPS = bytes(120 if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -175,16 +183,19 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int, window: int) -> Iterator[list]:
     """Items with their words in blocks; items come to the driver a partition at a time."""
     block, size = [], 0
+    block_words = max(block_words, 2 * window)
     for item, text in benchmark.select(id_col, text_col).toLocalIterator():
-        said = words(text)
-        if block and size + len(said) > block_words:
-            yield block
-            block, size = [], 0
-        block.append((item, said))
-        size += len(said)
+        all_ = words(text)
+        for a in range(0, max(1, len(all_) - window + 1), block_words - window + 1):
+            said = all_[a : a + block_words]
+            if block and size + len(said) > block_words:
+                yield block
+                block, size = [], 0
+            block.append((item, said))
+            size += len(said)
     if block:
         yield block
 
@@ -211,43 +222,70 @@ def find_contamination(
         f"{prefix}items": F.array().cast("array<string>"),
     }
     out = docs.drop(*new).withColumns(new)
-    blocks = _blocks(benchmark, item_id, item_text, block_words)
-    out = _matched(spark, out, Automaton(next(blocks, []), window), text_col, prefix)
-    scratch = Scratch(spark, "decontam")
-    for k, block in enumerate(blocks):
-        out = _matched(spark, scratch.save(out, f"block{k}"), Automaton(block, window), text_col, prefix)
-    return out
-
-
-def _matched(spark, docs: DataFrame, automaton: Automaton, text_col: str, prefix: str) -> DataFrame:
-    shared = spark.sparkContext.broadcast(automaton)
+    blocks = (Automaton(x, window) for x in _blocks(benchmark, item_id, item_text, block_words, window))
+    first, second = next(blocks, Automaton([], window)), next(blocks, None)
+    if second is None:
+        shared = spark.sparkContext.broadcast(first)
+        return _matched(out, lambda: [shared.value], text_col, prefix, 0)
+    root = f"{shared_uri(spark)}/solvarium/decontam-{uuid.uuid4().hex}"
+    store, base = fs.FileSystem.from_uri(root)
+    store.create_dir(base, recursive=True)
+    n = 0
+    for n, automaton in enumerate(itertools.chain([first, second], blocks), 1):
+        with store.open_output_stream(f"{base}/{n}") as f:
+            f.write(pickle.dumps(automaton))
+
+    def load() -> Iterator[Automaton]:
+        store, base = fs.FileSystem.from_uri(root)
+        for k in range(1, n + 1):
+            with store.open_input_stream(f"{base}/{k}") as f:
+                yield pickle.loads(f.read())
+
+    return _matched(out, load, text_col, prefix)
+
+
+def _matched(docs: DataFrame, automata: Callable[[], Iterable[Automaton]], text_col: str, prefix: str, buffer: int = BUFFER) -> DataFrame:
     schema = T.StructType(docs.schema.fields)
 
     def run(batches):
-        own = shared.value
-        for batch in batches:
-            given = [batch[batch.schema.get_field_index(c)] for c in (text_col, f"{prefix}spans", f"{prefix}items")]
-            n, spans, items = [], [], []
-            for text, old, names in zip(*given):
-                said = words(text.as_py())
-                found, which = own.hits(said)
-                if old := old.as_py():
-                    found = merged([(x["start"], x["end"]) for x in old] + found)
-                n.append(len(said))
-                spans.append([{"start": a, "end": b} for a, b in found])
-                items.append(sorted({*names.as_py(), *(str(x) for x in which if x is not None)}))
-            new = {f"{prefix}words": n, f"{prefix}spans": spans, f"{prefix}items": items}
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(new[f.name], type=batch.schema.field(i).type) if f.name in new else batch[i]
-                    for i, f in enumerate(batch.schema)
-                ],
-                schema=batch.schema,
-            )
+        for held in _buffers(batches, text_col, buffer):
+            said = [[words(t.as_py()) for t in batch[batch.schema.get_field_index(text_col)]] for batch in held]
+            found = [[([], set()) for _ in own] for own in said]
+            for automaton in automata():
+                for own, rows in zip(said, found):
+                    for k, w in enumerate(own):
+                        spans, items = automaton.hits(w)
+                        if spans:
+                            rows[k] = merged(rows[k][0] + spans), rows[k][1] | items
+            for batch, own, rows in zip(held, said, found):
+                new = {
+                    f"{prefix}words": [len(w) for w in own],
+                    f"{prefix}spans": [[{"start": a, "end": b} for a, b in spans] for spans, _ in rows],
+                    f"{prefix}items": [sorted({str(x) for x in items if x is not None}) for _, items in rows],
+                }
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(new[f.name], type=batch.schema.field(i).type) if f.name in new else batch[i]
+                        for i, f in enumerate(batch.schema)
+                    ],
+                    schema=batch.schema,
+                )
 
     return docs.mapInArrow(run, schema)
 
 
+def _buffers(batches, text_col: str, buffer: int) -> Iterator[list[pa.RecordBatch]]:
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch[batch.schema.get_field_index(text_col)].nbytes
+        if size > buffer:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def remove(
     docs: DataFrame,
     benchmark: DataFrame,

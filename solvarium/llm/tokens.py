@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from solvarium.llm._shared import Scratch, shared_dir, table
+from solvarium.llm._shared import Scratch, shared_uri, table
 from solvarium.llm.packing import _Encoder, _groups, tokenizer_path
 
 SEPARATOR = 49407
@@ -121,8 +121,7 @@ def scan(files: DataFrame, root: str, *, separator: int = SEPARATOR, block_bytes
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    root = f"{shared_dir(spark)}/solvarium/tokens-{uuid.uuid4().hex}"
-    root = root if "://" in root else f"file://{root}"
+    root = f"{shared_uri(spark)}/solvarium/tokens-{uuid.uuid4().hex}"
     files, order = write(table(spark, sf_dir, "documents").select("doc_id", "text"), root)
     counted = scan(files, root)
     # Both sides grow with the documents but compress to little, which would pass for small enough to broadcast.

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from solvarium.llm._shared import Scratch, shared_dir, table
+from solvarium.llm._shared import Scratch, shared_uri, table
 
 ROLL_BYTES = 64 << 20
 #: What a null id counts as in the order.
@@ -303,8 +303,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    root = f"{shared_dir(spark)}/solvarium/warc-{uuid.uuid4().hex}"
-    root = root if "://" in root or root.startswith("/") else f"file://{root}"
+    root = f"{shared_uri(spark)}/solvarium/warc-{uuid.uuid4().hex}"
     files = write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), root)
     n = files.count()
     back = read(files.repartition(max(1, min(n, 4 * spark.sparkContext.defaultParallelism))), root, with_payload=False)

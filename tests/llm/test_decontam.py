@@ -90,3 +90,22 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontam.remove(docs, bench).count() == len(DOCS)
     assert decontam.find_contamination(docs.limit(0), spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
+
+
+def test_items_longer_than_a_block_and_many_blocks(spark):
+    r = random.Random(8)
+    vocab = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(r.choices(vocab, k=r.choice([3, 12, 90, 400])))) for i in range(12)]
+    docs = []
+    for i in range(60):
+        w = r.choice(items)[1].split()
+        at = r.randrange(len(w))
+        docs.append((i, " ".join(r.choices(vocab, k=20) + w[at : at + r.choice([9, 10, 30, 200])] + r.choices(vocab, k=5))))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block in (25, 40, 100_000):
+        got = {x.doc_id: x for x in decontam.find_contamination(df, bench, block_words=block).collect()}
+        for i, text in docs:
+            said, hit, which = brute(text, items)
+            assert {p for x in got[i].spans for p in range(x.start, x.end)} == hit
+            assert (got[i].words, sorted(got[i]["items"])) == (len(said), which)

@@ -43,3 +43,11 @@ def test_files_roll_and_empty_table(spark, tmp_path):
     assert tokens.scan(files, f"file://{tmp_path}/t").where("n_tokens = 3").count() == 50
     files, order = tokens.write(docs.where(F.lit(False)), f"file://{tmp_path}/u")
     assert files.count() == 0 and tokens.scan(files, f"file://{tmp_path}/u").count() == 0
+
+
+def test_folders_named_the_hadoop_way_become_uris(spark, monkeypatch):
+    from solvarium.llm import _shared
+
+    for given, want in (("/a/b", "file:///a/b"), ("file:/a/b", "file:///a/b"), ("file:///a/b", "file:///a/b"), ("hdfs://n/a", "hdfs://n/a")):
+        monkeypatch.setattr(_shared, "shared_dir", lambda _, given=given: given)
+        assert _shared.shared_uri(spark) == want
