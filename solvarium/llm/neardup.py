@@ -10,10 +10,12 @@
 3. Candidates are confirmed on full sets: the neighbours of a few trees first. What that leaves in different
    components is confirmed next; pairs within one component cannot change the result. Two sets of 75% overlap share
    MIN_DEPTH values in a tree with probability 0.56, and in no tree with 1e-9.
-4. In a region of more than WIDTH + 1 entries some pairs were not neighbours. Where it still has several components,
+4. Where more than WIDTH + 1 entries share MIN_DEPTH values, some pairs were not neighbours. There the depth is
+   CROWD_DEPTH: in a region that shares so many values, and still has several components,
    all its pairs across components are compared on full sets: the entries are dealt into blocks of bounded size, and
    two blocks are compared by a matrix product, so no pair becomes a row. The largest component's entries meet the
-   others only, never each other. Regions of one component, such as large groups of near copies, cost nothing.
+   others only, never each other. Regions of one component, such as large groups of near copies, cost nothing. Two
+   sets of 75% overlap share CROWD_DEPTH values in a tree with probability 0.42, and in no tree with 2e-6.
 5. Components come from alternating stars over confirmed links.
 
 Defined cases: null and empty texts have the empty set and are linked with nothing; fewer than five words make one
@@ -37,12 +39,14 @@ from solvarium.llm._shared import Scratch, table
 SHINGLE = 5
 PERCENT = 75
 TREES, DEPTH, MIN_DEPTH, WIDTH = 24, 6, 2, 2
+#: Values that make a region whose entries are compared in full.
+CROWD_DEPTH = 3
 #: Trees whose direct neighbours are confirmed first.
 FIRST_TREES = 6
 #: Bytes of a tree's key: four for the first value, two for each further one.
 KEY = 4 + 2 * (DEPTH - 1)
-#: Bytes of a key that make a region: tree, and MIN_DEPTH values.
-REGION = 1 + 4 + 2 * (MIN_DEPTH - 1)
+#: Bytes of a key that neighbours share (tree, and MIN_DEPTH values), and that make a region.
+SHARED, REGION = (1 + 4 + 2 * (d - 1) for d in (MIN_DEPTH, CROWD_DEPTH))
 #: Shingles in a block of a region's entries, each entry counting as LEAST at least.
 BLOCK, LEAST = 250_000, 250
 #: Cells of a matrix of entries by shingles.
@@ -124,7 +128,7 @@ PAIRS = "a long, b long, later int, part int, at long, key binary"
 def _pairs(keys: np.ndarray, ids: np.ndarray, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, later, place of the second) of neighbours in one sorted run of entries."""
     out = []
-    prefix = np.ascontiguousarray(keys[:, :REGION])
+    prefix = np.ascontiguousarray(keys[:, :SHARED])
     for k in range(1, WIDTH + 1):
         near = (prefix[:-k] == prefix[k:]).all(axis=1)
         if part is not None:
