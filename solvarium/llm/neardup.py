@@ -26,6 +26,7 @@ empty table gives an empty table; other columns are not carried.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -400,9 +401,25 @@ def _repeats(docs: DataFrame, id_col: str) -> bool:
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one document of each component; columns as they are."""
-    found = near_duplicates(docs, id_col, text_col).where("kept")
-    return docs.join(found.select(F.col("doc_id").alias("__id")).distinct(), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    """`docs` with one document of each component; columns as they are. Rows with a null id are documents each."""
+    # Each null gets an id of its own, after all others, so that it is decided by row; they are written to keep it so.
+    none = docs.where(F.col(id_col).isNull())
+    if none.isEmpty():
+        return _kept(docs, docs.select(id_col, text_col), id_col, text_col)
+    kind = docs.schema[id_col].dataType
+    row = F.monotonically_increasing_id()
+    if kind.simpleString() == "string":
+        own = F.concat(F.lit(chr(0x10FFFF)), F.lit(uuid.uuid4().hex), row.cast("string"))
+    else:
+        own = (F.lit(docs.agg(F.max(id_col)).first()[0] or 0).cast("long") + 1 + row).cast(kind)
+    none = Scratch(docs.sparkSession, "neardup").save(none.withColumn("__own", own), "none")
+    all_ = docs.where(F.col(id_col).isNotNull()).withColumn("__own", F.col(id_col)).unionByName(none)
+    return _kept(all_, all_.select("__own", text_col), "__own", text_col).select(*docs.columns)
+
+
+def _kept(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    found = near_duplicates(texts, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(found, F.col(id_col) == F.col("__id"), "left_semi")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

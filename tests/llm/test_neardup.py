@@ -77,7 +77,7 @@ def test_large_group_of_copies_is_one_component(spark):
 
 
 def test_dedup_keeps_columns_and_clean_documents(spark):
-    rows = corpus(3) + [(None, "a null id of its own"), (7_000_000, "again " * 9), (7_000_000, "again " * 9)]
+    rows = corpus(3) + [(None, "a null id of its own text"), (7_000_000, "again " * 9), (7_000_000, "again " * 9)]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component_id string")
     out = neardup.deduplicated(docs)
     assert out.columns == docs.columns
@@ -85,6 +85,32 @@ def test_dedup_keeps_columns_and_clean_documents(spark):
     assert {x.doc_id for x in out.collect()} == kept | {None, 7_000_000}
 
 
+def test_rows_with_a_null_id_are_decided_each(spark):
+    rows = [(1, "one two three four five six"), (None, "One two three four five six"), (None, "own words of a null id here"), (None, "own words of a null id here"), (None, None), (2, "")]
+    got = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, ""), (0, rows[2][1]), (1, rows[0][1]), (2, "")]
+    named = spark.createDataFrame([(str(i) if i else None, t) for i, t in rows], "doc_id string, text string")
+    assert neardup.deduplicated(named).count() == 4
+
+
+@pytest.mark.parametrize("seed, templates, copies", [(1, 40, 60), (2, 4, 600)])
+def test_templates_of_which_some_copies_link(spark, seed, templates, copies):
+    """Texts that share a template and differ in two words at random places: around the limit, in many components."""
+    r = random.Random(seed)
+    rows = []
+    for t in range(templates):
+        base = [f"t{t}w{i}" for i in range(100)]
+        for c in range(copies):
+            words = list(base)
+            for at in r.sample(range(100), r.choice([1, 2, 2, 3, 4])):
+                words[at] = f"x{t}-{c}-{at}"
+            rows.append((len(rows), " ".join(words)))
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for t in range(templates):  # texts of two templates share no shingle
+        own = rows[t * copies : (t + 1) * copies]
+        assert {d: got[d] for d, _ in own} == {d: c for d, _, c, _ in brute(own)}
+
+
 def test_empty_table(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     none = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
