@@ -4,7 +4,11 @@ A package is installable if some set holds it, meets every clause of its members
 1. Horn stage: a clause without a provider that is not broken breaks its owner, to a fixpoint of joins.
 2. Cones: a request whose cone (among unbroken packages) holds no pair in conflict is met by the cone itself.
 3. The rest, one row a request with its own cone's clauses and conflicts, goes to a backtracking search in Arrow
-   batches. The search has a step budget; beyond it the status is `unknown`, never a guess.
+   batches. The search has a step budget; beyond it the status is `unknown`, never a guess, and every operator below
+   carries it: as a status column, or null in place of true and false.
+
+Two installable packages whose models hold no pair in conflict go together, as the union of closed sets is closed. So
+pairs are asked only where a conflict runs between the two models, and models, not cones, give the candidates.
 """
 
 from __future__ import annotations
@@ -34,159 +38,272 @@ def horn_broken(resolved: DataFrame) -> DataFrame:
 
 
 def search(need: list[int], forbid: list[int], clauses: dict[int, list[tuple[int, ...]]], conflicts: dict[int, set[int]], budget: int = BUDGET):
-    """True, False, or None beyond the budget: is there a closed, peaceful set with all of `need` and none of `forbid`?
+    """A closed, peaceful set with all of `need` and none of `forbid`; None if there is none, False beyond the budget.
 
     Only clauses of packages that are in matter, so search follows them: forced choices first, then the clause with
-    the fewest alternatives left.
+    the fewest alternatives left. Choices are kept on a stack, each with the trail to undo.
     """
-    steps = 0
-
-    def run(chosen: set[int], out: set[int], todo: list[int]):
-        nonlocal steps
-        while True:
-            while todo:
-                p = todo.pop()
-                if p in out:
-                    return False
-                if p not in chosen:
-                    chosen.add(p)
-                    out |= conflicts.get(p, set())
-                    if out & chosen:
+    chosen, out = set(), set(forbid)
+    trail: list[tuple[set, int]] = []
+    frames: list[list] = []  # length of the trail, open clauses, alternatives, which of them is tried
+    open_, todo, steps = [], list(need), 0
+
+    def put(where: set, p: int) -> None:
+        if p not in where:
+            where.add(p)
+            trail.append((where, p))
+
+    def take() -> bool:
+        """Takes in what is to do; whether that went without a contradiction."""
+        while todo:
+            p = todo.pop()
+            if p in out:
+                return False
+            if p not in chosen:
+                put(chosen, p)
+                open_.extend(clauses.get(p, ()))
+                for q in conflicts.get(p, ()):
+                    if q in chosen:
                         return False
-            best = None
-            for p in chosen:
-                for clause in clauses.get(p, ()):
-                    if any(q in chosen for q in clause):
-                        continue
-                    left = [q for q in clause if q not in out]
-                    if best is None or len(left) < len(best):
+                    put(out, q)
+        return True
+
+    while True:
+        sound = take()
+        if sound:
+            rest, best = [], None
+            for c in open_:
+                if not any(q in chosen for q in c):
+                    rest.append(c)
+                    left = [q for q in c if q not in out]
+                    if len(left) < 2:
+                        todo.extend(left)
+                        sound &= bool(left)
+                    elif best is None or len(left) < len(best):
                         best = left
-                if best is not None and len(best) < 2:
-                    break
-            if best is None:
-                return True
-            if not best:
-                return False
-            steps += 1
-            if steps > budget:
-                return None
-            if len(best) == 1:
-                todo.append(best[0])
+            open_ = rest
+            if sound and todo:
                 continue
-            unsure = False
-            for k, q in enumerate(best):
-                got = run(set(chosen), out | set(best[:k]), [q])
-                if got:
-                    return True
-                unsure |= got is None
-            return None if unsure else False
-
-    return run(set(), set(forbid), list(need))
-
-
-def solve(requests: DataFrame, resolved: DataFrame, conflicts: DataFrame, broken: DataFrame) -> DataFrame:
-    """(repo, req, status) for requests(repo, req, need ARRAY<INT>, forbid ARRAY<INT>): ok, broken or unknown."""
-    requests = cut(requests)
+            if sound and best is None:
+                return chosen
+        if sound:
+            frames.append([len(trail), list(open_), best, -1])
+        while frames:
+            frame = frames[-1]
+            while len(trail) > frame[0]:
+                where, p = trail.pop()
+                where.discard(p)
+            frame[3] += 1
+            if frame[3] < len(frame[2]):
+                break
+            frames.pop()
+        else:
+            return None
+        steps += 1
+        if steps > budget:
+            return False
+        for q in frame[2][: frame[3]]:  # what was tried before stays out
+            put(out, q)
+        open_, todo = list(frame[1]), [frame[2][frame[3]]]
+
+
+def strong_members(root: int, clauses: dict, conflicts: dict, budget: int = BUDGET) -> list[tuple[int, str]]:
+    """(member, status) of what every set with `root` holds: candidates are one model's members, and each model that a
+    test finds takes away what it doesn't hold. Clauses with one alternative force theirs without a test."""
+    forced, todo = set(), [root]
+    while todo:
+        for c in clauses.get(todo.pop(), ()):
+            if len(c) == 1 and c[0] not in forced:
+                forced.add(c[0])
+                todo.append(c[0])
+    model = search([root], [], clauses, conflicts, budget)
+    if model is None:
+        return []
+    if model is False:
+        return [(root, "unknown")]
+    out, maybe = [(q, "broken") for q in forced if q != root], set(model) - forced - {root}
+    while maybe:
+        q = maybe.pop()
+        other = search([root], [q], clauses, conflicts, budget)
+        if other:
+            maybe &= other
+        else:
+            out.append((q, "broken" if other is None else "unknown"))
+    return sorted(out)
+
+
+def _tables(row: dict) -> tuple[dict[int, list], dict[int, set]]:
+    """The clauses and conflicts of one request's row, by package."""
+    by: dict[int, list] = {}
+    for c in row["clauses"] or ():
+        by.setdefault(c["uid"], []).append(tuple(sorted(c["any"])))
+    fight: dict[int, set] = {}
+    for c in row["pairs"] or ():
+        fight.setdefault(c["lo"], set()).add(c["hi"])
+        fight.setdefault(c["hi"], set()).add(c["lo"])
+    return by, fight
+
+
+def _cones(requests: DataFrame, resolved: DataFrame, conflicts: DataFrame, broken: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of requests(repo, req, need ARRAY<INT>): those with a broken package (repo, req), the members of the others'
+    cones (repo, req, uid), the conflicts inside (repo, req, lo, hi), and the clauses of unbroken packages."""
     live = resolved.join(broken.select("repo", F.col("uid").alias("target")), ["repo", "target"], "left_anti").where("target IS NOT NULL")
     live = cut(live.select("repo", "uid", "clause", "target"))
     roots = requests.select("repo", "req", F.explode("need").alias("uid"))
-    dead = roots.join(broken, ["repo", "uid"], "left_semi").select("repo", "req").distinct()
+    dead = cut(roots.join(broken, ["repo", "uid"], "left_semi").select("repo", "req").distinct())
     edges = live.select("repo", F.col("uid").alias("src"), F.col("target").alias("dst")).distinct()
-    open_ = requests.join(dead, ["repo", "req"], "left_anti")
     inside = cut(cone(roots.join(dead, ["repo", "req"], "left_anti"), edges, keys=("req",)).select("repo", "req", "uid"))
     lo, hi = (inside.select("repo", "req", F.col("uid").alias(c)) for c in ("lo", "hi"))
     fights = cut(conflicts.join(lo, ["repo", "lo"]).join(hi, ["repo", "req", "hi"]).select("repo", "req", "lo", "hi"))
-    hard = open_.join(fights.select("repo", "req").distinct().withColumn("hit", F.lit(True)), ["repo", "req"], "left")
-    hard = cut(hard.where("hit OR size(forbid) > 0").drop("hit"))
-    own = inside.join(hard.select("repo", "req"), ["repo", "req"], "left_semi")
+    return dead, inside, fights, live
+
+
+def _rows(requests: DataFrame, inside: DataFrame, fights: DataFrame, live: DataFrame) -> DataFrame:
+    """`requests` with the clauses and conflicts of their cones, one row each."""
+    own = inside.join(requests.select("repo", "req"), ["repo", "req"], "left_semi")
     clauses = own.join(live, ["repo", "uid"]).groupBy("repo", "req", "uid", "clause").agg(F.collect_list("target").alias("any"))
     clauses = clauses.groupBy("repo", "req").agg(F.collect_list(F.struct("uid", "any")).alias("clauses"))
     pairs = fights.groupBy("repo", "req").agg(F.collect_list(F.struct("lo", "hi")).alias("pairs"))
-    rows = hard.join(clauses, ["repo", "req"], "left").join(pairs, ["repo", "req"], "left").select("repo", "req", "need", "forbid", "clauses", "pairs")
+    return requests.join(clauses, ["repo", "req"], "left").join(pairs, ["repo", "req"], "left")
+
+
+def solve(requests: DataFrame, resolved: DataFrame, conflicts: DataFrame, broken: DataFrame, with_model: bool = False) -> DataFrame:
+    """(repo, req, status) for requests(repo, req, need ARRAY<INT>, forbid ARRAY<INT>): ok, broken or unknown; and, if
+    asked, `model`: the members of one set that meets the request."""
+    requests = cut(requests)
+    dead, inside, fights, live = _cones(requests, resolved, conflicts, broken)
+    open_ = requests.join(dead, ["repo", "req"], "left_anti")
+    hard = open_.join(fights.select("repo", "req").distinct().withColumn("hit", F.lit(True)), ["repo", "req"], "left")
+    hard = cut(hard.where("hit OR size(forbid) > 0").drop("hit"))
+    rows = _rows(hard, inside, fights, live).select("repo", "req", "need", "forbid", "clauses", "pairs")
 
     def run(batches):
         for batch in batches:
-            said = []
+            said, models = [], []
             for r in batch.to_pylist():
-                by: dict[int, list] = {}
-                for c in r["clauses"] or ():
-                    by.setdefault(c["uid"], []).append(tuple(sorted(c["any"])))
-                fight: dict[int, set] = {}
-                for c in r["pairs"] or ():
-                    fight.setdefault(c["lo"], set()).add(c["hi"])
-                    fight.setdefault(c["hi"], set()).add(c["lo"])
-                said.append({True: "ok", False: "broken", None: "unknown"}[search(r["need"], r["forbid"], by, fight)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(said, pa.string())], names=["repo", "req", "status"])
+                got = search(r["need"], r["forbid"], *_tables(r))
+                said.append("broken" if got is None else "ok" if got else "unknown")
+                models.append(sorted(got) if got else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(said, pa.string()), pa.array(models, pa.list_(pa.int32()))], names=["repo", "req", "status", "model"])
 
     kinds = {f.name: f.dataType.simpleString() for f in requests.schema}
-    solved = rows.mapInArrow(run, f"repo {kinds['repo']}, req {kinds['req']}, status string")
-    easy = open_.join(hard.select("repo", "req"), ["repo", "req"], "left_anti").select("repo", "req", F.lit("ok").alias("status"))
-    return solved.unionByName(easy).unionByName(dead.withColumn("status", F.lit("broken")))
-
-
-def check(packages: DataFrame, resolved: DataFrame, conflicts: DataFrame, broken: DataFrame | None = None, also: int | None = None) -> DataFrame:
+    solved = rows.mapInArrow(run, f"repo {kinds['repo']}, req {kinds['req']}, status string, model array<int>")
+    easy = open_.select("repo", "req").join(hard.select("repo", "req"), ["repo", "req"], "left_anti")
+    none = F.lit(None).cast("array<int>").alias("model")
+    dead = dead.select("repo", "req", F.lit("broken").alias("status"), none)
+    if not with_model:
+        easy = easy.select("repo", "req", F.lit("ok").alias("status"))
+        return solved.drop("model").unionByName(easy).unionByName(dead.drop("model"))
+    easy = inside.join(easy, ["repo", "req"]).groupBy("repo", "req").agg(F.collect_list("uid").alias("model")).select("repo", "req", F.lit("ok").alias("status"), "model")
+    return solved.unionByName(easy).unionByName(dead)
+
+
+def check(packages: DataFrame, resolved: DataFrame, conflicts: DataFrame, broken: DataFrame | None = None, also: int | None = None, with_model: bool = False) -> DataFrame:
     """(repo, uid, status) of every package by itself; with `also`, together with that package, such as the one that
-    carries global constraints."""
+    carries global constraints. `packages` may be some of the universe's, to check a list."""
     broken = cut(horn_broken(resolved)) if broken is None else broken
     none = F.array().cast("array<int>")
     need = F.array("uid") if also is None else F.array(F.col("uid"), F.lit(also))
     asked = packages.select("repo", F.col("uid").alias("req"), need.alias("need"), none.alias("forbid"))
-    return solve(asked, resolved, conflicts, broken).withColumnRenamed("req", "uid")
+    return solve(asked, resolved, conflicts, broken, with_model).withColumnRenamed("req", "uid")
 
 
-def consistent(packages: DataFrame, resolved: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """(repo, consistent): whether the installed packages meet their clauses and hold no pair in conflict."""
+def trim(packages: DataFrame, resolved: DataFrame, conflicts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The universe without packages that can't be installed; those of unknown status stay."""
+    gone = cut(check(packages, resolved, conflicts).where("status = 'broken'").select("repo", "uid"))
+    of = lambda c: gone.withColumnRenamed("uid", c)
+    deps = resolved.join(gone, ["repo", "uid"], "left_anti").join(of("target"), ["repo", "target"], "left_anti")
+    return packages.join(gone, ["repo", "uid"], "left_anti"), deps.select(*resolved.columns), conflicts.join(of("lo"), ["repo", "lo"], "left_anti").join(of("hi"), ["repo", "hi"], "left_anti").select(*conflicts.columns)
+
+
+def violations(packages: DataFrame, resolved: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """(repo, kind, uid, other): what is wrong with the installed packages: clauses that none of them meets (other is
+    the clause), and pairs in conflict."""
     have = packages.where("installed").select("repo", "uid")
     own = resolved.join(have, ["repo", "uid"], "left_semi")
     met = own.join(have.withColumnRenamed("uid", "target"), ["repo", "target"], "left_semi").select("repo", "uid", "clause").distinct()
-    unmet = own.select("repo", "uid", "clause").distinct().join(met, ["repo", "uid", "clause"], "left_anti").select("repo")
+    unmet = own.select("repo", "uid", "clause").distinct().join(met, ["repo", "uid", "clause"], "left_anti")
     lo, hi = (have.withColumnRenamed("uid", c) for c in ("lo", "hi"))
-    fight = conflicts.join(lo, ["repo", "lo"], "left_semi").join(hi, ["repo", "hi"], "left_semi").select("repo")
-    bad = unmet.unionByName(fight).distinct().withColumn("bad", F.lit(True))
+    fight = conflicts.join(lo, ["repo", "lo"], "left_semi").join(hi, ["repo", "hi"], "left_semi")
+    return unmet.select("repo", F.lit("dependency").alias("kind"), "uid", F.col("clause").alias("other")).unionByName(fight.select("repo", F.lit("conflict").alias("kind"), F.col("lo").alias("uid"), F.col("hi").alias("other")))
+
+
+def consistent(packages: DataFrame, resolved: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """(repo, consistent): whether the installed packages meet their clauses and hold no pair in conflict."""
+    bad = violations(packages, resolved, conflicts).select("repo").distinct().withColumn("bad", F.lit(True))
     return packages.select("repo").distinct().join(bad, "repo", "left").select("repo", F.col("bad").isNull().alias("consistent"))
 
 
 def pair_requests(pairs: DataFrame, a: str = "lo", b: str = "hi") -> DataFrame:
-    """Requests to install both of a pair; req is a struct of the two."""
+    """Requests to install both of a pair; req names the two."""
     none = F.array().cast("array<int>")
-    return pairs.select("repo", F.concat_ws("-", a, b).alias("req"), F.array(a, b).alias("need"), none.alias("forbid"))
+    return pairs.select("repo", F.concat_ws("~", a, b).alias("req"), F.array(a, b).alias("need"), none.alias("forbid"))
+
+
+def _crossing(models: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """(repo, lo, hi): packages between whose models a conflict runs."""
+    each = cut(models.where("status = 'ok'").select("repo", F.col("uid").alias("root"), F.explode("model").alias("uid")))
+    x = each.select("repo", F.col("uid").alias("lo"), F.col("root").alias("a"))
+    y = each.select("repo", F.col("uid").alias("hi"), F.col("root").alias("b"))
+    pairs = conflicts.join(x, ["repo", "lo"]).join(y, ["repo", "hi"]).where("a <> b")
+    return pairs.select("repo", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
 
 
 def coinstallable(pairs: DataFrame, resolved: DataFrame, conflicts: DataFrame, broken: DataFrame) -> DataFrame:
     """`pairs` (repo, lo, hi) with their status."""
-    said = solve(pair_requests(pairs), resolved, conflicts, broken)
-    at = F.split("req", "-")
-    return said.select("repo", at[0].cast("int").alias("lo"), at[1].cast("int").alias("hi"), "status")
+    pairs = cut(pairs.select("repo", "lo", "hi"))
+    ends = pairs.select("repo", F.explode(F.array("lo", "hi")).alias("uid")).distinct()
+    models = cut(check(ends, resolved, conflicts, broken, with_model=True))
+    of = lambda c: models.select("repo", F.col("uid").alias(c), F.col("status").alias(f"s_{c}"))
+    known = pairs.join(of("lo"), ["repo", "lo"]).join(of("hi"), ["repo", "hi"])
+    dead = F.array_contains(F.array("s_lo", "s_hi"), "broken")
+    unsure = F.array_contains(F.array("s_lo", "s_hi"), "unknown")
+    # Both ends in either order: a pair is asked once, whichever end is less.
+    hit = _crossing(models, conflicts).select("repo", F.col("lo").alias("a"), F.col("hi").alias("b"), F.lit(True).alias("hit"))
+    known = known.withColumns({"a": F.least("lo", "hi"), "b": F.greatest("lo", "hi")}).join(hit, ["repo", "a", "b"], "left")
+    known = cut(known.select("repo", "lo", "hi", F.when(dead, "broken").when(unsure | F.col("hit"), None).otherwise("ok").alias("status")))
+    said = solve(pair_requests(known.where("status IS NULL")), resolved, conflicts, broken)
+    at = F.split("req", "~")
+    said = said.select("repo", at[0].cast("int").alias("lo"), at[1].cast("int").alias("hi"), "status")
+    return known.where("status IS NOT NULL").unionByName(said)
 
 
 def strong_dependencies(packages: DataFrame, resolved: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """(repo, uid, dep): dep is in every installation of the installable package uid, itself left out."""
+    """(repo, uid, dep, status): dep is in every installation of the installable package uid, itself left out. Status
+    unknown: not decided within the budget; with dep = uid, the package itself."""
     broken = cut(horn_broken(resolved))
-    good = cut(check(packages, resolved, conflicts, broken).where("status = 'ok'").select("repo", "uid"))
-    live = resolved.join(broken.select("repo", F.col("uid").alias("target")), ["repo", "target"], "left_anti").where("target IS NOT NULL")
-    edges = live.select("repo", F.col("uid").alias("src"), F.col("target").alias("dst")).distinct()
-    near = cone(good.select("repo", F.col("uid").alias("root"), "uid"), edges).where("uid <> root")
-    asked = near.select("repo", F.concat_ws("-", "root", "uid").alias("req"), F.array("root").alias("need"), F.array("uid").alias("forbid"))
-    said = solve(asked, resolved, conflicts, broken).where("status = 'broken'")
-    at = F.split("req", "-")
-    return said.select("repo", at[0].cast("int").alias("uid"), at[1].cast("int").alias("dep"))
+    asked = cut(packages.select("repo", F.col("uid").alias("req"), F.array("uid").alias("need")))
+    dead, inside, fights, live = _cones(asked, resolved, conflicts, broken)
+    rows = _rows(asked.join(dead, ["repo", "req"], "left_anti"), inside, fights, live).where("clauses IS NOT NULL")
+
+    def run(batches):
+        for batch in batches:
+            at, dep, status = [], [], []
+            for k, r in enumerate(batch.to_pylist()):
+                for q, said in strong_members(r["req"], *_tables(r)):
+                    at.append(k)
+                    dep.append(q)
+                    status.append(said)
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(dep, pa.int32()), pa.array(status, pa.string())], names=["repo", "uid", "dep", "status"])
+
+    kind = packages.schema["repo"].dataType.simpleString()
+    return rows.select("repo", "req", "clauses", "pairs").mapInArrow(run, f"repo {kind}, uid int, dep int, status string")
 
 
 def strong_conflicts(packages: DataFrame, resolved: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """(repo, lo, hi): both installable, never together. Only pairs whose cones reach two ends of a conflict are asked."""
+    """(repo, lo, hi, status): both installable, never together; unknown where the budget did not do. Only pairs between
+    whose models a conflict runs are asked."""
     broken = cut(horn_broken(resolved))
-    good = cut(check(packages, resolved, conflicts, broken).where("status = 'ok'").select("repo", "uid"))
-    live = resolved.where("target IS NOT NULL").select("repo", F.col("uid").alias("src"), F.col("target").alias("dst")).distinct()
-    reach = cut(cone(good.select("repo", F.col("uid").alias("root"), "uid"), live).select("repo", "root", "uid"))
-    x = reach.select("repo", F.col("uid").alias("lo"), F.col("root").alias("a"))
-    y = reach.select("repo", F.col("uid").alias("hi"), F.col("root").alias("b"))
-    pairs = conflicts.join(x, ["repo", "lo"]).join(y, ["repo", "hi"]).where("a <> b")
-    pairs = pairs.select("repo", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
-    return coinstallable(pairs, resolved, conflicts, broken).where("status = 'broken'").select("repo", "lo", "hi")
+    models = cut(check(packages, resolved, conflicts, broken, with_model=True))
+    said = solve(pair_requests(_crossing(models, conflicts)), resolved, conflicts, broken).where("status <> 'ok'")
+    at = F.split("req", "~")
+    return said.select("repo", at[0].cast("int").alias("lo"), at[1].cast("int").alias("hi"), "status")
 
 
 def useless_alternatives(deps: DataFrame, provs: DataFrame, packages: DataFrame, resolved: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """(repo, uid, clause, alt) of installable packages: alternatives that nothing provides, or that cannot be used."""
+    """(repo, uid, clause, alt, status) of installable packages: alternatives that nothing provides, or that cannot be
+    used; status unknown where the budget did not tell."""
     from solvarium.operators.model import resolve_atoms
 
     broken = cut(horn_broken(resolved))
@@ -194,9 +311,20 @@ def useless_alternatives(deps: DataFrame, provs: DataFrame, packages: DataFrame,
     asked = cut(deps.select("repo", "uid", "clause", "alt", "name", "op", "ver").join(good, ["repo", "uid"], "left_semi"))
     ways = cut(resolve_atoms(asked, provs).select("repo", "uid", "clause", "alt", "target").distinct())
     pairs = ways.select("repo", F.col("uid").alias("lo"), F.col("target").alias("hi")).distinct()
-    works = coinstallable(pairs, resolved, conflicts, broken).where("status <> 'broken'").select("repo", F.col("lo").alias("uid"), F.col("hi").alias("target"))
-    used = ways.join(works, ["repo", "uid", "target"], "left_semi").select("repo", "uid", "clause", "alt").distinct()
-    return asked.select("repo", "uid", "clause", "alt").join(used, ["repo", "uid", "clause", "alt"], "left_anti")
+    said = coinstallable(pairs, resolved, conflicts, broken).select("repo", F.col("lo").alias("uid"), F.col("hi").alias("target"), "status")
+    used = ways.join(said, ["repo", "uid", "target"]).groupBy("repo", "uid", "clause", "alt")
+    used = used.agg(F.bool_or(F.col("status") == "ok").alias("ok"), F.bool_or(F.col("status") == "unknown").alias("unsure"))
+    out = asked.select("repo", "uid", "clause", "alt").join(used, ["repo", "uid", "clause", "alt"], "left").where("NOT coalesce(ok, false)")
+    return out.select("repo", "uid", "clause", "alt", F.when(F.col("unsure"), "unknown").otherwise("broken").alias("status"))
+
+
+def useless_conflicts(confs: DataFrame, provs: DataFrame) -> DataFrame:
+    """`confs` that name nothing but the package itself, or nothing at all."""
+    from solvarium.operators.model import resolve_atoms
+
+    keys = ["repo", "uid", "name", "op", "ver"]
+    asked = confs.select(*keys).distinct()
+    return asked.join(resolve_atoms(asked, provs).where("uid <> target").select(*keys).distinct(), keys, "left_anti")
 
 
 def reasons(resolved: DataFrame, deps: DataFrame, broken: DataFrame) -> DataFrame:

@@ -27,6 +27,11 @@ def resolved(spark, sf_dir):
     return u, cut(u.packages), cut(model.resolve_deps(u)), cut(model.resolve_conflicts(u))
 
 
+def known(status: str):
+    """Whether the status is that one; null where it is unknown."""
+    return F.when(F.col("status") != "unknown", F.col("status") == status)
+
+
 @query("SELECT DISTINCT repo, uid, clause, target FROM fx_alt")
 def resolved_dependencies(spark, sf_dir):
     return model.resolve_deps(order_universe(spark, sf_dir)).where("target IS NOT NULL")
@@ -114,7 +119,7 @@ def coinstall_pairs(spark, sf_dir):
     _, packages, deps, confs = resolved(spark, sf_dir)
     pairs = packages.select("repo", F.col("uid").alias("lo")).join(packages.select("repo", F.col("uid").alias("hi")), "repo").where("lo < hi")
     said = sat.coinstallable(pairs, deps, confs, cut(sat.horn_broken(deps)))
-    return said.select("repo", "lo", "hi", (F.col("status") == "ok").alias("together"))
+    return said.select("repo", "lo", "hi", known("ok").alias("together"))
 
 
 @query(
@@ -129,7 +134,7 @@ def consistent_repositories(spark, sf_dir):
 @query("SELECT s.repo, s.uid, p.uid AS dep FROM fx_strong s JOIN fx_pkg p ON p.repo = s.repo AND (s.strong & p.bit) <> 0 AND p.uid <> s.uid")
 def strong_dependencies(spark, sf_dir):
     _, packages, deps, confs = resolved(spark, sf_dir)
-    return sat.strong_dependencies(packages, deps, confs)
+    return sat.strong_dependencies(packages, deps, confs).where("status = 'broken'").select("repo", "uid", "dep")
 
 
 @query("SELECT s.repo, p.uid, count(*) AS impact FROM fx_strong s JOIN fx_pkg p ON p.repo = s.repo AND (s.strong & p.bit) <> 0 AND p.uid <> s.uid GROUP BY ALL")
@@ -144,7 +149,7 @@ def impact_set_sizes(spark, sf_dir):
 )
 def strong_conflicts(spark, sf_dir):
     _, packages, deps, confs = resolved(spark, sf_dir)
-    return sat.strong_conflicts(packages, deps, confs)
+    return sat.strong_conflicts(packages, deps, confs).where("status = 'broken'").select("repo", "lo", "hi")
 
 
 @query(
@@ -154,7 +159,7 @@ def strong_conflicts(spark, sf_dir):
 )
 def useless_alternatives(spark, sf_dir):
     u, packages, deps, confs = resolved(spark, sf_dir)
-    return sat.useless_alternatives(u.deps, u.provs, packages, deps, confs)
+    return sat.useless_alternatives(u.deps, u.provs, packages, deps, confs).where("status = 'broken'").drop("status")
 
 
 @query(
@@ -220,7 +225,7 @@ def installable_with_keeps(spark, sf_dir):
     u, packages, deps, confs = resolved(spark, sf_dir)
     kept = packages.withColumn("keep", F.when(F.col("q") % 11 == 0, "version").otherwise("none"))
     more = cut(deps.unionByName(translate.keep_clauses(kept, u.provs)))
-    return sat.check(packages, more, confs, also=translate.GLOBAL).select("repo", "uid", (F.col("status") == "ok").alias("ok"))
+    return sat.check(packages, more, confs, also=translate.GLOBAL).select("repo", "uid", known("ok").alias("ok"))
 
 
 @query(
