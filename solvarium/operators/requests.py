@@ -1,4 +1,4 @@
-"""Install and remove requests with lexicographic criteria, solved per repository component."""
+"""Install and remove requests with lexicographic criteria, solved per independent component of what they concern."""
 
 from __future__ import annotations
 
@@ -6,88 +6,116 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from solvarium.operators import graphs
+from solvarium.plans.lineage import cut
+
 BUDGET = 300_000
 CRITERIA = ("removed", "new", "changed", "installed")
 
 
-def best(packages: dict[int, bool], clauses: list[tuple[int, tuple[int, ...]]], conflicts: list[tuple[int, int]], items: list[tuple[bool, tuple[int, ...]]], criteria: tuple[str, ...]):
+def best(packages: dict[int, bool], clauses: list[tuple[int, tuple[int, ...]]], conflicts: list[tuple[int, int]], items: list[tuple[bool, tuple[int, ...]]], criteria: tuple[str, ...], budget: int = BUDGET):
     """Least counts, in the order of `criteria`, over all valid sets that meet the request; None if there is none, and
-    a string beyond the budget. packages: uid -> installed; items: (wanted, uids): one of them in, or all of them out."""
+    a string beyond the budget. packages: uid -> installed; items: (wanted, uids): one of them in, or all of them out.
+
+    Branch and bound, package by package, on a stack of (decided, inside, outside, removed, new) with sets as bit masks.
+    """
     order = sorted(packages)
-    need: dict[int, list[tuple[int, ...]]] = {}
+    bit = {p: 1 << k for k, p in enumerate(order)}
+    mask = lambda uids: sum(bit[p] for p in set(uids) if p in bit)
+    need: dict[int, list[int]] = {}
+    named: dict[int, list[tuple[int, int]]] = {}
     for p, any_ in clauses:
-        need.setdefault(p, []).append(any_)
-    fight: dict[int, set[int]] = {}
+        need.setdefault(p, []).append(mask(any_))
+        for q in set(any_):
+            named.setdefault(q, []).append((bit[p], mask(any_)))
+    fight: dict[int, int] = {}
     for a, b in conflicts:
-        fight.setdefault(a, set()).add(b)
-        fight.setdefault(b, set()).add(a)
-    out0 = {p for wanted, uids in items if not wanted for p in uids}
-    wants = [set(uids) for wanted, uids in items if wanted]
+        fight[a] = fight.get(a, 0) | bit[b]
+        fight[b] = fight.get(b, 0) | bit[a]
+    banned = mask(p for wanted, uids in items if not wanted for p in uids)
+    wants = [mask(uids) for wanted, uids in items if wanted]
+    if not all(wants):
+        return None
+    least, steps, stack = None, 0, [(0, 0, 0, 0, 0)]
 
-    def cost(inside: set[int], decided: int) -> tuple[int, ...]:
-        removed = sum(packages[p] and p not in inside for p in order[:decided])
-        new = sum(not packages[p] for p in inside)
-        by = {"removed": removed, "new": new, "changed": removed + new, "installed": len(inside)}
+    def cost(inside: int, removed: int, new: int) -> tuple[int, ...]:
+        by = {"removed": removed, "new": new, "changed": removed + new, "installed": inside.bit_count()}
         return tuple(by[c] for c in criteria)
 
-    least, steps = None, 0
-
-    def run(k: int, inside: set[int], outside: set[int]) -> bool:
-        nonlocal least, steps
+    while stack:
+        k, inside, outside, removed, new = stack.pop()
         steps += 1
-        if steps > BUDGET:
-            return False
-        if least is not None and cost(inside, k) >= least:
-            return True
-        for p in inside:
-            if any(not set(c) - outside for c in need.get(p, ())):
-                return True
-        if any(not w - outside for w in wants):
-            return True
+        if steps > budget:
+            return "unknown"
+        if least is not None and cost(inside, removed, new) >= least:
+            continue
         if k == len(order):
-            least = cost(inside, k)
-            return True
+            least = cost(inside, removed, new)
+            continue
         p = order[k]
-        can = p not in out0 and not fight.get(p, set()) & inside
-        first = (True, False) if packages[p] else (False, True)
-        return all(run(k + 1, inside | {p}, outside) if take else run(k + 1, inside, outside | {p}) for take in first if can or not take)
-
-    return least if run(0, set(), set()) else "unknown"
+        out = outside | bit[p]
+        take = not (bit[p] & banned or fight.get(p, 0) & inside) and all(c & ~outside for c in need.get(p, ()))
+        leave = all(w & ~out for w in wants) and all(c & ~out for owner, c in named.get(p, ()) if owner & inside)
+        ways = [(k + 1, inside | bit[p], outside, removed, new + (not packages[p]))] * take
+        other = [(k + 1, inside, out, removed + packages[p], new)] * leave
+        stack += other + ways if packages[p] else ways + other  # the last one is tried first
+    return least
 
 
 def optimise(packages: DataFrame, resolved: DataFrame, conflicts: DataFrame, request: DataFrame, criteria: tuple[str, ...] = ("removed", "changed")) -> DataFrame:
-    """(repo, *criteria) of the best answer to request(repo, action, item, uid) with action install or remove; an item
-    of install is met by any of its uids. Repositories without an answer, or beyond the search budget, are left out.
+    """(repo, status, *criteria) of the best answer to request(repo, action, item, uid) with action install or remove; an
+    item of install is met by any of its uids. Status ok, none (no answer) or unknown (beyond the budget); counts are
+    null unless it is ok.
 
-    A repository's rows meet in one task, as the criteria count over all of it; large ones should be cut to the cone of
-    the request and of what is installed first.
+    What the request can concern is the cone of the requested and the installed packages. It falls into components by
+    dependency, conflict and item, which are answered each in a row of its own: counts add up, so least counts of the
+    components give the least of the repository.
     """
     if set(criteria) - set(CRITERIA):
         raise ValueError(f"criteria are {CRITERIA}")
-    lists = packages.groupBy("repo").agg(F.collect_list(F.struct("uid", "installed")).alias("packages"))
-    c = resolved.groupBy("repo", "uid", "clause").agg(F.collect_list("target").alias("any"))
-    c = c.groupBy("repo").agg(F.collect_list(F.struct("uid", "any")).alias("clauses"))
-    x = conflicts.groupBy("repo").agg(F.collect_list(F.struct("lo", "hi")).alias("pairs"))
-    r = request.groupBy("repo", "action", "item").agg(F.collect_list("uid").alias("uids"))
-    r = r.groupBy("repo").agg(F.collect_list(F.struct("action", "uids")).alias("items"))
-    rows = lists.join(r, "repo").join(c, "repo", "left").join(x, "repo", "left").select("repo", "packages", "clauses", "pairs", "items")
+    request = cut(request.select("repo", "action", "item", "uid").distinct())
+    asked = request.select("repo").distinct()
+    packages = packages.join(asked, "repo", "left_semi")
+    edges = cut(graphs.dependency_edges(resolved.join(asked, "repo", "left_semi")))
+    roots = packages.where("installed").select("repo", "uid").unionByName(request.where("action = 'install'").select("repo", "uid")).distinct()
+    inside = cut(graphs.cone(roots.withColumn("root", F.lit(0)), edges).select("repo", "uid"))
+    of = lambda c: inside.withColumnRenamed("uid", c)
+    pairs = cut(conflicts.join(of("lo"), ["repo", "lo"], "left_semi").join(of("hi"), ["repo", "hi"], "left_semi").select("repo", "lo", "hi"))
+    wanted = request.where("action = 'install'")
+    first = wanted.groupBy("repo", "item").agg(F.min("uid").alias("dst"))
+    ties = edges.join(of("src"), ["repo", "src"], "left_semi").select("repo", "src", "dst")
+    ties = ties.unionByName(pairs.select("repo", F.col("lo").alias("src"), F.col("hi").alias("dst")))
+    ties = ties.unionByName(wanted.join(first, ["repo", "item"]).select("repo", F.col("uid").alias("src"), "dst"))
+    part = cut(graphs.components(inside, ties))
+
+    lists = packages.join(part, ["repo", "uid"]).groupBy("repo", "component").agg(F.collect_list(F.struct("uid", "installed")).alias("packages"))
+    c = resolved.join(part, ["repo", "uid"]).groupBy("repo", "component", "uid", "clause").agg(F.collect_list("target").alias("any"))
+    c = c.groupBy("repo", "component").agg(F.collect_list(F.struct("uid", "any")).alias("clauses"))
+    x = pairs.join(part.withColumnRenamed("uid", "lo"), ["repo", "lo"]).groupBy("repo", "component").agg(F.collect_list(F.struct("lo", "hi")).alias("pairs"))
+    r = request.join(part, ["repo", "uid"]).groupBy("repo", "component", "action", "item").agg(F.collect_list("uid").alias("uids"))
+    r = r.groupBy("repo", "component").agg(F.collect_list(F.struct("action", "uids")).alias("items"))
+    keys = ["repo", "component"]
+    rows = lists.join(c, keys, "left").join(x, keys, "left").join(r, keys, "left").select("repo", "packages", "clauses", "pairs", "items")
 
     def run(batches):
         for batch in batches:
-            repo, out = [], [[] for _ in criteria]
+            status, out = [], [[] for _ in criteria]
             for row in batch.to_pylist():
                 said = best(
                     {p["uid"]: p["installed"] for p in row["packages"]},
                     [(k["uid"], tuple(k["any"])) for k in row["clauses"] or ()],
                     [(k["lo"], k["hi"]) for k in row["pairs"] or ()],
-                    [(k["action"] == "install", tuple(k["uids"])) for k in row["items"]],
+                    [(k["action"] == "install", tuple(k["uids"])) for k in row["items"] or ()],
                     criteria,
                 )
-                if isinstance(said, tuple):
-                    repo.append(row["repo"])
-                    for column, v in zip(out, said):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(repo, batch.schema.field(0).type), *(pa.array(v, pa.int64()) for v in out)], names=["repo", *criteria])
+                status.append("none" if said is None else "ok" if isinstance(said, tuple) else said)
+                for column, v in zip(out, said if isinstance(said, tuple) else [None] * len(criteria)):
+                    column.append(v)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(status, pa.string()), *(pa.array(v, pa.int64()) for v in out)], names=["repo", "status", *criteria])
 
     kind = packages.schema["repo"].dataType.simpleString()
-    return rows.mapInArrow(run, ", ".join([f"repo {kind}", *(f"{k} long" for k in criteria)]))
+    each = rows.mapInArrow(run, ", ".join([f"repo {kind}", "status string", *(f"{k} long" for k in criteria)]))
+    has = lambda s: F.bool_or(F.col("status") == s)
+    status = F.when(has("none"), "none").when(has("unknown"), "unknown").otherwise("ok")
+    whole = each.groupBy("repo").agg(status.alias("s"), *[F.sum(k).alias(k) for k in criteria])
+    return whole.select("repo", F.col("s").alias("status"), *[F.when(F.col("s") == "ok", F.col(k)).alias(k) for k in criteria])

@@ -170,7 +170,7 @@ def _rows(requests: DataFrame, inside: DataFrame, fights: DataFrame, live: DataF
 def solve(requests: DataFrame, resolved: DataFrame, conflicts: DataFrame, broken: DataFrame, with_model: bool = False) -> DataFrame:
     """(repo, req, status) for requests(repo, req, need ARRAY<INT>, forbid ARRAY<INT>): ok, broken or unknown; and, if
     asked, `model`: the members of one set that meets the request."""
-    requests = cut(requests)
+    requests, limit = cut(requests), BUDGET
     dead, inside, fights, live = _cones(requests, resolved, conflicts, broken)
     open_ = requests.join(dead, ["repo", "req"], "left_anti")
     hard = open_.join(fights.select("repo", "req").distinct().withColumn("hit", F.lit(True)), ["repo", "req"], "left")
@@ -181,7 +181,7 @@ def solve(requests: DataFrame, resolved: DataFrame, conflicts: DataFrame, broken
         for batch in batches:
             said, models = [], []
             for r in batch.to_pylist():
-                got = search(r["need"], r["forbid"], *_tables(r))
+                got = search(r["need"], r["forbid"], *_tables(r), limit)
                 said.append("broken" if got is None else "ok" if got else "unknown")
                 models.append(sorted(got) if got else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(said, pa.string()), pa.array(models, pa.list_(pa.int32()))], names=["repo", "req", "status", "model"])
@@ -272,7 +272,7 @@ def strong_dependencies(packages: DataFrame, resolved: DataFrame, conflicts: Dat
     """(repo, uid, dep, status): dep is in every installation of the installable package uid, itself left out. Status
     unknown: not decided within the budget; with dep = uid, the package itself."""
     broken = cut(horn_broken(resolved))
-    asked = cut(packages.select("repo", F.col("uid").alias("req"), F.array("uid").alias("need")))
+    asked, limit = cut(packages.select("repo", F.col("uid").alias("req"), F.array("uid").alias("need"))), BUDGET
     dead, inside, fights, live = _cones(asked, resolved, conflicts, broken)
     rows = _rows(asked.join(dead, ["repo", "req"], "left_anti"), inside, fights, live).where("clauses IS NOT NULL")
 
@@ -280,7 +280,7 @@ def strong_dependencies(packages: DataFrame, resolved: DataFrame, conflicts: Dat
         for batch in batches:
             at, dep, status = [], [], []
             for k, r in enumerate(batch.to_pylist()):
-                for q, said in strong_members(r["req"], *_tables(r)):
+                for q, said in strong_members(r["req"], *_tables(r), limit):
                     at.append(k)
                     dep.append(q)
                     status.append(said)

@@ -204,7 +204,7 @@ def optimal_request_counts(spark, sf_dir):
 
     u, packages, deps, confs = resolved(spark, sf_dir)
     asked = packages.where("name = 'n1'").select("repo", F.lit("install").alias("action"), F.lit(1).alias("item"), "uid")
-    return requests.optimise(packages, deps, confs, asked, ("removed", "new")).select("repo", "removed", "new")
+    return requests.optimise(packages, deps, confs, asked, ("removed", "new")).where("status = 'ok'").select("repo", "removed", "new")
 
 
 @query(
