@@ -53,3 +53,24 @@ def plan_edges(actions: DataFrame, edges: DataFrame, conflicts: DataFrame) -> Da
     pick = lambda df, x, y: df.select("repo", F.col(x).alias("src"), F.col(y).alias("dst"))
     out = pick(needs, "n_src", "n_dst").unionByName(pick(frees, "n_dst", "n_src")).unionByName(pick(clears, "n_src", "n_dst")).unionByName(pick(same, "n_src", "n_dst"))
     return out.where("src <> dst").distinct()
+
+
+def compare(solutions: dict[str, DataFrame]) -> DataFrame:
+    """(repo, name, one column for each solution): how many versions of a name each of some installations holds."""
+    rows = None
+    for which, df in solutions.items():
+        own = df.select("repo", "name", *[F.lit(int(c == which)).alias(c) for c in solutions])
+        rows = own if rows is None else rows.unionByName(own)
+    return rows.groupBy("repo", "name").agg(*[F.sum(c).alias(c) for c in solutions])
+
+
+def validity(solution: DataFrame, request: DataFrame, resolved: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """(repo, valid) for each repository with a request(repo, action, item, uid): whether the packages of `solution` meet
+    their clauses, hold no pair in conflict, and answer every item."""
+    from solvarium.operators.sat import violations
+
+    have = solution.select("repo", "uid", F.lit(True).alias("installed"))
+    bad = violations(have, resolved, conflicts).select("repo")
+    held = request.join(have.withColumn("there", F.lit(True)), ["repo", "uid"], "left").groupBy("repo", "action", "item").agg(F.bool_or(F.coalesce("there", F.lit(False))).alias("there"))
+    bad = bad.unionByName(held.where((F.col("action") == "install") != F.col("there")).select("repo")).distinct().withColumn("bad", F.lit(True))
+    return request.select("repo").distinct().join(bad, "repo", "left").select("repo", F.col("bad").isNull().alias("valid"))

@@ -38,6 +38,32 @@ def discriminants(constraints: DataFrame) -> DataFrame:
 
 
 def clusters(packages: DataFrame) -> DataFrame:
-    """(source, source_ver, norm, packages, lowest, highest) of packages(source, source_ver, norm, key): what is built
-    from one source version and carries the same normalised version."""
-    return packages.groupBy("source", "source_ver", "norm").agg(F.count("*").alias("packages"), F.min("key").alias("lowest"), F.max("key").alias("highest"))
+    """(source, source_ver, norm, packages, lowest, highest, members) of packages(source, source_ver, norm, key): what is
+    built from one source version and carries the same normalised version, members by key in order."""
+    return packages.groupBy("source", "source_ver", "norm").agg(F.count("*").alias("packages"), F.min("key").alias("lowest"), F.max("key").alias("highest"), F.array_sort(F.collect_list("key")).alias("members"))
+
+
+def versions_of(constraints: DataFrame) -> DataFrame:
+    """(name, ver): every version that constraints(name, op, ver) name, once."""
+    return constraints.where("ver IS NOT NULL").select("name", "ver").distinct()
+
+
+def aligned(version: Column, like: Column) -> Column:
+    """`version` under the epoch of `like`, or without one where that has none."""
+    bare = F.regexp_replace(version, "^[^:]*:", "")
+    return F.when(like.contains(":"), F.concat(F.substring_index(like, ":", 1), F.lit(":"), bare)).otherwise(bare)
+
+
+def migrated(packages: DataFrame, target: str, version: str = "version", name: str = "name") -> DataFrame:
+    """`packages` with `version` moved under the epoch that the name's highest sort key (`target`) carries."""
+    w = Window.partitionBy(name)
+    return packages.withColumn(version, aligned(F.col(version), F.max_by(version, target).over(w)))
+
+
+def epoch_products(packages: DataFrame) -> DataFrame:
+    """(name, version): every normalised version of packages(name, version) under every epoch that the name has."""
+    bare = F.regexp_replace(F.regexp_replace("version", "^[^:]*:", ""), r"\+b[0-9]+$", "")
+    each = packages.select("name", F.when(F.col("version").contains(":"), F.concat(F.substring_index("version", ":", 1), F.lit(":"))).otherwise("").alias("epoch"), bare.alias("bare"))
+    g = each.groupBy("name").agg(F.collect_set("epoch").alias("epochs"), F.collect_set("bare").alias("bares"))
+    out = g.select("name", F.explode("epochs").alias("epoch"), "bares").select("name", "epoch", F.explode("bares").alias("bare"))
+    return out.select("name", F.concat("epoch", "bare").alias("version"))

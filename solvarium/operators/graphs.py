@@ -56,6 +56,15 @@ def cone(roots: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ("root",),
     return seen
 
 
+def dependency_closure(roots: DataFrame, resolved: DataFrame, depth: int | None = None, conjunctive: bool = False, extra: DataFrame | None = None) -> DataFrame:
+    """The cone of roots(repo, root, uid) over all alternatives or, if asked, over clauses of one alternative only; with
+    `extra`(repo, uid), such as the package that carries global constraints, in every closure."""
+    edges = cut(conjunctive_edges(resolved) if conjunctive else dependency_edges(resolved))
+    if extra is not None:
+        roots = roots.unionByName(roots.select("repo", "root").distinct().join(extra.select("repo", "uid"), "repo")).distinct()
+    return cone(roots, edges, depth=depth)
+
+
 def full_cones(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(repo, root, uid): the cone of every vertex. Asked for all roots at once, doubling needs fewer rounds than cone()."""
     own = vertices.select("repo", F.col("uid").alias("root"), "uid")
@@ -214,3 +223,110 @@ def direct_dominators(closed: DataFrame) -> DataFrame:
     bad = bad.join(plain.select("repo", F.col("src").alias("p"), F.col("dst").alias("r")), ["repo", "p", "r"], "left_anti")
     out = pair.join(bad.select("repo", "p", "q").distinct(), ["repo", "p", "q"], "left_anti")
     return out.select("repo", F.col("p").alias("dominator"), F.col("q").alias("dominated"))
+
+
+def direct_dominators_within(closed: DataFrame, percent: float) -> DataFrame:
+    """(repo, dominator, dominated) as direct_dominators(), where up to `percent` of Is(q) may lack p. What is shared is
+    counted by one join on the users of q that use p as well."""
+    plain = cut(closed.where("src <> dst").select("repo", "src", "dst").distinct())
+    size = plain.groupBy("repo", F.col("dst").alias("q")).agg(F.count("*").alias("n"))
+    pair = plain.select("repo", F.col("src").alias("p"), F.col("dst").alias("q"))
+    using_p = pair.join(plain.select("repo", F.col("src").alias("r"), F.col("dst").alias("p")), ["repo", "p"])
+    shared = using_p.join(plain.select("repo", F.col("src").alias("r"), F.col("dst").alias("q")), ["repo", "r", "q"], "left_semi").groupBy("repo", "p", "q").agg(F.count("*").alias("shared"))
+    inner = pair.join(plain.select("repo", F.col("src").alias("p"), F.col("dst").alias("r")), ["repo", "p"]).join(plain.select("repo", F.col("src").alias("r"), F.col("dst").alias("q")), ["repo", "r", "q"], "left_semi")
+    inner = inner.join(plain.select("repo", F.col("src").alias("r"), F.col("dst").alias("p")), ["repo", "r", "p"], "left_anti").groupBy("repo", "p", "q").agg(F.count("*").alias("own"))
+    out = pair.join(size, ["repo", "q"]).join(shared, ["repo", "p", "q"], "left").join(inner, ["repo", "p", "q"], "left").na.fill(0, ["shared", "own"])
+    lacking = F.col("n") - 1 - F.col("shared") - F.col("own")
+    return out.where(lacking * 100 <= F.col("n") * percent).select("repo", F.col("p").alias("dominator"), F.col("q").alias("dominated"))
+
+
+def dominators(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo, uid, dominator) of an acyclic graph entered at its vertices without a predecessor: every way to uid passes
+    through the dominator, itself included. Layer by layer: what all predecessors' dominators share."""
+    edges = cut(edges.select("repo", "src", "dst").distinct())
+    order = cut(layers(vertices, reverse(edges)))  # 0: no predecessor
+    into = edges.groupBy("repo", F.col("dst").alias("uid")).agg(F.count("*").alias("n"))
+    done, k = cut(order.where("layer = 0").select("repo", "uid", F.col("uid").alias("dominator"))), 0
+    top = order.agg(F.max("layer")).first()[0] or 0
+    while k < top:
+        k += 1
+        now = order.where(F.col("layer") == k).select("repo", "uid")
+        given = edges.withColumnRenamed("dst", "uid").join(now, ["repo", "uid"], "left_semi").join(done.withColumnRenamed("uid", "src"), ["repo", "src"])
+        all_ = given.groupBy("repo", "uid", "dominator").agg(F.count("*").alias("k")).join(into, ["repo", "uid"]).where("k = n").select("repo", "uid", "dominator")
+        done = done.unionByName(cut(all_.unionByName(now.select("repo", "uid", F.col("uid").alias("dominator")))))
+    return done
+
+
+def immediate_dominators(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo, uid, dominator): the nearest dominator other than uid itself, that is, the one with most of its own."""
+    all_ = cut(dominators(vertices, edges))
+    depth = all_.groupBy("repo", F.col("uid").alias("dominator")).agg(F.count("*").alias("depth"))
+    return all_.where("uid <> dominator").join(depth, ["repo", "dominator"]).groupBy("repo", "uid").agg(F.max_by("dominator", "depth").alias("dominator"))
+
+
+def large_components(vertices: DataFrame, edges: DataFrame, more_than: int) -> DataFrame:
+    """Edges of components with more than so many vertices."""
+    part = cut(components(vertices, edges))
+    keep = part.groupBy("repo", "component").count().where(F.col("count") > more_than).select("repo", "component")
+    inside = part.join(keep, ["repo", "component"], "left_semi").select("repo", F.col("uid").alias("src"))
+    return edges.join(inside, ["repo", "src"], "left_semi")
+
+
+def edge_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(repo, src, dst, change): edges that only one of two graphs has."""
+    keys = ["repo", "src", "dst"]
+    one, two = before.select(*keys).distinct(), after.select(*keys).distinct()
+    return two.join(one, keys, "left_anti").withColumn("change", F.lit("added")).unionByName(one.join(two, keys, "left_anti").withColumn("change", F.lit("removed")))
+
+
+def cheapest(edges: DataFrame, cost: str = "cost") -> DataFrame:
+    """(repo, src, dst, cost) of the cheapest path of every pair that has one, by doubling: costs are at least 0."""
+    now = cut(edges.groupBy("repo", "src", "dst").agg(F.min(F.col(cost).cast("long")).alias("cost")))
+    before = None
+    while (said := tuple(now.agg(F.count("*"), F.sum("cost")).first())) != before:
+        before = said
+        step = now.select("repo", "src", F.col("dst").alias("mid"), F.col("cost").alias("c")).join(now.select("repo", F.col("src").alias("mid"), "dst", "cost"), ["repo", "mid"])
+        now = cut(now.unionByName(step.select("repo", "src", "dst", (F.col("c") + F.col("cost")).alias("cost"))).groupBy("repo", "src", "dst").agg(F.min("cost").alias("cost")))
+    return now
+
+
+def degree_extremes(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo, direction, highest, average): over all vertices."""
+    d = degrees(vertices, edges)
+    each = d.select("repo", F.explode(F.array(*[F.struct(F.lit(k).alias("direction"), F.col(f"{k}_degree").alias("degree")) for k in ("in", "out")])).alias("d"))
+    return each.groupBy("repo", "d.direction").agg(F.max("d.degree").alias("highest"), F.avg("d.degree").alias("average"))
+
+
+def degree_pairs(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo, in_degree, out_degree, n): how many vertices have both degrees."""
+    return degrees(vertices, edges).groupBy("repo", "in_degree", "out_degree").agg(F.count("*").alias("n"))
+
+
+def centrality(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo, direction, centrality): how far degrees, as shares of the n - 1 others, stay below the highest, over n - 2."""
+    d = degrees(vertices, edges)
+    each = d.select("repo", F.explode(F.array(*[F.struct(F.lit(k).alias("direction"), F.col(f"{k}_degree").alias("degree")) for k in ("in", "out")])).alias("d"))
+    g = each.groupBy("repo", "d.direction").agg(F.count("*").alias("n"), F.max("d.degree").alias("m"), F.sum("d.degree").alias("s"))
+    value = (F.col("m") * F.col("n") - F.col("s")) / (F.col("n") - 1) / (F.col("n") - 2)
+    return g.select("repo", "direction", F.when(F.col("n") > 2, value).alias("centrality"))
+
+
+def component_sizes(part: DataFrame) -> DataFrame:
+    """(repo, components, average, largest) of components (repo, uid, component)."""
+    n = part.groupBy("repo", "component").agg(F.count("*").alias("n"))
+    return n.groupBy("repo").agg(F.count("*").alias("components"), F.avg("n").alias("average"), F.max("n").alias("largest"))
+
+
+def without_isolated(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    ends = edges.select("repo", F.col("src").alias("uid")).unionByName(edges.select("repo", F.col("dst").alias("uid"))).distinct()
+    return vertices.join(ends, ["repo", "uid"], "left_semi")
+
+
+def undirected(edges: DataFrame) -> DataFrame:
+    return edges.select("repo", "src", "dst").unionByName(reverse(edges)).distinct()
+
+
+def with_essentials(edges: DataFrame, vertices: DataFrame, essential: DataFrame) -> DataFrame:
+    """`edges` and, from every vertex, one to each essential package (repo, uid) of its repository."""
+    more = vertices.select("repo", F.col("uid").alias("src")).join(essential.select("repo", F.col("uid").alias("dst")), "repo").where("src <> dst")
+    return edges.select("repo", "src", "dst").unionByName(more.select("repo", "src", "dst")).distinct()

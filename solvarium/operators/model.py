@@ -72,3 +72,66 @@ def latest(packages: DataFrame, n: int = 1) -> DataFrame:
 def upgrade_floor(packages: DataFrame) -> DataFrame:
     """(repo, name, ver): what an upgrade must reach, the highest installed version of a name."""
     return packages.where("installed").groupBy("repo", "name").agg(F.max("ver").alias("ver"))
+
+
+def conflicts_of(conflicts: DataFrame) -> DataFrame:
+    """(repo, uid, other): both ends of each pair in conflict."""
+    a, b = F.struct(F.col("lo").alias("uid"), F.col("hi").alias("other")), F.struct(F.col("hi").alias("uid"), F.col("lo").alias("other"))
+    return conflicts.select("repo", F.explode(F.array(a, b)).alias("c")).select("repo", "c.*")
+
+
+def names(packages: DataFrame) -> DataFrame:
+    """(repo, name, versions): each name once, its versions in order."""
+    return packages.groupBy("repo", "name").agg(F.array_sort(F.collect_set("ver")).alias("versions"))
+
+
+def by_real_version(packages: DataFrame, wanted: DataFrame, version: str = "version") -> DataFrame:
+    """`wanted`(repo, name, version as text) with the uid that carries it, or null."""
+    real = packages.select("repo", "name", version, "uid").dropDuplicates(["repo", "name", version])
+    return wanted.join(real, ["repo", "name", version], "left")
+
+
+def latest_by_key(packages: DataFrame, key: str, by: tuple[str, ...] = ("name",)) -> DataFrame:
+    """The rows of each name that carry its greatest sort key."""
+    top = packages.groupBy(*by).agg(F.max(key).alias("__top"))
+    return packages.join(top, list(by)).where(F.col(key) == F.col("__top")).drop("__top")
+
+
+def select(packages: DataFrame, selectors: DataFrame) -> DataFrame:
+    """(repo, selector, uid): real packages that selectors(selector, name, op, ver) name."""
+    found = packages.select("repo", "uid", "name", F.col("ver").alias("have")).join(selectors, "name")
+    return found.where(satisfies(F.col("have"), F.coalesce("op", F.lit("any")), F.col("ver"))).select("repo", "selector", "uid")
+
+
+def matching(packages: DataFrame, pattern: str) -> DataFrame:
+    """Packages whose name holds a match of the regular expression."""
+    return packages.where(F.col("name").rlike(pattern))
+
+
+def self_conflicts(u: Universe) -> DataFrame:
+    """(repo, uid, name): conflicts of a package with something that it provides itself."""
+    return resolve_atoms(u.confs, u.provs).where("target = uid").select("repo", "uid", "name").distinct()
+
+
+def missing_alternatives(u: Universe) -> DataFrame:
+    """(repo, uid, clause, alt): alternatives that nothing provides, in clauses that something else meets."""
+    keys = ["repo", "uid", "clause", "alt"]
+    found = resolve_atoms(u.deps, u.provs).select(*keys).distinct()
+    met = found.select("repo", "uid", "clause").distinct()
+    return u.deps.select(*keys).distinct().join(found, keys, "left_anti").join(met, ["repo", "uid", "clause"], "left_semi")
+
+
+def mentioned(u: Universe) -> DataFrame:
+    """(repo, name, op, ver): every constraint that a dependency, a conflict or a provide mentions, once."""
+    provided = u.provs.where("ver IS NOT NULL").select("repo", "name", F.lit("=").alias("op"), "ver")
+    asked = [d.where("op <> 'any'").select("repo", "name", "op", "ver") for d in (u.deps, u.confs)]
+    return asked[0].unionByName(asked[1]).unionByName(provided).distinct()
+
+
+def with_request(resolved: DataFrame, conflicts: DataFrame, request: DataFrame, uid: int = -2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A pseudo-package for request(repo, action, item, uid): it depends on one of each install item's packages and is in
+    conflict with all that remove items name. Returns it as (repo, uid), and the clauses and conflicts with its own."""
+    clause = request.where("action = 'install'").select("repo", F.lit(uid).alias("uid"), F.col("item").alias("clause"), F.col("uid").alias("target"))
+    fight = request.where("action = 'remove'").select("repo", F.lit(uid).alias("lo"), F.col("uid").alias("hi")).distinct()
+    dummy = request.select("repo", F.lit(uid).alias("uid")).distinct()
+    return dummy, resolved.unionByName(clause.select(*resolved.columns)), conflicts.unionByName(fight)

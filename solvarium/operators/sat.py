@@ -345,3 +345,57 @@ def reasons(resolved: DataFrame, deps: DataFrame, broken: DataFrame) -> DataFram
 def causes(found: DataFrame, least: int = 2) -> DataFrame:
     """(cause, victims) of reasons(), with at least so many victims."""
     return found.select("repo", "uid", "cause").distinct().groupBy("cause").agg(F.count("*").alias("victims")).where(F.col("victims") >= least)
+
+
+def coinstall_products(choices: DataFrame, items: int, resolved: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """(repo, uids, status): every way to take one uid from each of the items 1 to `items` of choices(repo, item, uid)."""
+    rows = None
+    for k in range(1, items + 1):
+        own = choices.where(F.col("item") == k).select("repo", F.col("uid").alias("next")).distinct()
+        rows = own.select("repo", F.array("next").alias("uids")) if rows is None else rows.join(own, "repo").select("repo", F.concat("uids", F.array("next")).alias("uids"))
+    rows = rows.select("repo", F.array_join("uids", "~").alias("req"), F.array_distinct("uids").alias("need"), F.array().cast("array<int>").alias("forbid"))
+    said = solve(rows, resolved, conflicts, cut(horn_broken(resolved)))
+    return said.select("repo", F.split("req", "~").cast("array<int>").alias("uids"), "status")
+
+
+def minimal_sets(sets: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo, root, uid): of sets(repo, root, uid), what is reached from the root by edges inside its set."""
+    sets = cut(sets.select("repo", "root", "uid").distinct())
+    seen = frontier = cut(sets.where("uid = root"))
+    while not frontier.isEmpty():
+        step = frontier.withColumnRenamed("uid", "src").join(edges, ["repo", "src"]).select("repo", "root", F.col("dst").alias("uid")).distinct()
+        step = step.join(sets, ["repo", "root", "uid"], "left_semi").join(seen, ["repo", "root", "uid"], "left_anti")
+        frontier = cut(step)
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def impact(strong: DataFrame, edges: DataFrame, packages: DataFrame) -> DataFrame:
+    """(repo, uid, strong_out, strong_in, direct_out, direct_in) for every package: how many it depends on and how many
+    depend on it, strongly (uid, dep) and directly (src, dst)."""
+    out = packages.select("repo", "uid")
+    plain = edges.where("src <> dst").select("repo", "src", "dst").distinct()
+    for name, df, c in (("strong_out", strong, "uid"), ("strong_in", strong, "dep"), ("direct_out", plain, "src"), ("direct_in", plain, "dst")):
+        out = out.join(df.groupBy("repo", F.col(c).alias("uid")).agg(F.count("*").alias(name)), ["repo", "uid"], "left").na.fill(0, [name])
+    return out
+
+
+def explanation(resolved: DataFrame, broken: DataFrame) -> DataFrame:
+    """(repo, root, src, dst, kind) of Horn-broken packages: from each root, the dependencies on broken packages that no
+    working one replaces (kind dependency), down to clauses that nothing provides (kind missing, dst null)."""
+    dead = cut(broken.select("repo", "uid"))
+    keys = ["repo", "uid", "clause"]
+    alive = resolved.where("target IS NOT NULL").join(dead.withColumnRenamed("uid", "target"), ["repo", "target"], "left_anti").select(*keys).distinct()
+    stuck = cut(resolved.join(dead, ["repo", "uid"], "left_semi").join(alive, keys, "left_anti").select("repo", F.col("uid").alias("src"), F.col("target").alias("dst")).distinct())
+    reach = cut(cone(dead.select("repo", F.col("uid").alias("root"), "uid"), stuck.where("dst IS NOT NULL")).select("repo", "root", F.col("uid").alias("src")))
+    return reach.join(stuck, ["repo", "src"]).select("repo", "root", "src", "dst", F.when(F.col("dst").isNull(), "missing").otherwise("dependency").alias("kind"))
+
+
+def condensed(explained: DataFrame, packages: DataFrame) -> DataFrame:
+    """(repo, root, name, members): versions of one name with the same neighbours in an explanation become one vertex;
+    members are their uids in order."""
+    pick = lambda c: F.array_sort(F.collect_set(c))
+    down = explained.groupBy("repo", "root", F.col("src").alias("uid")).agg(pick(F.coalesce("dst", F.lit(0))).alias("down"))
+    up = explained.where("dst IS NOT NULL").groupBy("repo", "root", F.col("dst").alias("uid")).agg(pick("src").alias("up"))
+    both = down.join(up, ["repo", "root", "uid"], "full").join(packages.select("repo", "uid", "name"), ["repo", "uid"])
+    return both.groupBy("repo", "root", "name", "down", "up").agg(F.array_sort(F.collect_list("uid")).alias("members")).select("repo", "root", "name", "members")

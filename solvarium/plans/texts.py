@@ -83,13 +83,13 @@ def discriminants(spark, sf_dir):
 
 
 @query(
-    "SELECT p_brand AS source, p_size % 5 AS source_ver, CAST(p_partkey % 3 AS VARCHAR) AS norm, count(*) AS packages, min(p_partkey) AS lowest, max(p_partkey) AS highest FROM part GROUP BY ALL"
+    "SELECT p_brand AS source, p_size % 5 AS source_ver, CAST(p_partkey % 3 AS VARCHAR) AS norm, count(*) AS packages, min(p_partkey) AS lowest, max(p_partkey) AS highest, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS members FROM part GROUP BY ALL"
 )
 def source_clusters(spark, sf_dir):
     p = parts(spark, sf_dir)
     made = F.concat(F.lit("1:"), F.col("p_partkey") % 3, F.lit("+b"), F.col("p_size"))
     rows = p.select(F.col("p_brand").alias("source"), (F.col("p_size") % 5).alias("source_ver"), versions.strip_epoch_binnmu(made).alias("norm"), F.col("p_partkey").alias("key"))
-    return evolution.clusters(rows)
+    return evolution.clusters(rows).withColumn("members", F.array_join("members", ","))
 
 
 @query(
