@@ -114,7 +114,7 @@ def parse_formula(text: Column) -> Column:
         op = F.when(op == "<<", "<").when(op == ">>", ">").otherwise(F.nullif(op, F.lit("")))
         return F.struct(part(1).alias("name"), part(2).alias("arch"), op.alias("op"), part(4).alias("version"))
 
-    clauses = F.filter(F.transform(F.split(text, ","), F.trim), lambda c: c != "")
+    clauses = F.filter(F.transform(F.split(text, ","), lambda c: F.trim(c)), lambda c: c != "")
     return F.transform(clauses, lambda c: F.transform(F.split(c, r"\|"), atom)).cast(ATOMS)
 
 
@@ -166,3 +166,73 @@ def _npm_atoms(kind: Column, p: Column) -> Column:
     for op in (">=", "<=", ">", "<"):
         out = out.when(kind == op, F.array(atom(op, low)))
     return out.otherwise(exact)
+
+
+BUILD_ATOMS = (
+    "array<array<struct<name:string,arch:string,op:string,version:string,archs:array<struct<wanted:boolean,name:string>>,profiles:array<array<struct<wanted:boolean,profile:string>>>>>>"
+)
+
+
+def parse_build_formula(text: Column) -> Column:
+    """As parse_formula(), where an alternative may end in `[arch !arch]` and in `<profile !profile>` groups."""
+
+    def words(t: Column, name: str) -> Column:
+        said = F.filter(F.split(F.trim(t), r"\s+"), lambda w: w != "")
+        return F.transform(said, lambda w: F.struct((~w.startswith("!")).alias("wanted"), F.regexp_replace(w, "^!", "").alias(name)))
+
+    def atom(t: Column) -> Column:
+        part = lambda k: F.nullif(F.regexp_extract(t, _ATOM, k), F.lit(""))
+        op = F.regexp_extract(t, _ATOM, 3)
+        op = F.when(op == "<<", "<").when(op == ">>", ">").otherwise(F.nullif(op, F.lit("")))
+        groups = F.regexp_extract_all(F.regexp_replace(t, r"\([^)]*\)", ""), F.lit("<([^>]*)>"), F.lit(1))
+        archs = words(F.regexp_extract(t, r"\[([^\]]*)\]", 1), "name")
+        return F.struct(part(1).alias("name"), part(2).alias("arch"), op.alias("op"), part(4).alias("version"), archs.alias("archs"), F.transform(groups, lambda g: words(g, "profile")).alias("profiles"))
+
+    clauses = F.filter(F.transform(F.split(text, ","), lambda c: F.trim(c)), lambda c: c != "")
+    return F.transform(clauses, lambda c: F.transform(F.split(c, r"\|"), atom)).cast(BUILD_ATOMS)
+
+
+def dnf_to_cnf(dnf: Column, kind: str) -> Column:
+    """A disjunction of conjunctions as a conjunction of disjunctions: one clause for each way to take an atom of every
+    conjunction. kind: SQL type of an atom."""
+    start = F.array(F.array().cast(f"array<{kind}>"))
+    return F.reduce(dnf, start, lambda acc, conj: F.flatten(F.transform(acc, lambda c: F.transform(conj, lambda a: F.array_append(c, a)))))
+
+
+NPM_ATOM = "struct<op:string,version:string>"
+
+
+def npm_alternatives(text: Column) -> Column:
+    """An npm range as a disjunction (`||`) of conjunctions (comparators apart by blanks) of (op, version)."""
+    tight = F.regexp_replace(F.trim(text), r"(\^|~|>=|<=|>|<|=)\s+", "$1")
+    hyphens = F.regexp_replace(tight, r"\s+-\s+", "\x1f")
+    one = lambda c: F.flatten(F.transform(F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != ""), lambda w: npm_range(F.replace(w, F.lit("\x1f"), F.lit(" - ")))))
+    said = F.transform(F.split(hyphens, r"\|\|"), lambda c: F.when(F.trim(c) == "", npm_range(F.lit("*"))).otherwise(one(c)))
+    return said.cast(f"array<array<{NPM_ATOM}>>")
+
+
+def npm_formula(text: Column) -> Column:
+    """An npm range as clauses of (op, version)."""
+    return dnf_to_cnf(npm_alternatives(text), NPM_ATOM)
+
+
+def parse_request(token: Column) -> Column:
+    """struct(action, name, op, version, suite) of `name`, `+name`, `-name`, `name-`, `name=version` or `name/suite`."""
+    pattern = r"^([+-]?)([^=/\s]+?)([+-]?)(?:=(\S+)|/(\S+))?$"
+    part = lambda k: F.nullif(F.regexp_extract(token, pattern, k), F.lit(""))
+    action = F.when((part(1) == "-") | (part(3) == "-"), "remove").otherwise("install")
+    return F.struct(action.alias("action"), part(2).alias("name"), F.when(part(4).isNotNull(), "=").alias("op"), part(4).alias("version"), part(5).alias("suite"))
+
+
+def real_name(name: Column) -> Column:
+    """The name behind a virtual twin or a source's dummy package, decoded."""
+    return decode(F.regexp_replace(name, "^(--virtual--versioned-|--virtual-|src:)", ""))
+
+
+def truth(text: Column) -> Column:
+    """Yes, yes, True, true, 1 and their opposites; anything else is null."""
+    return F.when(F.lower(text).isin("yes", "true", "1"), True).when(F.lower(text).isin("no", "false", "0"), False)
+
+
+def on_hold(status: Column) -> Column:
+    return F.split(F.trim(status), r"\s+")[0] == "hold"

@@ -102,3 +102,50 @@ def numbers_per_name(df: DataFrame, name: str, key: str, number: str = "number",
     from pyspark.sql import Window
 
     return df.withColumn(number, F.dense_rank().over(Window.partitionBy(name).orderBy(key)) + (first - 1))
+
+
+def strip_epoch(v: Column) -> Column:
+    return _rest(v)
+
+
+def decompose(v: Column) -> Column:
+    """struct(epoch, upstream, revision, binnmu, native): a version in its parts, empty where one is not there."""
+    bare = F.regexp_replace(v, r"\+b[0-9]+$", "")
+    return F.struct(
+        epoch(v).alias("epoch"), upstream(bare).alias("upstream"), revision(bare).alias("revision"), F.coalesce(binnmu(v), F.lit("")).alias("binnmu"), (revision(bare) == "").alias("native")
+    )
+
+
+def compose(d: Column) -> Column:
+    """The inverse of decompose()."""
+    piece = lambda name, before, after="": F.when(d[name] == "", "").otherwise(F.concat(F.lit(before), d[name], F.lit(after)))
+    return F.concat(piece("epoch", "", ":"), d["upstream"], piece("revision", "-"), piece("binnmu", "+"))
+
+
+def _rpm_part(s: Column) -> Column:
+    """Runs of digits and of letters; whatever else only divides. Digits are above letters, more runs above fewer."""
+    runs = F.regexp_extract_all(s, F.lit("([0-9]+|[A-Za-z]+)"), F.lit(0))
+    number = lambda x: F.regexp_replace(x, "^0+", "")
+    digit = lambda x: x.rlike("^[0-9]")
+    return F.transform(runs, lambda x: F.struct(digit(x).alias("digit"), F.when(digit(x), F.length(number(x))).otherwise(0).alias("n"), F.when(digit(x), number(x)).otherwise(x).alias("s")))
+
+
+def rpm_key(v: Column) -> Column:
+    """A struct that sorts as epoch:version-release does; no epoch is 0."""
+    number = F.when(v.contains(":"), F.substring_index(v, ":", 1).try_cast("long"))
+    rest = _rest(v)
+    return F.struct(F.coalesce(number, F.lit(0)).alias("epoch"), _rpm_part(upstream(rest)).alias("version"), _rpm_part(revision(rest)).alias("release"))
+
+
+def rpm_equal(a: Column, b: Column) -> Column:
+    """Whether two versions are the same one; a release that is left out equals any."""
+    x, y = rpm_key(a), rpm_key(b)
+    open_ = (revision(_rest(a)) == "") | (revision(_rest(b)) == "")
+    return (x["epoch"] == y["epoch"]) & (x["version"] == y["version"]) & (open_ | (x["release"] == y["release"]))
+
+
+def range_text(kind: Column, lo: Column, hi: Column) -> Column:
+    """A range as text: `= v`, `a < . < b`, `v < .` and `. < v`."""
+    return (
+        F.when(kind == "eq", F.concat(F.lit("= "), lo)).when(kind == "in", F.concat(lo, F.lit(" < . < "), hi)).when(kind == "hi", F.concat(lo, F.lit(" < ."))).otherwise(F.concat(F.lit(". < "), hi))
+    )

@@ -129,3 +129,15 @@ def version_lag(packages: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     return packages.withColumn("lag", F.dense_rank().over(Window.partitionBy("repo", "name").orderBy(F.desc("ver"))) - 1)
+
+
+def real_versions(numbers: DataFrame, numbered: DataFrame, unknown: str | None = None) -> DataFrame:
+    """`numbers`(number) with the version that numbered(number, version) gives each; numbers that stand for none get
+    `unknown`."""
+    out = numbers.join(numbered.select("number", "version").dropDuplicates(["number"]), "number", "left")
+    return out if unknown is None else out.withColumn("version", F.coalesce("version", F.lit(unknown)))
+
+
+def binaries(packages: DataFrame) -> DataFrame:
+    """(source, source_ver, binaries): the names that are built from each source version, in order."""
+    return packages.groupBy("source", "source_ver").agg(F.array_sort(F.collect_set("name")).alias("binaries"))

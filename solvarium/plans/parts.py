@@ -117,11 +117,6 @@ def average_distance(spark, sf_dir):
     return graphs.average_distance(graph(spark, sf_dir)[1]).select("pairs", "distance_sum")
 
 
-@query("SELECT p_partkey AS uid FROM part WHERE p_partkey NOT IN (SELECT a FROM fx_edge) AND p_partkey NOT IN (SELECT b FROM fx_edge)")
-def isolated_vertices(spark, sf_dir):
-    return graphs.degrees(*graph(spark, sf_dir)).where("in_degree = 0 AND out_degree = 0").select("uid")
-
-
 @query("SELECT count(*) AS components, max(n) AS largest FROM (SELECT count(*) AS n FROM (SELECT a, min(b) AS c FROM fx_path p WHERE a = b OR EXISTS (SELECT 1 FROM fx_path q WHERE q.a = p.b AND q.b = p.a) GROUP BY a) GROUP BY c)")
 def cycle_statistics(spark, sf_dir):
     """Cycles: strong components that hold an edge."""

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from solvarium.plans import answers, orders, parts, texts
+from solvarium.plans import answers, formats, measures, orders, parts, texts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return orders.QUERIES | answers.QUERIES | parts.QUERIES | texts.QUERIES
+    return orders.QUERIES | answers.QUERIES | parts.QUERIES | texts.QUERIES | measures.QUERIES | formats.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return orders.SQL | answers.SQL | parts.SQL | texts.SQL
+    return orders.SQL | answers.SQL | parts.SQL | texts.SQL | measures.SQL | formats.SQL

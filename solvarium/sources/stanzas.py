@@ -102,3 +102,87 @@ def read_npm(stanzas: DataFrame) -> DataFrame:
     return stanzas.where(get("package").isNotNull()).select(
         get("package").alias("name"), get("version").alias("version"), F.from_json(F.concat(F.lit("{"), F.coalesce(get("depends"), F.lit("")), F.lit("}")), "map<string,string>").alias("depends")
     )
+
+
+def _list(c: Column, by: str) -> Column:
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), by), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def debian_sources(stanzas: DataFrame, archs: list[str] | None = None) -> DataFrame:
+    """Typed Sources records, build dependencies of all three fields together, likewise build conflicts; a source stays
+    if one of its architectures is asked for, or it is for any or all."""
+    from solvarium.functions.names import parse_build_formula
+
+    get = lambda k: F.col("fields")[k]
+    both = lambda what: parse_build_formula(F.concat_ws(",", *[get(f"Build-{what}{k}") for k in ("", "-Indep", "-Arch")]))
+    out = stanzas.select(get("Package").alias("name"), get("Version").alias("version"), _list(get("Architecture"), r"\s+").alias("archs"), both("Depends").alias("build_depends"), both("Conflicts").alias("build_conflicts"))
+    out = out.where("name IS NOT NULL AND version IS NOT NULL")
+    if archs is not None:
+        out = out.where(F.exists("archs", lambda a: a.isin("any", "all", *archs) | a.endswith("-any") | a.startswith("any-")))
+    return out.dropDuplicates(["name", "version"])
+
+
+def pef_packages(stanzas: DataFrame) -> DataFrame:
+    """Typed records of package exchange stanzas: name, version, installed, and formulas."""
+    from solvarium.functions.names import truth
+
+    get = lambda k: F.coalesce(F.col("fields")[k], F.col("fields")[k.lower()])
+    formulas = [parse_formula(F.coalesce(get(k), F.lit(""))).alias(k.lower()) for k in ("Depends", "Conflicts", "Provides", "Recommends")]
+    out = stanzas.select(get("Package").alias("name"), get("Version").alias("version"), F.coalesce(truth(get("Installed")), F.lit(False)).alias("installed"), *formulas)
+    return out.where("name IS NOT NULL AND version IS NOT NULL").dropDuplicates(["name", "version"])
+
+
+def scenario(stanzas: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """An installation scenario: its request stanza as (action, name, op, version, suite) rows, and its packages, with
+    installed, hold, candidate, automatic and pin beside the fields of debian_packages()."""
+    from solvarium.functions.names import parse_request, truth
+
+    get = lambda k: F.col("fields")[k]
+    asked = stanzas.where(get("Request").isNotNull())
+    kinds = F.array(*[F.struct(F.lit(k.lower()).alias("action"), _list(get(k), r"\s+").alias("tokens")) for k in ("Install", "Remove", "Upgrade")])
+    each = asked.select(F.explode(kinds).alias("k")).select("k.action", F.explode("k.tokens").alias("token")).withColumn("r", parse_request(F.col("token")))
+    flags = {"hold": "Hold", "candidate": "APT-Candidate", "automatic": "APT-Automatic"}
+    own = stanzas.where(get("Request").isNull() & get("Package").isNotNull())
+    more = own.select(
+        get("Package").alias("name"), get("Version").alias("version"), get("Architecture").alias("arch"), F.coalesce(truth(get("Installed")), F.lit(False)).alias("installed"),
+        *[F.coalesce(truth(get(f)), F.lit(False)).alias(c) for c, f in flags.items()], get("APT-Pin").cast("int").alias("pin"),
+    )
+    return each.select("action", "r.name", "r.op", "r.version", "r.suite"), more
+
+
+def opam_packages(stanzas: DataFrame) -> DataFrame:
+    """One row for each package and switch that it is available in, with whether it is installed, pinned or base there."""
+    get = lambda k: F.col("fields")[k]
+    in_ = lambda k: F.array_contains(_list(get(k), r"[,\s]+"), F.col("switch"))
+    out = stanzas.where(get("package").isNotNull()).select("fields", F.explode(_list(get("switches"), r"[,\s]+")).alias("switch"))
+    return out.select(
+        get("package").alias("name"), get("version").alias("version"), "switch", in_("installed").alias("installed"), in_("pinned").alias("pinned"), in_("base").alias("base"),
+        parse_formula(F.coalesce(get("depends"), F.lit(""))).alias("depends"), parse_formula(F.coalesce(get("conflicts"), F.lit(""))).alias("conflicts"),
+    )
+
+
+def universe_document(stanzas: DataFrame) -> DataFrame:
+    """Packages of a universe document: integer versions, installed, keep, and formulas."""
+    get = lambda k: F.col("fields")[k]
+    out = stanzas.where(get("package").isNotNull())
+    formulas = [parse_formula(F.regexp_replace(F.coalesce(get(k), F.lit("")), r"([^\s,|]+)\s*(!=|>=|<=|=|>|<)\s*([0-9]+)", "$1 ($2 $3)")).alias(k) for k in ("depends", "conflicts", "provides")]
+    return out.select(get("package").alias("name"), get("version").cast("int").alias("ver"), (F.coalesce(get("installed"), F.lit("false")) == "true").alias("installed"), F.coalesce(get("keep"), F.lit("none")).alias("keep"), *formulas)
+
+
+def release_files(stanzas: DataFrame) -> DataFrame:
+    """Archive descriptions: fields as they are, lists split, flags as booleans; checksums are left out."""
+    from solvarium.functions.names import truth
+
+    get = lambda k: F.col("fields")[k]
+    plain = [get(k).alias(k.lower()) for k in ("Origin", "Label", "Suite", "Version", "Codename", "Date", "Description")]
+    lists = [_list(get(k), r"\s+").alias(k.lower()) for k in ("Architectures", "Components")]
+    return stanzas.select(*plain, *lists, *[F.coalesce(truth(get(k)), F.lit(False)).alias(c) for c, k in (("not_automatic", "NotAutomatic"), ("automatic_upgrades", "ButAutomaticUpgrades"))])
+
+
+def preferences(stanzas: DataFrame) -> DataFrame:
+    """(package, kind, value, priority): package null for all; kind release, version or origin."""
+    get = lambda k: F.col("fields")[k]
+    pin = F.trim(get("Pin"))
+    return stanzas.where(get("Pin").isNotNull()).select(
+        F.nullif(get("Package"), F.lit("*")).alias("package"), F.regexp_extract(pin, r"^(\w+)", 1).alias("kind"), F.trim(F.regexp_replace(pin, r"^\w+", "")).alias("value"), get("Pin-Priority").cast("int").alias("priority")
+    )
