@@ -20,6 +20,7 @@ other columns of the order given, then as they come; repeated rows are packed ea
 from __future__ import annotations
 
 import bisect
+import functools
 import os
 import struct
 from collections.abc import Iterator
@@ -101,6 +102,12 @@ class _Encoder:
         return [b"".join(ids) if None not in ids else b"".join([own[c] if i is None else i for c, i in zip(chunks, ids)]) for chunks, ids in zip(said, found)]
 
 
+@functools.lru_cache(2)
+def _encoder(path: str, special: bool = True) -> _Encoder:
+    """One for each worker process: its tasks share the tokenizer and the chunks that are known."""
+    return _Encoder(path, special)
+
+
 def _groups(texts: pa.Array) -> Iterator[list[str | None]]:
     """Texts in groups of some 128 KB."""
     own, size = [], 0
@@ -129,7 +136,7 @@ def token_pieces(
     end = end_id.to_bytes(4, "little")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        encode = _Encoder(path)
+        encode = _encoder(path)
         for batch in batches:
             out = {"at": [], "piece": [], "start": [], "length": [], "ids": []}
             size = 0

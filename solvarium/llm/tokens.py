@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from solvarium.llm._shared import Scratch, shared_uri, table
-from solvarium.llm.packing import _Encoder, _groups, tokenizer_path
+from solvarium.llm.packing import _encoder, _groups, tokenizer_path
 
 SEPARATOR = 49407
 BLOCK_BYTES = 4 << 20
@@ -46,7 +46,7 @@ def write(docs: DataFrame, root: str, *, id_col: str = "doc_id", text_col: str =
 
         store, base = fs.FileSystem.from_uri(root)
         store.create_dir(base, recursive=True)
-        encode, out, name, size, n = _Encoder(path, special=False), None, "", 0, 0
+        encode, out, name, size, n = _encoder(path, special=False), None, "", 0, 0
         for batch in batches:
             files, ordinals, sizes = [], [], []
             for texts in _groups(batch.column(1)):
