@@ -101,7 +101,7 @@ def name_encoding(spark, sf_dir):
 
 
 _PATTERNS = ("any", "all", "linux-any", "hurd-any", "any-amd64", "any-arm", "any-any", "amd64", "armhf", "linux-amd64", "kfreebsd-any", "any-i386")
-_REALS = {"amd64": "linux amd64", "i386": "linux i386", "armhf": "linux arm", "hurd-i386": "hurd i386", "kfreebsd-amd64": "kfreebsd amd64", "x32": "linux amd64", "toaster": ""}
+_REALS = {"amd64": "linux amd64", "i386": "linux i386", "armhf": "linux arm", "hurd-i386": "hurd i386", "kfreebsd-amd64": "kfreebsd amd64", "x32": "linux amd64", "unlisted": ""}
 _ARCH_SQL = (
     f"WITH p AS (SELECT unnest({list(_PATTERNS)!r}) AS pattern), r AS (SELECT * FROM (VALUES "
     + ", ".join(f"('{a}', '{t}')" for a, t in _REALS.items())
