@@ -25,6 +25,11 @@ def query(sql: str):
     return add
 
 
+def columns():
+    """The parts' key and size."""
+    return F.col("p_partkey"), F.col("p_size")
+
+
 def as_file(spark, lines) -> str:
     """The path of a new text file of lines(value), for readers of files."""
     path = f"{shared_root(spark)}/solvarium/text-{uuid.uuid4().hex}"
@@ -32,14 +37,12 @@ def as_file(spark, lines) -> str:
     return path
 
 
-k, size = F.col("p_partkey"), F.col("p_size")
-
-
 @query(
     "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '2' ELSE '' END AS epoch, p_size || '.' || p_partkey % 30 AS upstream, CASE WHEN p_size % 2 = 0 THEN '' ELSE CAST(p_partkey % 4 AS VARCHAR) END AS revision,"
     " CASE WHEN p_size % 5 = 0 THEN 'b' || p_size ELSE '' END AS binnmu, p_size % 2 = 0 AS native, true AS same, p_size || '.' || p_partkey % 30 || CASE WHEN p_size % 2 = 0 THEN '' ELSE '-' || p_partkey % 4 END || CASE WHEN p_size % 5 = 0 THEN '+b' || p_size ELSE '' END AS no_epoch FROM part"
 )
 def version_decomposition(spark, sf_dir):
+    k, size = columns()
     text = F.concat(F.when(size % 3 == 0, "2:").otherwise(""), size, F.lit("."), k % 30, F.when(size % 2 == 0, "").otherwise(F.concat(F.lit("-"), k % 4)), F.when(size % 5 == 0, F.concat(F.lit("+b"), size)).otherwise(""))
     rows = parts(spark, sf_dir).select("p_partkey", text.alias("v")).withColumn("d", versions.decompose(F.col("v")))
     return rows.select("p_partkey", "d.*", (versions.compose(F.col("d")) == F.col("v")).alias("same"), versions.strip_epoch(F.col("v")).alias("no_epoch"))
@@ -50,6 +53,7 @@ def version_decomposition(spark, sf_dir):
 )
 def semver_rank_per_name(spark, sf_dir):
     """Pre-releases of one number, of one word, and releases with a build that doesn't count."""
+    k, size = columns()
     pre = F.when(k % 4 == 0, F.concat(F.lit("-"), size)).when(k % 4 == 1, "-rc").otherwise(F.concat(F.lit("+b"), k))
     text = F.concat(F.when(size % 2 == 0, "v").otherwise(""), size % 3, F.lit("."), k % 12, F.lit("."), size, pre)
     rows = parts(spark, sf_dir).select("p_partkey", "p_brand", versions.semver_key(text).alias("key"))
@@ -61,6 +65,7 @@ def semver_rank_per_name(spark, sf_dir):
 )
 def rpm_rank_per_name(spark, sf_dir):
     """A version that goes on is above one that ends; letters that go on are below digits."""
+    k, size = columns()
     tail = F.when(size % 3 == 0, "").when(size % 3 == 1, "rc").otherwise(F.concat(F.lit("."), F.lpad(size.cast("string"), 4, "0")))
     text = F.concat(F.when(size % 4 == 0, "1:").otherwise(""), k % 13, tail, F.lit("-"), k % 5)
     rows = parts(spark, sf_dir).select("p_partkey", "p_brand", versions.rpm_key(text).alias("key"))
@@ -70,6 +75,7 @@ def rpm_rank_per_name(spark, sf_dir):
 @query("SELECT p_partkey, p_partkey % 2 = 0 OR p_size % 5 = 0 AS same FROM part")
 def rpm_open_releases(spark, sf_dir):
     """A release that is left out equals any."""
+    k, size = columns()
     a = F.concat(F.lit("0:1."), F.lpad(size.cast("string"), 3, "0"), F.when(size % 5 == 0, "").otherwise("-2"))
     b = F.concat(F.lit("1."), size, F.when(k % 2 == 0, "-2").otherwise("-3"))
     return parts(spark, sf_dir).select("p_partkey", versions.rpm_equal(a, b).alias("same"))
@@ -91,12 +97,14 @@ def latest_debian_versions(spark, sf_dir):
     " SELECT DISTINCT x.name, x.e || y.b AS version FROM (SELECT DISTINCT name, e FROM v) x JOIN (SELECT DISTINCT name, b FROM v) y USING (name)"
 )
 def epoch_products(spark, sf_dir):
+    k, size = columns()
     text = F.concat(F.when(size % 7 == 0, "1:").otherwise(""), size % 10, F.lit("."), k % 30, F.when(size % 3 == 0, "+b2").otherwise(""))
     return evolution.epoch_products(parts(spark, sf_dir).select(F.col("p_brand").alias("name"), text.alias("version")))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '4:' ELSE '' END || p_partkey || '-1' AS moved FROM part")
 def aligned_epochs(spark, sf_dir):
+    k, size = columns()
     text = F.concat(F.when(size % 2 == 0, "1:").otherwise(""), k, F.lit("-1"))
     like = F.concat(F.when(size % 3 == 0, "4:").otherwise(""), F.lit("9.9"))
     return parts(spark, sf_dir).select("p_partkey", evolution.aligned(text, like).alias("moved"))
@@ -104,6 +112,7 @@ def aligned_epochs(spark, sf_dir):
 
 @query("SELECT DISTINCT p_brand AS name, p_size AS ver FROM part WHERE p_partkey % 3 <> 0")
 def versions_of_constraints(spark, sf_dir):
+    k, size = columns()
     c = parts(spark, sf_dir).select(F.col("p_brand").alias("name"), F.lit(">=").alias("op"), F.when(k % 3 != 0, size).alias("ver"))
     return evolution.versions_of(c)
 
@@ -113,6 +122,7 @@ def versions_of_constraints(spark, sf_dir):
     " SELECT name, '= ' || ver AS text FROM n UNION ALL SELECT name, ver || ' < . < ' || nx FROM n WHERE nx IS NOT NULL UNION ALL SELECT name, ver || ' < .' FROM n WHERE nx IS NULL UNION ALL SELECT name, '. < ' || ver FROM n WHERE pv IS NULL"
 )
 def range_texts(spark, sf_dir):
+    _, size = columns()
     r = evolution.ranges(parts(spark, sf_dir).select(F.col("p_brand").alias("name"), size.alias("ver")))
     return r.select("name", versions.range_text(F.col("kind"), F.col("lo").cast("string"), F.col("hi").cast("string")).alias("text"))
 
@@ -120,6 +130,7 @@ def range_texts(spark, sf_dir):
 @query("SELECT p_size AS version, dense_rank() OVER (ORDER BY p_size) + 1 AS number FROM (SELECT DISTINCT p_size FROM part)")
 def numbers_back_to_versions(spark, sf_dir):
     """Numbers from 2, as 1 stands for versions that nothing has."""
+    _, size = columns()
     rows = versions.dense_numbers(parts(spark, sf_dir).select(size.alias("version")).distinct(), "version", first=2)
     return translate.real_versions(rows.select("number"), rows)
 
@@ -134,6 +145,7 @@ _CNF = (
 @query(_CNF)
 def npm_formulas(spark, sf_dir):
     """`~a.b || >= a+1.0.0 <= a+2.c.0` as clauses of alternatives."""
+    k, size = columns()
     a, b, c = size, k % 7, k % 11
     text = F.concat(F.lit("~"), a, F.lit("."), b, F.lit(" || >= "), a + 1, F.lit(".0.0 <="), a + 2, F.lit("."), c, F.lit(".0"))
     rows = parts(spark, sf_dir).select("p_partkey", F.posexplode(names.npm_formula(text)).alias("clause", "any"))
@@ -144,6 +156,7 @@ def npm_formulas(spark, sf_dir):
     "SELECT p_partkey, name, CAST(n_archs AS BIGINT) AS n_archs, first_arch, wanted, profile FROM part, LATERAL (VALUES ('a' || p_size, 2, 'amd64', true, NULL), ('b', 1, 'i386', false, 'nocheck'), ('c' || p_partkey, 0, NULL, NULL, NULL)) AS t(name, n_archs, first_arch, wanted, profile)"
 )
 def build_formulas(spark, sf_dir):
+    k, size = columns()
     text = F.concat(F.lit("a"), size, F.lit(" (>= 1) [amd64 arm64], b [!i386] <!nocheck> | c"), k)
     rows = parts(spark, sf_dir).select("p_partkey", F.explode(F.flatten(names.parse_build_formula(text))).alias("x"))
     first = F.get("x.archs", F.lit(0))
@@ -155,6 +168,7 @@ def build_formulas(spark, sf_dir):
 )
 def source_build_packages(spark, sf_dir):
     """Sources read from stanzas as packages to build on amd64 with the profile nocheck."""
+    k, size = columns()
     text = F.concat(
         F.lit("Package: pkg"), k, F.lit("\nVersion: 1-"), size, F.lit("\nArchitecture: any all\nBuild-Depends: "),
         F.when(size % 3 == 0, "a [linux-any], b [!i386]").when(size % 3 == 1, "a [i386 hurd-any], b").otherwise("a <!nocheck>, b, c <nocheck>"),
@@ -168,12 +182,14 @@ def source_build_packages(spark, sf_dir):
 
 @query("SELECT p_partkey, t.* FROM part, LATERAL (VALUES ('install', 'pkg' || p_size, NULL, NULL, NULL), ('remove', 'lib' || p_partkey || '-x', NULL, NULL, NULL), ('install', 'a', '=', '1.' || p_size || '-2', NULL), ('install', 'b', NULL, NULL, 'stable')) AS t(action, name, op, version, suite)")
 def request_grammar(spark, sf_dir):
+    k, size = columns()
     tokens = F.array(F.concat(F.lit("+pkg"), size), F.concat(F.lit("-lib"), k, F.lit("-x")), F.concat(F.lit("a=1."), size, F.lit("-2")), F.lit("b/stable"))
     return parts(spark, sf_dir).select("p_partkey", F.explode(F.transform(tokens, names.parse_request)).alias("r")).select("p_partkey", "r.*")
 
 
 @query("SELECT p_partkey, 'p%' || p_partkey AS one, 'q' || p_size AS two, 'pkg' AS three, p_size % 2 = 0 AS truth, p_size % 3 = 0 AS hold, 'a (>= ' || p_size || ') | b:any, c' AS printed FROM part")
 def names_back(spark, sf_dir):
+    k, size = columns()
     one = names.real_name(F.concat(F.lit("--virtual-"), names.encode(F.concat(F.lit("p%"), k))))
     two, three = names.real_name(F.concat(F.lit("--virtual--versioned-q"), size)), names.real_name(F.lit("src:pkg"))
     printed = names.print_formula(names.parse_formula(F.concat(F.lit("a(>="), size, F.lit(")|b:any ,c"))))
@@ -185,6 +201,7 @@ def names_back(spark, sf_dir):
 
 @query("SELECT p_brand AS source, p_size % 5 AS source_ver, string_agg(DISTINCT p_name, ',' ORDER BY p_name) AS binaries FROM part GROUP BY ALL")
 def binaries_of_sources(spark, sf_dir):
+    _, size = columns()
     rows = parts(spark, sf_dir).select(F.col("p_brand").alias("source"), (size % 5).alias("source_ver"), F.col("p_name").alias("name"))
     return translate.binaries(rows).select("source", "source_ver", F.array_join("binaries", ",").alias("binaries"))
 
@@ -194,6 +211,7 @@ def binaries_of_sources(spark, sf_dir):
     " SELECT p_partkey, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.name = p_brand AND s.version = p_size % 7) THEN 'exact' WHEN EXISTS (SELECT 1 FROM s WHERE s.name = p_brand) THEN 'other' ELSE 'none' END AS found FROM part"
 )
 def sources_of_binaries(spark, sf_dir):
+    _, size = columns()
     p = parts(spark, sf_dir)
     sources = p.where("p_size % 2 = 0").select(F.col("p_brand").alias("name"), (size % 5).alias("version")).distinct()
     return translate.source_of(p.select("p_partkey", F.col("p_brand").alias("source"), (size % 7).alias("source_version")), sources).select("p_partkey", "found")
@@ -201,6 +219,7 @@ def sources_of_binaries(spark, sf_dir):
 
 @query("SELECT 'pkg' || p_partkey || '-x' AS name, CAST(p_size AS VARCHAR) AS version, '1mdv' AS release, 'i586' AS arch, CASE WHEN p_size % 2 = 0 THEN 'a,b[>= 2]' END AS requires FROM part")
 def synthesis_reading(spark, sf_dir):
+    k, size = columns()
     requires = F.when(size % 2 == 0, "@requires@a@b[>= 2]\n").otherwise("")
     lines = parts(spark, sf_dir).select(F.concat(F.lit("@provides@p\n"), requires, F.lit("@info@pkg"), k, F.lit("-x-"), size, F.lit("-1mdv.i586@0@7@System")).alias("value"))
     return stanzas.read_synthesis(spark, as_file(spark, lines)).select("name", "version", "release", "arch", F.array_join("requires", ",").alias("requires"))
@@ -208,12 +227,14 @@ def synthesis_reading(spark, sf_dir):
 
 @query("SELECT 'pkg' || p_partkey AS name, '1.' || p_size AS version, CASE WHEN p_size % 2 = 0 THEN 'a,b' ELSE '' END AS depends FROM part")
 def catalog_reading(spark, sf_dir):
+    k, size = columns()
     lines = parts(spark, sf_dir).select(F.concat(F.lit("n 1."), size, F.lit(" pkg"), k, F.lit(" f m s "), F.when(size % 2 == 0, "a|b").otherwise("none"), F.lit(" c none")).alias("value"))
     return stanzas.read_catalog(spark, as_file(spark, lines)).select("name", "version", F.array_join("depends", ",").alias("depends"))
 
 
 @query("SELECT 'dpkg' AS source, 'pkg' || p_partkey AS name, '1.' || p_size AS value FROM part WHERE p_size % 3 = 0 UNION ALL SELECT 'popcon', 'pkg' || p_partkey, p_size || '/' || p_partkey FROM part")
 def installed_list_reading(spark, sf_dir):
+    k, size = columns()
     p = parts(spark, sf_dir)
     status = F.when(size % 3 == 0, "ii  ").otherwise("rc  ")
     dpkg = as_file(spark, p.select(F.concat(status, F.lit("pkg"), k, F.lit(":amd64   1."), size, F.lit("  amd64  words")).alias("value")))
@@ -224,16 +245,18 @@ def installed_list_reading(spark, sf_dir):
 
 @query("SELECT 'pkg' || p_partkey AS name, CAST(p_size AS VARCHAR) AS version, p_size % 2 = 0 AS installed, 'a (>= ' || p_size || ') | b' AS depends FROM part")
 def exchange_reading(spark, sf_dir):
+    k, size = columns()
     text = F.concat(F.lit("package: pkg"), k, F.lit("\nversion: "), size, F.lit("\ninstalled: "), F.when(size % 2 == 0, "true").otherwise("false"), F.lit("\ndepends: a (>= "), size, F.lit(") | b"))
     rows = stanzas.pef_packages(parts(spark, sf_dir).select(stanzas.fields(text).alias("fields")))
     return rows.select("name", "version", "installed", names.print_formula(F.col("depends")).alias("depends"))
 
 
 @query(
-    "SELECT 'package' AS kind, 'pkg' || p_partkey AS name, '1.' || p_size AS version, p_size % 2 = 0 AS installed, p_partkey % 900 AS pin FROM part"
+    "SELECT 'package' AS kind, 'pkg' || p_partkey AS name, '1.' || p_size AS version, p_size % 2 = 0 AS installed, CAST(p_partkey % 900 AS INT) AS pin FROM part"
     " UNION ALL SELECT 'install', 'x' || p_partkey, NULL, NULL, NULL FROM part WHERE p_partkey % 50 = 0 UNION ALL SELECT 'remove', 'y', '2', NULL, NULL FROM part WHERE p_partkey % 50 = 0"
 )
 def scenario_reading(spark, sf_dir):
+    k, size = columns()
     p = parts(spark, sf_dir)
     packages = F.concat(F.lit("Package: pkg"), k, F.lit("\nVersion: 1."), size, F.lit("\nArchitecture: amd64\nInstalled: "), F.when(size % 2 == 0, "yes").otherwise("no"), F.lit("\nAPT-Pin: "), k % 900)
     asked = F.concat(F.lit("Request: EDSP 0.5\nInstall: x"), k, F.lit("\nRemove: y=2"))
@@ -245,12 +268,14 @@ def scenario_reading(spark, sf_dir):
 
 @query("SELECT 'pkg' || p_partkey AS name, switch, switch = 's1' AND p_size % 2 = 0 AS installed, p_size % 3 = 0 AS base FROM part, LATERAL (VALUES ('s1'), ('s' || 2 + p_size % 4)) AS t(switch)")
 def switch_reading(spark, sf_dir):
+    k, size = columns()
     text = F.concat(F.lit("package: pkg"), k, F.lit("\nversion: 1\nswitches: s1, s"), 2 + size % 4, F.when(size % 2 == 0, "\ninstalled: s1").otherwise(""), F.when(size % 3 == 0, F.concat(F.lit("\nbase: s1,s"), 2 + size % 4)).otherwise(""))
     return stanzas.opam_packages(parts(spark, sf_dir).select(stanzas.fields(text).alias("fields"))).select("name", "switch", "installed", "base")
 
 
 @query("SELECT 'pkg' || p_partkey AS name, p_size AS ver, p_size % 2 = 0 AS installed, CASE WHEN p_size % 5 = 0 THEN 'version' ELSE 'none' END AS keep, 'a (>= ' || p_size || ') | b, c (!= 3)' AS depends FROM part")
 def document_reading(spark, sf_dir):
+    k, size = columns()
     text = F.concat(F.lit("package: pkg"), k, F.lit("\nversion: "), size, F.lit("\ndepends: a >= "), size, F.lit(" | b, c != 3"), F.when(size % 2 == 0, "\ninstalled: true").otherwise(""), F.when(size % 5 == 0, "\nkeep: version").otherwise(""))
     rows = stanzas.universe_document(parts(spark, sf_dir).select(stanzas.fields(text).alias("fields")))
     return rows.select("name", "ver", "installed", "keep", names.print_formula(F.col("depends")).alias("depends"))
@@ -258,6 +283,7 @@ def document_reading(spark, sf_dir):
 
 @query("SELECT 's' || p_size AS suite, 'main,part' || p_partkey AS components, CAST(2 AS BIGINT) AS archs, p_size % 2 = 0 AS not_automatic FROM part")
 def release_reading(spark, sf_dir):
+    k, size = columns()
     text = F.concat(F.lit("Origin: O\nSuite: s"), size, F.lit("\nArchitectures: amd64 i386\nComponents: main part"), k, F.lit("\nNotAutomatic: "), F.when(size % 2 == 0, "yes").otherwise("no"))
     rows = stanzas.release_files(parts(spark, sf_dir).select(stanzas.fields(text).alias("fields")))
     return rows.select("suite", F.array_join("components", ",").alias("components"), F.size("architectures").cast("long").alias("archs"), "not_automatic")
@@ -265,6 +291,7 @@ def release_reading(spark, sf_dir):
 
 @query("SELECT CASE WHEN p_size % 2 = 0 THEN 'pkg' || p_partkey END AS package, CASE WHEN p_size % 3 = 0 THEN 'version' ELSE 'release' END AS kind, CASE WHEN p_size % 3 = 0 THEN '1.*' ELSE 'a=stable' END AS value, CAST(p_partkey % 1000 AS INT) AS priority FROM part")
 def preference_reading(spark, sf_dir):
+    k, size = columns()
     pin = F.when(size % 3 == 0, "version 1.*").otherwise("release a=stable")
     text = F.concat(F.lit("Package: "), F.when(size % 2 == 0, F.concat(F.lit("pkg"), k)).otherwise("*"), F.lit("\nPin: "), pin, F.lit("\nPin-Priority: "), k % 1000)
     return stanzas.preferences(parts(spark, sf_dir).select(stanzas.fields(text).alias("fields")))
