@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from solvarium.functions.versions import dense_numbers
+from solvarium.operators import sat
+from solvarium.operators.graphs import cone, reverse
+from solvarium.operators.model import Universe, resolve_conflicts, resolve_deps
+from solvarium.plans.lineage import cut
+
 
 def ranges(versions: DataFrame, bottom: bool = True) -> DataFrame:
     """(name, kind, lo, hi) of versions(name, ver): eq for each, in between neighbours, hi above the last and, with
@@ -19,22 +25,127 @@ def ranges(versions: DataFrame, bottom: bool = True) -> DataFrame:
     return v.select("name", F.explode(F.array_compact(F.array(*each))).alias("r")).select("name", "r.*")
 
 
-def meets(point: Column, op: Column, ver: Column) -> Column:
-    """Whether a point on the doubled scale (versions even, gaps odd) meets a constraint on version number `ver`."""
-    v = ver * 2
-    return F.when(op == "=", point == v).when(op == "!=", point != v).when(op == ">=", point >= v).when(op == ">", point > v).when(op == "<=", point <= v).when(op == "<", point < v).otherwise(F.lit(True))
+def outcomes(points: DataFrame, constraints: DataFrame, by: tuple[str, ...] = ("name",)) -> DataFrame:
+    """`points`(*by, point) with `own` and `passed`: two points give every one of constraints(*by, op, ver) the same outcome
+    just where they agree in both. Points are doubled: versions even, gaps odd.
+
+    An order constraint changes its outcome at one place, an equality only at its own version. So a running count of
+    those places tells points apart, without a row for each point and constraint.
+    """
+    c = constraints.select(*by, "op", (F.col("ver") * 2).alias("v"))
+    turn = F.when(F.col("op").isin(">=", "<"), F.col("v")).when(F.col("op").isin(">", "<="), F.col("v") + 1)
+    turns = c.select(*by, turn.alias("point")).where("point IS NOT NULL").distinct().withColumn("turn", F.lit(1))
+    single = c.where(F.col("op").isin("=", "!=")).select(*by, F.col("v").alias("point")).distinct().withColumn("own", F.col("point"))
+    out = points.join(turns, [*by, "point"], "left").join(single, [*by, "point"], "left")
+    return out.withColumn("passed", F.count("turn").over(Window.partitionBy(*by).orderBy("point"))).drop("turn")
 
 
 def discriminants(constraints: DataFrame) -> DataFrame:
     """(name, point, equivalents) of constraints(name, op, ver), ver dense from 1 within the name: one point for each
-    vector of outcomes, the greatest, with all points of the same outcomes. Points are doubled: versions even, gaps odd."""
-    c = constraints.select("name", "op", "ver").distinct()
-    top = c.groupBy("name").agg(F.max("ver").alias("top"))
+    vector of outcomes, the greatest, with all points of the same outcomes."""
+    top = constraints.groupBy("name").agg(F.max("ver").alias("top"))
     points = top.select("name", F.explode(F.sequence(F.lit(1), F.col("top") * 2 + 1)).alias("point"))
-    said = points.join(c, "name").select("name", "point", F.struct("op", "ver", meets(F.col("point"), F.col("op"), F.col("ver")).alias("ok")).alias("o"))
-    vector = said.groupBy("name", "point").agg(F.transform(F.array_sort(F.collect_list("o")), lambda o: o["ok"]).alias("vector"))
-    out = vector.groupBy("name", "vector").agg(F.max("point").alias("point"), F.array_sort(F.collect_list("point")).alias("equivalents"))
-    return out.drop("vector")
+    said = outcomes(points, constraints).groupBy("name", "own", "passed")
+    return said.agg(F.max("point").alias("point"), F.array_sort(F.collect_list("point")).alias("equivalents")).drop("own", "passed")
+
+
+def targets(constraints: DataFrame, present: DataFrame) -> DataFrame:
+    """(repo, cluster, target, equivalents) of constraints(repo, cluster, op, ver) on the names of a cluster and the versions
+    present(repo, cluster, ver): doubled points that the cluster may move to. Points not above what is there, and
+    those with the outcomes of what is there, are none."""
+    by = ("repo", "cluster")
+    c = constraints.where("op <> 'any' AND ver IS NOT NULL")
+    each = c.select(*by, "ver").unionByName(present.select(*by, "ver")).distinct()
+    points = each.select(*by, F.explode(F.array(F.col("ver") * 2, F.col("ver") * 2 + 1)).alias("point"))
+    said = outcomes(points, c, by).groupBy(*by, "own", "passed").agg(F.max("point").alias("target"), F.array_sort(F.collect_list("point")).alias("equivalents"))
+    now = present.groupBy(*by).agg((F.max("ver") * 2).alias("now"))
+    return said.join(now, list(by)).where("target > now AND NOT array_contains(equivalents, now)").select(*by, "target", "equivalents")
+
+
+def _asked(u: Universe) -> DataFrame:
+    """(repo, name, op, ver) that dependencies, conflicts and provided names other than a package's own mention."""
+    own = u.packages.select("repo", "uid", "name")
+    op = F.when(F.col("ver").isNull(), "any").otherwise("=").alias("op")
+    provided = u.provs.join(own, ["repo", "uid", "name"], "left_anti").select("repo", "name", op, "ver")
+    return provided.unionByName(u.deps.select("repo", "name", "op", "ver")).unionByName(u.confs.select("repo", "name", "op", "ver")).distinct()
+
+
+def _moves(u: Universe, own: DataFrame) -> DataFrame:
+    """targets() of the clusters of own(repo, cluster, uid, name, ver)."""
+    named = own.select("repo", "cluster", "name").distinct()
+    return cut(targets(_asked(u).join(named, ["repo", "name"]).select("repo", "cluster", "op", "ver").distinct(), own))
+
+
+def challenged(u: Universe, members: DataFrame) -> DataFrame:
+    """(repo, cluster, target, equivalents, broken, unknown) of members(repo, cluster, uid): for each future in which all of
+    a cluster has moved to a target, how many packages that can be installed now could not be any more.
+
+    A future is a value of `repo`, so one check answers for all. It holds what the move can touch and no more: packages
+    that lead to the cluster by names, whatever the versions, and what these lead to.
+    """
+    own = cut(u.packages.select("repo", "uid", "name", "ver").join(members.select("repo", "cluster", "uid"), ["repo", "uid"]))
+    goals = _moves(u, own)
+    provided = u.provs.select("repo", "name", F.col("uid").alias("dst"))
+    edges = cut(u.deps.select("repo", F.col("uid").alias("src"), "name").distinct().join(provided, ["repo", "name"]).select("repo", "src", "dst").distinct())
+    moved = own.select("repo", "cluster", "uid").join(goals, ["repo", "cluster"], "left_semi")
+    hit = cut(cone(moved, reverse(edges), keys=("cluster",)).select("repo", "cluster", "uid"))
+    part = cut(cone(hit, edges, keys=("cluster",)).select("repo", "cluster", "uid"))
+    now = sat.check(hit.select("repo", "uid").distinct(), cut(resolve_deps(u)), cut(resolve_conflicts(u))).where("status = 'ok'").select("repo", "uid")
+
+    future = F.concat_ws("~", "repo", "cluster", "target").alias("future")
+    futures = goals.select("repo", "cluster", "target", future)
+    whole = cut(futures.join(part, ["repo", "cluster"]))
+    of = lambda df, *cols: whole.join(df, ["repo", "uid"]).select(F.col("future").alias("repo"), "uid", *cols)
+    twice = (F.col("ver") * 2).alias("ver")
+    mine = own.select("repo", "cluster", "uid", "name", F.lit(True).alias("mine"))
+    provs = whole.join(u.provs, ["repo", "uid"]).join(mine, ["repo", "cluster", "uid", "name"], "left")
+    provs = provs.select(F.col("future").alias("repo"), "uid", "name", F.when(F.col("mine"), F.col("target")).otherwise(twice).alias("ver"))
+    then = Universe(of(u.packages, "name"), of(u.deps, "clause", "alt", "name", "op", twice), of(u.confs, "name", "op", twice), provs)
+    asked = futures.join(cut(now).join(hit, ["repo", "uid"]), ["repo", "cluster"]).select(F.col("future").alias("repo"), "uid")
+    said = sat.check(asked, cut(resolve_deps(then)), cut(resolve_conflicts(then))).groupBy(F.col("repo").alias("future"))
+    said = said.agg(F.count_if(F.col("status") == "broken").alias("broken"), F.count_if(F.col("status") == "unknown").alias("unknown"))
+    out = goals.withColumn("future", future).join(said, "future", "left").na.fill(0, ["broken", "unknown"])
+    return out.select("repo", "cluster", "target", "equivalents", "broken", "unknown")
+
+
+def future(u: Universe, members: DataFrame, first: int = 1) -> Universe:
+    """One universe of all that members(repo, cluster, uid) may become, versions doubled: beside the packages, a dummy for
+    each member and target above it, which needs nothing, provides what the member does, and is in conflict with
+    all of its name. Clusters of several members move together: each state of a cluster provides a version of a
+    name of its own and is in conflict with its other versions. A name that is asked for, or only provided, and
+    that no package has becomes a package of version `first`, a cluster by itself. New packages have uids under -2.
+    """
+    packages = u.packages.select("repo", "uid", "name", "ver")
+    own = packages.join(members.select("repo", "cluster", "uid"), ["repo", "uid"]).withColumn("cluster", F.concat(F.lit("c"), "cluster"))
+    lone = _asked(u).select("repo", "name").distinct().join(packages.select("repo", "name").distinct(), ["repo", "name"], "left_anti")
+    lone = lone.select("repo", F.lit(None).cast("int").alias("uid"), "name", F.lit(first).alias("ver"), F.concat(F.lit("n"), "name").alias("cluster"))
+    own = cut(own.unionByName(lone.select(*own.columns)))
+    goals = _moves(u, own).select("repo", "cluster", "target")
+    made = own.join(goals, ["repo", "cluster"]).where(F.col("target") > F.col("ver") * 2)
+    made = made.unionByName(own.where("uid IS NULL").withColumn("target", F.col("ver") * 2))
+    made = made.withColumn("__key", F.concat_ws("~", "repo", "cluster", "target", F.coalesce(F.col("uid").cast("string"), F.col("name"))))
+    made = cut(dense_numbers(made, "__key", "n").withColumn("new", (-2 - F.col("n")).cast("int")))
+
+    twice = (F.col("ver") * 2).alias("ver")
+    several = own.where("uid IS NOT NULL").groupBy("repo", "cluster").count().where("count > 1").select("repo", "cluster")
+    state = own.select("repo", "cluster", "uid", F.lit(0).alias("ver")).unionByName(made.select("repo", "cluster", F.col("new").alias("uid"), F.col("target").alias("ver")))
+    state = state.join(several, ["repo", "cluster"]).select("repo", "uid", F.concat(F.lit("src/"), "cluster").alias("name"), F.col("ver").cast("int").alias("ver"))
+    others = u.provs.join(packages.select("repo", "uid", "name"), ["repo", "uid", "name"], "left_anti")
+    theirs = made.select("repo", "uid", F.col("new")).join(others, ["repo", "uid"]).select("repo", F.col("new").alias("uid"), "name", twice)
+    new = made.select("repo", F.col("new").alias("uid"), "name", F.col("target").cast("int").alias("ver"))
+    return Universe(
+        packages.select("repo", "uid", "name", twice).unionByName(new),
+        u.deps.withColumn("ver", twice),
+        u.confs.select("repo", "uid", "name", "op", twice).unionByName(new.select("repo", "uid", "name", F.lit("any").alias("op"), F.lit(0).alias("ver"))).unionByName(state.select("repo", "uid", "name", F.lit("!=").alias("op"), "ver")),
+        u.provs.select("repo", "uid", "name", twice).unionByName(new).unionByName(theirs).unionByName(state),
+    )
+
+
+def outdated(u: Universe, members: DataFrame) -> DataFrame:
+    """(repo, uid, status) of every package in future(): one that is broken there can't be installed, whatever the others
+    become, until it changes itself."""
+    then = future(u, members)
+    return sat.check(u.packages.select("repo", "uid"), cut(resolve_deps(then)), cut(resolve_conflicts(then)))
 
 
 def clusters(packages: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from solvarium.operators import diffs, graphs, model, requests, sat, sinks, translate
+from solvarium.operators import diffs, evolution, graphs, model, requests, sat, sinks, translate
 from solvarium.plans.fixtures import ORDERS_SQL, order_packages, order_universe
 from solvarium.plans.lineage import cut
 from solvarium.plans.orders import known, resolved
@@ -327,3 +327,44 @@ def essential_clauses(spark, sf_dir):
     packages = cut(order_packages(spark, sf_dir).withColumn("essential", F.col("q") % 10 == 0))
     said = translate.essential_clauses(packages).join(packages.select("repo", F.col("uid").alias("target"), "name"), ["repo", "target"])
     return said.select("repo", F.concat(F.lit("q"), F.substring("name", 2, 9)).alias("k"), "target")
+
+
+_FUTURES = """
+, ask AS (SELECT repo, name, op, ver FROM fx_dep WHERE op <> 'any' UNION SELECT repo, name, op, ver FROM fx_conf),
+mem AS (SELECT repo, concat('n', pk % 4) AS cluster, uid FROM fx_pkg),
+pts AS (SELECT DISTINCT repo, cluster, unnest([2 * v, 2 * v + 1]) AS point FROM (SELECT repo, name AS cluster, ver AS v FROM ask SEMI JOIN (SELECT repo, cluster AS name FROM mem) USING (repo, name) UNION SELECT repo, cluster, uid FROM mem)),
+vec AS (SELECT p.repo, p.cluster, p.point, coalesce(string_agg(CASE WHEN a.op IS NULL THEN '' WHEN a.op = '>=' THEN (p.point >= 2 * a.ver)::INT::VARCHAR WHEN a.op = '<=' THEN (p.point <= 2 * a.ver)::INT::VARCHAR ELSE (p.point < 2 * a.ver)::INT::VARCHAR END, '' ORDER BY a.op, a.ver), '') AS x
+  FROM pts p LEFT JOIN ask a ON a.repo = p.repo AND a.name = p.cluster GROUP BY ALL),
+now AS (SELECT repo, cluster, max(uid) * 2 AS now FROM mem GROUP BY ALL),
+goal AS (SELECT v.repo, v.cluster, max(v.point) AS target, string_agg(v.point::VARCHAR, ',' ORDER BY v.point) AS equivalents, any_value(n.now) AS now, bool_or(v.point = n.now) AS same
+  FROM vec v JOIN now n USING (repo, cluster) GROUP BY v.repo, v.cluster, v.x),
+goals AS (SELECT repo, cluster, target, equivalents FROM goal WHERE target > now AND NOT same),
+prov2 AS (SELECT g.repo, g.cluster, g.target, p.uid, p.bit, p.name, CASE WHEN p.name = g.cluster THEN g.target ELSE 2 * p.ver END AS ver FROM goals g JOIN fx_prov p USING (repo)),
+mask2 AS (SELECT g.repo, g.cluster, g.target, d.uid, d.clause, coalesce(bit_or(p.bit), 0) AS mask FROM goals g JOIN fx_dep d USING (repo) LEFT JOIN prov2 p ON p.repo = g.repo AND p.cluster = g.cluster AND p.target = g.target AND p.name = d.name
+   AND (d.op = 'any' OR p.ver IS NULL OR (d.op = '>=' AND p.ver >= 2 * d.ver) OR (d.op = '<=' AND p.ver <= 2 * d.ver)) GROUP BY ALL),
+fight2 AS (SELECT DISTINCT p.repo, p.cluster, p.target, a.bit AS one, p.bit AS two FROM fx_conf c JOIN fx_pkg a USING (repo, uid) JOIN prov2 p ON p.repo = c.repo AND p.name = c.name AND p.uid <> c.uid AND (p.ver IS NULL OR p.ver < 2 * c.ver)),
+cand2 AS (SELECT g.repo, g.cluster, g.target, c.s FROM goals g JOIN fx_cand c USING (repo)),
+bad2 AS (SELECT c.repo, c.cluster, c.target, c.s FROM cand2 c JOIN mask2 m USING (repo, cluster, target) JOIN fx_pkg p ON p.repo = m.repo AND p.uid = m.uid WHERE (c.s & p.bit) <> 0 AND (c.s & m.mask) = 0
+   UNION SELECT c.repo, c.cluster, c.target, c.s FROM cand2 c JOIN fight2 f USING (repo, cluster, target) WHERE (c.s & f.one) <> 0 AND (c.s & f.two) <> 0),
+all2 AS (SELECT c.repo, c.cluster, c.target, bit_or(c.s) AS s FROM cand2 c ANTI JOIN bad2 USING (repo, cluster, target, s) GROUP BY ALL)
+SELECT g.repo, g.cluster, g.target, g.equivalents, count(x.uid) AS broken
+FROM goals g LEFT JOIN all2 a USING (repo, cluster, target) LEFT JOIN (SELECT s.repo, s.uid, p.bit FROM fx_strong s JOIN fx_pkg p USING (repo, uid)) x ON x.repo = g.repo AND (x.bit & coalesce(a.s, 0)) = 0 GROUP BY ALL
+"""
+
+
+@query(_FUTURES)
+def challenged_clusters(spark, sf_dir):
+    """Packages of one name move together: what each move would break."""
+    u = order_universe(spark, sf_dir)
+    said = evolution.challenged(u, order_packages(spark, sf_dir).select("repo", F.col("name").alias("cluster"), "uid"))
+    return said.select("repo", "cluster", "target", F.array_join("equivalents", ",").alias("equivalents"), F.when(F.col("unknown") == 0, F.col("broken")).alias("broken"))
+
+
+def outdated_packages(spark, sf_dir):
+    """No SQL: the states of all names together are too many to enumerate; tests compare small repositories."""
+    u = order_universe(spark, sf_dir)
+    clusters = order_packages(spark, sf_dir).select("repo", F.concat(F.lit("s"), F.col("sk") % 2).alias("cluster"), "uid")
+    return evolution.outdated(u, clusters).where("status <> 'ok'")
+
+
+QUERIES["outdated_packages"] = outdated_packages

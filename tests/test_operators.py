@@ -269,3 +269,115 @@ def test_unknown_is_said_and_never_a_guess(spark, monkeypatch):
     said = sat.coinstallable(pairs, deps, fights, sat.horn_broken(deps))
     assert {(r.lo, r.hi, r.status) for r in said.collect()} == {(1, 4, "ok"), (2, 3, "broken"), (2, 4, "ok")}  # 4 forces what 1 would choose
     assert {tuple(r) for r in sat.strong_dependencies(packages, deps, fights).collect()} == {(0, 1, 1, "unknown"), (0, 4, 2, "broken")}
+
+
+def random_atoms(seed):
+    """A universe of versions of a, b and c, with one provided name and one that nobody has."""
+    r = random.Random(seed)
+    packages = [(k, r.choice("abc"), r.randint(1, 4)) for k in range(1, 5)]
+    atom = lambda: (r.choice("abcv"), *r.choice([("any", 0), (">=", r.randint(1, 5)), ("<", r.randint(1, 5)), ("=", r.randint(1, 5)), ("!=", r.randint(1, 5)), (">", r.randint(1, 4)), ("<=", r.randint(1, 4))]))
+    deps = [(k, c, alt, *atom()) for k, _, _ in packages for c in range(r.choice([0, 1, 1])) for alt in range(r.choice([1, 1, 2]))]
+    confs = [(k, *atom()) for k, _, _ in packages if r.random() < 0.4]
+    provs = [(k, n, v) for k, n, v in packages] + [(k, "v", r.choice([None, 2])) for k, _, _ in packages if r.random() < 0.3]
+    return packages, deps, confs, provs
+
+
+def meets(have, op, want):
+    return have is None or op == "any" or {"=": have == want, "!=": have != want, ">=": have >= want, ">": have > want, "<=": have <= want, "<": have < want}[op]
+
+
+def installable(uids, deps, confs, provs):
+    """By enumeration of all sets."""
+    who = lambda name, op, ver: {k for k, n, v in provs if n == name and meets(v, op, ver)}
+    clauses = {}
+    for k, c, _, *atom in deps:
+        clauses.setdefault((k, c), set()).update(who(*atom))
+    fights = [(k, q) for k, *atom in confs for q in who(*atom) if q != k]
+    found = set()
+    for bits in itertools.product((0, 1), repeat=len(uids)):
+        s = {k for k, b in zip(uids, bits) if b}
+        if all(k not in s or s & q for (k, _), q in clauses.items()) and not any(a in s and b in s for a, b in fights):
+            found |= s
+    return found
+
+
+def moves(names, vers, atoms):
+    """Targets by the plain definition: vectors of outcomes over all doubled points."""
+    asks = sorted({(op, v) for n, op, v in atoms if n in names and op != "any"})
+    vector = lambda p: tuple(meets(p, op, 2 * v) for op, v in asks)
+    said = {v for _, v in asks} | set(vers)
+    points = {q for v in said for q in (2 * v, 2 * v + 1)}
+    groups = {}
+    for p in points:
+        groups.setdefault(vector(p), []).append(p)
+    now = 2 * max(vers)
+    return {max(g): sorted(g) for g in groups.values() if max(g) > now and now not in g}
+
+
+@pytest.fixture(scope="module")
+def evolving(spark):
+    made = {seed: random_atoms(seed) for seed in range(12)}
+    rows = lambda k: [(seed, *x) for seed, m in made.items() for x in m[k]]
+    df = lambda k, cols: spark.createDataFrame(rows(k), "repo long, " + cols)
+    u = model.Universe(
+        df(0, "uid int, name string, ver int"),
+        df(1, "uid int, clause int, alt int, name string, op string, ver int"),
+        df(2, "uid int, name string, op string, ver int"),
+        df(3, "uid int, name string, ver int"),
+    )
+    return made, u
+
+
+def test_challenged_equals_enumeration(evolving):
+    made, u = evolving
+    want = set()
+    for seed, (packages, deps, confs, provs) in made.items():
+        uids = [k for k, _, _ in packages]
+        atoms = [d[3:] for d in deps] + [c[1:] for c in confs] + [(n, "any" if v is None else "=", v or 0) for _, n, v in provs if n == "v"]
+        now = installable(uids, deps, confs, provs)
+        for name in {n for _, n, _ in packages}:
+            for target, same in moves({name}, [v for _, n, v in packages if n == name], atoms).items():
+                then = [(k, n, target if n == name else v and 2 * v) for k, n, v in provs]
+                left = installable(uids, [(*d[:5], 2 * d[5]) for d in deps], [(*c[:3], 2 * c[3]) for c in confs], then)
+                want.add((seed, name, target, tuple(same), len(now - left)))
+    got = evolution.challenged(u, u.packages.select("repo", F.col("name").alias("cluster"), "uid"))
+    assert {(r.repo, r.cluster, r.target, tuple(r.equivalents), r.broken) for r in got.collect()} == want
+    assert any(w[4] for w in want)
+
+
+def test_outdated_equals_enumeration(evolving):
+    """Two clusters, of odd and of even uids: a state of a cluster is what it is now or one of its targets."""
+    made, u = evolving
+    want = set()
+    for seed, (packages, deps, confs, provs) in made.items():
+        double = [(k, n, v and 2 * v) for k, n, v in provs]
+        uids, links, fights = [k for k, _, _ in packages], [(*d[:5], 2 * d[5]) for d in deps], [(*c[:3], 2 * c[3]) for c in confs]
+        atoms = [d[3:] for d in deps] + [c[1:] for c in confs] + [(n, "any" if v is None else "=", v or 0) for _, n, v in provs if n == "v"]
+        states, new = {}, 100
+        for odd in (0, 1):
+            own = [p for p in packages if p[0] % 2 == odd]
+            states.update({(k, odd): 0 for k, _, _ in own})
+            for target in moves({n for _, n, _ in own}, [v for _, _, v in own], atoms) if own else ():
+                for k, n, v in [p for p in own if 2 * p[2] < target]:
+                    new += 1
+                    uids.append(new)
+                    states[(new, odd)] = target
+                    double += [(new, n, target)] + [(new, m, w and 2 * w) for q, m, w in provs if q == k and m == "v"]
+                    fights.append((new, n, "any", 0))
+        for name in {a[0] for a in atoms} - {n for _, n, _ in packages}:
+            for target in [2, *moves({name}, [1], atoms)]:
+                new += 1
+                uids.append(new)
+                double.append((new, name, target))
+                fights.append((new, name, "any", 0))
+        for (k, odd), state in states.items():
+            if sum(p[0] % 2 == odd for p in packages) > 1:
+                double.append((k, f"src{odd}", state))
+                fights.append((k, f"src{odd}", "!=", state))
+        if len(uids) <= 15:
+            good = installable(uids, links, fights, double)
+            want |= {(seed, k, "ok" if k in good else "broken") for k, _, _ in packages}
+    seeds = {w[0] for w in want}
+    said = evolution.outdated(u, u.packages.select("repo", (F.col("uid") % 2).alias("cluster"), "uid"))
+    got = {(r.repo, r.uid, r.status) for r in said.collect() if r.repo in seeds}
+    assert got == want and len(seeds) > 3 and {w[2] for w in want} == {"ok", "broken"}
