@@ -13,23 +13,87 @@ GLOBAL = -1
 VIRTUAL, VERSIONED = "--virtual-", "--virtual--versioned-"
 
 
-def _explode(packages: DataFrame, *formulas: str) -> DataFrame:
-    """(repo, uid, clause, alt, name, arch, op, version) of several formula columns, clauses numbered across them."""
+def _explode(packages: DataFrame, *formulas: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """(repo, uid, *also, clause, alt, name, arch, op, version) of several formula columns, clauses numbered across them."""
     whole = F.concat(*[F.coalesce(F.col(f), F.array().cast(names.ATOMS)) for f in formulas])
-    clauses = packages.select("repo", "uid", F.posexplode(whole).alias("clause", "any"))
-    return clauses.select("repo", "uid", "clause", F.posexplode("any").alias("alt", "a")).select("repo", "uid", "clause", "alt", "a.*")
-
-
-def debian(packages: DataFrame, repo: Column | None = None) -> Universe:
+    clauses = packages.select("repo", "uid", *also, F.posexplode(whole).alias("clause", "any"))
+    return clauses.select("repo", "uid", *also, "clause", F.posexplode("any").alias("alt", "a")).select("repo", "uid", *also, "clause", "alt", "a.*")
+
+
+def at_arch(name: Column, arch: Column, native: str) -> Column:
+    """`name:arch`; packages for all architectures are of the native one."""
+    return F.concat(name, F.lit(":"), F.when(arch == "all", native).otherwise(arch))
+
+
+def annotated(name: Column, annotation: Column, arch: Column, native: str) -> Column:
+    """The name that an atom means, for a package of `arch`: `:any` the bare one, `:native` and `:<arch>` that
+    architecture's, none the package's own."""
+    return F.when(annotation == "any", name).when(annotation == "native", F.concat(name, F.lit(f":{native}"))).when(annotation.isNotNull(), F.concat(name, F.lit(":"), annotation)).otherwise(at_arch(name, arch, native))
+
+
+def _single(p: DataFrame) -> tuple[DataFrame, ...]:
+    """Atoms where architectures play no part, each with `full`, the name that it means: dependencies, conflicts,
+    provides; and what has no virtual twin: own and further conflicts, own and further provides."""
+    full = lambda df: df.withColumn("full", F.col("name"))
+    own = full(p.select("repo", "uid", "name", "version"))
+    return full(_explode(p, "pre_depends", "depends")), full(_explode(p, "conflicts", "breaks")), full(_explode(p, "provides")), own.select("repo", "uid", "full", F.lit(None).cast("string").alias("op"), F.lit(None).cast("string").alias("version")), own.select("repo", "uid", "full", "version")
+
+
+def _several(p: DataFrame, native: str, foreign: tuple[str, ...]) -> tuple[DataFrame, ...]:
+    """As _single(), by Multi-Arch. Every package provides its bare name. `foreign` stands in, with all that it provides,
+    in every architecture; `allowed` provides what it provides in any as well; `same` goes together with its own version
+    in other architectures, and all others with no package of their name. Conflicts hold in every architecture;
+    those of a `same` package that would hit its own name, or what it provides itself, go, or mean the others that
+    provide it."""
+    archs = F.array(*[F.lit(a) for a in dict.fromkeys((native, *foreign))])
+    p = p.withColumns({"__arch": F.col("arch"), "multi": F.coalesce(F.lower("multiarch"), F.lit("no"))})
+    also = ("__arch", "multi", "own")
+    p = p.withColumn("own", F.col("name"))
+    mine = at_arch(F.col("own"), F.col("__arch"), native)
+    said = lambda df, arch: df.withColumn("full", annotated(F.col("name"), F.col("arch"), arch, native))
+    deps = said(_explode(p, "pre_depends", "depends", also=also), F.col("__arch"))
+
+    provs = _explode(p, "provides", also=also)
+    provs = provs.withColumn("arch", F.when(F.col("multi") != "allowed", F.col("arch")))
+    everywhere = F.when(F.col("multi") == "foreign", archs).otherwise(F.array("__arch"))
+    provided = said(provs.withColumn("at", F.explode(everywhere)), F.col("at")).drop("at")
+    provided = provided.unionByName(provs.where("multi = 'allowed'").withColumn("full", F.col("name")))
+
+    confs = _explode(p, "conflicts", "breaks", also=also)
+    has = provs.select("repo", "uid", "name").distinct().withColumn("provided", F.lit(True))
+    real = p.select("repo", "name").distinct().withColumn("real", F.lit(True))
+    known = confs.join(has, ["repo", "uid", "name"], "left").join(real, ["repo", "name"], "left")
+    own = (F.col("name") == F.col("own")) | (F.col("op").isNull() & F.coalesce("provided", F.lit(False)))
+    known = known.select(*confs.columns, own.alias("mine"), F.coalesce("real", F.lit(False)).alias("real"))
+    kept = known.where("multi <> 'same' OR (NOT mine AND (real OR op IS NULL))").select(*confs.columns)
+    others = provs.select("repo", F.col("own").alias("other"), "name").distinct()
+    swapped = known.where("multi = 'same' AND mine AND NOT real").join(others, ["repo", "name"]).where("other <> own")
+    none = F.lit(None).cast("string")
+    swapped = swapped.drop("name").withColumnRenamed("other", "name").withColumns({"op": none, "version": none}).select(*confs.columns)
+    fights = said(kept.unionByName(swapped).withColumn("at", F.explode(archs)), F.col("at")).drop("at")
+
+    row = lambda when, full, op, version: p.where(when).select("repo", "uid", full.alias("full"), op.alias("op"), version.alias("version"))
+    elsewhere = F.explode(F.filter(archs, lambda a: a != F.col("__arch")))
+    there = p.withColumn("at", elsewhere).withColumn("full", at_arch(F.col("own"), F.col("at"), native))
+    apart = row("true", mine, none, none).unionByName(row("multi <> 'same'", F.col("own"), none, none))
+    apart = apart.unionByName(there.where("multi = 'same'").select("repo", "uid", "full", F.lit("!=").alias("op"), "version"))
+    stand = p.select("repo", "uid", mine.alias("full"), "version").unionByName(p.select("repo", "uid", F.col("own").alias("full"), none.alias("version")))
+    stand = stand.unionByName(there.where("multi = 'foreign'").select("repo", "uid", "full", "version"))
+    stand = stand.unionByName(p.where("multi = 'allowed'").select("repo", "uid", F.concat("own", F.lit(":any")).alias("full"), none.alias("version")))
+    return deps, fights, provided, apart, stand
+
+
+def debian(packages: DataFrame, repo: Column | None = None, native: str | None = None, foreign: tuple[str, ...] = ()) -> Universe:
     """A universe of Debian records as sources.stanzas.debian_packages() gives them.
 
     Versions get numbers in Debian order over everything that mentions one, 2, 4, ..., so that odd numbers are gaps.
     A dependency also means the virtual twin of its name. An unversioned provide has a version no constraint but `any`
-    meets, a versioned one is a twin of its own; all versions of a name conflict with each other.
+    meets, a versioned one is a twin of its own; all versions of a name conflict with each other. With `native`, names
+    are `name:arch` and Multi-Arch rules hold among it and the `foreign` architectures.
     """
     p = packages.withColumn("repo", repo if repo is not None else F.lit(0).cast("long"))
     p = versions.dense_numbers(p.withColumn("__id", F.concat_ws("\x1f", "name", "version", "arch")), "__id", "uid").withColumn("uid", F.col("uid").cast("int"))
-    deps, confs, provs = _explode(p, "pre_depends", "depends"), _explode(p, "conflicts", "breaks"), _explode(p, "provides")
+    deps, confs, provs, apart, stand = _single(p) if native is None else _several(p, native, foreign)
     said = p.select(F.col("version")).unionByName(deps.select("version")).unionByName(confs.select("version")).unionByName(provs.select("version"))
     said = said.where("version IS NOT NULL").distinct().withColumn("key", versions.debian_key(F.col("version")))
     said = versions.dense_numbers(said, "key", "n", step=2, first=2).select("version", F.col("n").cast("int").alias("ver"))
@@ -38,27 +102,27 @@ def debian(packages: DataFrame, repo: Column | None = None) -> Universe:
         return df.join(said, "version", "left").withColumns({"op": F.coalesce("op", F.lit("any")), "ver": F.coalesce("ver", F.lit(0))})
 
     provided = provs.select("repo", "name").distinct()
-    d = numbered(deps).select("repo", "uid", "clause", "alt", "name", "op", "ver")
-    twin = d.join(provided, ["repo", "name"], "left_semi")
-    any_twin = twin.where("op = 'any'").withColumn("name", F.concat(F.lit(VIRTUAL), "name"))
-    with_version = twin.where("op <> 'any'").withColumn("name", F.concat(F.lit(VERSIONED), "name"))
-    c = numbered(confs).select("repo", "uid", "name", "op", "ver")
-    ctwin = c.join(provided, ["repo", "name"], "left_semi")
-    c_any = ctwin.where("op = 'any'").withColumn("name", F.concat(F.lit(VIRTUAL), "name"))
-    c_versioned = ctwin.where("op <> 'any'").withColumn("name", F.concat(F.lit(VERSIONED), "name"))
-    own = p.select("repo", "uid", "name", F.lit("any").alias("op"), F.lit(0).alias("ver"))
-    cols = ["repo", "uid", "clause", "alt", "name", "op", "ver"]
-    real = p.join(said, "version").select("repo", "uid", "name", "ver")
+    cols = {True: ["repo", "uid", "clause", "alt", "name", "op", "ver"], False: ["repo", "uid", "name", "op", "ver"]}
+
+    def twins(df: DataFrame, clauses: bool) -> DataFrame:
+        """Atoms by the names that they mean, with the twins of those that something provides."""
+        said = numbered(df)
+        twin = said.join(provided, ["repo", "name"], "left_semi").withColumn("full", F.concat(F.when(F.col("op") == "any", VIRTUAL).otherwise(VERSIONED), "full"))
+        return said.unionByName(twin.select(*said.columns)).drop("name").withColumnRenamed("full", "name").select(*cols[clauses])
+
+    own = numbered(apart).withColumnRenamed("full", "name").select(*cols[False])
+    real = stand.join(said, "version", "left").select("repo", "uid", F.col("full").alias("name"), "ver")
     v = numbered(provs)
-    plain = v.select("repo", "uid", F.concat(F.lit(VIRTUAL), "name").alias("name"), F.lit(None).cast("int").alias("ver"))
-    versioned = v.where("op <> 'any'").select("repo", "uid", F.concat(F.lit(VERSIONED), "name").alias("name"), "ver")
-    out = p.join(said, "version").select("repo", "uid", "name", "ver", "version", "arch", "installed", "essential", "source", "source_version")
-    return Universe(
-        out,
-        d.select(*cols).unionByName(any_twin.select(*cols)).unionByName(with_version.select(*cols)),
-        c.unionByName(own).unionByName(c_any.select(c.columns)).unionByName(c_versioned.select(c.columns)).distinct(),
-        real.unionByName(plain).unionByName(versioned).distinct(),
-    )
+    plain = v.select("repo", "uid", F.concat(F.lit(VIRTUAL), "full").alias("name"), F.lit(None).cast("int").alias("ver"))
+    versioned = v.where("op <> 'any'").select("repo", "uid", F.concat(F.lit(VERSIONED), "full").alias("name"), "ver")
+    name = F.col("name") if native is None else at_arch(F.col("name"), F.col("arch"), native)
+    out = p.join(said, "version").select("repo", "uid", name.alias("name"), "ver", "version", "arch", "installed", "essential", "source", "source_version")
+    return Universe(out, twins(deps, True), twins(confs, False).unionByName(own).distinct(), real.unionByName(plain).unionByName(versioned).distinct())
+
+
+def debian_keep(arch: Column, installed: Column, hold: Column, native: str) -> Column:
+    """version for an installed package on hold, of the native architecture or of all; none for every other one."""
+    return F.when(arch.isin(native, "all") & installed & hold, "version").otherwise("none")
 
 
 def keep_clauses(packages: DataFrame, provs: DataFrame) -> DataFrame:

@@ -381,3 +381,65 @@ def test_outdated_equals_enumeration(evolving):
     said = evolution.outdated(u, u.packages.select("repo", (F.col("uid") % 2).alias("cluster"), "uid"))
     got = {(r.repo, r.uid, r.status) for r in said.collect() if r.repo in seeds}
     assert got == want and len(seeds) > 3 and {w[2] for w in want} == {"ok", "broken"}
+
+
+SEVERAL = """Package: app
+Version: 1
+Architecture: i386
+Depends: tool, lib, py:any
+
+Package: tool
+Version: 1
+Architecture: amd64
+Multi-Arch: foreign
+
+Package: lib
+Version: 1
+Architecture: amd64
+Multi-Arch: same
+
+Package: lib
+Version: 1
+Architecture: i386
+Multi-Arch: same
+
+Package: lib
+Version: 2
+Architecture: amd64
+Multi-Arch: same
+
+Package: py
+Version: 1
+Architecture: amd64
+Multi-Arch: allowed
+
+Package: plain
+Version: 1
+Architecture: amd64
+
+Package: wants
+Version: 1
+Architecture: i386
+Depends: plain
+
+Package: pure
+Version: 1
+Architecture: all
+Depends: plain, py
+"""
+
+
+def test_several_architectures(spark, tmp_path):
+    (tmp_path / "Packages").write_text(SEVERAL)
+    p = stanzas.debian_packages(stanzas.read_stanzas(spark, str(tmp_path / "Packages")))
+    u = translate.debian(p, native="amd64", foreign=("i386",))
+    resolved, fights = model.resolve_deps(u), model.resolve_conflicts(u)
+    names = {r.uid: (r.name, r.version) for r in u.packages.collect()}
+    status = {names[r.uid]: r.status for r in sat.check(u.packages, resolved, fights).collect()}
+    # A foreign tool and any py do for another architecture, a plain package does not; `all` is of the native one.
+    assert {k for k, v in status.items() if v != "ok"} == {("wants:i386", "1")} and len(status) == 9
+    lib = {frozenset((names[r.lo], names[r.hi])) for r in fights.collect()}
+    one, two, other = ("lib:amd64", "1"), ("lib:amd64", "2"), ("lib:i386", "1")
+    assert lib == {frozenset((one, two)), frozenset((two, other))}  # one version in both architectures goes together
+    keep = spark.createDataFrame([("amd64", True, True), ("all", True, True), ("i386", True, True), ("amd64", False, True), ("amd64", True, False)], "arch string, installed boolean, hold boolean")
+    assert [r.k for r in keep.select(translate.debian_keep(F.col("arch"), F.col("installed"), F.col("hold"), "amd64").alias("k")).collect()] == ["version", "version", "none", "none", "none"]
