@@ -236,3 +236,14 @@ def truth(text: Column) -> Column:
 
 def on_hold(status: Column) -> Column:
     return F.split(F.trim(status), r"\s+")[0] == "hold"
+
+
+def rpm_atoms(texts: Column) -> Column:
+    """Array of struct(name, op, version) of texts such as `a`, `a[*]`, `a[== 1-2]` and `a[>= 2]`."""
+
+    def one(t: Column) -> Column:
+        op = F.regexp_extract(t, r"\[\s*(==|=|>=|<=|<|>)", 1)
+        version = F.nullif(F.regexp_extract(t, r"\[\s*[<>=]+\s*([^\]\s]+)\s*\]", 1), F.lit(""))
+        return F.struct(F.regexp_extract(t, r"^([^\[]*)", 1).alias("name"), F.when(version.isNotNull(), F.replace(op, F.lit("=="), F.lit("="))).alias("op"), version.alias("version"))
+
+    return F.transform(texts, one)

@@ -144,6 +144,16 @@ def rpm_equal(a: Column, b: Column) -> Column:
     return (x["epoch"] == y["epoch"]) & (x["version"] == y["version"]) & (open_ | (x["release"] == y["release"]))
 
 
+def rpm_overlaps(op: Column, key: Column, other_op: Column, other_key: Column) -> Column:
+    """Whether two ranges have a version in common; versions as rpm_key(), one without a release stands for all of them."""
+    bare = (F.size(key["release"]) == 0) | (F.size(other_key["release"]) == 0)
+    seen = lambda k: F.struct(k["epoch"].alias("epoch"), k["version"].alias("version"), F.when(bare, F.slice(k["release"], 1, 0)).otherwise(k["release"]).alias("release"))
+    x, y = seen(key), seen(other_key)
+    up, down, closed = (lambda o, ops=ops: o.isin(*ops) for ops in ((">", ">="), ("<", "<="), ("=", ">=", "<=")))
+    same_way = (up(op) & up(other_op)) | (down(op) & down(other_op))
+    return same_way | ((x == y) & closed(op) & closed(other_op)) | ((x < y) & (up(op) | down(other_op))) | ((x > y) & (down(op) | up(other_op)))
+
+
 def range_text(kind: Column, lo: Column, hi: Column) -> Column:
     """A range as text: `= v`, `a < . < b`, `v < .` and `. < v`."""
     return (

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from solvarium.operators.graphs import cone
+from solvarium.operators.graphs import cone, dependency_closure
 from solvarium.plans.lineage import cut
 
 BUDGET = 200_000
@@ -132,6 +132,28 @@ def strong_members(root: int, clauses: dict, conflicts: dict, budget: int = BUDG
     return sorted(out)
 
 
+def conflict_core(root: int, clauses: dict, conflicts: dict, budget: int = BUDGET) -> list[tuple[int, int, bool]]:
+    """(lo, hi, alone) of a least set of conflicts that keep `root` out: with these only it is broken, without any one of
+    them it is not; alone: it would go in if that one went from all there are. None if it isn't known to be broken. A
+    conflict whose part the budget doesn't tell stays."""
+
+    def status(pairs):
+        fight: dict[int, set] = {}
+        for p, q in pairs:
+            fight.setdefault(p, set()).add(q)
+            fight.setdefault(q, set()).add(p)
+        return search([root], [], clauses, fight, budget)
+
+    every = core = sorted({(min(p, q), max(p, q)) for p, own in conflicts.items() for q in own})
+    if status(every) is not None:
+        return []
+    for pair in every:
+        rest = [x for x in core if x != pair]
+        if status(rest) is None:
+            core = rest
+    return [(*pair, bool(status([x for x in every if x != pair]))) for pair in core]
+
+
 def _tables(row: dict) -> tuple[dict[int, list], dict[int, set]]:
     """The clauses and conflicts of one request's row, by package."""
     by: dict[int, list] = {}
@@ -301,6 +323,44 @@ def strong_conflicts(packages: DataFrame, resolved: DataFrame, conflicts: DataFr
     return said.select("repo", at[0].cast("int").alias("lo"), at[1].cast("int").alias("hi"), "status")
 
 
+def strong_conflict_roots(found: DataFrame, resolved: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """Strong conflicts found(repo, lo, hi) with the plain conflicts behind them: (repo, lo, hi, root_lo, root_hi, kind), a
+    row for each conflict between what the two force by clauses of one alternative. Kind: explicit, the pair itself;
+    conjunctive; or other, with null roots, where it takes more than that."""
+    found = cut(found.select("repo", "lo", "hi"))
+    ends = found.select("repo", F.explode(F.array("lo", "hi")).alias("uid")).distinct().withColumn("root", F.col("uid"))
+    forced = cut(dependency_closure(ends, resolved, conjunctive=True).select("repo", "root", "uid"))
+    both = conflicts.select("repo", F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b")), F.struct(F.col("hi").alias("a"), F.col("lo").alias("b")))).alias("c")).select("repo", F.col("c.a").alias("root_lo"), F.col("c.b").alias("root_hi"))
+    of = lambda end: forced.select("repo", F.col("root").alias(end), F.col("uid").alias(f"root_{end}"))
+    rows = found.join(of("lo"), ["repo", "lo"]).join(both, ["repo", "root_lo"]).join(of("hi"), ["repo", "hi", "root_hi"])
+    explicit = (F.col("lo") == F.col("root_lo")) & (F.col("hi") == F.col("root_hi"))
+    rows = rows.withColumn("kind", F.when(explicit, "explicit").otherwise("conjunctive"))
+    return found.join(rows, ["repo", "lo", "hi"], "left").select("repo", "lo", "hi", "root_lo", "root_hi", F.coalesce("kind", F.lit("other")).alias("kind"))
+
+
+def conflict_reasons(packages: DataFrame, resolved: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """(repo, uid, lo, hi, alone): which conflicts keep out the packages that are broken though every clause of their cone
+    can be met: conflict_core() of each."""
+    broken = cut(horn_broken(resolved))
+    asked, limit = cut(packages.select("repo", F.col("uid").alias("req"), F.array("uid").alias("need"))), BUDGET
+    dead, inside, fights, live = _cones(asked, resolved, conflicts, broken)
+    hard = cut(asked.join(fights.select("repo", "req").distinct(), ["repo", "req"], "left_semi"))
+    rows = _rows(hard, inside, fights, live)
+
+    def run(batches):
+        for batch in batches:
+            at, out = [], []
+            for k, r in enumerate(batch.to_pylist()):
+                core = conflict_core(r["req"], *_tables(r), limit)
+                at += [k] * len(core)
+                out += core
+            at, (lo, hi, alone) = pa.array(at, pa.int64()), (zip(*out) if out else ((), (), ()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(alone, pa.bool_())], names=["repo", "uid", "lo", "hi", "alone"])
+
+    kind = packages.schema["repo"].dataType.simpleString()
+    return rows.select("repo", "req", "clauses", "pairs").mapInArrow(run, f"repo {kind}, uid int, lo int, hi int, alone boolean")
+
+
 def useless_alternatives(deps: DataFrame, provs: DataFrame, packages: DataFrame, resolved: DataFrame, conflicts: DataFrame) -> DataFrame:
     """(repo, uid, clause, alt, status) of installable packages: alternatives that nothing provides, or that cannot be
     used; status unknown where the budget did not tell."""

@@ -205,3 +205,67 @@ def real_versions(numbers: DataFrame, numbered: DataFrame, unknown: str | None =
 def binaries(packages: DataFrame) -> DataFrame:
     """(source, source_ver, binaries): the names that are built from each source version, in order."""
     return packages.groupBy("source", "source_ver").agg(F.array_sort(F.collect_set("name")).alias("binaries"))
+
+
+def _rpm_atoms(packages: DataFrame, column: str) -> DataFrame:
+    """(repo, uid, own, at, name, op, version) of a column of functions.names.rpm_atoms()."""
+    rows = packages.select("repo", "uid", F.col("name").alias("own"), F.posexplode(column).alias("at", "a"))
+    return rows.select("repo", "uid", "own", "at", "a.*")
+
+
+def rpm_units(packages: DataFrame) -> DataFrame:
+    """(repo, name, op, version, key, ver): every version that a package has or provides, numbered from 2 within its name."""
+    from pyspark.sql import Window
+
+    own = packages.select("repo", "name", F.lit("=").alias("op"), "version")
+    said = own.unionByName(_rpm_atoms(packages, "provides").where("op IS NOT NULL").select("repo", "name", "op", "version")).distinct()
+    said = said.withColumn("key", versions.rpm_key(F.col("version")))
+    return said.withColumn("ver", F.dense_rank().over(Window.partitionBy("repo", "name").orderBy("key", "version", "op")) + 1)
+
+
+def rpm_expanded(atoms: DataFrame, units: DataFrame) -> DataFrame:
+    """`atoms` with an `= ver` for each unit whose range has a version in common with theirs, `= 1` if there is none, and
+    `any` for those without a version."""
+    cols = [c for c in atoms.columns if c not in ("op", "version")]
+    asked = atoms.where("op IS NOT NULL").withColumn("want", versions.rpm_key(F.col("version")))
+    have = units.select("repo", "name", F.col("op").alias("have_op"), F.col("key").alias("have"), "ver")
+    hits = asked.join(have, ["repo", "name"], "left")
+    met = F.when(versions.rpm_overlaps(F.col("have_op"), F.col("have"), F.col("op"), F.col("want")), F.col("ver"))
+    # One row an atom holds its units' numbers, so that an atom without any is told from the same rows.
+    found = hits.groupBy(*cols, "op", "version").agg(F.collect_set(met).alias("vers"))
+    found = found.select(*cols, F.lit("=").alias("op"), F.explode(F.when(F.size("vers") > 0, F.col("vers")).otherwise(F.array(F.lit(1)))).alias("ver"))
+    return found.unionByName(atoms.where("op IS NULL").select(*cols, F.lit("any").alias("op"), F.lit(0).alias("ver")))
+
+
+def rpm(packages: DataFrame) -> Universe:
+    """A universe of rpm records: packages(repo, uid, name, version, provides, requires, obsoletes, conflicts, files), atoms as
+    functions.names.rpm_atoms() gives them, files an array of names.
+
+    Constraints become lists of versions that are there. A package needs neither itself nor what it provides, obsoletes
+    or holds as a file; files are provided where some package asks for them.
+    """
+    packages = packages.withColumn("installed", F.lit(False)) if "installed" not in packages.columns else packages
+    units = rpm_units(packages)
+    needs, fights, gives = (_rpm_atoms(packages, c) for c in ("requires", "conflicts", "provides"))
+    files = packages.select("repo", "uid", F.explode("files").alias("name")).distinct()
+    own = gives.unionByName(_rpm_atoms(packages, "obsoletes")).select("repo", "uid", "name").unionByName(files).distinct()
+    deps = rpm_expanded(needs.where("name <> own").join(own, ["repo", "uid", "name"], "left_anti").select(*needs.columns), units)
+    confs = rpm_expanded(fights, units)
+    asked = needs.select("repo", "name").unionByName(fights.select("repo", "name")).distinct()
+    real = packages.join(units.where("op = '='").select("repo", "name", "version", "ver"), ["repo", "name", "version"])
+    ver = F.when(F.col("op") != "any", F.col("ver")).alias("ver")
+    provs = rpm_expanded(gives, units).select("repo", "uid", "name", ver)
+    provs = provs.unionByName(files.join(asked, ["repo", "name"], "left_semi").select("repo", "uid", "name", F.lit(None).cast("int").alias("ver")))
+    return Universe(
+        real.select("repo", "uid", "name", "ver", "version", "installed"),
+        deps.select("repo", "uid", F.col("at").alias("clause"), (F.col("ver")).alias("alt"), "name", "op", "ver"),
+        confs.select("repo", "uid", "name", "op", "ver").distinct(),
+        real.select("repo", "uid", "name", "ver").unionByName(provs).distinct(),
+    )
+
+
+def file_conflicts(packages: DataFrame) -> DataFrame:
+    """(repo, lo, hi): packages that hold a file of the same name, other versions of one name and itself included."""
+    files = packages.select("repo", "uid", F.explode("files").alias("file")).distinct()
+    pairs = files.withColumnRenamed("uid", "lo").join(files.withColumnRenamed("uid", "hi"), ["repo", "file"]).where("lo < hi")
+    return pairs.select("repo", "lo", "hi").distinct()

@@ -329,6 +329,38 @@ def essential_clauses(spark, sf_dir):
     return said.select("repo", F.concat(F.lit("q"), F.substring("name", 2, 9)).alias("k"), "target")
 
 
+@query(
+    ", ce AS (SELECT DISTINCT repo, uid AS src, target AS dst FROM (SELECT repo, uid, clause, max(target) AS target FROM (SELECT DISTINCT repo, uid, clause, target FROM fx_alt) GROUP BY ALL HAVING count(*) = 1) WHERE uid <> target),"
+    " w(repo, root, uid) AS (SELECT repo, uid, uid FROM fx_pkg UNION SELECT w.repo, w.root, e.dst FROM w JOIN ce e ON e.repo = w.repo AND e.src = w.uid),"
+    " sc AS (SELECT a.repo, a.uid AS lo, b.uid AS hi FROM (SELECT * FROM fx_strong JOIN fx_pkg USING (repo, uid)) a JOIN (SELECT * FROM fx_strong JOIN fx_pkg USING (repo, uid)) b ON a.repo = b.repo AND a.uid < b.uid"
+    "   WHERE NOT EXISTS (SELECT 1 FROM fx_valid v WHERE v.repo = a.repo AND (v.s & (a.bit | b.bit)) = (a.bit | b.bit))),"
+    " cf AS (SELECT repo, uid, other FROM fx_conflict UNION SELECT repo, other, uid FROM fx_conflict),"
+    " r AS (SELECT sc.repo, lo, hi, x.uid AS root_lo, y.uid AS root_hi FROM sc JOIN w x ON x.repo = sc.repo AND x.root = lo JOIN w y ON y.repo = sc.repo AND y.root = hi JOIN cf ON cf.repo = sc.repo AND cf.uid = x.uid AND cf.other = y.uid),"
+    " t AS (SELECT *, CASE WHEN lo = root_lo AND hi = root_hi THEN 'explicit' ELSE 'conjunctive' END AS kind FROM r UNION ALL SELECT repo, lo, hi, NULL, NULL, 'other' FROM sc ANTI JOIN r USING (repo, lo, hi))"
+    " SELECT repo, root_lo, root_hi, kind, string_agg(lo || '~' || hi, ',' ORDER BY lo, hi) AS pairs FROM t GROUP BY ALL",
+    True,
+)
+def strong_conflict_groups(spark, sf_dir):
+    """Strong conflicts by the plain conflict behind them."""
+    _, packages, deps, confs = resolved(spark, sf_dir)
+    found = sat.strong_conflicts(packages, deps, confs).where("status = 'broken'")
+    rows = sat.strong_conflict_roots(found, deps, confs)
+    pairs = F.array_join(F.array_sort(F.collect_list(F.concat_ws("~", "lo", "hi"))), ",").alias("pairs")
+    return rows.groupBy("repo", "root_lo", "root_hi", "kind").agg(pairs)
+
+
+@query(
+    ", fp AS (SELECT DISTINCT x.repo, least(x.uid, x.other) AS lo, greatest(x.uid, x.other) AS hi FROM fx_conflict x),"
+    " fb AS (SELECT fp.*, a.bit | b.bit AS both FROM fp JOIN fx_pkg a ON a.repo = fp.repo AND a.uid = lo JOIN fx_pkg b ON b.repo = fp.repo AND b.uid = hi),"
+    " one AS (SELECT c.repo, c.s, max(lo) AS lo, max(hi) AS hi FROM fx_closed c JOIN fb ON fb.repo = c.repo AND (c.s & both) = both GROUP BY ALL HAVING count(*) = 1)"
+    " SELECT DISTINCT p.repo, p.uid, one.lo, one.hi FROM fx_pkg p ANTI JOIN fx_strong USING (repo, uid) JOIN one ON one.repo = p.repo AND (one.s & p.bit) <> 0"
+)
+def decisive_conflicts(spark, sf_dir):
+    """Conflicts that alone keep a package out."""
+    _, packages, deps, confs = resolved(spark, sf_dir)
+    return sat.conflict_reasons(packages, deps, confs).where("alone").select("repo", "uid", "lo", "hi")
+
+
 _FUTURES = """
 , ask AS (SELECT repo, name, op, ver FROM fx_dep WHERE op <> 'any' UNION SELECT repo, name, op, ver FROM fx_conf),
 mem AS (SELECT repo, concat('n', pk % 4) AS cluster, uid FROM fx_pkg),

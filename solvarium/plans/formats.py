@@ -295,3 +295,54 @@ def preference_reading(spark, sf_dir):
     pin = F.when(size % 3 == 0, "version 1.*").otherwise("release a=stable")
     text = F.concat(F.lit("Package: "), F.when(size % 2 == 0, F.concat(F.lit("pkg"), k)).otherwise("*"), F.lit("\nPin: "), pin, F.lit("\nPin-Priority: "), k % 1000)
     return stanzas.preferences(parts(spark, sf_dir).select(stanzas.fields(text).alias("fields")))
+
+
+_RPM = """
+WITH p AS (SELECT CAST(p_partkey AS INT) AS k, p_partkey // 50 AS repo, 'n' || p_partkey % 7 AS name, p_size AS s, p_partkey % 2 AS r FROM part),
+g AS (SELECT p.*, 'v' || s % 3 AS o FROM p WHERE s % 2 = 0),
+u AS (SELECT repo, name, s, r, dense_rank() OVER (PARTITION BY repo, name ORDER BY s, r) + 1 AS ver FROM (SELECT repo, name, s, r FROM p UNION SELECT repo, o, s, -1 FROM g)),
+d AS (SELECT p.*, 0 AS pos, 'n' || (k + 1) % 7 AS o, CASE k % 4 WHEN 0 THEN '>=' WHEN 1 THEN '<' WHEN 2 THEN '=' END AS op, s AS v, CASE WHEN s % 2 = 0 THEN -1 ELSE 0 END AS w FROM p
+  UNION ALL SELECT p.*, 1, name, NULL, 0, 0 FROM p UNION ALL SELECT p.*, 2, '/f' || k % 3, NULL, 0, 0 FROM p UNION ALL SELECT p.*, 3, 'v' || k % 3, '>', 30, -1 FROM p),
+n AS (SELECT * FROM d WHERE o <> name AND NOT (k % 5 = 0 AND o = 'n' || (k + 1) % 7) AND o <> '/f' || s % 4 AND NOT (s % 2 = 0 AND o = 'v' || s % 3)),
+c AS (SELECT p.*, 0 AS pos, 'n' || (k + 2) % 7 AS o, '<=' AS op, s - 1 AS v, -1 AS w FROM p),
+x AS (SELECT 'need' AS kind, * FROM n UNION ALL SELECT 'conflict', * FROM c),
+cmp AS (SELECT x.kind, x.k, x.pos, x.o, x.op, u.ver, CASE WHEN u.s <> x.v THEN sign(u.s - x.v) WHEN u.r < 0 OR x.w < 0 THEN 0 ELSE sign(u.r - x.w) END AS z FROM x JOIN u ON u.repo = x.repo AND u.name = x.o WHERE x.op IS NOT NULL),
+hit AS (SELECT * FROM cmp WHERE CASE op WHEN '>=' THEN z >= 0 WHEN '>' THEN z > 0 WHEN '<' THEN z < 0 WHEN '<=' THEN z <= 0 ELSE z = 0 END)
+SELECT kind, k, o AS name, CASE WHEN op IS NULL THEN 'any' ELSE '=' END AS op, CASE WHEN op IS NULL THEN 0 ELSE 1 END AS ver FROM x ANTI JOIN hit USING (kind, k, pos)
+UNION ALL SELECT kind, k, o, '=', ver FROM hit
+UNION ALL SELECT 'provide', k, name, NULL, ver FROM p JOIN u USING (repo, name, s, r)
+UNION ALL SELECT 'provide', g.k, g.o, NULL, u.ver FROM g JOIN u ON u.repo = g.repo AND u.name = g.o AND u.s = g.s
+UNION ALL SELECT 'provide', k, '/f' || s % 4, NULL, NULL FROM p WHERE EXISTS (SELECT 1 FROM p q WHERE q.repo = p.repo AND q.k % 3 = p.s % 4)
+"""
+
+
+def rpm_packages(spark, sf_dir):
+    k, size = columns()
+    n, v = (lambda x: F.concat(F.lit("n"), x % 7)), (lambda x: F.concat(F.lit("v"), x % 3))
+    some = lambda when, text: F.when(when, F.array(text)).otherwise(F.array().cast("array<string>"))
+    op = F.when(k % 4 == 0, ">=").when(k % 4 == 1, "<").otherwise("==")
+    want = F.concat(n(k + 1), F.lit("["), op, F.lit(" "), size, F.when(size % 2 == 0, "").otherwise("-0"), F.lit("]"))
+    needs = F.array(F.when(k % 4 == 3, n(k + 1)).otherwise(want), n(k), F.concat(F.lit("/f"), k % 3), F.concat(v(k), F.lit("[> 30]")))
+    return parts(spark, sf_dir).select(
+        F.floor(k / 50).alias("repo"),
+        k.cast("int").alias("uid"),
+        n(k).alias("name"),
+        F.concat(size, F.lit("-"), k % 2).alias("version"),
+        names.rpm_atoms(some(size % 2 == 0, F.concat(v(size), F.lit("[== "), size, F.lit("]")))).alias("provides"),
+        names.rpm_atoms(needs).alias("requires"),
+        names.rpm_atoms(some(k % 5 == 0, F.concat(n(k + 1), F.lit("[*]")))).alias("obsoletes"),
+        names.rpm_atoms(F.array(F.concat(n(k + 2), F.lit("[<= "), size - 1, F.lit("]")))).alias("conflicts"),
+        F.array(F.concat(F.lit("/f"), size % 4), F.concat(F.lit("/g"), k)).alias("files"),
+    )
+
+
+@query(_RPM)
+def rpm_translation(spark, sf_dir):
+    u = translate.rpm(rpm_packages(spark, sf_dir))
+    rows = lambda kind, df, op: df.select(F.lit(kind).alias("kind"), F.col("uid").alias("k"), "name", op.alias("op"), "ver")
+    return rows("need", u.deps, F.col("op")).unionByName(rows("conflict", u.confs, F.col("op"))).unionByName(rows("provide", u.provs, F.lit(None).cast("string")))
+
+
+@query("SELECT DISTINCT a.p_partkey // 50 AS repo, CAST(a.p_partkey AS INT) AS lo, CAST(b.p_partkey AS INT) AS hi FROM part a JOIN part b ON a.p_partkey // 50 = b.p_partkey // 50 AND a.p_partkey < b.p_partkey AND a.p_size % 4 = b.p_size % 4")
+def rpm_file_conflicts(spark, sf_dir):
+    return translate.file_conflicts(rpm_packages(spark, sf_dir))

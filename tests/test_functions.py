@@ -98,3 +98,12 @@ def test_rpm_and_parts(spark):
     df = spark.createDataFrame([(v,) for v in up], "v string")
     got = [r.v for r in df.orderBy(versions.rpm_key(F.col("v"))).collect()]
     assert got == ["1.0", "1.0.a", "1.0.1", "1.1", "1.10", "1:0.1"]
+
+
+def test_rpm_ranges_overlap_where_some_version_is_in_both(spark):
+    ops = {"=": lambda p, v: p == v, ">=": lambda p, v: p >= v, ">": lambda p, v: p > v, "<=": lambda p, v: p <= v, "<": lambda p, v: p < v}
+    rows = [(a, str(v), b, str(w), any(ops[a](p / 2, v) and ops[b](p / 2, w) for p in range(10))) for a in ops for b in ops for v in (1, 2, 3) for w in (1, 2, 3)]
+    rows += [("=", "2", "=", "2-1", True), ("=", "2-1", ">", "2", False), ("=", "2-1", ">", "2-0", True), ("=", "1:1", "<", "2", False), ("=", "0:1", "=", "1-7", True)]
+    df = spark.createDataFrame(rows, "a string, v string, b string, w string, want boolean")
+    key = lambda c: versions.rpm_key(F.col(c))
+    assert df.where(versions.rpm_overlaps(F.col("a"), key("v"), F.col("b"), key("w")) != F.col("want")).collect() == []

@@ -443,3 +443,26 @@ def test_several_architectures(spark, tmp_path):
     assert lib == {frozenset((one, two)), frozenset((two, other))}  # one version in both architectures goes together
     keep = spark.createDataFrame([("amd64", True, True), ("all", True, True), ("i386", True, True), ("amd64", False, True), ("amd64", True, False)], "arch string, installed boolean, hold boolean")
     assert [r.k for r in keep.select(translate.debian_keep(F.col("arch"), F.col("installed"), F.col("hold"), "amd64").alias("k")).collect()] == ["version", "version", "none", "none", "none"]
+
+
+def test_conflict_cores_are_least_and_enough():
+    seen = 0
+    for seed in range(300):
+        clauses, conflicts = random_repository(seed)
+        by, fight = {}, {}
+        for p, _, any_ in clauses:
+            by.setdefault(p, []).append(any_)
+        for a, b in conflicts:
+            fight.setdefault(a, set()).add(b)
+        works = lambda root, pairs: any(root in s for s in valid_sets(clauses, pairs))  # noqa: B023, E731
+        for root in range(0, 7, 2):
+            core = sat.conflict_core(root, by, fight)
+            pairs = {(lo, hi) for lo, hi, _ in core}
+            if not core:
+                assert works(root, conflicts) or not works(root, ())
+                continue
+            seen += len(core) > 1
+            assert pairs <= conflicts and not works(root, pairs)
+            assert all(works(root, pairs - {x}) for x in pairs)
+            assert all(alone == works(root, conflicts - {(lo, hi)}) for lo, hi, alone in core)
+    assert seen > 3
