@@ -351,8 +351,8 @@ def strong_conflict_groups(spark, sf_dir):
 
 @query(
     ", fp AS (SELECT DISTINCT x.repo, least(x.uid, x.other) AS lo, greatest(x.uid, x.other) AS hi FROM fx_conflict x),"
-    " fb AS (SELECT fp.*, a.bit | b.bit AS both FROM fp JOIN fx_pkg a ON a.repo = fp.repo AND a.uid = lo JOIN fx_pkg b ON b.repo = fp.repo AND b.uid = hi),"
-    " one AS (SELECT c.repo, c.s, max(lo) AS lo, max(hi) AS hi FROM fx_closed c JOIN fb ON fb.repo = c.repo AND (c.s & both) = both GROUP BY ALL HAVING count(*) = 1)"
+    " fb AS (SELECT fp.*, a.bit | b.bit AS bits FROM fp JOIN fx_pkg a ON a.repo = fp.repo AND a.uid = lo JOIN fx_pkg b ON b.repo = fp.repo AND b.uid = hi),"
+    " one AS (SELECT c.repo, c.s, max(lo) AS lo, max(hi) AS hi FROM fx_closed c JOIN fb ON fb.repo = c.repo AND (c.s & bits) = bits GROUP BY ALL HAVING count(*) = 1)"
     " SELECT DISTINCT p.repo, p.uid, one.lo, one.hi FROM fx_pkg p ANTI JOIN fx_strong USING (repo, uid) JOIN one ON one.repo = p.repo AND (one.s & p.bit) <> 0"
 )
 def decisive_conflicts(spark, sf_dir):
