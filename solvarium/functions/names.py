@@ -247,3 +247,10 @@ def rpm_atoms(texts: Column) -> Column:
         return F.struct(F.regexp_extract(t, r"^([^\[]*)", 1).alias("name"), F.when(version.isNotNull(), F.replace(op, F.lit("=="), F.lit("="))).alias("op"), version.alias("version"))
 
     return F.transform(texts, one)
+
+
+def criteria_field(field: Column, pattern: Column, sep: str = "=") -> Column:
+    """The property that stands for a match of `pattern` in `field`: x-<field in lower case, other signs as dashes>-<first
+    eight hex digits of the MD5 of field, sep and pattern>."""
+    bare = F.regexp_replace(F.lower(field), "[^0-9a-z-]", "-")
+    return F.concat(F.lit("x-"), bare, F.lit("-"), F.substring(F.md5(F.concat(field, F.lit(sep), pattern)), 1, 8))

@@ -346,3 +346,9 @@ def rpm_translation(spark, sf_dir):
 @query("SELECT DISTINCT a.p_partkey // 50 AS repo, CAST(a.p_partkey AS INT) AS lo, CAST(b.p_partkey AS INT) AS hi FROM part a JOIN part b ON a.p_partkey // 50 = b.p_partkey // 50 AND a.p_partkey < b.p_partkey AND a.p_size % 4 = b.p_size % 4")
 def rpm_file_conflicts(spark, sf_dir):
     return translate.file_conflicts(rpm_packages(spark, sf_dir))
+
+
+@query("SELECT p_partkey, 'x-' || regexp_replace(lower(p_brand), '[^0-9a-z-]', '-', 'g') || '-' || md5(p_brand || '=' || p_name)[:8] AS field FROM part")
+def criteria_fields(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return rows.select("p_partkey", names.criteria_field(F.col("p_brand"), F.col("p_name")).alias("field"))
