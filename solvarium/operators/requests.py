@@ -1,121 +1,199 @@
-"""Install and remove requests with lexicographic criteria, solved per independent component of what they concern."""
+"""Install, remove and upgrade requests under lexicographic criteria, solved per independent component of what they
+concern.
+
+A component's packages, clauses and conflicts are one row. The criteria become one weight for each package that doesn't
+stay as the criteria want it, in a mixed radix, so that the least sum of weights is the lexicographic optimum. The helper
+`clauses.cheapest` finds sets of choices that can't hold together, and the cheapest way to break all of them.
+"""
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from solvarium.operators import graphs
+from solvarium.operators.clauses import Sat, cheapest
+from solvarium.operators.model import upgrade_floor
 from solvarium.plans.lineage import cut
 
-BUDGET = 300_000
-CRITERIA = ("removed", "new", "changed", "installed")
+#: Conflicts that one question to the solver may take; None: as many as it needs, so every request is decided.
+LIMIT: int | None = None
+CRITERIA = ("removed", "new", "changed", "installed", "notuptodate")
+
+
+def total_of(criterion: str) -> str | None:
+    """The column whose total over the answer `sum:column` makes least."""
+    return criterion[4:] if criterion.startswith("sum:") else None
 
 
-def best(packages: dict[int, bool], clauses: list[tuple[int, tuple[int, ...]]], conflicts: list[tuple[int, int]], items: list[tuple[bool, tuple[int, ...]]], criteria: tuple[str, ...], budget: int = BUDGET):
-    """Least counts, in the order of `criteria`, over all valid sets that meet the request; None if there is none, and
-    a string beyond the budget. packages: uid -> installed; items: (wanted, uids): one of them in, or all of them out.
+def best(packages: dict[int, dict], clauses: list[tuple[int, tuple[int, ...]]], conflicts: list[tuple[int, int]], items: list[tuple[str, tuple[int, ...]]], criteria: tuple[str, ...], limit: int | None = None):
+    """(least counts in the order of `criteria`, the uids of an answer that has them) over all valid sets that meet the
+    request; None if there is none, and a string beyond the limit.
 
-    Branch and bound, package by package, on a stack of (decided, inside, outside, removed, new) with sets as bit masks.
+    packages: uid -> installed, and where criteria ask for them name, newest and the columns of totals. items: (action,
+    uids): install takes one of them in, upgrade exactly one, remove leaves all of them out.
     """
-    order = sorted(packages)
-    bit = {p: 1 << k for k, p in enumerate(order)}
-    mask = lambda uids: sum(bit[p] for p in set(uids) if p in bit)
-    need: dict[int, list[int]] = {}
-    named: dict[int, list[tuple[int, int]]] = {}
-    for p, any_ in clauses:
-        need.setdefault(p, []).append(mask(any_))
-        for q in set(any_):
-            named.setdefault(q, []).append((bit[p], mask(any_)))
-    fight: dict[int, int] = {}
-    for a, b in conflicts:
-        fight[a] = fight.get(a, 0) | bit[b]
-        fight[b] = fight.get(b, 0) | bit[a]
-    banned = mask(p for wanted, uids in items if not wanted for p in uids)
-    wants = [mask(uids) for wanted, uids in items if wanted]
-    if not all(wants):
-        return None
-    least, steps, stack = None, 0, [(0, 0, 0, 0, 0)]
-
-    def cost(inside: int, removed: int, new: int) -> tuple[int, ...]:
-        by = {"removed": removed, "new": new, "changed": removed + new, "installed": inside.bit_count()}
-        return tuple(by[c] for c in criteria)
-
-    while stack:
-        k, inside, outside, removed, new = stack.pop()
-        steps += 1
-        if steps > budget:
-            return "unknown"
-        if least is not None and cost(inside, removed, new) >= least:
+    uids = sorted(packages)
+    var = {p: k + 1 for k, p in enumerate(uids)}
+    of = lambda ps: [var[p] for p in dict.fromkeys(ps) if p in var]
+    hard = [[-var[p], *of(any_)] for p, any_ in clauses] + [[-var[a], -var[b]] for a, b in conflicts]
+    for action, ps in items:
+        if action == "remove":
+            hard += [[-v] for v in of(ps)]
             continue
-        if k == len(order):
-            least = cost(inside, removed, new)
-            continue
-        p = order[k]
-        out = outside | bit[p]
-        take = not (bit[p] & banned or fight.get(p, 0) & inside) and all(c & ~outside for c in need.get(p, ()))
-        leave = all(w & ~out for w in wants) and all(c & ~out for owner, c in named.get(p, ()) if owner & inside)
-        ways = [(k + 1, inside | bit[p], outside, removed, new + (not packages[p]))] * take
-        other = [(k + 1, inside, out, removed + packages[p], new)] * leave
-        stack += other + ways if packages[p] else ways + other  # the last one is tried first
-    return least
+        hard.append(of(ps))
+        if action == "upgrade":
+            hard += [[-a, -b] for k, a in enumerate(of(ps)) for b in of(ps)[:k]]
+    names: dict = {}
+    if "notuptodate" in criteria:
+        for p in uids:
+            names.setdefault(packages[p]["name"], []).append(p)
+    stale = {name: len(uids) + 1 + k for k, name in enumerate(names)}  # true where only old versions of a name are in
+    for name, ps in names.items():
+        newest = [var[p] for p in ps if packages[p]["newest"]]
+        hard += [[-var[p], *newest, stale[name]] for p in ps if not packages[p]["newest"]]
 
+    def counts(inside: set[int]) -> tuple[int, ...]:
+        removed = sum(packages[p]["installed"] and p not in inside for p in uids)
+        new = sum(not packages[p]["installed"] for p in inside)
+        by = {"removed": removed, "new": new, "changed": removed + new, "installed": len(inside)}
+        if names:
+            by["notuptodate"] = sum(any(p in inside for p in ps) and not any(p in inside and packages[p]["newest"] for p in ps) for ps in names.values())
+        return tuple(by[c] if c in by else sum(packages[p][total_of(c)] or 0 for p in inside) for c in criteria)
 
-def optimise(packages: DataFrame, resolved: DataFrame, conflicts: DataFrame, request: DataFrame, criteria: tuple[str, ...] = ("removed", "changed")) -> DataFrame:
-    """(repo, status, *criteria) of the best answer to request(repo, action, item, uid) with action install or remove; an
-    item of install is met by any of its uids. Status ok, none (no answer) or unknown (beyond the budget); counts are
-    null unless it is ok.
+    weight: dict[int, int] = {}
+    scale = 1
+    for c in reversed(criteria):
+        own: dict[int, int] = {}  # by the literal that costs
+        for p in uids:
+            there = packages[p]["installed"]
+            if there and c in ("removed", "changed"):
+                own[-var[p]] = 1
+            elif c == "installed" or not there and c in ("new", "changed"):
+                own[var[p]] = 1
+            elif total_of(c):
+                own[var[p]] = int(packages[p][total_of(c)] or 0)
+        if c == "notuptodate":
+            own = dict.fromkeys(stale.values(), 1)
+        if min(own.values(), default=0) < 0:
+            raise ValueError(f"{c} is negative for some package")
+        for lit, w in own.items():
+            weight[lit] = weight.get(lit, 0) + scale * w
+        scale *= sum(own.values()) + 1
+    soft = {}
+    for lit, w in weight.items():
+        if w > weight.get(-lit, 0):
+            soft[-lit] = w - weight.get(-lit, 0)
+    sat = Sat(len(uids) + len(stale), hard, [var[p] for p in uids if packages[p]["installed"]])
+    said = cheapest(sat, soft, limit)
+    if not said:
+        return None if said is False else "unknown"
+    inside = {p for p in uids if sat.val[var[p]] > 0}
+    return counts(inside), sorted(inside)
 
-    What the request can concern is the cone of the requested and the installed packages. It falls into components by
-    dependency, conflict and item, which are answered each in a row of its own: counts add up, so least counts of the
-    components give the least of the repository.
-    """
-    if set(criteria) - set(CRITERIA):
-        raise ValueError(f"criteria are {CRITERIA}")
+
+def upgrades(packages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Request rows (repo, action, item, uid) that upgrade wanted(repo, item, name): exactly one version, no less than the
+    highest installed one, and no lower one beside it. A name of which nothing is installed takes any version; a name
+    that has no package gives no row."""
+    floor = upgrade_floor(packages).withColumnRenamed("ver", "least")
+    rows = packages.join(wanted.select("repo", "item", "name"), ["repo", "name"]).join(floor, ["repo", "name"], "left")
+    action = F.when(F.coalesce(F.col("ver") >= F.col("least"), F.lit(True)), "upgrade").otherwise("remove")
+    return rows.select("repo", action.alias("action"), "item", "uid")
+
+
+def _answers(packages: DataFrame, resolved: DataFrame, conflicts: DataFrame, request: DataFrame, criteria: tuple[str, ...]) -> DataFrame:
+    """(repo, status, *criteria, chosen) of each component: chosen are the uids of its answer."""
+    totals = [c for c in map(total_of, criteria) if c]
+    if not criteria or {c for c in criteria if not total_of(c)} - set(CRITERIA):
+        raise ValueError(f"criteria are {CRITERIA} and sum:column")
     request = cut(request.select("repo", "action", "item", "uid").distinct())
     asked = request.select("repo").distinct()
     packages = packages.join(asked, "repo", "left_semi")
+    fresh = "notuptodate" in criteria
+    if fresh:
+        top = F.max("ver").over(Window.partitionBy("repo", "name"))
+        packages = packages.withColumn("newest", F.col("ver") == top)
+    details = ["uid", "installed", *(["name", "newest"] if fresh else []), *totals]
+    packages = cut(packages.select("repo", *dict.fromkeys(details)))
     edges = cut(graphs.dependency_edges(resolved.join(asked, "repo", "left_semi")))
-    roots = packages.where("installed").select("repo", "uid").unionByName(request.where("action = 'install'").select("repo", "uid")).distinct()
-    inside = cut(graphs.cone(roots.withColumn("root", F.lit(0)), edges).select("repo", "uid"))
+    roots = packages.where("installed").select("repo", "uid").unionByName(request.where("action <> 'remove'").select("repo", "uid"))
+    leads = edges
+    if fresh:  # the newest version of whatever may be in can come in for its own sake
+        newest = packages.where("newest").select("repo", "name", F.col("uid").alias("dst"))
+        leads = cut(edges.unionByName(packages.join(newest, ["repo", "name"]).select("repo", F.col("uid").alias("src"), "dst")))
+    inside = cut(graphs.cone(roots.distinct().withColumn("root", F.lit(0)), leads).select("repo", "uid"))
     of = lambda c: inside.withColumnRenamed("uid", c)
     pairs = cut(conflicts.join(of("lo"), ["repo", "lo"], "left_semi").join(of("hi"), ["repo", "hi"], "left_semi").select("repo", "lo", "hi"))
-    wanted = request.where("action = 'install'")
-    first = wanted.groupBy("repo", "item").agg(F.min("uid").alias("dst"))
+    wanted = request.where("action <> 'remove'")
+    tied = lambda rows, *by: rows.join(rows.groupBy("repo", *by).agg(F.min("uid").alias("dst")), ["repo", *by]).select("repo", F.col("uid").alias("src"), "dst")
     ties = edges.join(of("src"), ["repo", "src"], "left_semi").select("repo", "src", "dst")
-    ties = ties.unionByName(pairs.select("repo", F.col("lo").alias("src"), F.col("hi").alias("dst")))
-    ties = ties.unionByName(wanted.join(first, ["repo", "item"]).select("repo", F.col("uid").alias("src"), "dst"))
+    ties = ties.unionByName(pairs.select("repo", F.col("lo").alias("src"), F.col("hi").alias("dst"))).unionByName(tied(wanted, "item"))
+    if fresh:
+        ties = ties.unionByName(tied(packages.join(inside, ["repo", "uid"], "left_semi"), "name"))
     part = cut(graphs.components(inside, ties))
 
-    lists = packages.join(part, ["repo", "uid"]).groupBy("repo", "component").agg(F.collect_list(F.struct("uid", "installed")).alias("packages"))
+    lists = packages.join(part, ["repo", "uid"]).groupBy("repo", "component").agg(F.collect_list(F.struct(*dict.fromkeys(details))).alias("packages"))
     c = resolved.join(part, ["repo", "uid"]).groupBy("repo", "component", "uid", "clause").agg(F.collect_list("target").alias("any"))
     c = c.groupBy("repo", "component").agg(F.collect_list(F.struct("uid", "any")).alias("clauses"))
     x = pairs.join(part.withColumnRenamed("uid", "lo"), ["repo", "lo"]).groupBy("repo", "component").agg(F.collect_list(F.struct("lo", "hi")).alias("pairs"))
     r = request.join(part, ["repo", "uid"]).groupBy("repo", "component", "action", "item").agg(F.collect_list("uid").alias("uids"))
     r = r.groupBy("repo", "component").agg(F.collect_list(F.struct("action", "uids")).alias("items"))
-    keys = ["repo", "component"]
+    keys, limit = ["repo", "component"], LIMIT
     rows = lists.join(c, keys, "left").join(x, keys, "left").join(r, keys, "left").select("repo", "packages", "clauses", "pairs", "items")
 
     def run(batches):
         for batch in batches:
-            status, out = [], [[] for _ in criteria]
+            status, out, chosen = [], [[] for _ in criteria], []
             for row in batch.to_pylist():
                 said = best(
-                    {p["uid"]: p["installed"] for p in row["packages"]},
+                    {p["uid"]: p for p in row["packages"]},
                     [(k["uid"], tuple(k["any"])) for k in row["clauses"] or ()],
                     [(k["lo"], k["hi"]) for k in row["pairs"] or ()],
-                    [(k["action"] == "install", tuple(k["uids"])) for k in row["items"] or ()],
+                    [(k["action"], tuple(k["uids"])) for k in row["items"] or ()],
                     criteria,
+                    limit,
                 )
-                status.append("none" if said is None else "ok" if isinstance(said, tuple) else said)
-                for column, v in zip(out, said if isinstance(said, tuple) else [None] * len(criteria)):
+                found = isinstance(said, tuple)
+                status.append("ok" if found else said or "none")
+                chosen.append(said[1] if found else None)
+                for column, v in zip(out, said[0] if found else [None] * len(criteria)):
                     column.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(status, pa.string()), *(pa.array(v, pa.int64()) for v in out)], names=["repo", "status", *criteria])
+            columns = [batch.column(0), pa.array(status, pa.string()), *(pa.array(v, pa.int64()) for v in out), pa.array(chosen, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["repo", "status", *criteria, "chosen"])
 
     kind = packages.schema["repo"].dataType.simpleString()
-    each = rows.mapInArrow(run, ", ".join([f"repo {kind}", "status string", *(f"{k} long" for k in criteria)]))
+    return rows.mapInArrow(run, ", ".join([f"repo {kind}", "status string", *(f"`{k}` long" for k in criteria), "chosen array<int>"]))
+
+
+def _status():
     has = lambda s: F.bool_or(F.col("status") == s)
-    status = F.when(has("none"), "none").when(has("unknown"), "unknown").otherwise("ok")
-    whole = each.groupBy("repo").agg(status.alias("s"), *[F.sum(k).alias(k) for k in criteria])
-    return whole.select("repo", F.col("s").alias("status"), *[F.when(F.col("s") == "ok", F.col(k)).alias(k) for k in criteria])
+    return F.when(has("none"), "none").when(has("unknown"), "unknown").otherwise("ok").alias("s")
+
+
+def optimise(packages: DataFrame, resolved: DataFrame, conflicts: DataFrame, request: DataFrame, criteria: tuple[str, ...] = ("removed", "changed")) -> DataFrame:
+    """(repo, status, *criteria) of the best answer to request(repo, action, item, uid); actions are install, upgrade and
+    remove, and an item of the first two is met by any of its uids. Status ok, none (no answer) or unknown (beyond
+    LIMIT); counts are null unless it is ok. Criteria: removed, new, changed, installed, notuptodate (names of which only
+    old versions are in), and sum:column for a column of `packages` that is nowhere negative.
+
+    What the request can concern is the cone of the requested and the installed packages. It falls into components by
+    dependency, conflict and item, which are answered each in a row of its own: counts add up, so least counts of the
+    components give the least of the repository.
+    """
+    each = _answers(packages, resolved, conflicts, request, criteria)
+    whole = each.groupBy("repo").agg(_status(), *[F.sum(f"`{k}`").alias(k) for k in criteria])
+    return whole.select("repo", F.col("s").alias("status"), *[F.when(F.col("s") == "ok", F.col(f"`{k}`")).alias(k) for k in criteria])
+
+
+def solution(packages: DataFrame, resolved: DataFrame, conflicts: DataFrame, request: DataFrame, criteria: tuple[str, ...] = ("removed", "changed")) -> DataFrame:
+    """(repo, uid, action) of a best answer to each request that has one: keep, install or remove for each package that is
+    in it or was there before. Of several answers with equal counts it is any one; sum:column as the last criterion can
+    make it the only one."""
+    each = cut(_answers(packages, resolved, conflicts, request, criteria).select("repo", "status", "chosen"))
+    fine = each.groupBy("repo").agg(_status()).where("s = 'ok'").select("repo")
+    chosen = each.join(fine, "repo", "left_semi").select("repo", F.explode("chosen").alias("uid"), F.lit(True).alias("after"))
+    before = packages.where("installed").join(fine, "repo", "left_semi").select("repo", "uid", F.lit(True).alias("before"))
+    action = F.when(F.col("before").isNull(), "install").when(F.col("after").isNull(), "remove").otherwise("keep")
+    return chosen.join(before, ["repo", "uid"], "full").select("repo", "uid", action.alias("action"))

@@ -4,8 +4,9 @@ A package is installable if some set holds it, meets every clause of its members
 1. Horn stage: a clause without a provider that is not broken breaks its owner, to a fixpoint of joins.
 2. Cones: a request whose cone (among unbroken packages) holds no pair in conflict is met by the cone itself.
 3. The rest, one row a request with its own cone's clauses and conflicts, goes to a backtracking search in Arrow
-   batches. The search has a step budget; beyond it the status is `unknown`, never a guess, and every operator below
-   carries it: as a status column, or null in place of true and false.
+   batches, and what that can't decide in its steps to a search that learns from conflicts, which decides everything
+   unless BUDGET limits it. Beyond a limit the status is `unknown`, never a guess, and every operator below carries it: as
+   a status column, or null in place of true and false.
 
 Two installable packages whose models hold no pair in conflict go together, as the union of closed sets is closed. So
 pairs are asked only where a conflict runs between the two models, and models, not cones, give the candidates.
@@ -17,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from solvarium.operators.clauses import Sat
 from solvarium.operators.graphs import cone, dependency_closure
 from solvarium.plans.lineage import cut
 
-BUDGET = 200_000
+#: Steps of the backtracking search, and then conflicts of the learning one (None: as many as it needs).
+BUDGET: tuple[int, int | None] = (200_000, None)
 
 
 def horn_broken(resolved: DataFrame) -> DataFrame:
@@ -37,8 +40,8 @@ def horn_broken(resolved: DataFrame) -> DataFrame:
     return broken
 
 
-def search(need: list[int], forbid: list[int], clauses: dict[int, list[tuple[int, ...]]], conflicts: dict[int, set[int]], budget: int = BUDGET):
-    """A closed, peaceful set with all of `need` and none of `forbid`; None if there is none, False beyond the budget.
+def search(need: list[int], forbid: list[int], clauses: dict[int, list[tuple[int, ...]]], conflicts: dict[int, set[int]], budget: tuple[int, int | None] = BUDGET):
+    """A closed, peaceful set with all of `need` and none of `forbid`; None if there is none, False beyond both budgets.
 
     Only clauses of packages that are in matter, so search follows them: forced choices first, then the clause with
     the fewest alternatives left. Choices are kept on a stack, each with the trail to undo.
@@ -100,14 +103,34 @@ def search(need: list[int], forbid: list[int], clauses: dict[int, list[tuple[int
         else:
             return None
         steps += 1
-        if steps > budget:
-            return False
+        if steps > budget[0]:
+            return learned(need, forbid, clauses, conflicts, budget[1])
         for q in frame[2][: frame[3]]:  # what was tried before stays out
             put(out, q)
         open_, todo = list(frame[1]), [frame[2][frame[3]]]
 
 
-def strong_members(root: int, clauses: dict, conflicts: dict, budget: int = BUDGET) -> list[tuple[int, str]]:
+def learned(need: list[int], forbid: list[int], clauses: dict[int, list[tuple[int, ...]]], conflicts: dict[int, set[int]], limit: int | None = None):
+    """As search(), by learning from conflicts; False beyond `limit` of them."""
+    uids = sorted({*need, *forbid, *clauses, *conflicts}.union(q for own in clauses.values() for c in own for q in c).union(*conflicts.values()))
+    var = {p: k + 1 for k, p in enumerate(uids)}
+    hard = [[-var[p], *(var[q] for q in c)] for p, own in clauses.items() for c in own]
+    sat = Sat(len(uids), hard + [[-var[p], -var[q]] for p, own in conflicts.items() for q in own])
+    said = sat.solve([var[p] for p in need] + [-var[p] for p in forbid], limit)
+    if not said:
+        return None if said is False else False
+    inside = {uids[v - 1] for v in sat.model()}
+    chosen, todo = set(need), list(need)
+    while todo:  # what the need leads to is closed; the rest of the model may go
+        for c in clauses.get(todo.pop(), ()):
+            if not chosen.intersection(c):
+                q = next(q for q in c if q in inside)
+                chosen.add(q)
+                todo.append(q)
+    return chosen
+
+
+def strong_members(root: int, clauses: dict, conflicts: dict, budget: tuple[int, int | None] = BUDGET) -> list[tuple[int, str]]:
     """(member, status) of what every set with `root` holds: candidates are one model's members, and each model that a
     test finds takes away what it doesn't hold. Clauses with one alternative force theirs without a test."""
     forced, todo = set(), [root]
@@ -132,7 +155,7 @@ def strong_members(root: int, clauses: dict, conflicts: dict, budget: int = BUDG
     return sorted(out)
 
 
-def conflict_core(root: int, clauses: dict, conflicts: dict, budget: int = BUDGET) -> list[tuple[int, int, bool]]:
+def conflict_core(root: int, clauses: dict, conflicts: dict, budget: tuple[int, int | None] = BUDGET) -> list[tuple[int, int, bool]]:
     """(lo, hi, alone) of a least set of conflicts that keep `root` out: with these only it is broken, without any one of
     them it is not; alone: it would go in if that one went from all there are. None if it isn't known to be broken. A
     conflict whose part the budget doesn't tell stays."""
