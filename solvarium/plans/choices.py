@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from solvarium.operators import requests
+from solvarium.operators import flatten, requests, sat
 from solvarium.plans.answers import asked
 from solvarium.plans.fixtures import ORDERS_SQL
-from solvarium.plans.orders import resolved
+from solvarium.plans.lineage import cut
+from solvarium.plans.orders import known, resolved
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -58,3 +59,46 @@ def upgrade_answer(spark, sf_dir):
     packages = packages.withColumn("bit", F.expr("shiftleft(1, uid - 1)"))
     wanted = packages.where("name = 'n1'").select("repo", F.lit(1).alias("item"), "name").distinct()
     return requests.solution(packages, deps, confs, requests.upgrades(packages, wanted), ("notuptodate", "removed", "new", "sum:bit"))
+
+
+_ENDS = ", n AS (SELECT p.repo, p.uid, p.bit, c.m FROM fx_pkg p LEFT JOIN (SELECT q.repo, bit_or(q.bit) AS m FROM fx_pkg q SEMI JOIN (SELECT repo, uid FROM fx_conflict UNION SELECT repo, other FROM fx_conflict) e ON e.repo = q.repo AND e.uid = q.uid GROUP BY q.repo) c USING (repo))"
+
+
+@query(
+    _ENDS + ", i AS (SELECT n.repo, n.uid, t.d FROM n JOIN range(128) AS t(d) ON (t.d & coalesce(n.m, 0)) = t.d"
+    "  WHERE NOT EXISTS (SELECT 1 FROM fx_closed c WHERE c.repo = n.repo AND (c.s & n.bit) <> 0 AND (c.s & t.d) = 0))"
+    " SELECT repo, uid, array_to_string(list_transform(list_filter(range(0, 7), lambda k: (d & (1 << k)) <> 0), lambda k: k + 1), '|') AS clause FROM i"
+    " WHERE NOT EXISTS (SELECT 1 FROM i j WHERE j.repo = i.repo AND j.uid = i.uid AND j.d <> i.d AND (j.d & i.d) = j.d)"
+)
+def flat_clauses(spark, sf_dir):
+    """What each package needs of those in conflict: its least clauses over them, which every closed set with it meets."""
+    _, packages, deps, confs = resolved(spark, sf_dir)
+    found = flatten.clauses_of(flatten.flat_formulas(packages, deps, confs))
+    return found.select("repo", "uid", F.array_join("members", "|").alias("clause"))
+
+
+@query(
+    "SELECT a.repo, a.uid AS lo, b.uid AS hi, EXISTS (SELECT 1 FROM fx_valid v WHERE v.repo = a.repo AND (v.s & (a.bit | b.bit)) = (a.bit | b.bit)) AS together"
+    " FROM fx_pkg a JOIN fx_pkg b ON a.repo = b.repo AND a.uid <= b.uid"
+)
+def flattened_pairs(spark, sf_dir):
+    """Which packages go in, and which two go together, by the flattened repository alone."""
+    _, packages, deps, confs = resolved(spark, sf_dir)
+    flat, left = flatten.flattened(packages, deps, confs)
+    flat, left = cut(flat), cut(left)
+    both = packages.select("repo", F.col("uid").alias("lo")).join(packages.select("repo", F.col("uid").alias("hi")), "repo").where("lo <= hi")
+    none = F.array().cast("array<int>").alias("forbid")
+    asked = both.select("repo", F.concat_ws("~", "lo", "hi").alias("req"), F.array_distinct(F.array("lo", "hi")).alias("need"), none)
+    said = sat.solve(asked, flat, left, cut(sat.horn_broken(flat)))
+    at = F.split("req", "~")
+    return said.select("repo", at[0].cast("int").alias("lo"), at[1].cast("int").alias("hi"), known("ok").alias("together"))
+
+
+@query(
+    _ENDS + " SELECT n.repo, n.uid FROM n WHERE (n.bit & coalesce(n.m, 0)) = 0 AND NOT EXISTS (SELECT 1 FROM fx_valid v WHERE v.repo = n.repo AND NOT EXISTS ("
+    "  SELECT 1 FROM fx_valid w WHERE w.repo = n.repo AND (w.s & n.bit) <> 0 AND (v.s & coalesce(n.m, 0) & ~w.s) = 0))"
+)
+def always_together(spark, sf_dir):
+    """Packages that can be added to whatever packages in conflict are in."""
+    _, packages, deps, confs = resolved(spark, sf_dir)
+    return flatten.buddies(packages, deps, confs)
