@@ -264,6 +264,34 @@ def immediate_dominators(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return all_.where("uid <> dominator").join(depth, ["repo", "dominator"]).groupBy("repo", "uid").agg(F.max_by("dominator", "depth").alias("dominator"))
 
 
+def dominator_tree(vertices: DataFrame, edges: DataFrame, reduce: bool = False) -> DataFrame:
+    """(repo, uid, component, dominator) of any graph: cycles are vertices of their own, named by their least uid, and a
+    start leads to all that nothing leads to; dominator is the nearest cycle or vertex that every way from the start to uid
+    passes through, null where that is the start itself. With `reduce`, edges that a longer path replaces go first, as a
+    closed graph needs it.
+
+    Each vertex keeps its way from the start in the tree as an array, one row a vertex. The ways of all predecessors share
+    what the least and the greatest of them share, as arrays sort by their first difference, so a layer is one aggregate.
+    """
+    part = cut(strong_components(vertices, edges))
+    of = lambda c: part.select("repo", F.col("uid").alias(c), F.col("component").alias(f"c_{c}"))
+    between = edges.select("repo", "src", "dst").join(of("src"), ["repo", "src"]).join(of("dst"), ["repo", "dst"]).where("c_src <> c_dst")
+    between = cut(between.select("repo", F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).distinct())
+    if reduce:
+        between = cut(transitive_reduction(between))
+    order = cut(layers(part.select("repo", F.col("component").alias("uid")).distinct(), reverse(between)))
+    done, k = cut(order.where("layer = 0").select("repo", "uid", F.array("uid").alias("way"))), 0
+    top = order.agg(F.max("layer")).first()[0] or 0
+    shared = F.expr("filter(transform(sequence(1, size(a)), i -> CASE WHEN slice(a, 1, i) = slice(b, 1, i) THEN a[i - 1] END), x -> x IS NOT NULL)")
+    while k < top:
+        k += 1
+        now = between.withColumnRenamed("dst", "uid").join(order.where(F.col("layer") == k).select("repo", "uid"), ["repo", "uid"], "left_semi")
+        given = now.join(done.select("repo", F.col("uid").alias("src"), "way"), ["repo", "src"]).groupBy("repo", "uid").agg(F.min("way").alias("a"), F.max("way").alias("b"))
+        done = done.unionByName(cut(given.select("repo", "uid", F.concat(shared, F.array("uid")).alias("way"))))
+    parent = done.select("repo", F.col("uid").alias("component"), F.when(F.size("way") > 1, F.element_at("way", -2)).alias("dominator"))
+    return part.join(parent, ["repo", "component"]).select("repo", "uid", "component", "dominator")
+
+
 def large_components(vertices: DataFrame, edges: DataFrame, more_than: int) -> DataFrame:
     """Edges of components with more than so many vertices."""
     part = cut(components(vertices, edges))

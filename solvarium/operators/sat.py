@@ -15,7 +15,7 @@ pairs are asked only where a conflict runs between the two models, and models, n
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from solvarium.operators.clauses import Sat
@@ -27,15 +27,20 @@ BUDGET: tuple[int, int | None] = (200_000, None)
 
 
 def horn_broken(resolved: DataFrame) -> DataFrame:
-    """(repo, uid) of packages with a clause that no installable package can meet, conflicts left out."""
-    open_ = cut(resolved)
-    broken = cut(open_.where("target IS NULL").select("repo", "uid").distinct())
-    new = broken
+    """(repo, uid) of packages with a clause that no installable package can meet, conflicts left out.
+
+    A round follows only what the last one broke, and counts for each clause how many of its alternatives are gone.
+    """
+    keys = ["repo", "uid", "clause", "n"]
+    size = F.count("target").over(Window.partitionBy("repo", "uid", "clause"))
+    open_ = cut(resolved.select("repo", "uid", "clause", "target").distinct().withColumn("n", size))
+    new = cut(open_.where("n = 0").select("repo", "uid").distinct())
+    broken, hit = new, None
     while not new.isEmpty():
-        gone = broken.select("repo", F.col("uid").alias("target"))
-        alive = open_.join(gone, ["repo", "target"], "left_anti").where("target IS NOT NULL").select("repo", "uid", "clause").distinct()
-        dead = open_.select("repo", "uid", "clause").distinct().join(alive, ["repo", "uid", "clause"], "left_anti").select("repo", "uid").distinct()
-        new = cut(dead.join(broken, ["repo", "uid"], "left_anti"))
+        lost = open_.join(new.withColumnRenamed("uid", "target"), ["repo", "target"]).groupBy(*keys).agg(F.count("*").alias("lost"))
+        hit = cut(lost if hit is None else lost.unionByName(hit).groupBy(*keys).agg(F.sum("lost").alias("lost")))
+        new = cut(hit.where("lost = n").select("repo", "uid").distinct().join(broken, ["repo", "uid"], "left_anti"))
+        hit = hit.where("lost < n")
         broken = broken.unionByName(new)
     return broken
 
@@ -337,13 +342,60 @@ def strong_dependencies(packages: DataFrame, resolved: DataFrame, conflicts: Dat
 
 
 def strong_conflicts(packages: DataFrame, resolved: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """(repo, lo, hi, status): both installable, never together; unknown where the budget did not do. Only pairs between
-    whose models a conflict runs are asked."""
-    broken = cut(horn_broken(resolved))
-    models = cut(check(packages, resolved, conflicts, broken, with_model=True))
-    said = solve(pair_requests(_crossing(models, conflicts)), resolved, conflicts, broken).where("status <> 'ok'")
+    """(repo, lo, hi, status): both installable, never together; unknown where the budget did not do.
+
+    Asked of the flattened repository, in which conflicts between alternatives of one clause (triangles) have left the
+    clauses of their users: packages that need the same of those in conflict are one class, and only pairs of classes
+    between whose models a conflict runs are asked.
+    """
+    rows, asked, flat, left, broken = strong_conflict_requests(packages, resolved, conflicts)
+    said = cut(solve(pair_requests(asked), flat, left, broken).where("status <> 'ok'"))
     at = F.split("req", "~")
-    return said.select("repo", at[0].cast("int").alias("lo"), at[1].cast("int").alias("hi"), "status")
+    said = said.select("repo", at[0].cast("int").alias("a"), at[1].cast("int").alias("b"), "status")
+    of = lambda rep, c: rows.select("repo", F.col("rep").alias(rep), F.col("uid").alias(c))
+    out = said.join(of("a", "p"), ["repo", "a"]).join(of("b", "q"), ["repo", "b"])
+    return out.select("repo", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), "status")
+
+
+def strong_conflict_requests(packages: DataFrame, resolved: DataFrame, conflicts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What strong_conflicts() asks: the class of each package (repo, uid, rep), the pairs of classes (repo, lo, hi), and the
+    flattened repository with what is broken in it."""
+    from solvarium.operators.flatten import flattened
+
+    flat, left = flattened(packages, resolved, conflicts)
+    flat, left = cut(flat), cut(left)
+    clause = flat.groupBy("repo", "uid", "clause").agg(F.array_sort(F.collect_list("target")).alias("members"))
+    formula = clause.groupBy("repo", "uid").agg(F.array_sort(F.collect_list("members")).alias("formula"))
+    rep = F.min("uid").over(Window.partitionBy("repo", "formula"))
+    rows = cut(formula.select("repo", "uid", rep.alias("rep")))
+    broken = cut(flat.where("target IS NULL").select("repo", "uid").distinct())  # no flat clause names a broken package
+    models = cut(check(rows.select("repo", F.col("rep").alias("uid")).distinct(), flat, left, broken, with_model=True))
+    return rows, cut(_crossing(models, left)), flat, left, broken
+
+
+def triangles(resolved: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """(repo, lo, hi, kind) of conflicts between packages that the same packages use: simple, one package is the only user
+    of both; shared, every user of but one of them also uses a package that uses both.
+
+    Users are listed from the end with fewer of them and looked up at the other end, so a hot end costs no more than its
+    rival has users; all users of both are listed only where some are in common.
+    """
+    edges = resolved.where("target IS NOT NULL AND target <> uid").select("repo", F.col("target").alias("used"), F.col("uid").alias("user")).distinct()
+    edges = cut(edges)
+    many = edges.groupBy("repo", "used").agg(F.count("*").alias("n"))
+    of = lambda c: many.select("repo", F.col("used").alias(c), F.col("n").alias(f"n_{c}"))
+    pairs = conflicts.select("repo", "lo", "hi").join(of("lo"), ["repo", "lo"]).join(of("hi"), ["repo", "hi"])
+    few, other = F.when(F.col("n_lo") <= F.col("n_hi"), F.col("lo")).otherwise(F.col("hi")), F.when(F.col("n_lo") <= F.col("n_hi"), F.col("hi")).otherwise(F.col("lo"))
+    pairs = cut(pairs.withColumns({"few": few, "other": other}))
+    common = pairs.join(edges.withColumnRenamed("used", "few"), ["repo", "few"]).join(edges.withColumnRenamed("used", "other"), ["repo", "other", "user"], "left_semi")
+    common = cut(common.select("repo", "lo", "hi", "n_lo", "n_hi", F.col("user").alias("common")))
+    near = common.select("repo", "lo", "hi").distinct()
+    users = near.select("repo", "lo", "hi", F.explode(F.array("lo", "hi")).alias("used")).join(edges, ["repo", "used"]).select("repo", "lo", "hi", "user").distinct()
+    rest = users.join(common.withColumnRenamed("common", "user"), ["repo", "lo", "hi", "user"], "left_anti")
+    covered = rest.join(edges.select("repo", "user", F.col("used").alias("common")), ["repo", "user"]).join(common, ["repo", "lo", "hi", "common"], "left_semi")
+    open_ = rest.join(covered.select("repo", "lo", "hi", "user").distinct(), ["repo", "lo", "hi", "user"], "left_anti").select("repo", "lo", "hi").distinct()
+    kinds = common.select("repo", "lo", "hi", F.when(F.expr("n_lo = 1 AND n_hi = 1"), "simple").otherwise("shared").alias("kind")).distinct()
+    return kinds.join(open_, ["repo", "lo", "hi"], "left_anti")
 
 
 def strong_conflict_roots(found: DataFrame, resolved: DataFrame, conflicts: DataFrame) -> DataFrame:

@@ -102,3 +102,17 @@ def always_together(spark, sf_dir):
     """Packages that can be added to whatever packages in conflict are in."""
     _, packages, deps, confs = resolved(spark, sf_dir)
     return flatten.buddies(packages, deps, confs)
+
+
+@query(
+    ", u AS (SELECT DISTINCT repo, target AS used, uid AS user FROM fx_alt WHERE uid <> target), x AS (SELECT DISTINCT repo, least(uid, other) AS lo, greatest(uid, other) AS hi FROM fx_conflict),"
+    " b AS (SELECT x.repo, lo, hi, a.user AS z FROM x JOIN u a ON a.repo = x.repo AND a.used = lo JOIN u c ON c.repo = x.repo AND c.used = hi AND c.user = a.user),"
+    " n AS (SELECT repo, used, count(*) AS n FROM u GROUP BY ALL)"
+    " SELECT DISTINCT b.repo, b.lo, b.hi, CASE WHEN l.n = 1 AND h.n = 1 THEN 'simple' ELSE 'shared' END AS kind FROM b JOIN n l ON l.repo = b.repo AND l.used = b.lo JOIN n h ON h.repo = b.repo AND h.used = b.hi"
+    " WHERE NOT EXISTS (SELECT 1 FROM u p WHERE p.repo = b.repo AND p.used IN (b.lo, b.hi) AND NOT EXISTS (SELECT 1 FROM b c WHERE c.repo = b.repo AND c.lo = b.lo AND c.hi = b.hi AND c.z = p.user)"
+    " AND NOT EXISTS (SELECT 1 FROM u q JOIN b c ON c.repo = q.repo AND c.z = q.used WHERE c.repo = b.repo AND c.lo = b.lo AND c.hi = b.hi AND q.user = p.user))"
+)
+def conflict_triangles(spark, sf_dir):
+    """Conflicts between packages that the same packages use."""
+    _, _, deps, confs = resolved(spark, sf_dir)
+    return sat.triangles(deps, confs)

@@ -128,3 +128,23 @@ def graph_formats(spark, sf_dir):
     v, e = graph(spark, sf_dir)
     as_ = lambda df, kind: df.select(F.lit(kind).alias("format"), "line")
     return as_(sinks.dot_lines(e), "dot").unionByName(as_(sinks.gml_lines(v, e), "gml")).unionByName(as_(sinks.graphml_lines(v, e), "graphml"))
+
+
+_TREE = (
+    ", two AS (SELECT p.a, min(p.b) AS c FROM fx_path p JOIN fx_path q ON q.a = p.b AND q.b = p.a GROUP BY p.a),"
+    " scc AS (SELECT p_partkey AS uid, least(p_partkey, coalesce(c, p_partkey)) AS c FROM part LEFT JOIN two ON a = p_partkey),"
+    " ce AS (SELECT DISTINCT x.c AS a, y.c AS b FROM fx_edge e JOIN scc x ON x.uid = e.a JOIN scc y ON y.uid = e.b WHERE x.c <> y.c),"
+    " vs AS (SELECT DISTINCT c FROM scc), top AS (SELECT c FROM vs WHERE c NOT IN (SELECT b FROM ce)),"
+    " block AS (SELECT p.c AS p, q.c AS q FROM vs p JOIN vs q ON p.c // 50 = q.c // 50),"  # edges stay within blocks of 50
+    " free(p, q) AS (SELECT p, q FROM block WHERE q IN (SELECT c FROM top) AND p <> q UNION SELECT f.p, ce.b FROM free f JOIN ce ON ce.a = f.q WHERE ce.b <> f.p),"
+    " dom AS (SELECT p, q FROM block WHERE p <> q AND NOT EXISTS (SELECT 1 FROM free f WHERE f.p = block.p AND f.q = block.q)),"
+    " n AS (SELECT q, count(*) AS n FROM dom GROUP BY q),"
+    " up AS (SELECT dom.q, arg_max(dom.p, coalesce(n.n, 0)) AS dominator FROM dom LEFT JOIN n ON n.q = dom.p GROUP BY dom.q)"
+    " SELECT scc.uid, scc.c AS component, up.dominator FROM scc LEFT JOIN up ON up.q = scc.c"
+)
+
+
+@query(_TREE)
+def dominator_tree(spark, sf_dir):
+    """Of the parts' graph with its cycles."""
+    return graphs.dominator_tree(*graph(spark, sf_dir)).select("uid", "component", "dominator")
