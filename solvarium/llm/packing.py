@@ -35,7 +35,7 @@ from solvarium.llm._shared import Scratch, table
 CAPACITY = 4096
 END_ID = 1
 #: Chunks whose ids a worker keeps, and the longest chunk kept.
-KEPT, KEPT_BYTES = 300_000, 64
+KEPT, KEPT_BYTES = 600_000, 64
 
 
 def tokenizer_path() -> str:
@@ -78,28 +78,41 @@ class _Encoder:
 
     def _new(self, chunks: set[bytes]) -> dict[bytes, bytes]:
         """A letter or digit and a full stop or comma after it are never one token: the mark's ids follow the rest's."""
-        bare = {c[:-1] if len(c) > 1 and c[-1] in self.marks and chr(c[-2]).isalnum() and c[-2] < 128 else c for c in chunks}
-        ask = [(c, c.decode("utf-8", "replace")) for c in bare if c not in self.kept]
-        words = [(c, t) for c, t in ask if t.isalpha() and t.lower().isalpha()]
-        others = [(c, t) for c, t in ask if not (t.isalpha() and t.lower().isalpha())]
-        own = dict(zip((c for c, _ in words), self._words([t for _, t in words])))
+        marked = [c for c in chunks if c.endswith((b".", b",")) and c[-2:-1].isalnum()]
+        bare = chunks.difference(marked)
+        bare.update([c[:-1] for c in marked])
+        bare = bare.difference(self.kept)
+        words = [c for c in bare if c.isalpha()]  # of bytes: ASCII letters
+        spelt = b" ".join(words).decode("ascii").split()
+        others = []
+        for c in bare.difference(words):
+            t = c.decode("utf-8", "replace")
+            if t.isalpha() and t.lower().isalpha():
+                words.append(c)
+                spelt.append(t)
+            else:
+                others.append((c, t))
+        own = dict(zip(words, self._words(spelt)))
         own |= dict(zip((c for c, _ in others), self._alone([t for _, t in others])))
-        for c in chunks:
-            if c not in own:
-                rest = own[c[:-1]] if c[:-1] in own else self.kept[c[:-1]]
-                own[c] = rest + self.marks[c[-1]]
+        kept, marks = self.kept, self.marks
+        for c in marked:
+            rest = c[:-1]
+            own[c] = (own[rest] if rest in own else kept[rest]) + marks[c[-1]]
         return own
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         raw = [(t or "").encode("utf-8", "replace") for t in texts]
         # The tokenizer lower-cases; only the names of special tokens tell upper case from lower.
         said = [(t if b"<|" in t else t.lower()).split() for t in raw]
-        found = [list(map(self.kept.get, chunks)) for chunks in said]
-        new = {c for chunks, ids in zip(said, found) if None in ids for c, i in zip(chunks, ids) if i is None}
+        kept, before = self.kept, len(self.kept)
+        new = set().union(*said).difference(kept)
         own = self._new(new) if new else {}
-        if len(self.kept) < KEPT:  # frequent chunks come early; the tail has no end
-            self.kept.update((c, ids) for c, ids in own.items() if len(c) <= KEPT_BYTES)
-        return [b"".join(ids) if None not in ids else b"".join([own[c] if i is None else i for c, i in zip(chunks, ids)]) for chunks, ids in zip(said, found)]
+        kept.update(own)
+        out = [b"".join(map(kept.__getitem__, chunks)) for chunks in said]
+        for c in own:  # frequent chunks come early; the tail has no end
+            if before >= KEPT or len(c) > KEPT_BYTES:
+                del kept[c]
+        return out
 
 
 @functools.lru_cache(2)
