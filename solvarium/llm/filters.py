@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from solvarium.llm._shared import table
+from solvarium.llm._shared import Scratch, table
 
 FILTERS = "ABCDE"
 ALL = 1 << len(FILTERS)
@@ -52,8 +52,13 @@ def flagged(docs: DataFrame, part_col: str = "lang", id_col: str = "doc_id", tex
 
 
 def cells(docs: DataFrame, labels: DataFrame, part_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(part, mask, n, good, toxic): documents by the set of filters that they fail, all five."""
+    """(part, mask, n, good, toxic): documents by the set of filters that they fail, all five.
+
+    Texts are read once: the narrow rows that come from them are written, and so are the rows of alike documents.
+    """
+    scratch = Scratch(docs.sparkSession, "filters")
     rows = flagged(docs, part_col, id_col, text_col).groupBy("id", "part", "digest", "mask").agg(F.count("*").alias("n"))
+    rows = scratch.save(rows, "flags")
     said = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id"))
     said = said.agg(F.bool_or(F.col("quality") == 1).alias("good"), F.bool_or(F.col("toxic") == 1).alias("toxic"))
     named = rows.where("id IS NOT NULL").join(said, "id", "left")
@@ -66,6 +71,7 @@ def cells(docs: DataFrame, labels: DataFrame, part_col: str = "lang", id_col: st
         F.min_by("n", "id").alias("at_least"),
         F.sum(F.when(F.col("id").isNull(), F.col("n")).otherwise(0)).alias("nameless"),
     )
+    alike = scratch.save(alike, "alike")
     first = alike.groupBy("digest").agg(F.min("least").alias("first"), F.count("*").alias("rows"))
     # Only texts with several rows of that kind have to learn the least id of all; the others know it.
     several = first.where("rows > 1").select("digest", "first")
@@ -75,7 +81,10 @@ def cells(docs: DataFrame, labels: DataFrame, part_col: str = "lang", id_col: st
     both = F.explode(F.array(F.struct("mask", F.col("stays").alias("n")), F.struct((F.col("mask") + 16).alias("mask"), (F.col("n") - F.col("stays")).alias("n"))))
     alike = alike.select("part", "good", "toxic", both.alias("c")).where("c.n > 0")
     of = lambda c: F.sum(F.when(F.col(c), F.col("c.n")).otherwise(0))
-    return alike.groupBy("part", F.col("c.mask").alias("mask")).agg(F.sum("c.n").alias("n"), of("good").alias("good"), of("toxic").alias("toxic"))
+    found = alike.groupBy("part", F.col("c.mask").alias("mask")).agg(F.sum("c.n").alias("n"), of("good").alias("good"), of("toxic").alias("toxic"))
+    found = scratch.save(found, "cells")
+    scratch.drop("flags", "alike")
+    return found
 
 
 def transpositions(n: int) -> Iterator[tuple[tuple[int, ...], int]]:
