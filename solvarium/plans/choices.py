@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from solvarium.operators import flatten, requests, sat
+from solvarium.operators import explain, flatten, requests, sat
 from solvarium.plans.answers import asked
 from solvarium.plans.fixtures import ORDERS_SQL
 from solvarium.plans.lineage import cut
@@ -116,3 +116,53 @@ def conflict_triangles(spark, sf_dir):
     """Conflicts between packages that the same packages use."""
     _, _, deps, confs = resolved(spark, sf_dir)
     return sat.triangles(deps, confs)
+
+
+_WHY = (
+    ORDERS_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
+    + ", b AS (SELECT p.repo, p.uid FROM fx_pkg p WHERE NOT EXISTS (SELECT 1 FROM fx_closed v WHERE v.repo = p.repo AND (v.s & p.bit) <> 0)),"
+    " alt AS (SELECT DISTINCT a.repo, a.uid, a.clause, a.target, b.uid IS NULL AS works FROM fx_alt a LEFT JOIN b ON b.repo = a.repo AND b.uid = a.target),"
+    " fp AS (SELECT DISTINCT x.repo, least(x.uid, x.other) AS lo, greatest(x.uid, x.other) AS hi FROM fx_conflict x),"
+    " fb AS (SELECT fp.*, a.bit | c.bit AS bits FROM fp JOIN fx_pkg a ON a.repo = fp.repo AND a.uid = lo JOIN fx_pkg c ON c.repo = fp.repo AND c.uid = hi),"
+    " one AS (SELECT c.repo, c.s, max(lo) AS lo, max(hi) AS hi FROM fx_closed c JOIN fb ON fb.repo = c.repo AND (c.s & bits) = bits GROUP BY ALL HAVING count(*) = 1),"
+    " why AS (SELECT DISTINCT p.repo, p.uid AS root, one.lo, one.hi FROM fx_pkg p ANTI JOIN fx_strong USING (repo, uid) JOIN one ON one.repo = p.repo AND (one.s & p.bit) <> 0),"
+    " e AS (SELECT 'h' AS g, repo, uid AS src, target AS dst, min(clause) AS clause FROM alt x WHERE NOT EXISTS (SELECT 1 FROM alt y WHERE y.repo = x.repo AND y.uid = x.uid AND y.clause = x.clause AND y.works) GROUP BY ALL"
+    "  UNION ALL SELECT 'c', x.repo, x.uid, target, min(clause) FROM alt x ANTI JOIN b ON b.repo = x.repo AND b.uid = x.uid WHERE works GROUP BY ALL),"
+    " hole AS (SELECT repo, uid, clause FROM fx_clause WHERE mask = 0),"
+    " root AS (SELECT 'h' AS g, repo, uid AS root FROM b UNION SELECT 'c', repo, root FROM why),"
+    " w(g, repo, root, uid, n) AS (SELECT g, repo, root, root, 0 FROM root UNION SELECT w.g, w.repo, w.root, e.dst, w.n + 1 FROM w JOIN e ON e.g = w.g AND e.repo = w.repo AND e.src = w.uid WHERE w.n < 7),"
+    " far AS (SELECT g, repo, root, uid, min(n) AS n FROM w GROUP BY ALL),"
+    " pre AS (SELECT f.g, f.repo, f.root, f.uid, min(e.src) AS src FROM far f JOIN e ON e.g = f.g AND e.repo = f.repo AND e.dst = f.uid JOIN far u ON u.g = f.g AND u.repo = f.repo AND u.root = f.root AND u.uid = e.src AND u.n = f.n - 1 GROUP BY ALL),"
+    " lost AS (SELECT f.repo, f.root, f.uid, h.clause FROM far f JOIN hole h ON h.repo = f.repo AND h.uid = f.uid WHERE f.g = 'h'),"
+    " back(g, repo, root, src, dst) AS (SELECT p.g, p.repo, p.root, p.src, p.uid FROM pre p WHERE (p.g = 'h' AND EXISTS (SELECT 1 FROM lost l WHERE l.repo = p.repo AND l.root = p.root AND l.uid = p.uid))"
+    "   OR (p.g = 'c' AND EXISTS (SELECT 1 FROM why y WHERE y.repo = p.repo AND y.root = p.root AND p.uid IN (y.lo, y.hi)))"
+    "  UNION SELECT p.g, p.repo, p.root, p.src, p.uid FROM back k JOIN pre p ON p.g = k.g AND p.repo = k.repo AND p.root = k.root AND p.uid = k.src),"
+    " size AS (SELECT repo, uid, clause, count(DISTINCT target) AS n FROM alt GROUP BY ALL),"
+    " step AS (SELECT k.repo, k.root, k.src, k.dst, e.clause, s.n FROM back k JOIN e ON e.g = k.g AND e.repo = k.repo AND e.src = k.src AND e.dst = k.dst JOIN size s ON s.repo = e.repo AND s.uid = e.src AND s.clause = e.clause),"
+    " drawn AS (SELECT repo, root, 'p' || src AS src, 'p' || dst AS dst, 'dependency' AS kind FROM step WHERE n = 1"
+    "  UNION SELECT repo, root, 'p' || src, 'o' || src || '.' || clause, 'or' FROM step WHERE n > 1 UNION SELECT repo, root, 'o' || src || '.' || clause, 'p' || dst, 'or' FROM step WHERE n > 1"
+    "  UNION SELECT repo, root, 'p' || uid, 'm' || uid || '.' || clause, 'missing' FROM lost UNION SELECT repo, root, 'p' || lo, 'p' || hi, 'conflict' FROM why)"
+)
+
+
+def _why(spark, sf_dir):
+    """Conflicts without which a package would go in, which are the same for every solver, are the reasons here."""
+    _, packages, deps, confs = resolved(spark, sf_dir)
+    reasons = sat.conflict_reasons(packages, deps, confs).where("alone")
+    return explain.explanation_graph(packages, deps, confs, reasons)
+
+
+def explanation_paths(spark, sf_dir):
+    return _why(spark, sf_dir)
+
+
+def explanation_documents(spark, sf_dir):
+    return explain.explanation_documents(_why(spark, sf_dir))
+
+
+QUERIES |= {"explanation_paths": explanation_paths, "explanation_documents": explanation_documents}
+SQL["explanation_paths"] = _WHY + " SELECT * FROM drawn"
+SQL["explanation_documents"] = _WHY + (
+    " SELECT repo, root, 'digraph {' || chr(10) || string_agg(line, chr(10) ORDER BY line) || chr(10) || '}' AS document FROM ("
+    "SELECT repo, root, '\"' || src || '\" -> \"' || dst || '\"' || CASE kind WHEN 'conflict' THEN ' [color=red,dir=none]' WHEN 'missing' THEN ' [style=dotted]' ELSE '' END || ';' AS line FROM drawn) GROUP BY repo, root"
+)
