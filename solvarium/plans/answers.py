@@ -171,8 +171,8 @@ def minimal_installations(spark, sf_dir):
     """What each installed package reaches within the installed ones."""
     _, packages, deps, _ = resolved(spark, sf_dir)
     have = packages.where("installed").select("repo", "uid")
-    sets = have.select("repo", F.col("uid").alias("root")).join(have, "repo")
-    return sat.minimal_sets(sets, cut(graphs.dependency_edges(deps)))
+    edges = cut(graphs.induced(graphs.dependency_edges(deps), have))
+    return graphs.cone(have.select("repo", F.col("uid").alias("root"), "uid"), edges).select("repo", "root", "uid")
 
 
 @query(
