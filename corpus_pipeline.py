@@ -8,6 +8,12 @@ Stages, in order, with what each decides:
     packing     token pieces of the rest with their place in sequences of 4096
 
 All but the last return the columns of documents.
+
+Defined cases: a null or empty text is a document like any other: it is scored, is near to none, holds no benchmark item
+and no secret, and is packed as its end token. A null doc_id has no label; of documents in one near-duplicate component
+that with the least id stays, and rows that repeat an id are judged each by their text. Further columns, whatever their
+names, are carried to the last stage and change nothing. Without labels every score is 0.5, so nothing is rejected. An
+empty table of documents gives an empty result.
 """
 
 from __future__ import annotations

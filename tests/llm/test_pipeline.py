@@ -47,3 +47,29 @@ def test_stages_take_effect_and_keep_clean_documents(spark, tmp_path):
     whole = corpus_pipeline.run(spark, d)
     assert sorted(whole.select("doc_id", "piece", "length", "ids_crc32").collect()) == sorted(out.select("doc_id", "piece", "length", "ids_crc32").collect())
     assert secrets.find_secrets(out.limit(0).select(F.lit("").alias("text"))).count() == 0
+
+
+def test_empty_tables_and_clashing_columns(spark, tmp_path):
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(400)]
+    texts = [" ".join(r.choices(words, k=r.randint(5, 60))) for _ in range(30)]
+    texts += [None, "", texts[0], "token = abcdefghij0123456789", texts[3] + " " + texts[4]]
+    rows = [(i, t, "en", "web", len(t or "")) for i, t in enumerate(texts)]
+    plain = "doc_id long, text string, lang string, source string, n_chars long"
+    benchmark = spark.createDataFrame([("b", texts[4])], "item_id string, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    extra = ["score", "spans", "kept", "component_id", "piece", "start", "length", "sequence_id", "offset", "ids", "at", "features"]
+    said = {}
+    for name, more, some in (("plain", [], rows), ("more", extra, rows), ("none", extra, [])):
+        out = tmp_path / name
+        df = spark.createDataFrame(some, plain)
+        for k, c in enumerate(more):
+            df = df.withColumn(c, F.lit(k if k % 2 else f"x{k}"))
+        df.write.parquet(f"{out}/documents.parquet")
+        benchmark.write.parquet(f"{out}/benchmark.parquet")
+        labels.write.parquet(f"{out}/labels.parquet")
+        got = corpus_pipeline.run(spark, str(out))
+        said[name] = sorted(map(tuple, got.select("doc_id", "piece", "start", "length", "ids_crc32").collect()))
+    assert said["plain"] == said["more"] and said["none"] == []
+    ids = {x[0] for x in said["plain"]}
+    assert 4 not in ids and 34 not in ids and {30, 31, 0} <= ids and 32 not in ids
