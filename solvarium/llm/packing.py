@@ -1,4 +1,4 @@
-"""Best-fit packing of token pieces into sequences of a fixed capacity, in bulk-synchronous sweeps.
+"""Best-fit packing of token pieces into sequences of a fixed capacity; the sweep over runs of one length is a driver loop.
 
 Tokens. A document's ids are the tokenizer's, then one end id; only documents longer than the capacity are cut. This
 tokenizer drops white space and never merges across it, so a chunk between ASCII white space always gives the same
@@ -7,7 +7,7 @@ ids: each worker keeps the ids of chunks that it has met, and asks the tokenizer
 Packing. Pieces are range-sorted by length, longest first, and written with their place in that order. Lengths are
 integers up to the capacity, so the sorted pieces are at most `capacity` runs of one length, and what the driver gets
 is one row for each run and range partition (capacity + partitions rows at most, whatever the number of documents).
-A superstep takes the next run of pieces, sweeps the sorted gaps for the successor (the smallest gap that holds the
+There a step takes the next run of pieces, sweeps the sorted gaps for the successor (the smallest gap that holds the
 length), matches the run's pieces to that gap's sequences by rank, puts back what is left of the gaps, and repeats until
 the run is placed; new sequences are opened where no gap holds the length. This is best-fit decreasing, a run at a
 time. Matches are rank intervals; each piece then finds its own by (partition, length, rank) in a join against that
