@@ -6,6 +6,9 @@ entity's surrogate comes from a keyed hash of its kind and normal form, so it is
 their case and script, separators and country prefixes as they are, card and IBAN check digits valid. A person's title
 stays as it is written, and each part of the name is an entity of its own, so `Mr. John Smith`, `Mr Smith` and
 `Mrs Smith` share a surname; a given name's ending follows the title's gender, and that of a Cyrillic surname its own.
+A name has any number of parts, with hyphens, apostrophes, initials and particles; particles stay, an initial moves
+within its alphabet by a keyed step that its surname decides. Words of three letters or more of a person's name are
+found again in the same text without a title, where they start with a capital, even if they mean something else there.
 
 Collision checks: over all distinct entities of the table, two that would get one surrogate, or one whose surrogate is
 itself an entity, take the next attempt of the hash until all are distinct. From attempt WIDEN on each attempt makes the
@@ -26,8 +29,17 @@ from pyspark.sql import functions as F
 from solvarium.llm._shared import Scratch, running, table
 
 KEY = "solvarium"
-_MALE = "Mr|Herr|Monsieur|Señor|Sr|Don|Господин"
-_FEMALE = "Mrs|Ms|Miss|Frau|Mme|Madame|Señora|Sra|Doña|Госпожа"
+# Titles by gender, titles of either, and particles of names.
+_MALE = "Mr|Herr|Monsieur|Señor|Sr|Don|Signor|Sir|Господин"
+_FEMALE = "Mrs|Ms|Miss|Frau|Mme|Madame|Mlle|Señora|Sra|Doña|Signora|Госпожа"
+_EITHER = "Dr|Prof|Professor|Rev"
+_PARTICLES = "af|al|av|bin|bint|da|das|de|del|della|den|der|des|di|do|dos|du|el|ibn|la|le|ten|ter|van|von|y|zu|zum|zur"
+_LETTER, _GAP = r"[\p{L}\p{M}]", r"[ \u00A0]"
+# A word's letters go on behind an apostrophe, but for a possessive s.
+_BEHIND = rf"(?:['’](?!s(?!\p{{L}})){_LETTER}++)"
+_WORD = rf"\p{{Lu}}(?:{_LETTER}++{_BEHIND}*+|{_BEHIND}++|(?={_GAP}\p{{Lu}}\p{{L}}))(?:-{_LETTER}++{_BEHIND}*+)*+"
+_NAMED = rf"(?:[dl]['’]|(?:{_PARTICLES}){_GAP}|[ae]l-)*+(?:\p{{Lu}}\.(?:-?\p{{Lu}}\.)*+|{_WORD})"
+_TITLED = rf"(?:{_MALE}|{_FEMALE}|{_EITHER})(?:\.{_GAP}?|{_GAP})(?:(?:{_EITHER})(?:\.{_GAP}?|{_GAP}))*+"
 #: Patterns by kind, tried in this order at each place; matches don't overlap.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})",
@@ -36,7 +48,7 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "person": rf"(?<!\p{{L}})(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
+    "person": rf"(?<!\p{{L}}){_TITLED}{_NAMED}(?:(?:{_GAP}|(?<=\.)){_NAMED})*+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: From which attempt surrogates grow, and how many there are at most.
@@ -69,7 +81,9 @@ SCRIPTS = {
     "Han": ((0x4E00, 20902), None),
     "Hangul": ((0xAC00, 11172), None),
 }
-_TITLE = r"^(\p{L}+\.? )"
+_TITLE = rf"^({_TITLED})"
+#: Pieces of a name: words, particles, and what is between.
+_PIECES = rf"[dl]['’](?=\p{{Lu}})|{_LETTER}++{_BEHIND}*+|[^\p{{L}}\p{{M}}]++"
 #: Country codes of phone numbers, with separators anywhere: none begins another.
 _COUNTRY = r"^(\+(?:1|7|2_[07]|3_[0-469]|4_[013-9]|5_[1-8]|6_[0-6]|8_[1246]|9_[0-58]|[0-9]_[0-9]_[0-9]))".replace("_", "[^0-9]*")
 #: Syllables of made-up names, and the letters of other scripts that stand for theirs.
@@ -113,23 +127,33 @@ def normal(kind: Column, text: Column) -> Column:
         F.when(kind.isin("card", "ssn"), _digits(text))
         .when(kind == "phone", F.concat(F.regexp_extract(text, r"^\+?", 0), _digits(text)))
         .when(kind == "iban", F.upper(F.regexp_replace(text, "[^0-9A-Za-z]", "")))
-        .otherwise(F.lower(F.translate(text, "İ", "I")))
+        .otherwise(F.lower(F.translate(text, "İ’", "I'")))
     )
 
 
-def parts(kind: Column, hit: Column) -> Column:
-    """The hit in pieces: entities with kind and normal form, and what stays as it is, without."""
+def parts(kind: Column, hit: Column, again: Column) -> Column:
+    """The hit in pieces: entities with kind and normal form, and what stays as it is, without. `again` is the kind of a
+    name that stands without a title, else null. The normal form of an initial is that of its surname."""
     plain = lambda t: F.struct(t.alias("t"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("norm"))
     own = lambda t, k: F.struct(t.alias("t"), k.alias("kind"), normal(k, t).alias("norm"))
 
     def person(x: Column) -> Column:
-        title, words = x["title"], x["words"]
-        kinds = lambda i: F.when(i == F.size(words) - 1, "surname").when(_female(title), "given_f").otherwise("given_m")
-        return F.concat(F.array(plain(title)), F.flatten(F.transform(words, lambda w, i: F.array(plain(F.when(i > 0, " ").otherwise("")), own(w, kinds(i))))))
+        kinds = lambda i: F.when(i > x["gap"], "surname").when(_female(x["title"]), "given_f").otherwise("given_m")
+
+        def piece(w: Column, i: Column) -> Column:
+            stays = ~w.rlike(r"^\p{L}") | w.rlike(rf"^(?:(?:{_PARTICLES})|[ae]l|[dl]['’])$")
+            initial = F.struct(w.alias("t"), F.lit("initial").alias("kind"), x["family"].alias("norm"))
+            return F.when(stays, plain(w)).when(F.length(w) == 1, initial).otherwise(own(w, kinds(i)))
+
+        return F.concat(F.array(plain(x["title"])), F.transform(x["words"], piece))
 
     title = F.regexp_extract(hit, _TITLE, 1)
-    split = F.struct(title.alias("title"), F.split(F.substr(hit, F.length(title) + 1), " ").alias("words"))
-    return F.when(kind == "person", _let(split, person)).when(kind.isNotNull(), F.array(own(hit, kind))).otherwise(F.array(plain(hit))).cast(PARTS)
+    words = F.regexp_extract_all(F.substr(hit, F.length(title) + 1), F.lit(_PIECES), F.lit(0))
+    gap = lambda words: F.coalesce(F.array_max(F.transform(words, lambda w, i: F.when(w.rlike(_GAP), i))), F.lit(-1))
+    family = lambda words, gap: normal(F.lit("surname"), F.array_join(F.filter(words, lambda w, i: i > gap), ""))
+    split = _let(words, lambda w: _let(gap(w), lambda g: F.struct(title.alias("title"), w.alias("words"), g.alias("gap"), family(w, g).alias("family"))))
+    named = F.when(again.isNotNull(), F.array(own(hit, again))).otherwise(_let(split, person))
+    return F.when(kind == "person", named).when(kind.isNotNull(), F.array(own(hit, kind))).otherwise(F.array(plain(hit))).cast(PARTS)
 
 
 def _female(title: Column) -> Column:
@@ -155,12 +179,27 @@ def _let(value: Column, of) -> Column:
     return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
+def _before(values: Column) -> Column:
+    """For each place of an array of int, the sum of what stands before it, by chunks as in running()."""
+    none = F.array().cast("array<int>")
+    scan = lambda v, first, by: F.aggregate(
+        v, F.struct(first.alias("at"), none.alias("out")), lambda s, x: F.struct((s["at"] + by(x)).alias("at"), F.array_append(s["out"], s["at"]).alias("out")), lambda s: s["out"]
+    )
+    total = lambda y: F.aggregate(y, F.lit(0), lambda a, b: a + b)
+    chunks = lambda v: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(v) - 1) / 256).cast("int"))), lambda k: F.slice(v, k * 256 + 1, 256))
+    each = lambda c: F.flatten(F.zip_with(c, scan(c, F.lit(0), total), lambda y, first: scan(y, first, lambda x: x)))
+    return _let(_let(values, chunks), each)
+
+
+def _code(c: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")
+
+
 def _reletter(text: Column, h: Column) -> Column:
     """Digits and letters replaced by the hash, each kind, case and script by its own; the n-th of these takes the n-th part."""
     block = lambda b: F.struct(F.lit(b[0]).alias("first"), F.lit(b[1]).alias("size"))
 
-    def one(c: Column, i: Column) -> Column:
-        before = F.length(F.regexp_replace(F.substr(text, F.lit(1), i), r"[^\p{L}0-9]", ""))
+    def one(c: Column, before: Column) -> Column:
         to = F.when(c.rlike("^[0-9]$"), block((0x30, 10))).when(~c.rlike(r"^\p{L}$"), F.lit(None))
         for script, (lower, upper) in SCRIPTS.items():
             fits = c.rlike(rf"^\p{{Is{script}}}$")
@@ -168,10 +207,20 @@ def _reletter(text: Column, h: Column) -> Column:
                 to = to.when(fits & c.rlike(r"^\p{Lu}$"), block(upper))
             to = to.when(fits, block(lower))
         to = to.when(c.rlike(r"^\p{Lu}$"), block(SCRIPTS["Latin"][1])).otherwise(block(SCRIPTS["Latin"][0]))
-        code = lambda b: b["first"] + _number(h, before, b["size"])
-        return _let(to, lambda b: F.when(b.isNull(), c).otherwise(F.decode(F.unhex(F.lpad(F.hex(code(b)), 8, "0")), "UTF-32")))
+        return _let(to, lambda b: F.when(b.isNull(), c).otherwise(_code(b["first"] + _number(h, before, b["size"]))))
 
-    return F.array_join(F.transform(F.split(text, ""), one), "")
+    counted = lambda cs: F.zip_with(cs, _before(F.transform(cs, lambda c: c.rlike(r"^[\p{L}0-9]$").cast("int"))), one)
+    return F.array_join(_let(F.split(text, ""), counted), "")
+
+
+def _initial(letter: Column, family: Column, key: str) -> Column:
+    """The letter some steps on in its alphabet, never itself; the surname's normal form and the key say how many."""
+    step = F.conv(F.substr(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("initial"), family), 256), F.lit(1), F.lit(4)), 16, 10).cast("int")
+    moved = lambda first, size: _code(first + F.pmod(F.ascii(letter) - first + 1 + step % (size - 1), F.lit(size)))
+    out = moved(*SCRIPTS["Latin"][1])
+    for script in ("Cyrillic", "Greek"):
+        out = F.when(letter.rlike(rf"^\p{{Is{script}}}$"), moved(*SCRIPTS[script][1])).otherwise(out)
+    return out
 
 
 def _iban_check(country: Column, body: Column) -> Column:
@@ -181,15 +230,22 @@ def _iban_check(country: Column, body: Column) -> Column:
 
 
 def _name(kind: Column, text: Column, new: Column, h: Column, more: Column) -> Column:
-    """A made-up name of the text's script, in capitals if the text is; of other scripts than _SPELT, letter for letter (`new`)."""
+    """A made-up name of the text's script, in capitals if the text is; of other scripts than _SPELT, letter for letter
+    (`new`). One or two letters before an apostrophe stay apart."""
     of = lambda words, at: F.element_at(F.array(*map(F.lit, words)), _number(h, at, len(words)) + 1)
     said = F.array_join(F.transform(F.sequence(F.lit(0), more + 2), lambda at: of(_NAME, at + 4)), "")
     female = {"Cyrillic": (kind == "given_f") | (kind == "surname") & F.lower(text).rlike("[ая]$")}
-    out = new
+    apart, bare = F.regexp_extract(new, r"^\p{L}{1,2}['’](?=.)", 0), F.regexp_replace(text, "['’]", "")
+    spelt = F.lit(None).cast("string")
     for script, letters in _SPELT.items():
         end = F.when(female.get(script, kind == "given_f"), of(_ENDINGS[script]["f"], F.lit(0))).otherwise(of(_ENDINGS[script]["m"], F.lit(0)))
-        out = F.when(text.rlike(rf"^\p{{Is{script}}}+$"), F.concat(F.translate(said, _SPELT["Latin"], letters), end)).otherwise(out)
-    return _let(out, lambda out: F.when(F.upper(text) == text, F.upper(out)).when(F.lower(text) == text, F.lower(out)).otherwise(F.initcap(out)))
+        spelt = F.when(bare.rlike(rf"^\p{{Is{script}}}+$"), F.concat(F.translate(said, _SPELT["Latin"], letters), end)).otherwise(spelt)
+
+    def cased(x: Column) -> Column:
+        front, out = F.when(x["spelt"].isNull(), "").otherwise(apart), F.coalesce(x["spelt"], new)
+        return F.concat(front, F.when(F.upper(text) == text, F.upper(out)).when(F.lower(text) == text, F.lower(out)).otherwise(F.initcap(out)))
+
+    return _let(F.struct(spelt.alias("spelt")), cased)
 
 
 def surrogate(kind: Column, text: Column, attempt: Column, key: str = KEY) -> Column:
@@ -253,10 +309,31 @@ def surrogates(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataF
     plain = docs.where(~has).select(*names, F.array().cast(kinds).alias("entities"))
     given = docs.where(has).select(*names, F.split(F.col(text_col), ANY, -1).alias("__pieces"), F.regexp_extract_all(F.col(text_col), F.lit(ANY), 0).alias("__hits"))
     given = given.withColumn("__e", F.transform("__hits", lambda x: F.struct(x.alias("hit"), kind_of(x).alias("kind"))))
-    given = given.withColumn("__e", F.transform("__e", lambda e: F.struct(e["hit"].alias("hit"), e["kind"].alias("kind"), parts(e["kind"], e["hit"]).alias("parts"))))
-    given = scratch.save(given.drop("__hits").withColumn("__row", F.monotonically_increasing_id()), "found")
-
-    each = given.select("__row", F.explode(F.flatten(F.transform("__e", lambda e: e["parts"]))).alias("e")).where("e.kind IS NOT NULL").select("__row", "e.kind", "e.norm")
+    titled = F.flatten(F.transform(F.filter("__e", lambda e: e["kind"] == "person"), lambda e: parts(e["kind"], e["hit"], F.lit(None).cast("string"))))
+    long = lambda p: p["kind"].isin("surname", "given_f", "given_m") & (F.length(p["norm"]) > 2)
+    given = given.withColumn("__names", F.array_distinct(F.transform(F.filter(titled, long), lambda p: F.struct(p["kind"].alias("kind"), p["norm"].alias("norm")))))
+    # Names, by what they begin with, so that a place of the text meets few of them.
+    norms = F.array_distinct(F.transform("__names", lambda p: p["norm"]))
+    begun = F.array_distinct(F.transform(norms, lambda n: F.left(n, F.lit(2))))
+    ends = lambda n, b: F.array_join(F.transform(F.filter(n, lambda x: F.left(x, F.lit(2)) == b), lambda x: F.replace(F.substr(x, F.lit(3)), F.lit("'"), F.lit("['’]"))), "|")
+    tree = _let(norms, lambda n: F.array_join(F.transform(begun, lambda b: F.concat(F.replace(b, F.lit("'"), F.lit("['’]")), F.lit("(?:"), ends(n, b), F.lit(")"))), "|"))
+    named = F.concat(F.lit(rf"{ANY}|(?<!{_LETTER})(?=\p{{Lu}})(?iu:"), tree, F.lit(rf")(?!{_LETTER})"))
+    some = F.size("__names") > 0
+    given = given.withColumn("__by", F.when(some, named).otherwise(F.lit(ANY)))
+    for name, of in (("__pieces", lambda t, by: F.split(t, by, -1)), ("__hits", lambda t, by: F.regexp_extract_all(t, by, F.lit(0)))):
+        given = given.withColumn(name, F.when(some, of(F.col(text_col), F.col("__by"))).otherwise(F.col(name)))
+    given = given.withColumn("__e", F.when(some, F.transform("__hits", lambda x: F.struct(x.alias("hit"), kind_of(x).alias("kind")))).otherwise(F.col("__e")))
+
+    def whole(e: Column) -> Column:
+        known = _let(normal(F.lit("surname"), e["hit"]), lambda n: F.array_max(F.filter("__names", lambda p: p["norm"] == n))["kind"])
+        again = F.when(e["kind"].isNull() & e["hit"].rlike(r"^\p{Lu}"), known)
+        kind = F.coalesce(e["kind"], F.when(again.isNotNull(), "person"))
+        return F.struct(e["hit"].alias("hit"), kind.alias("kind"), parts(kind, e["hit"], again).alias("parts"))
+
+    given = given.withColumn("__e", F.transform("__e", whole))
+    given = scratch.save(given.drop("__hits", "__names", "__by").withColumn("__row", F.monotonically_increasing_id()), "found")
+
+    each = given.select("__row", F.explode(F.flatten(F.transform("__e", lambda e: e["parts"]))).alias("e")).where("e.kind <> 'initial'").select("__row", "e.kind", "e.norm")
     late = scratch.save(attempts(each, scratch, key), "late")
     if late.isEmpty():
         given = given.withColumn("__late", F.array().cast("array<struct<kind:string,norm:string,attempt:int>>"))
@@ -264,7 +341,7 @@ def surrogates(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataF
         own = each.distinct().join(late, ["kind", "norm"]).groupBy("__row").agg(F.collect_list(F.struct("kind", "norm", "attempt")).alias("__late"))
         given = given.join(own, "__row", "left")
     tried = lambda p: F.coalesce(F.get(F.filter("__late", lambda x: (x["kind"] == p["kind"]) & (x["norm"] == p["norm"])), F.lit(0))["attempt"], F.lit(0))
-    new = lambda p: F.when(p["kind"].isNull(), p["t"]).otherwise(surrogate(p["kind"], p["t"], tried(p), key))
+    new = lambda p: F.when(p["kind"].isNull(), p["t"]).when(p["kind"] == "initial", _initial(p["t"], p["norm"], key)).otherwise(surrogate(p["kind"], p["t"], tried(p), key))
     made = F.transform("__e", lambda e: F.struct(e["hit"].alias("hit"), e["kind"].alias("kind"), F.array_join(F.transform(e["parts"], new), "").alias("s")))
     given = given.withColumn("__e", made)
     text = F.array_join(F.flatten(F.transform("__pieces", lambda p, i: F.array_compact(F.array(p, F.get("__e", i)["s"])))), "")
