@@ -102,13 +102,56 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         now = new
 
 
+def _trimmed(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices and edges after those without an edge in or out of the rest are gone, a layer a round."""
+    while True:
+        into, out = edges.select("repo", F.col("dst").alias("uid")).distinct(), edges.select("repo", F.col("src").alias("uid")).distinct()
+        kept = cut(vertices.join(into, ["repo", "uid"], "left_semi").join(out, ["repo", "uid"], "left_semi"))
+        inner = cut(induced(edges, kept).select("repo", "src", "dst"))
+        if kept.count() == vertices.count():
+            return kept, inner
+        vertices, edges = kept, inner
+
+
+def _least_upstream(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo, uid, color): the least vertex from which uid is reachable, itself included; a round spreads only labels
+    that fell in the last one, and every round hands on a label's own label."""
+    now = cut(vertices.select("repo", "uid", F.col("uid").alias("color")))
+    fell = now
+    while not fell.isEmpty():
+        told = fell.withColumnRenamed("uid", "src").join(edges, ["repo", "src"]).groupBy("repo", F.col("dst").alias("uid")).agg(F.min("color").alias("told"))
+        hop = now.select("repo", F.col("uid").alias("color"), F.col("color").alias("up"))
+        new = now.join(told, ["repo", "uid"], "left").join(hop, ["repo", "color"], "left")
+        new = cut(new.select("repo", "uid", F.col("color").alias("old"), F.least("color", F.coalesce("told", "color"), F.coalesce("up", "color")).alias("color")))
+        now, fell = new.select("repo", "uid", "color"), new.where("color < old").select("repo", "uid", "color")
+    return now
+
+
 def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(repo, uid, component): the least uid that is reachable and from which uid is reachable."""
-    paths = closure(edges)
-    back = paths.select("repo", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = paths.join(back, ["repo", "src", "dst"], "left_semi").groupBy("repo", F.col("src").alias("uid")).agg(F.min("dst").alias("m"))
-    out = vertices.select("repo", "uid").join(mutual, ["repo", "uid"], "left")
-    return out.select("repo", "uid", F.least("uid", F.coalesce("m", "uid")).alias("component"))
+    """(repo, uid, component): the least uid that is reachable and from which uid is reachable.
+
+    By colouring: vertices outside cycles are trimmed; each other takes the least vertex upstream as its colour; what
+    reaches a colour's vertex inside that colour is its component, and goes. No round holds more rows than the graph.
+    """
+    every = vertices.select("repo", "uid")
+    left, inner = cut(every), cut(induced(edges.where("src <> dst"), every).select("repo", "src", "dst").distinct())
+    found = None
+    while True:
+        left, inner = _trimmed(left, inner)
+        if left.isEmpty():
+            break
+        colors = _least_upstream(left, inner)
+        of = lambda c: colors.select("repo", F.col("uid").alias(c), F.col("color").alias(f"c_{c}"))
+        same = cut(inner.join(of("src"), ["repo", "src"]).join(of("dst"), ["repo", "dst"]).where("c_src = c_dst").select("repo", F.col("dst").alias("src"), F.col("src").alias("dst")))
+        # Colours don't meet along `same`, so one walk back from all their vertices needs no key of its own.
+        back = cone(colors.where("uid = color").select("repo", "uid"), same, keys=()).select("repo", "uid")
+        done = cut(colors.join(back, ["repo", "uid"], "left_semi"))
+        found = done if found is None else found.unionByName(done)
+        left = cut(left.join(done, ["repo", "uid"], "left_anti"))
+        inner = cut(induced(inner, left).select("repo", "src", "dst"))
+    if found is None:
+        return every.withColumn("component", F.col("uid"))
+    return every.join(found, ["repo", "uid"], "left").select("repo", "uid", F.coalesce("color", "uid").alias("component"))
 
 
 def condensation(vertices: DataFrame, edges: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
