@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from solvarium.functions import names, versions
 from solvarium.operators import evolution, translate
-from solvarium.plans.lineage import shared_root
+from solvarium.plans.lineage import new_path
 from solvarium.plans.texts import parts, version_strings
-from solvarium.sources import stanzas
+from solvarium.sources import loading, stanzas
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -32,7 +30,7 @@ def columns():
 
 def as_file(spark, lines) -> str:
     """The path of a new text file of lines(value), for readers of files."""
-    path = f"{shared_root(spark)}/solvarium/text-{uuid.uuid4().hex}"
+    path = new_path(spark, "text")
     lines.select("value").write.text(path)
     return path
 
@@ -352,3 +350,27 @@ def rpm_file_conflicts(spark, sf_dir):
 def criteria_fields(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/part.parquet")
     return rows.select("p_partkey", names.criteria_field(F.col("p_brand"), F.col("p_name")).alias("field"))
+
+
+@query(
+    "SELECT 'p' || p_partkey AS name, p_size || '.' || p_partkey % 30 AS version, CASE WHEN p_partkey % 2 = 0 THEN 'all' ELSE 'amd64' END AS arch, CASE WHEN p_size % 4 = 0 THEN 0 ELSE 1 END AS n_depends FROM part"
+)
+def loaded_packages(spark, sf_dir):
+    """Lists that are plain, gzip and bzip2, named so, named otherwise or not at all; records of a list come in others too."""
+    k, size = columns()
+    text = F.concat(
+        F.lit("Package: p"), k, F.lit("\nVersion: "), size, F.lit("."), k % 30, F.lit("\nArchitecture: "), F.when(k % 2 == 0, "all").otherwise("amd64"),
+        F.when(size % 4 == 0, "").otherwise(F.concat(F.lit("\nDepends: q"), size, F.lit(" |\n r"))), F.lit("\n"),
+    )
+    rows, uris = parts(spark, sf_dir).select("p_partkey", text.alias("value")), []
+    jvm = spark._jvm.org.apache.hadoop.fs
+    for i, (codec, was, named) in enumerate([("none", ".txt", ".gz"), ("gzip", ".txt.gz", ".txt"), ("gzip", ".txt.gz", ".txt.gz"), ("bzip2", ".txt.bz2", ".gz"), ("bzip2", ".txt.bz2", ".txt.bz2")]):
+        path = new_path(spark, "list")
+        rows.where((F.col("p_partkey") % 5 == i) | (F.col("p_partkey") % 7 == 0)).select("value").write.option("compression", codec).text(path)
+        fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in fs.listStatus(jvm.Path(path)):
+            old = status.getPath()
+            if old.getName().endswith(was) and was != named:
+                fs.rename(old, jvm.Path(old.getParent(), old.getName().removesuffix(was) + named))
+        uris.append(f"deb://{path}")
+    return loading.load(spark, uris).select("name", "version", "arch", F.size("depends").alias("n_depends"))

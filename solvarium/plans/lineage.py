@@ -21,17 +21,23 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def new_path(spark: SparkSession, of: str) -> str:
+    """A path in the shared folder that clear() deletes."""
+    path = f"{shared_root(spark)}/solvarium/{of}-{uuid.uuid4().hex}"
+    _LEFT.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` written once and read back, so that a loop's plan stays small and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/solvarium/loop-{uuid.uuid4().hex}"
+    path = new_path(spark, "loop")
     df.write.parquet(path)
-    _LEFT.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> int:
-    """Deletes what cut() has left in this application, once no DataFrame that reads it is needed any more; how many."""
+    """Deletes what cut() and new_path() have left in this application, once no DataFrame that reads it is needed any more; how many."""
     paths = _LEFT.pop(spark.sparkContext.applicationId, [])
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)

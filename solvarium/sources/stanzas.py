@@ -61,17 +61,24 @@ def atoms(packages: DataFrame, formula: str, key: tuple[str, ...] = ("name", "ve
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """A blank-separated catalog: version in column 2, name in 3, depends in 7 and conflicts in 9, `|` between them and
+    return catalog(spark.read.text(path))
+
+
+def catalog(lines: DataFrame) -> DataFrame:
+    """Lines(value) of a blank-separated catalog: version in column 2, name in 3, depends in 7 and conflicts in 9, `|` between them and
     `none` for an empty list."""
     parts = F.split(F.col("value"), " ")
     names = lambda c: F.when(c == "none", F.array().cast("array<string>")).otherwise(F.split(c, r"\|"))
-    rows = spark.read.text(path).where(F.size(parts) >= 9)
+    rows = lines.where(F.size(parts) >= 9)
     return rows.select(parts[2].alias("name"), parts[1].alias("version"), names(parts[6]).alias("depends"), names(parts[8]).alias("conflicts"))
 
 
 def read_synthesis(spark: SparkSession, path: str) -> DataFrame:
-    """Records of `@tag@value@value...` lines, each ended by its @info@ line: name-version-release.arch, and lists."""
-    whole = spark.read.text(path, wholetext=True)
+    return synthesis(spark.read.text(path, wholetext=True))
+
+
+def synthesis(whole: DataFrame) -> DataFrame:
+    """Of whole files(value), records of `@tag@value@value...` lines, each ended by its @info@ line: name-version-release.arch, and lists."""
     records = whole.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)(?:@(?!info@)[^\n]*\n)*@info@[^\n]*"), F.lit(0))).alias("r"))
     nvra = F.regexp_extract("r", r"@info@([^@\n]*)", 1)
     tag = lambda t: F.split(F.nullif(F.regexp_extract("r", rf"(?m)^@{t}@(.*)$", 1), F.lit("")), "@")
