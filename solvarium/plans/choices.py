@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from solvarium.operators import explain, flatten, requests, sat
+from solvarium.operators import explain, flatten, requests, sat, solutions
 from solvarium.plans.answers import asked
 from solvarium.plans.fixtures import ORDERS_SQL
 from solvarium.plans.lineage import cut
@@ -166,3 +166,25 @@ SQL["explanation_documents"] = _WHY + (
     " SELECT repo, root, 'digraph {' || chr(10) || string_agg(line, chr(10) ORDER BY line) || chr(10) || '}' AS document FROM ("
     "SELECT repo, root, '\"' || src || '\" -> \"' || dst || '\"' || CASE kind WHEN 'conflict' THEN ' [color=red,dir=none]' WHEN 'missing' THEN ' [style=dotted]' ELSE '' END || ';' AS line FROM drawn) GROUP BY repo, root"
 )
+
+
+@query(
+    ", l AS (SELECT p.repo, p.uid FROM fx_pkg p SEMI JOIN (SELECT v.repo, b.uid FROM fx_closed v JOIN fx_pkg b ON b.repo = v.repo AND (v.s & b.bit) <> 0) c ON c.repo = p.repo AND c.uid = p.uid),"
+    " e AS (SELECT DISTINCT repo, uid AS src, target AS dst FROM fx_alt SEMI JOIN l USING (repo, uid) WHERE (repo, target) IN (SELECT (repo, uid) FROM l)),"
+    " w(repo, root, uid) AS (SELECT repo, uid, uid FROM l UNION SELECT w.repo, w.root, e.dst FROM w JOIN e ON e.repo = w.repo AND e.src = w.uid),"
+    " cone AS (SELECT w.repo, root AS uid, bit_or(bit) AS cone FROM w JOIN fx_pkg p ON p.repo = w.repo AND p.uid = w.uid GROUP BY w.repo, root)"
+    " SELECT p.repo, p.uid, count(*) AS n, md5(string_agg(CAST(v.s AS VARCHAR), ',' ORDER BY v.s)) AS digest FROM cone JOIN fx_pkg p USING (repo, uid)"
+    " JOIN fx_valid v ON v.repo = p.repo AND (v.s & p.bit) <> 0 AND (v.s & cone) = v.s GROUP BY p.repo, p.uid"
+)
+def solution_counts(spark, sf_dir):
+    """How many sets of each package's cone install it, and a digest of them all."""
+    _, packages, deps, confs = resolved(spark, sf_dir)
+    none = F.array().cast("array<int>")
+    asked = packages.select("repo", F.col("uid").alias("req"), F.array("uid").alias("need"), none.alias("forbid"))
+    found = solutions.all_solutions(asked, deps, confs, cut(sat.horn_broken(deps)))
+    bits = F.aggregate("members", F.lit(0).cast("long"), lambda a, x: a + F.pow(F.lit(2), x - 1).cast("long"))
+    held = found.groupBy("repo", F.col("req").alias("uid")).agg(F.array_sort(F.collect_list(bits)).alias("sets"))
+    return held.select("repo", "uid", F.size("sets").cast("long").alias("n"), F.md5(F.array_join(F.col("sets").cast("array<string>"), ",")).alias("digest"))
+
+
+SQL["solution_counts"] = SQL["solution_counts"].replace("WITH ", "WITH RECURSIVE ", 1)
