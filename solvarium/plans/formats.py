@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from solvarium.functions import names, versions
-from solvarium.operators import evolution, translate
+from solvarium.operators import documents, evolution, translate
 from solvarium.plans.lineage import new_path
 from solvarium.plans.texts import parts, version_strings
 from solvarium.sources import loading, stanzas
@@ -374,3 +374,26 @@ def loaded_packages(spark, sf_dir):
                 fs.rename(old, jvm.Path(old.getParent(), old.getName().removesuffix(was) + named))
         uris.append(f"deb://{path}")
     return loading.load(spark, uris).select("name", "version", "arch", F.size("depends").alias("n_depends"))
+
+
+@query(
+    "SELECT p_brand AS repo, 'pkg' || p_partkey AS name, p_size || '-1' AS version, CASE WHEN p_partkey % 3 = 0 THEN 'all' ELSE 'amd64' END AS arch, p_partkey % 2 = 0 AS essential, 'src' || p_size AS source,"
+    " CASE WHEN p_size % 4 = 0 THEN '' ELSE 'x (> ' || p_size || ') | y:any' || CASE WHEN p_size % 4 = 1 THEN ', z (= 1)' ELSE '' END END AS depends FROM part"
+)
+def control_files(spark, sf_dir):
+    """Packages of all brands printed, written a folder a brand with a manifest, and read back."""
+    k, size = columns()
+    depends = F.when(size % 4 == 0, "").otherwise(F.concat(F.lit("x (>> "), size, F.lit(") | y:any"), F.when(size % 4 == 1, ", z (= 1)").otherwise("")))
+    made = F.concat(
+        F.lit("Package: pkg"), k, F.lit("\nVersion: "), size, F.lit("-1\nArchitecture: "), F.when(k % 3 == 0, "all").otherwise("amd64"), F.when(k % 2 == 0, "\nEssential: yes").otherwise(""),
+        F.lit("\nSource: src"), size, F.lit("\nDepends: "), depends,
+    )
+    brands = parts(spark, sf_dir).select(F.concat(F.lit("pkg"), k).alias("name"), F.col("p_brand").alias("repo"), k)
+    typed = stanzas.debian_packages(parts(spark, sf_dir).select(stanzas.fields(made).alias("fields"))).join(brands, "name")
+    path = new_path(spark, "control")
+    documents.write_documents(documents.control_stanzas(typed, "repo", "p_partkey"), path, ("p_partkey",))
+    if not documents.damaged(spark, path).isEmpty():
+        raise OSError("written documents differ from their manifest")
+    back = documents.read_documents(spark, path).select("repo", stanzas.fields(F.col("stanza")).alias("fields"))
+    again = stanzas.debian_packages(back).join(back.select(F.col("fields")["Package"].alias("name"), "repo"), "name")
+    return again.select("repo", "name", "version", "arch", "essential", "source", names.print_formula(F.col("depends")).alias("depends"))
