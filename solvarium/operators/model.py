@@ -46,9 +46,13 @@ def resolve_atoms(atoms: DataFrame, provs: DataFrame) -> DataFrame:
 
 def resolve_deps(u: Universe) -> DataFrame:
     """(repo, uid, clause, target), one row with a null target for a clause that nothing provides."""
-    found = resolve_atoms(u.deps, u.provs).select("repo", "uid", "clause", "target").distinct()
-    clauses = u.deps.select("repo", "uid", "clause").distinct()
-    return clauses.join(found, ["repo", "uid", "clause"], "left")
+    from pyspark.sql import Window
+
+    p = u.provs.select(F.col("repo").alias("__repo"), F.col("name").alias("__name"), F.col("uid").alias("target"), F.col("ver").alias("have"))
+    on = (F.col("repo") == F.col("__repo")) & (F.col("name") == F.col("__name")) & satisfies(F.col("have"), F.col("op"), F.col("ver"))
+    found = u.deps.join(p, on, "left").select("repo", "uid", "clause", "target")
+    met = F.count("target").over(Window.partitionBy("repo", "uid", "clause"))
+    return found.withColumn("met", met).where("met = 0 OR target IS NOT NULL").select("repo", "uid", "clause", "target").distinct()
 
 
 def missing_clauses(resolved: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ A package is installable if some set holds it, meets every clause of its members
    batches, and what that can't decide in its steps to a search that learns from conflicts, which decides everything
    unless BUDGET limits it. Beyond a limit the status is `unknown`, never a guess, and every operator below carries it: as
    a status column, or null in place of true and false.
+Repositories of up to bits.SMALL rows go through the same stages many at once in a task, as bits; larger ones by joins.
 
 Two installable packages whose models hold no pair in conflict go together, as the union of closed sets is closed. So
 pairs are asked only where a conflict runs between the two models, and models, not cones, give the candidates.
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from solvarium.operators import bits
 from solvarium.operators.clauses import Sat
 from solvarium.operators.graphs import cone, dependency_closure
 from solvarium.plans.lineage import cut
@@ -27,10 +29,16 @@ BUDGET: tuple[int, int | None] = (200_000, None)
 
 
 def horn_broken(resolved: DataFrame) -> DataFrame:
-    """(repo, uid) of packages with a clause that no installable package can meet, conflicts left out.
+    """(repo, uid) of packages with a clause that no installable package can meet, conflicts left out."""
+    crowd = bits.crowded(resolved)
+    small, large = bits.split(crowd, resolved)
+    found = bits.stream(small[0]).mapInArrow(bits.horn, f"repo {resolved.schema['repo'].dataType.simpleString()}, uid int")
+    return found.unionByName(_horn_joined(large[0])) if large else found
 
-    A round follows only what the last one broke, and counts for each clause how many of its alternatives are gone.
-    """
+
+def _horn_joined(resolved: DataFrame) -> DataFrame:
+    """horn_broken() by joins: a round follows only what the last one broke, and counts for each clause how many of its
+    alternatives are gone."""
     keys = ["repo", "uid", "clause", "n"]
     size = F.count("target").over(Window.partitionBy("repo", "uid", "clause"))
     open_ = cut(resolved.select("repo", "uid", "clause", "target").distinct().withColumn("n", size))
@@ -217,10 +225,22 @@ def _rows(requests: DataFrame, inside: DataFrame, fights: DataFrame, live: DataF
     return requests.join(clauses, ["repo", "req"], "left").join(pairs, ["repo", "req"], "left")
 
 
-def solve(requests: DataFrame, resolved: DataFrame, conflicts: DataFrame, broken: DataFrame, with_model: bool = False) -> DataFrame:
+def solve(requests: DataFrame, resolved: DataFrame, conflicts: DataFrame, broken: DataFrame | None = None, with_model: bool = False) -> DataFrame:
     """(repo, req, status) for requests(repo, req, need ARRAY<INT>, forbid ARRAY<INT>): ok, broken or unknown; and, if
     asked, `model`: the members of one set that meets the request."""
+    requests = cut(requests.select("repo", "req", "need", "forbid"))
+    kinds = {f.name: f.dataType.simpleString() for f in requests.schema}
+    schema = f"repo {kinds['repo']}, req {kinds['req']}, status string" + (", model array<int>" if with_model else "")
+    crowd = bits.crowded(requests, resolved, conflicts)
+    small, large = bits.split(crowd, resolved, conflicts, requests)
+    out = bits.stream(*small).mapInArrow(bits.solved(BUDGET, with_model), schema)
+    return out.unionByName(_solve_joined(large[2], large[0], large[1], broken, with_model)) if large else out
+
+
+def _solve_joined(requests: DataFrame, resolved: DataFrame, conflicts: DataFrame, broken: DataFrame | None, with_model: bool) -> DataFrame:
+    """solve() with cones by joins, for repositories that no task should hold."""
     requests, limit = cut(requests), BUDGET
+    broken = cut(_horn_joined(resolved)) if broken is None else broken
     dead, inside, fights, live = _cones(requests, resolved, conflicts, broken)
     open_ = requests.join(dead, ["repo", "req"], "left_anti")
     hard = open_.join(fights.select("repo", "req").distinct().withColumn("hit", F.lit(True)), ["repo", "req"], "left")
@@ -251,7 +271,6 @@ def solve(requests: DataFrame, resolved: DataFrame, conflicts: DataFrame, broken
 def check(packages: DataFrame, resolved: DataFrame, conflicts: DataFrame, broken: DataFrame | None = None, also: int | None = None, with_model: bool = False) -> DataFrame:
     """(repo, uid, status) of every package by itself; with `also`, together with that package, such as the one that
     carries global constraints. `packages` may be some of the universe's, to check a list."""
-    broken = cut(horn_broken(resolved)) if broken is None else broken
     none = F.array().cast("array<int>")
     need = F.array("uid") if also is None else F.array(F.col("uid"), F.lit(also))
     asked = packages.select("repo", F.col("uid").alias("req"), need.alias("need"), none.alias("forbid"))
@@ -299,7 +318,7 @@ def _crossing(models: DataFrame, conflicts: DataFrame) -> DataFrame:
     return pairs.select("repo", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
 
 
-def coinstallable(pairs: DataFrame, resolved: DataFrame, conflicts: DataFrame, broken: DataFrame) -> DataFrame:
+def coinstallable(pairs: DataFrame, resolved: DataFrame, conflicts: DataFrame, broken: DataFrame | None = None) -> DataFrame:
     """`pairs` (repo, lo, hi) with their status."""
     pairs = cut(pairs.select("repo", "lo", "hi"))
     ends = pairs.select("repo", F.explode(F.array("lo", "hi")).alias("uid")).distinct()
@@ -441,12 +460,11 @@ def useless_alternatives(deps: DataFrame, provs: DataFrame, packages: DataFrame,
     used; status unknown where the budget did not tell."""
     from solvarium.operators.model import resolve_atoms
 
-    broken = cut(horn_broken(resolved))
-    good = check(packages, resolved, conflicts, broken).where("status = 'ok'").select("repo", "uid")
+    good = check(packages, resolved, conflicts).where("status = 'ok'").select("repo", "uid")
     asked = cut(deps.select("repo", "uid", "clause", "alt", "name", "op", "ver").join(good, ["repo", "uid"], "left_semi"))
     ways = cut(resolve_atoms(asked, provs).select("repo", "uid", "clause", "alt", "target").distinct())
     pairs = ways.select("repo", F.col("uid").alias("lo"), F.col("target").alias("hi")).distinct()
-    said = coinstallable(pairs, resolved, conflicts, broken).select("repo", F.col("lo").alias("uid"), F.col("hi").alias("target"), "status")
+    said = coinstallable(pairs, resolved, conflicts).select("repo", F.col("lo").alias("uid"), F.col("hi").alias("target"), "status")
     used = ways.join(said, ["repo", "uid", "target"]).groupBy("repo", "uid", "clause", "alt")
     used = used.agg(F.bool_or(F.col("status") == "ok").alias("ok"), F.bool_or(F.col("status") == "unknown").alias("unsure"))
     out = asked.select("repo", "uid", "clause", "alt").join(used, ["repo", "uid", "clause", "alt"], "left").where("NOT coalesce(ok, false)")
@@ -489,7 +507,7 @@ def coinstall_products(choices: DataFrame, items: int, resolved: DataFrame, conf
         own = choices.where(F.col("item") == k).select("repo", F.col("uid").alias("next")).distinct()
         rows = own.select("repo", F.array("next").alias("uids")) if rows is None else rows.join(own, "repo").select("repo", F.concat("uids", F.array("next")).alias("uids"))
     rows = rows.select("repo", F.array_join("uids", "~").alias("req"), F.array_distinct("uids").alias("need"), F.array().cast("array<int>").alias("forbid"))
-    said = solve(rows, resolved, conflicts, cut(horn_broken(resolved)))
+    said = solve(rows, resolved, conflicts)
     return said.select("repo", F.split("req", "~").cast("array<int>").alias("uids"), "status")
 
 

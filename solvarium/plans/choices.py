@@ -89,7 +89,7 @@ def flattened_pairs(spark, sf_dir):
     both = packages.select("repo", F.col("uid").alias("lo")).join(packages.select("repo", F.col("uid").alias("hi")), "repo").where("lo <= hi")
     none = F.array().cast("array<int>").alias("forbid")
     asked = both.select("repo", F.concat_ws("~", "lo", "hi").alias("req"), F.array_distinct(F.array("lo", "hi")).alias("need"), none)
-    said = sat.solve(asked, flat, left, cut(sat.horn_broken(flat)))
+    said = sat.solve(asked, flat, left)
     at = F.split("req", "~")
     return said.select("repo", at[0].cast("int").alias("lo"), at[1].cast("int").alias("hi"), known("ok").alias("together"))
 

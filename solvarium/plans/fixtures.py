@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from solvarium.operators.model import Universe
+from solvarium.plans.lineage import cut
 
 
 def order_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,23 +25,27 @@ def order_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_universe(spark: SparkSession, sf_dir: str) -> Universe:
-    p = order_packages(spark, sf_dir)
+    p = cut(order_packages(spark, sf_dir))
     v = lambda n: F.lit(n).cast("int")
 
-    def atoms(when, clause, alt, name, op, ver):
-        return p.where(when).select("repo", "uid", v(clause).alias("clause"), v(alt).alias("alt"), name.alias("name"), F.lit(op).alias("op"), ver.cast("int").alias("ver"))
+    def rows(*each):
+        """The structs that are there, a row each."""
+        return p.select("repo", "uid", F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("x")).select("repo", "uid", "x.*")
+
+    def atom(when, clause, alt, name, op, ver):
+        return F.when(F.expr(when), F.struct(v(clause).alias("clause"), v(alt).alias("alt"), name.alias("name"), F.lit(op).alias("op"), ver.cast("int").alias("ver")))
 
     n = lambda c: F.concat(F.lit("n"), c)
-    deps = (
-        atoms("pk % 3 <> 0", 1, 1, n((F.col("pk") + 1) % 4), "any", v(0))
-        .unionByName(atoms("pk % 3 <> 0", 1, 2, n(F.col("sk") % 4), ">=", 1 + F.col("sk") % 7))
-        .unionByName(atoms("sk % 4 = 0", 2, 1, n((F.col("pk") + 2) % 4), "<=", 2 + F.col("pk") % 6))
-        .unionByName(atoms("pk % 5 = 0", 3, 1, F.concat(F.lit("v"), F.col("sk") % 2), "any", v(0)))
+    deps = rows(
+        atom("pk % 3 <> 0", 1, 1, n((F.col("pk") + 1) % 4), "any", v(0)),
+        atom("pk % 3 <> 0", 1, 2, n(F.col("sk") % 4), ">=", 1 + F.col("sk") % 7),
+        atom("sk % 4 = 0", 2, 1, n((F.col("pk") + 2) % 4), "<=", 2 + F.col("pk") % 6),
+        atom("pk % 5 = 0", 3, 1, F.concat(F.lit("v"), F.col("sk") % 2), "any", v(0)),
     )
     confs = p.where("pk % 2 = 0").select("repo", "uid", n((F.col("sk") + 1) % 4).alias("name"), F.lit("<").alias("op"), (1 + F.col("q") % 7).cast("int").alias("ver"))
-    provs = p.select("repo", "uid", "name", "ver")
-    provs = provs.unionByName(p.where("q % 3 = 0").select("repo", "uid", F.concat(F.lit("v"), F.col("sk") % 3).alias("name"), F.lit(None).cast("int").alias("ver")))
-    return Universe(p, deps, confs, provs)
+    own = F.struct("name", F.col("ver").cast("int").alias("ver"))
+    virtual = F.when(F.expr("q % 3 = 0"), F.struct(F.concat(F.lit("v"), F.col("sk") % 3).alias("name"), F.lit(None).cast("int").alias("ver")))
+    return Universe(p, deps, confs, rows(own, virtual))
 
 
 def part_graph(spark: SparkSession, sf_dir: str, acyclic: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -24,7 +24,7 @@ def query(sql: str):
 def resolved(spark, sf_dir):
     """(packages, resolved dependencies, conflicts), each written once and read by every step that follows."""
     u = order_universe(spark, sf_dir)
-    return u, cut(u.packages), cut(model.resolve_deps(u)), cut(model.resolve_conflicts(u))
+    return u, u.packages, cut(model.resolve_deps(u)), cut(model.resolve_conflicts(u))
 
 
 def known(status: str):
@@ -118,7 +118,7 @@ def broken_summary(spark, sf_dir):
 def coinstall_pairs(spark, sf_dir):
     _, packages, deps, confs = resolved(spark, sf_dir)
     pairs = packages.select("repo", F.col("uid").alias("lo")).join(packages.select("repo", F.col("uid").alias("hi")), "repo").where("lo < hi")
-    said = sat.coinstallable(pairs, deps, confs, cut(sat.horn_broken(deps)))
+    said = sat.coinstallable(pairs, deps, confs)
     return said.select("repo", "lo", "hi", known("ok").alias("together"))
 
 
