@@ -248,8 +248,8 @@ def syntactic_graph_kinds(spark, sf_dir):
 def missing_causes(spark, sf_dir):
     """How many packages have a clause that nothing provides, by the clause's text."""
     u, _, deps, _ = resolved(spark, sf_dir)
-    broken = cut(sat.horn_broken(deps))
-    found = sat.reasons(deps, u.deps, broken).where("uid = root")
+    broken = cut(model.missing_clauses(deps).select("repo", "uid").distinct())
+    found = sat.reasons(deps, u.deps, broken, depth=1)
     return found.groupBy("cause").agg(F.count("*").alias("packages"))
 
 
