@@ -39,18 +39,25 @@ def reverse_counts(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst").groupBy("repo", F.col("dst").alias("uid")).agg(F.count("*").alias("n"))
 
 
-def cone(roots: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ("root",), depth: int | None = None) -> DataFrame:
-    """(repo, *keys, uid, level) reached from roots(repo, *keys, uid); depth n takes levels 0 to n - 1.
+def _apart(df: DataFrame) -> DataFrame:
+    """`df` for a join by shuffle: a table that grows with the graph, and is broadcast in each of many rounds while it is
+    under the limit for one, adds up on the driver."""
+    return df.hint("merge")
+
+
+def cone(roots: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ("root",), depth: int | None = None, shuffled: bool = False) -> DataFrame:
+    """(repo, *keys, uid, level) reached from roots(repo, *keys, uid); depth n takes levels 0 to n - 1. With `shuffled` no
+    table of a round goes through the driver.
 
     Each round joins only what the last one found; a round's rows are written, so the plan never grows.
     """
-    by = ["repo", *keys]
+    by, apart = ["repo", *keys], _apart if shuffled else lambda df: df
     frontier = cut(roots.select(*by, "uid").distinct().withColumn("level", F.lit(0)))
     seen, level = frontier, 0
     while (depth is None or level + 1 < depth) and not frontier.isEmpty():
         level += 1
-        step = frontier.withColumnRenamed("uid", "src").join(edges, ["repo", "src"])
-        new = step.select(*by, F.col("dst").alias("uid")).distinct().join(seen.select(*by, "uid"), [*by, "uid"], "left_anti")
+        step = frontier.withColumnRenamed("uid", "src").join(apart(edges), ["repo", "src"])
+        new = step.select(*by, F.col("dst").alias("uid")).distinct().join(apart(seen.select(*by, "uid")), [*by, "uid"], "left_anti")
         frontier = cut(new.withColumn("level", F.lit(level)))
         seen = seen.unionByName(frontier)
     return seen
@@ -104,11 +111,13 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _trimmed(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vertices and edges after those without an edge in or out of the rest are gone, a layer a round."""
+    many = vertices.count()
     while True:
         into, out = edges.select("repo", F.col("dst").alias("uid")).distinct(), edges.select("repo", F.col("src").alias("uid")).distinct()
-        kept = cut(vertices.join(into, ["repo", "uid"], "left_semi").join(out, ["repo", "uid"], "left_semi"))
-        inner = cut(induced(edges, kept).select("repo", "src", "dst"))
-        if kept.count() == vertices.count():
+        kept = cut(vertices.join(_apart(into), ["repo", "uid"], "left_semi").join(_apart(out), ["repo", "uid"], "left_semi"))
+        inner = cut(induced(edges, _apart(kept.select("repo", "uid"))).select("repo", "src", "dst"))
+        before, many = many, kept.count()
+        if many == before:
             return kept, inner
         vertices, edges = kept, inner
 
@@ -119,9 +128,9 @@ def _least_upstream(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     now = cut(vertices.select("repo", "uid", F.col("uid").alias("color")))
     fell = now
     while not fell.isEmpty():
-        told = fell.withColumnRenamed("uid", "src").join(edges, ["repo", "src"]).groupBy("repo", F.col("dst").alias("uid")).agg(F.min("color").alias("told"))
+        told = fell.withColumnRenamed("uid", "src").join(_apart(edges), ["repo", "src"]).groupBy("repo", F.col("dst").alias("uid")).agg(F.min("color").alias("told"))
         hop = now.select("repo", F.col("uid").alias("color"), F.col("color").alias("up"))
-        new = now.join(told, ["repo", "uid"], "left").join(hop, ["repo", "color"], "left")
+        new = now.join(_apart(told), ["repo", "uid"], "left").join(_apart(hop), ["repo", "color"], "left")
         new = cut(new.select("repo", "uid", F.col("color").alias("old"), F.least("color", F.coalesce("told", "color"), F.coalesce("up", "color")).alias("color")))
         now, fell = new.select("repo", "uid", "color"), new.where("color < old").select("repo", "uid", "color")
     return now
@@ -134,7 +143,7 @@ def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     reaches a colour's vertex inside that colour is its component, and goes. No round holds more rows than the graph.
     """
     every = vertices.select("repo", "uid")
-    left, inner = cut(every), cut(induced(edges.where("src <> dst"), every).select("repo", "src", "dst").distinct())
+    left, inner = cut(every), cut(induced(edges.where("src <> dst"), _apart(every)).select("repo", "src", "dst").distinct())
     found = None
     while True:
         left, inner = _trimmed(left, inner)
@@ -142,16 +151,16 @@ def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             break
         colors = _least_upstream(left, inner)
         of = lambda c: colors.select("repo", F.col("uid").alias(c), F.col("color").alias(f"c_{c}"))
-        same = cut(inner.join(of("src"), ["repo", "src"]).join(of("dst"), ["repo", "dst"]).where("c_src = c_dst").select("repo", F.col("dst").alias("src"), F.col("src").alias("dst")))
+        same = cut(inner.join(_apart(of("src")), ["repo", "src"]).join(_apart(of("dst")), ["repo", "dst"]).where("c_src = c_dst").select("repo", F.col("dst").alias("src"), F.col("src").alias("dst")))
         # Colours don't meet along `same`, so one walk back from all their vertices needs no key of its own.
-        back = cone(colors.where("uid = color").select("repo", "uid"), same, keys=()).select("repo", "uid")
-        done = cut(colors.join(back, ["repo", "uid"], "left_semi"))
+        back = cone(colors.where("uid = color").select("repo", "uid"), same, keys=(), shuffled=True).select("repo", "uid")
+        done = cut(colors.join(_apart(back), ["repo", "uid"], "left_semi"))
         found = done if found is None else found.unionByName(done)
-        left = cut(left.join(done, ["repo", "uid"], "left_anti"))
-        inner = cut(induced(inner, left).select("repo", "src", "dst"))
+        left = cut(left.join(_apart(done.select("repo", "uid")), ["repo", "uid"], "left_anti"))
+        inner = cut(induced(inner, _apart(left)).select("repo", "src", "dst"))
     if found is None:
         return every.withColumn("component", F.col("uid"))
-    return every.join(found, ["repo", "uid"], "left").select("repo", "uid", F.coalesce("color", "uid").alias("component"))
+    return every.join(_apart(found), ["repo", "uid"], "left").select("repo", "uid", F.coalesce("color", "uid").alias("component"))
 
 
 def condensation(vertices: DataFrame, edges: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -30,3 +30,16 @@ def test_strong_components_equal_reachability(spark):
     assert len(got) == len(vertices) and set(got) == want
     none = graphs.strong_components(v.limit(0), e.limit(0))
     assert none.columns == ["repo", "uid", "component"] and none.count() == 0
+
+
+def test_rounds_of_strong_components_send_no_table_through_the_driver(spark, monkeypatch):
+    """Whatever its size, a table of a round is shuffled, not broadcast; two cycles, one of them behind a chain."""
+    from solvarium.operators import graphs
+
+    plans, cut = [], graphs.cut
+    monkeypatch.setattr(graphs, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    v = cut(spark.createDataFrame([(0, k) for k in range(6)], "repo long, uid int"))
+    e = cut(spark.createDataFrame([(0, 1, 2), (0, 2, 1), (0, 2, 3), (0, 3, 4), (0, 4, 5), (0, 5, 4)], "repo long, src int, dst int"))
+    got = {(r.uid, r.component) for r in graphs.strong_components(v, e).collect()}
+    assert got == {(0, 0), (1, 1), (2, 1), (3, 3), (4, 4), (5, 4)}
+    assert plans and not any("Broadcast" in p for p in plans)
