@@ -167,10 +167,10 @@ def condensation(vertices: DataFrame, edges: DataFrame, names: DataFrame) -> tup
     """Cycles as single vertices: (repo, component, label) with member names sorted and joined by '/', and the edges
     between components; names(repo, uid, name)."""
     scc = cut(strong_components(vertices, edges))
-    label = scc.join(names.select("repo", "uid", "name"), ["repo", "uid"]).groupBy("repo", "component")
+    label = scc.join(_apart(names.select("repo", "uid", "name")), ["repo", "uid"]).groupBy("repo", "component")
     label = label.agg(F.array_join(F.array_sort(F.collect_list("name")), "/").alias("label"))
     of = lambda c: scc.select("repo", F.col("uid").alias(c), F.col("component").alias(f"c_{c}"))
-    between = edges.join(of("src"), ["repo", "src"]).join(of("dst"), ["repo", "dst"]).where("c_src <> c_dst")
+    between = edges.join(_apart(of("src")), ["repo", "src"]).join(_apart(of("dst")), ["repo", "dst"]).where("c_src <> c_dst")
     return label, between.select("repo", F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).distinct()
 
 

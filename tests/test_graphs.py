@@ -43,3 +43,13 @@ def test_rounds_of_strong_components_send_no_table_through_the_driver(spark, mon
     got = {(r.uid, r.component) for r in graphs.strong_components(v, e).collect()}
     assert got == {(0, 0), (1, 1), (2, 1), (3, 3), (4, 4), (5, 4)}
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_condensation_sends_no_table_through_the_driver(spark):
+    from solvarium.operators import graphs
+
+    v = spark.createDataFrame([(0, k) for k in range(3)], "repo long, uid int")
+    e = spark.createDataFrame([(0, 0, 1), (0, 1, 0), (0, 1, 2)], "repo long, src int, dst int")
+    label, between = graphs.condensation(v, e, v.withColumn("name", v.uid.cast("string")))
+    assert not any("Broadcast" in df._jdf.queryExecution().executedPlan().toString() for df in (label, between))
+    assert {tuple(r) for r in label.collect()} == {(0, 0, "0/1"), (0, 2, "2")} and [tuple(r) for r in between.collect()] == [(0, 0, 2)]
