@@ -53,3 +53,14 @@ def test_condensation_sends_no_table_through_the_driver(spark):
     label, between = graphs.condensation(v, e, v.withColumn("name", v.uid.cast("string")))
     assert not any("Broadcast" in df._jdf.queryExecution().executedPlan().toString() for df in (label, between))
     assert {tuple(r) for r in label.collect()} == {(0, 0, "0/1"), (0, 2, "2")} and [tuple(r) for r in between.collect()] == [(0, 0, 2)]
+
+
+def test_layers_and_dominator_trees_send_no_table_through_the_driver(spark, monkeypatch):
+    from solvarium.operators import graphs
+
+    plans, cut = [], graphs.cut
+    monkeypatch.setattr(graphs, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    v = cut(spark.createDataFrame([(0, k) for k in range(4)], "repo long, uid int"))
+    e = cut(spark.createDataFrame([(0, 0, 1), (0, 0, 2), (0, 1, 3), (0, 2, 3)], "repo long, src int, dst int"))
+    assert {(r.uid, r.dominator) for r in graphs.dominator_tree(v, e).collect()} == {(0, None), (1, 0), (2, 0), (3, 0)}
+    assert plans and not any("Broadcast" in p for p in plans)
