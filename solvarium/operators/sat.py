@@ -306,7 +306,7 @@ def consistent(packages: DataFrame, resolved: DataFrame, conflicts: DataFrame) -
 def pair_requests(pairs: DataFrame, a: str = "lo", b: str = "hi") -> DataFrame:
     """Requests to install both of a pair; req names the two."""
     none = F.array().cast("array<int>")
-    return pairs.select("repo", F.concat_ws("~", a, b).alias("req"), F.array(a, b).alias("need"), none.alias("forbid"))
+    return pairs.select("repo", F.struct(F.col(a).alias("lo"), F.col(b).alias("hi")).alias("req"), F.array(a, b).alias("need"), none.alias("forbid"))
 
 
 def _crossing(models: DataFrame, conflicts: DataFrame) -> DataFrame:
@@ -319,8 +319,19 @@ def _crossing(models: DataFrame, conflicts: DataFrame) -> DataFrame:
 
 
 def coinstallable(pairs: DataFrame, resolved: DataFrame, conflicts: DataFrame, broken: DataFrame | None = None) -> DataFrame:
-    """`pairs` (repo, lo, hi) with their status."""
+    """`pairs` (repo, lo, hi) with their status. In small repositories every pair is asked where it is; elsewhere only
+    those between whose models a conflict runs."""
     pairs = cut(pairs.select("repo", "lo", "hi"))
+    crowd = bits.crowded(pairs, resolved, conflicts)
+    if crowd is None:
+        return solve(pair_requests(pairs), resolved, conflicts, broken).select("repo", "req.*", "status")
+    (near, *own), (far, deps, fights) = bits.split(crowd, pairs, resolved, conflicts)
+    said = solve(pair_requests(near), *own, broken).select("repo", "req.*", "status")
+    return said.unionByName(_coinstallable_joined(cut(far), cut(deps), cut(fights), broken))
+
+
+def _coinstallable_joined(pairs: DataFrame, resolved: DataFrame, conflicts: DataFrame, broken: DataFrame | None) -> DataFrame:
+    """coinstallable() by the models of both ends."""
     ends = pairs.select("repo", F.explode(F.array("lo", "hi")).alias("uid")).distinct()
     models = cut(check(ends, resolved, conflicts, broken, with_model=True))
     of = lambda c: models.select("repo", F.col("uid").alias(c), F.col("status").alias(f"s_{c}"))
@@ -331,9 +342,7 @@ def coinstallable(pairs: DataFrame, resolved: DataFrame, conflicts: DataFrame, b
     hit = _crossing(models, conflicts).select("repo", F.col("lo").alias("a"), F.col("hi").alias("b"), F.lit(True).alias("hit"))
     known = known.withColumns({"a": F.least("lo", "hi"), "b": F.greatest("lo", "hi")}).join(hit, ["repo", "a", "b"], "left")
     known = cut(known.select("repo", "lo", "hi", F.when(dead, "broken").when(unsure | F.col("hit"), None).otherwise("ok").alias("status")))
-    said = solve(pair_requests(known.where("status IS NULL")), resolved, conflicts, broken)
-    at = F.split("req", "~")
-    said = said.select("repo", at[0].cast("int").alias("lo"), at[1].cast("int").alias("hi"), "status")
+    said = solve(pair_requests(known.where("status IS NULL")), resolved, conflicts, broken).select("repo", "req.*", "status")
     return known.where("status IS NOT NULL").unionByName(said)
 
 
@@ -369,8 +378,7 @@ def strong_conflicts(packages: DataFrame, resolved: DataFrame, conflicts: DataFr
     """
     rows, asked, flat, left, broken = strong_conflict_requests(packages, resolved, conflicts)
     said = cut(solve(pair_requests(asked), flat, left, broken).where("status <> 'ok'"))
-    at = F.split("req", "~")
-    said = said.select("repo", at[0].cast("int").alias("a"), at[1].cast("int").alias("b"), "status")
+    said = said.select("repo", F.col("req.lo").alias("a"), F.col("req.hi").alias("b"), "status")
     of = lambda rep, c: rows.select("repo", F.col("rep").alias(rep), F.col("uid").alias(c))
     out = said.join(of("a", "p"), ["repo", "a"]).join(of("b", "q"), ["repo", "b"])
     return out.select("repo", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), "status")
