@@ -9,11 +9,12 @@ are no single row, task or round.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solvarium.operators import sat
+from solvarium.operators import bits, sat, tables
 from solvarium.plans.lineage import cut, new_path
 
 
@@ -53,16 +54,44 @@ def _written(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def all_solutions(requests: DataFrame, resolved: DataFrame, conflicts: DataFrame, broken: DataFrame, searches: int = 256, path: str | None = None) -> DataFrame:
+def _listed(x, sets):
+    """The task that lists the solutions of requests whose repositories a truth table covers."""
+    at = np.flatnonzero(sets.narrow[x.run])
+    run = x.run[at]
+    held = sets.valid[run] & tables.ALL[tables.low(x.need[at])] & ~tables.SOME[tables.low(x.bar[at])]
+    row, found = tables.listed(held & ~tables.SOME[255 & ~tables.low(x.inside[at])])
+    lists = bits.listed(*tables.members(x, run[row], found), np.ones(len(row), bool))
+    return run[row], x.column("req", at[row]), lists
+
+
+def all_solutions(requests: DataFrame, resolved: DataFrame, conflicts: DataFrame, broken: DataFrame | None = None, searches: int = 256, path: str | None = None) -> DataFrame:
     """(repo, req, status, members) for requests(repo, req, need ARRAY<INT>, forbid ARRAY<INT>), req unique in repo:
     status ok with a solution's members in order; or unknown, members null, for a branch beyond sat.BUDGET. A request
-    without a solution has no row. A cone goes over packages that the Horn stage leaves, as in sat.check. With `path`, rounds are written there, and a call that finds complete rounds of the
-    same request table goes on after the last of them.
+    without a solution has no row. A cone goes over packages that the Horn stage leaves, as in sat.check.
 
-    Branches of one request are spread over tasks: its clauses are given out once for each 64 of them.
+    Repositories that a truth table covers are listed at once, others in rounds. With `path`, rounds are written there,
+    as in _rounds(), for all of them alike.
     """
     if searches < 1:
         raise ValueError("searches must be 1 or more")
+    if path:
+        return _rounds(requests, resolved, conflicts, cut(sat.horn_broken(resolved)) if broken is None else broken, searches, path)
+    kinds = {f.name: f.dataType.simpleString() for f in requests.schema}
+    requests = cut(requests.select("repo", "req", "need", "forbid"))
+    found, rest = tables.told(_listed, f"repo {kinds['repo']}, req {kinds['req']}, members array<int>", resolved, conflicts, requests)
+    found = found.select("repo", "req", F.lit("ok").alias("status"), "members")
+    if rest is None:
+        return found
+    requests, resolved, conflicts = (cut(t.join(rest, "repo", "left_semi")) for t in (requests, resolved, conflicts))
+    return found.unionByName(_rounds(requests, resolved, conflicts, cut(sat.horn_broken(resolved)) if broken is None else broken, searches, None))
+
+
+def _rounds(requests: DataFrame, resolved: DataFrame, conflicts: DataFrame, broken: DataFrame, searches: int = 256, path: str | None = None) -> DataFrame:
+    """all_solutions() by searches. With `path`, rounds are written there, and a call that finds complete rounds of the
+    same request table goes on after the last of them.
+
+    Branches of one request are spread over tasks: its clauses are given out once for each 64 of them.
+    """
     spark, path, limit = requests.sparkSession, path or new_path(requests.sparkSession, "solutions"), sat.BUDGET
     kinds = {f.name: f.dataType.simpleString() for f in requests.schema}
     found = f"repo {kinds['repo']}, req {kinds['req']}, status string, members array<int>, need array<int>, forbid array<int>"

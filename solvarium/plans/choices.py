@@ -87,11 +87,8 @@ def flattened_pairs(spark, sf_dir):
     flat, left = flatten.flattened(packages, deps, confs)
     flat, left = cut(flat), cut(left)
     both = packages.select("repo", F.col("uid").alias("lo")).join(packages.select("repo", F.col("uid").alias("hi")), "repo").where("lo <= hi")
-    none = F.array().cast("array<int>").alias("forbid")
-    asked = both.select("repo", F.concat_ws("~", "lo", "hi").alias("req"), F.array_distinct(F.array("lo", "hi")).alias("need"), none)
-    said = sat.solve(asked, flat, left)
-    at = F.split("req", "~")
-    return said.select("repo", at[0].cast("int").alias("lo"), at[1].cast("int").alias("hi"), known("ok").alias("together"))
+    said = sat.solve(sat.pair_requests(both), flat, left)
+    return said.select("repo", "req.*", known("ok").alias("together"))
 
 
 @query(
@@ -181,7 +178,7 @@ def solution_counts(spark, sf_dir):
     _, packages, deps, confs = resolved(spark, sf_dir)
     none = F.array().cast("array<int>")
     asked = packages.select("repo", F.col("uid").alias("req"), F.array("uid").alias("need"), none.alias("forbid"))
-    found = solutions.all_solutions(asked, deps, confs, cut(sat.horn_broken(deps)))
+    found = solutions.all_solutions(asked, deps, confs)
     bits = F.aggregate("members", F.lit(0).cast("long"), lambda a, x: a + F.pow(F.lit(2), x - 1).cast("long"))
     held = found.groupBy("repo", F.col("req").alias("uid")).agg(F.array_sort(F.collect_list(bits)).alias("sets"))
     return held.select("repo", "uid", F.size("sets").cast("long").alias("n"), F.md5(F.array_join(F.col("sets").cast("array<string>"), ",")).alias("digest"))
