@@ -82,3 +82,28 @@ def test_empty_repositories(spark):
     packages, deps, fights = (spark.createDataFrame([], s) for s in ("repo long, uid int", "repo long, uid int, clause int, target int", "repo long, lo int, hi int"))
     flat, left = flatten.flattened(packages, deps, fights)
     assert flat.count() == left.count() == flatten.buddies(packages, deps, fights).count() == 0
+
+
+def test_narrow_repositories_take_no_rounds(spark, monkeypatch):
+    """Formulas, packages that go with everything and strong conflicts are told by truth tables, as by joins."""
+    packages, resolved, fights, _ = tables(spark, range(200, 230))
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = [rows(f(packages, resolved, fights)) for f in (flatten._formulas_joined, sat._strong_conflicts_joined)]
+    assert all(want)
+    for module, name in ((flatten, "_formulas_joined"), (flatten, "_buddies_joined"), (sat, "_strong_conflicts_joined")):
+        monkeypatch.setattr(module, name, None)
+    assert [rows(f(packages, resolved, fights)) for f in (flatten.flat_formulas, sat.strong_conflicts)] == want
+    assert flatten.buddies(packages, resolved, fights).count()
+
+
+def test_forced_conflicts_are_not_asked(spark):
+    """In a repository too wide for a table, what both of a pair force needs no search; a choice does."""
+    deps = [(0, k, 1, 1) for k in range(10, 20)] + [(0, k, 1, 2) for k in range(20, 30)] + [(0, 30, 1, 1), (0, 30, 1, 3), (0, 31, 1, 2)]
+    packages = spark.createDataFrame([(0, k) for k in (1, 2, 3, *range(10, 32))], "repo long, uid int")
+    deps = spark.createDataFrame(deps, "repo long, uid int, clause int, target int")
+    fights = spark.createDataFrame([(0, 1, 2), (0, 2, 3)], "repo long, lo int, hi int")
+    asked = sat.strong_conflict_requests(packages, deps, fights)[1]
+    assert asked.where("sure").count() and asked.where("NOT sure").count()
+    got = {(r.lo, r.hi) for r in sat.strong_conflicts(packages, deps, fights).collect()}
+    ones, twos = {1, *range(10, 20)}, {2, 31, *range(20, 30)}
+    assert got == {tuple(sorted((a, b))) for a in ones | {3, 30} for b in twos}
