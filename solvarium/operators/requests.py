@@ -3,16 +3,18 @@ concern.
 
 A component's packages, clauses and conflicts are one row. The criteria become one weight for each package that doesn't
 stay as the criteria want it, in a mixed radix, so that the least sum of weights is the lexicographic optimum. The helper
-`clauses.cheapest` finds sets of choices that can't hold together, and the cheapest way to break all of them.
+`clauses.cheapest` finds sets of choices that can't hold together, and the cheapest way to break all of them. Repositories
+that a truth table covers are answered whole, by the costs of every set that it holds.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from solvarium.operators import graphs
+from solvarium.operators import bits, graphs, tables
 from solvarium.operators.clauses import Sat, cheapest
 from solvarium.operators.model import upgrade_floor
 from solvarium.plans.lineage import cut
@@ -104,19 +106,113 @@ def upgrades(packages: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _answers(packages: DataFrame, resolved: DataFrame, conflicts: DataFrame, request: DataFrame, criteria: tuple[str, ...]) -> DataFrame:
-    """(repo, status, *criteria, chosen) of each component: chosen are the uids of its answer."""
+    """(repo, status, *criteria, chosen) of each component, or of a narrow repository as a whole: chosen are the uids of
+    its answer."""
     totals = [c for c in map(total_of, criteria) if c]
     if not criteria or {c for c in criteria if not total_of(c)} - set(CRITERIA):
         raise ValueError(f"criteria are {CRITERIA} and sum:column")
     request = cut(request.select("repo", "action", "item", "uid").distinct())
-    asked = request.select("repo").distinct()
-    packages = packages.join(asked, "repo", "left_semi")
+    packages = packages.join(request.select("repo").distinct(), "repo", "left_semi")
     fresh = "notuptodate" in criteria
     if fresh:
         top = F.max("ver").over(Window.partitionBy("repo", "name"))
         packages = packages.withColumn("newest", F.col("ver") == top)
     details = ["uid", "installed", *(["name", "newest"] if fresh else []), *totals]
     packages = cut(packages.select("repo", *dict.fromkeys(details)))
+
+    none, nothing = F.array().cast("array<int>"), F.array().cast("array<bigint>")
+    row = lambda df, kind, need, forbid=none, costs=nothing: df.select("repo", F.struct(kind.cast("int").alias("kind"), costs.alias("costs")).alias("req"), need.cast("array<int>").alias("need"), forbid.cast("array<int>").alias("forbid"))
+    costs = F.array(*[F.coalesce(F.col(c).cast("bigint"), F.lit(0)) for c in totals]) if totals else nothing
+    rows = row(packages, F.when(F.col("installed"), THERE).otherwise(AWAY), F.array("uid"), costs=costs)
+    kind = F.when(F.col("action") == "remove", REMOVE).when(F.col("action") == "upgrade", UPGRADE).otherwise(INSTALL)
+    rows = rows.unionByName(row(request.groupBy("repo", "action", "item").agg(F.collect_list("uid").alias("uids")), kind, F.col("uids")))
+    if fresh:
+        same = packages.groupBy("repo", "name").agg(F.collect_list("uid").alias("uids"), F.collect_list(F.when(F.col("newest"), F.col("uid"))).alias("newest"))
+        rows = rows.unionByName(row(same, F.lit(NAME), F.col("uids"), F.col("newest")))
+    kind = packages.schema["repo"].dataType.simpleString()
+    schema = ", ".join([f"repo {kind}", "status string", *(f"`{k}` long" for k in criteria), "chosen array<int>"])
+    found, rest = tables.told(cheapest_sets(criteria), schema, resolved, conflicts, rows)
+    if rest is None:
+        return found
+    return found.unionByName(_answers_joined(*(t.join(rest, "repo", "left_semi") for t in (packages, resolved, conflicts, request)), criteria))
+
+
+#: Kinds of rows of cheapest_sets(): packages, names and items.
+AWAY, THERE, NAME, INSTALL, UPGRADE, REMOVE = range(6)
+
+
+def cheapest_sets(criteria: tuple[str, ...]):
+    """The task that answers requests of narrow repositories: of the valid sets that meet every item, those that cost
+    least by one criterion after the other, and the first of what is left."""
+    totals = [c for c in map(total_of, criteria) if c]
+
+    def task(x, sets):
+        req = x.column("req", np.arange(len(x.rows)))
+        kind, mask, newest = req.field("kind").to_numpy(zero_copy_only=False), tables.low(x.need), tables.low(x.bar)
+        packages = np.flatnonzero(sets.narrow[x.run] & (kind <= THERE))
+        run, own, there = x.run[packages], mask[packages], kind[packages] == THERE
+        place = np.bitwise_count(own - 1)
+        n = len(sets.many)
+        every, asked = np.zeros(n, np.int64), np.zeros(n, bool)
+        np.bitwise_or.at(every, run, own)
+        items = np.flatnonzero(sets.narrow[x.run] & (kind >= INSTALL))
+        asked[x.run[items]] = True
+        m, k = mask[items] & every[x.run[items]], kind[items, None]
+        left = sets.valid & ~tables.SOME[255 & ~every]
+        tables.merge(left, x.run[items], np.where(k == INSTALL, tables.SOME[m], np.where(k == UPGRADE, tables.ONE[m], ~tables.SOME[m])))
+
+        inside, outside = np.zeros((len(criteria), n, tables.WIDTH), np.int64), np.zeros((len(criteria), n, tables.WIDTH), np.int64)
+        held = req.field("costs").take(pa.array(packages)).flatten().to_numpy(zero_copy_only=False).reshape(len(packages), len(totals))
+        for j, c in enumerate(criteria):
+            if c in ("removed", "changed"):
+                outside[j, run, place] = there
+            if c in ("new", "changed"):
+                inside[j, run, place] = ~there
+            if c == "installed":
+                inside[j, run, place] = 1
+            if total_of(c):
+                inside[j, run, place] = held[:, totals.index(total_of(c))]
+                if (inside[j] < 0).any():
+                    raise ValueError(f"{c} is negative for some package")
+        names = np.flatnonzero(sets.narrow[x.run] & (kind == NAME))
+        stale = tables.SOME[mask[names]] & ~tables.SOME[newest[names]]
+
+        done, told, counts, chosen = [], [], [], []
+        flat = lambda t, size: np.unpackbits(np.ascontiguousarray(t).view(np.uint8), axis=1, bitorder="little")[:, :size]
+        for many in np.unique(sets.many[asked & (every > 0)]):
+            at = np.flatnonzero(asked & (every > 0) & (sets.many == many))
+            size = 1 << int(many)
+            may = flat(left[at], size).astype(bool)
+            found = may.any(axis=1)
+            best = np.zeros((len(at), len(criteria)), np.int64)
+            holds = (tables.SETS[:size] >> np.arange(tables.WIDTH)[:, None] & 1).astype(np.int64)
+            for j, c in enumerate(criteria):
+                cost = outside[j, at].sum(axis=1)[:, None] + (inside[j, at] - outside[j, at]) @ holds
+                if c == "notuptodate":
+                    mine = np.flatnonzero(np.isin(x.run[names], at))
+                    np.add.at(cost, np.searchsorted(at, x.run[names[mine]]), flat(stale[mine], size))
+                best[:, j] = np.where(may, cost, np.iinfo(np.int64).max).min(axis=1)
+                may &= cost == best[:, j : j + 1]
+            done.append(at)
+            told.append(found)
+            counts.append(best)
+            chosen.append(may.argmax(axis=1))
+        run, fine = (np.concatenate(v) if v else np.zeros(0, t) for v, t in ((done, np.int64), (told, bool)))
+        counts = np.concatenate(counts) if counts else np.zeros((0, len(criteria)), np.int64)
+        chosen = np.where(fine, np.concatenate(chosen) if chosen else np.zeros(0, np.int64), 0)
+        lists = bits.listed(*tables.members(x, run, chosen), fine)
+        return run, pa.array(np.where(fine, "ok", "none").astype(str), pa.string()), *(pa.array(counts[:, j], pa.int64(), mask=~fine) for j in range(len(criteria))), lists
+
+    return task
+
+
+def _answers_joined(packages: DataFrame, resolved: DataFrame, conflicts: DataFrame, request: DataFrame, criteria: tuple[str, ...]) -> DataFrame:
+    """_answers() by components; packages hold which of them are the newest."""
+    fresh = "notuptodate" in criteria
+    totals = [c for c in map(total_of, criteria) if c]
+    details = ["uid", "installed", *(["name", "newest"] if fresh else []), *totals]
+    packages, request = cut(packages), cut(request)
+    asked = request.select("repo").distinct()
     edges = cut(graphs.dependency_edges(resolved.join(asked, "repo", "left_semi")))
     roots = packages.where("installed").select("repo", "uid").unionByName(request.where("action <> 'remove'").select("repo", "uid"))
     leads = edges
