@@ -484,6 +484,50 @@ def strong_conflict_roots(found: DataFrame, resolved: DataFrame, conflicts: Data
 def conflict_reasons(packages: DataFrame, resolved: DataFrame, conflicts: DataFrame) -> DataFrame:
     """(repo, uid, lo, hi, alone): which conflicts keep out the packages that are broken though every clause of their cone
     can be met: conflict_core() of each."""
+    from solvarium.operators import flatten, tables
+
+    kind = packages.schema["repo"].dataType.simpleString()
+    found, rest = tables.told(_conflict_reasons, f"repo {kind}, uid int, lo int, hi int, alone boolean", resolved, conflicts, flatten._each(packages))
+    if rest is None:
+        return found
+    return found.unionByName(_conflict_reasons_joined(*(cut(t.join(rest, "repo", "left_semi")) for t in (packages, resolved, conflicts))))
+
+
+def _conflict_reasons(x, sets):
+    """The task of conflict_reasons(): conflict_core() over truth tables as numbers."""
+    from solvarium.operators import tables
+
+    number = lambda table: int.from_bytes(table.tobytes(), "little")
+    at = np.flatnonzero(sets.narrow[x.run] & ~x.dead)
+    at = at[~(sets.valid[x.run[at]] & tables.ALL[tables.low(x.need[at])]).any(axis=1)]
+    pairs: dict[int, list] = {int(r): [] for r in x.run[at]}
+    fights = np.flatnonzero(np.isin(x.node_run[x.lo], x.run[at]))
+    for r, p, q in zip(x.node_run[x.lo[fights]].tolist(), x.place[x.lo[fights]].tolist(), x.place[x.hi[fights]].tolist()):
+        pairs[r].append((min(p, q), max(p, q)))
+    out = []
+    for k, r, inside in zip(at.tolist(), x.run[at].tolist(), tables.low(x.inside[at]).tolist()):
+        table = number(sets.closed[r] & tables.ALL[tables.low(x.need[k : k + 1])[0]])
+        every = {c: number(tables.ALL[1 << c[0] | 1 << c[1]]) for c in sorted(set(pairs[r])) if inside >> c[0] & inside >> c[1] & 1}
+
+        def left(some):
+            rest = table  # noqa: B023
+            for c in some:
+                rest &= ~every[c]  # noqa: B023
+            return rest
+
+        core = list(every)
+        for c in every:
+            rest = [d for d in core if d != c]
+            if not left(rest):
+                core = rest
+        out += [(k, r, p, q, bool(left([d for d in every if d != (p, q)]))) for p, q in core]
+    k, r, p, q = (np.array([o[i] for o in out], np.int64) for i in range(4))
+    uid = lambda place: pa.array(x.uid[x.start[r] + place], pa.int32())
+    return r, x.column("req", k), uid(p), uid(q), pa.array([o[4] for o in out], pa.bool_())
+
+
+def _conflict_reasons_joined(packages: DataFrame, resolved: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """conflict_reasons() by joined cones."""
     broken = cut(horn_broken(resolved))
     asked, limit = cut(packages.select("repo", F.col("uid").alias("req"), F.array("uid").alias("need"))), BUDGET
     dead, inside, fights, live = _cones(asked, resolved, conflicts, broken)

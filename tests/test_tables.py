@@ -1,6 +1,6 @@
 import random
 
-from solvarium.operators import requests, solutions
+from solvarium.operators import explain, requests, sat, solutions
 
 
 def universe(spark, many=25, n=6):
@@ -38,3 +38,17 @@ def test_solutions_of_narrow_repositories_take_no_rounds(spark, monkeypatch, tmp
     want = rows(path=str(tmp_path / "rounds"))
     monkeypatch.setattr(solutions, "_rounds", None)
     assert rows() == want and len(want) > 20
+
+
+def test_explanations_of_narrow_repositories_take_no_walks(spark, monkeypatch):
+    """The same graphs, and least sets of conflicts behind them, as by joins."""
+    packages, deps, fights, _ = universe(spark)
+    deps = deps.selectExpr("repo", "uid", "clause", "CASE WHEN repo % 3 = 0 AND uid = 2 THEN null ELSE target END AS target").distinct()
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = rows(sat._conflict_reasons_joined(packages, deps, fights))
+    reasons = spark.createDataFrame(sat._conflict_reasons_joined(packages, deps, fights).collect())
+    graph = rows(explain._graph_joined(deps, reasons.selectExpr("repo", "uid AS root", "lo", "hi")))
+    monkeypatch.setattr(sat, "_conflict_reasons_joined", None)
+    monkeypatch.setattr(explain, "_graph_joined", None)
+    assert rows(sat.conflict_reasons(packages, deps, fights)) == want and want
+    assert rows(explain.explanation_graph(packages, deps, fights)) == graph and {"missing", "conflict", "dependency"} <= {w for r in graph for w in r.split("'")}
