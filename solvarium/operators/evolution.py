@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from solvarium.functions.versions import dense_numbers
-from solvarium.operators import sat
+from solvarium.operators import atoms, bits, futures, sat
 from solvarium.operators.graphs import cone, reverse
-from solvarium.operators.model import Universe, resolve_conflicts, resolve_deps
+from solvarium.operators.model import Universe, records, resolve_conflicts, resolve_deps
 from solvarium.plans.lineage import cut
 
 
@@ -80,7 +80,31 @@ def challenged(u: Universe, members: DataFrame) -> DataFrame:
     """(repo, cluster, target, equivalents, broken, unknown) of members(repo, cluster, uid): for each future in which all of
     a cluster has moved to a target, how many packages that can be installed now could not be any more.
 
-    A future is a value of `repo`, so one check answers for all. It holds what the move can touch and no more: packages
+    Repositories of up to tables.WIDTH packages are told by truth tables in one shuffle, wider ones by joins.
+    """
+    rows, members = records(u), members.select("repo", "cluster", "uid").where("repo IS NOT NULL AND cluster IS NOT NULL AND uid IS NOT NULL")
+    kinds = {f.name: f.dataType.simpleString() for f in members.schema}
+    crowd = atoms.crowded(rows)
+    small = [rows, members] if crowd is None else bits.split(crowd, rows, members)[0]
+    none = lambda c: F.lit(None).cast(kinds["cluster"] if c == "cluster" else rows.schema[c].dataType).alias(c)
+    listed = small[0].select("repo", F.lit(0).alias("kind"), *rows.columns[1:], none("cluster"))
+    listed = listed.unionByName(small[1].select("repo", F.lit(1).alias("kind"), "uid", *[none(c) for c in rows.columns[2:]], "cluster"))
+    versions = [rows.schema["ver"].dataType, *(rows.schema[c].dataType.elementType["ver"].dataType for c in rows.columns[4:])]
+    number = "bigint" if any(v.simpleString() == "bigint" for v in versions) else "int"
+    schema = f"repo {kinds['repo']}, cluster {kinds['cluster']}, target {number}, equivalents array<{number}>, broken bigint, unknown bigint, wide boolean"
+    said = cut(listed.repartition("repo").sortWithinPartitions("repo", "kind", "uid").mapInArrow(futures.told(number == "int"), schema))
+    out, rest = said.where("NOT wide").drop("wide"), said.where("wide").select("repo")
+    rest = None if rest.isEmpty() else rest
+    if crowd is not None:
+        rest = crowd if rest is None else rest.unionByName(crowd)
+    if rest is None:
+        return out
+    of = lambda df: df.join(rest, "repo", "left_semi")
+    return out.unionByName(_challenged_joined(Universe(of(u.packages), of(u.deps), of(u.confs), of(u.provs)), of(members)))
+
+
+def _challenged_joined(u: Universe, members: DataFrame) -> DataFrame:
+    """challenged() by joins. A future is a value of `repo`, so one check answers for all. It holds what the move can touch and no more: packages
     that lead to the cluster by names, whatever the versions, and what these lead to.
     """
     own = cut(u.packages.select("repo", "uid", "name", "ver").join(members.select("repo", "cluster", "uid"), ["repo", "uid"]))

@@ -16,12 +16,24 @@ from pyspark.sql import functions as F
 class Universe:
     """packages(repo, uid, name, ver, installed, ...); deps(repo, uid, clause, alt, name, op, ver): a clause is the
     disjunction of its alternatives; confs(repo, uid, name, op, ver); provs(repo, uid, name, ver): what a package
-    provides, itself included, ver null for an unversioned virtual name."""
+    provides, itself included, ver null for an unversioned virtual name. `rows`, where they are at hand: the same as
+    records()."""
 
     packages: DataFrame
     deps: DataFrame
     confs: DataFrame
     provs: DataFrame
+    rows: DataFrame | None = None
+
+
+def records(u: Universe) -> DataFrame:
+    """(repo, uid, name, ver, deps, confs, provs): a row a package, what it says as arrays of structs."""
+    keys, columns = ["repo", "uid"], ["repo", "uid", "name", "ver", "deps", "confs", "provs"]
+    if u.rows is not None:
+        return u.rows.select(*columns)
+    gather = lambda df, name, *cols: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+    out = u.packages.select("repo", "uid", "name", "ver").join(gather(u.deps, "deps", "clause", "alt", "name", "op", "ver"), keys, "left")
+    return out.join(gather(u.confs, "confs", "name", "op", "ver"), keys, "left").join(gather(u.provs, "provs", "name", "ver"), keys, "left").select(*columns)
 
 
 def satisfies(have: Column, op: Column, want: Column) -> Column:

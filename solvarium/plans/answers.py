@@ -388,7 +388,7 @@ FROM goals g LEFT JOIN all2 a USING (repo, cluster, target) LEFT JOIN (SELECT s.
 def challenged_clusters(spark, sf_dir):
     """Packages of one name move together: what each move would break."""
     u = order_universe(spark, sf_dir)
-    said = evolution.challenged(u, order_packages(spark, sf_dir).select("repo", F.col("name").alias("cluster"), "uid"))
+    said = evolution.challenged(u, u.packages.select("repo", F.col("name").alias("cluster"), "uid"))
     return said.select("repo", "cluster", "target", F.array_join("equivalents", ",").alias("equivalents"), F.when(F.col("unknown") == 0, F.col("broken")).alias("broken"))
 
 

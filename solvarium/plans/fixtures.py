@@ -15,11 +15,12 @@ from solvarium.plans.lineage import cut
 
 def order_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    status = F.col("l_linestatus")
     rows = lines.groupBy(F.col("l_orderkey").alias("repo"), F.col("l_linenumber").cast("int").alias("uid")).agg(
         F.min("l_partkey").alias("pk"),
         F.min("l_suppkey").alias("sk"),
         F.min("l_quantity").cast("int").alias("q"),
-        (F.min("l_linestatus") == "F").alias("installed"),
+        (F.bool_and(status >= "F") & F.bool_or(status == "F")).alias("installed"),  # the least is F, without a buffer of text
     )
     return rows.withColumns({"name": F.concat(F.lit("n"), F.col("pk") % 4), "ver": F.col("uid")})
 
@@ -28,24 +29,24 @@ def order_universe(spark: SparkSession, sf_dir: str) -> Universe:
     p = cut(order_packages(spark, sf_dir))
     v = lambda n: F.lit(n).cast("int")
 
-    def rows(*each):
-        """The structs that are there, a row each."""
-        return p.select("repo", "uid", F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("x")).select("repo", "uid", "x.*")
+    some = lambda *each: F.filter(F.array(*each), lambda x: x.isNotNull())
+    rows = lambda c: p.select("repo", "uid", F.explode(c).alias("x")).select("repo", "uid", "x.*")
 
     def atom(when, clause, alt, name, op, ver):
         return F.when(F.expr(when), F.struct(v(clause).alias("clause"), v(alt).alias("alt"), name.alias("name"), F.lit(op).alias("op"), ver.cast("int").alias("ver")))
 
     n = lambda c: F.concat(F.lit("n"), c)
-    deps = rows(
+    deps = some(
         atom("pk % 3 <> 0", 1, 1, n((F.col("pk") + 1) % 4), "any", v(0)),
         atom("pk % 3 <> 0", 1, 2, n(F.col("sk") % 4), ">=", 1 + F.col("sk") % 7),
         atom("sk % 4 = 0", 2, 1, n((F.col("pk") + 2) % 4), "<=", 2 + F.col("pk") % 6),
         atom("pk % 5 = 0", 3, 1, F.concat(F.lit("v"), F.col("sk") % 2), "any", v(0)),
     )
-    confs = p.where("pk % 2 = 0").select("repo", "uid", n((F.col("sk") + 1) % 4).alias("name"), F.lit("<").alias("op"), (1 + F.col("q") % 7).cast("int").alias("ver"))
+    confs = some(F.when(F.expr("pk % 2 = 0"), F.struct(n((F.col("sk") + 1) % 4).alias("name"), F.lit("<").alias("op"), (1 + F.col("q") % 7).cast("int").alias("ver"))))
     own = F.struct("name", F.col("ver").cast("int").alias("ver"))
     virtual = F.when(F.expr("q % 3 = 0"), F.struct(F.concat(F.lit("v"), F.col("sk") % 3).alias("name"), F.lit(None).cast("int").alias("ver")))
-    return Universe(p, deps, confs, rows(own, virtual))
+    provs = some(own, virtual)
+    return Universe(p, rows(deps), rows(confs), rows(provs), p.select("*", deps.alias("deps"), confs.alias("confs"), provs.alias("provs")))
 
 
 def part_graph(spark: SparkSession, sf_dir: str, acyclic: bool = False) -> tuple[DataFrame, DataFrame]:
