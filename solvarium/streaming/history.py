@@ -12,7 +12,8 @@ repeated after a failure overwrites its own rows only:
 
 A package's status hangs on its cone, so those that reach a changed package, by the clauses and names of before or after,
 are checked again, on the cones of their own. Every `every` batches, records and status are written whole, and a batch
-reads back no further than that; nothing is held in a task or on the driver but names of folders.
+reads back no further than that. Repositories of up to bits.SMALL rows of records go through one shuffle, many at once in
+a task (touched); larger ones by joins, with the same results.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from solvarium.operators import sat
+from solvarium.operators import atoms, bits, model, sat
 from solvarium.operators.graphs import cone, dependency_edges
 from solvarium.operators.model import Universe, resolve_conflicts, resolve_deps
 from solvarium.plans.lineage import cut
+from solvarium.streaming import touched
 
 
 def record_schema(repo: str = "bigint") -> str:
@@ -37,11 +39,8 @@ def record_schema(repo: str = "bigint") -> str:
 
 def records(u: Universe, at, gone) -> DataFrame:
     """A universe as one record a package; `at` and `gone` are columns of its packages."""
-    keys = ["repo", "uid"]
-    gather = lambda df, name, *cols: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
-    out = u.packages.select(*keys, at.cast("bigint").alias("at"), gone.alias("gone"), "name", F.col("ver").cast("int").alias("ver"))
-    out = out.join(gather(u.deps, "deps", "clause", "alt", "name", "op", "ver"), keys, "left")
-    return out.join(gather(u.confs, "confs", "name", "op", "ver"), keys, "left").join(gather(u.provs, "provs", "name", "ver"), keys, "left")
+    rows = model.records(u).join(u.packages.select("repo", "uid", at.cast("bigint").alias("at"), gone.alias("gone")), ["repo", "uid"])
+    return rows.select("repo", "uid", "at", "gone", "name", F.col("ver").cast("int").alias("ver"), "deps", "confs", "provs")
 
 
 def universe(rows: DataFrame) -> Universe:
@@ -56,13 +55,17 @@ def _folders(path: str, table: str, before: int, every: int) -> list[str]:
     return [f"{path}/{table}/batch={b}" for b in range(last - last % every, last + 1)] if before else []
 
 
-def _state(spark: SparkSession, path: str, table: str, schema: str, before: int, every: int, repos: DataFrame | None = None) -> DataFrame:
-    """The newest row of each (repo, uid) before that batch, of some repositories or all."""
+def _rows(spark: SparkSession, path: str, table: str, schema: str, before: int, every: int, repos: DataFrame | None = None) -> DataFrame:
+    """The state's rows before that batch, each with its batch, of some repositories or all."""
     folders = _folders(path, table, before, every)
     if not folders:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], f"{schema}, batch int")
     rows = spark.read.schema(f"{schema}, batch int").option("basePath", f"{path}/{table}").parquet(*folders)
-    rows = rows if repos is None else rows.join(repos, "repo", "left_semi")
+    return rows if repos is None else rows.join(repos, "repo", "left_semi")
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    """The newest row of each (repo, uid)."""
     fields = [c for c in rows.columns if c not in ("repo", "uid", "batch")]
     newest = rows.groupBy("repo", "uid").agg(F.max_by(F.struct(*fields), "batch").alias("x"))
     return newest.select("repo", "uid", "x.*")
@@ -73,22 +76,44 @@ def apply(batch: DataFrame, b: int, path: str, every: int = 16) -> None:
     spark, kind = batch.sparkSession, batch.schema["repo"].dataType.simpleString()
     schema, marks = record_schema(kind), f"repo {kind}, uid int, status string"
     columns = ["repo", "uid", "at", "gone", "name", "ver", "deps", "confs", "provs"]
-    came = cut(batch.select(*columns).withColumns({"gone": F.coalesce("gone", F.lit(False)), "ticket": F.expr("uuid()")}))
-    put = lambda df, table: df.write.mode("overwrite").parquet(f"{path}/{table}/batch={b}")
-    repos = cut(came.where("repo IS NOT NULL").select("repo").distinct())
-    old = cut(_state(spark, path, "records", schema, b, every, repos))
-
-    whole = came.where("repo IS NOT NULL AND uid IS NOT NULL AND at IS NOT NULL")
-    top = whole.groupBy("repo", "uid").agg(F.max(F.struct("at", "gone", "name", "ver", "ticket")).alias("top"))
+    came = cut(batch.select(*columns).withColumn("gone", F.coalesce("gone", F.lit(False))))
+    fine = F.col("repo").isNotNull() & F.col("uid").isNotNull() & F.col("at").isNotNull()
+    good, bad = came.where(fine), came.where(~fine)
+    whole = b % every == 0  # then all that stands is written, not only what changes
+    repos = None if whole else good.select("repo").distinct()
+    stood = [_rows(spark, path, table, k, b, every, repos) for table, k in (("records", schema), ("status", marks))]
+
+    crowd = atoms.crowded(good.unionByName(stood[0].drop("batch")))
+    small, large = bits.split(crowd, good, *stood)
+    none = lambda c, k: F.lit(None).cast(k).alias(c)
+    kinds = {f.name: f.dataType for f in came.schema} | {"status": "string", "batch": "int"}
+    rows = lambda df, k: df.select(F.lit(k).alias("kind"), *[F.col(c) if c in df.columns else none(c, t) for c, t in kinds.items()])
+    stream = rows(small[1], touched.STATE).unionByName(rows(small[2], touched.MARK)).unionByName(rows(small[0], touched.CAME))
+    stream = stream.repartition("repo").sortWithinPartitions("repo", "kind", "uid", "batch", "at", "gone", "name", "ver")
+    out = cut(stream.mapInArrow(touched.followed(whole, sat.BUDGET), f"part string, {schema}, status string, n bigint"))
+    fields = {"records": columns, "refused": columns, "checked": ["repo", "uid", "status"], "status": ["repo", "uid", "status"], "counts": ["repo", "status", "n"]}
+    parts = {part: out.where(F.col("part") == part).select(*cols) for part, cols in fields.items()}
+    parts["refused"] = parts["refused"].unionByName(bad)
+    if large:
+        for part, df in _joined(*large, whole).items():
+            parts[part] = parts[part].unionByName(df.select(*fields[part]))
+    for part, df in parts.items():
+        df.write.mode("overwrite").parquet(f"{path}/{part}/batch={b}")
+
+
+def _joined(came: DataFrame, records: DataFrame, status: DataFrame, whole: bool) -> dict[str, DataFrame]:
+    """What apply() writes, by joins, of repositories that no task should hold."""
+    came = cut(came.withColumn("ticket", F.expr("uuid()")))
+    old, known = cut(_newest(records)), _newest(status)
+    top = came.groupBy("repo", "uid").agg(F.max(F.struct("at", "gone", "name", "ver", "ticket")).alias("top"))
     top = top.select("repo", "uid", "top.at", "top.ticket").join(old.select("repo", "uid", F.col("at").alias("has")), ["repo", "uid"], "left")
     taken = cut(top.where("has IS NULL OR at > has").select("ticket"))
     new = cut(came.join(taken, "ticket", "left_semi").drop("ticket"))
-    put(came.join(taken, "ticket", "left_anti").drop("ticket"), "refused")
 
     changed = new.select("repo", "uid")
     stays = old.join(changed, ["repo", "uid"], "left_anti")
-    touched = changed.select("repo").distinct()
-    now = cut(stays.unionByName(new).where("NOT gone").join(touched, "repo", "left_semi"))
+    here = changed.select("repo").distinct()
+    now = cut(stays.unionByName(new).where("NOT gone").join(here, "repo", "left_semi"))
     both = universe(now.unionByName(old.where("NOT gone").join(changed, ["repo", "uid"], "left_semi")))
     edges = cut(dependency_edges(resolve_deps(both)).select("repo", "src", "dst").distinct())
     back = edges.select("repo", F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -101,17 +126,15 @@ def apply(batch: DataFrame, b: int, path: str, every: int = 16) -> None:
     fights = cut(resolve_conflicts(u).join(lo, ["repo", "lo"], "left_semi").join(hi, ["repo", "hi"], "left_semi"))
     left = new.where("gone").select("repo", "uid", F.lit(None).cast("string").alias("status"))
     said = cut(sat.check(again, deps, fights).select("repo", "uid", "status").unionByName(left))
-
-    known = _state(spark, path, "status", marks, b, every, repos).join(said, ["repo", "uid"], "left_anti").unionByName(said)
-    live = known.where("status IS NOT NULL").join(touched, "repo", "left_semi")
-    put(live.groupBy("repo", "status").agg(F.count("*").alias("n")), "counts")
-    put(said, "checked")
-    if b % every:
-        put(new, "records")
-        put(said, "status")
-    else:
-        put(_state(spark, path, "records", schema, b, every).join(changed, ["repo", "uid"], "left_anti").unionByName(new), "records")
-        put(_state(spark, path, "status", marks, b, every).join(said, ["repo", "uid"], "left_anti").unionByName(said), "status")
+    known = known.join(said, ["repo", "uid"], "left_anti").unionByName(said)
+    live = known.where("status IS NOT NULL").join(here, "repo", "left_semi")
+    return {
+        "records": stays.unionByName(new) if whole else new,
+        "refused": came.join(taken, "ticket", "left_anti").drop("ticket"),
+        "checked": said,
+        "status": known if whole else said,
+        "counts": live.groupBy("repo", "status").agg(F.count("*").alias("n")),
+    }
 
 
 def keep(stream: DataFrame, path: str, checkpoint: str, every: int = 16) -> StreamingQuery:

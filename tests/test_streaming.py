@@ -72,3 +72,22 @@ def test_an_empty_batch_and_null_arrays(spark, tmp_path):
     kept.apply(spark.createDataFrame([], SCHEMA), 0, path)
     kept.apply(spark.createDataFrame([(0, 1, 1, None, None, None, None, None, None)], SCHEMA), 1, path)
     assert [(r.repo, r.uid, r.status) for r in kept.standing(spark, path).collect()] == [(0, 1, "ok")]
+
+
+def test_small_repositories_take_no_joins_and_crowded_ones_are_whole(spark, tmp_path, monkeypatch):
+    """The same by tasks, by joins, and with a repository of either kind, also once the state is written whole."""
+    made = waves(9)
+    said = {}
+    for way, small in (("tasks", 2048), ("joins", 0), ("both", 40)):
+        with monkeypatch.context() as m:
+            m.setattr(kept.bits, "SMALL", small)
+            if way == "tasks":
+                m.setattr(kept, "_joined", None)
+            for b, (rows, _) in enumerate(made):
+                if way == "both":  # repository 1 says more than a task should hold
+                    rows = [(*r[:8], r[8] + [(f"w{k}", None) for k in range(20)]) if r[0] == 1 else r for r in rows]
+                kept.apply(spark.createDataFrame(rows, SCHEMA), b, f"{tmp_path}/{way}", every=2)
+        parts = [kept.history(spark, f"{tmp_path}/{way}"), kept.checked(spark, f"{tmp_path}/{way}"), spark.read.parquet(f"{tmp_path}/{way}/refused").select("batch", "repo", "uid", "at")]
+        said[way] = [sorted(map(str, df.collect())) for df in parts]
+        assert {(r.repo, r.uid): r.status for r in kept.standing(spark, f"{tmp_path}/{way}").collect()} == batch_status(spark, made[-1][1])
+    assert said["tasks"] == said["joins"] == said["both"] and all(said["tasks"])
