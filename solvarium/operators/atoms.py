@@ -111,3 +111,43 @@ class Atoms:
 
 def node_key(run: np.ndarray, uid: np.ndarray) -> np.ndarray:
     return (run << 32) | (uid + (1 << 31))
+
+
+def holding(part: Part, provs: Part) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a constraint and a provided name that meets it."""
+    at, of = matched(part.key, provs.key)
+    good = meets(provs.ver[of], provs.has[of], part.op[at], part.ver[at], part.has[at])
+    return at[good], of[good]
+
+
+def resolved(x: Atoms) -> tuple[np.ndarray, ...]:
+    """model.resolve_deps() by nodes: (owner, clause, target, whether there is one)."""
+    at, of = holding(x.deps, x.provs)
+    values, code = np.unique(x.deps.clause, return_inverse=True)
+    many, nodes = max(1, len(values)), max(1, len(x.keys))
+    clause = x.deps.node * many + code
+    found = np.unique(clause[at] * nodes + x.provs.node[of])
+    none = np.setdiff1d(clause, found // nodes)
+    clause, target = np.concatenate([found // nodes, none]), np.concatenate([found % nodes, none * 0])
+    return clause // many, values[clause % many] if len(values) else clause, target, np.arange(len(clause)) < len(found)
+
+
+def conflicts(x: Atoms) -> tuple[np.ndarray, np.ndarray]:
+    """model.resolve_conflicts() by nodes: (lo, hi)."""
+    at, of = holding(x.confs, x.provs)
+    one, two = x.confs.node[at], x.provs.node[of]
+    nodes = max(1, len(x.keys))
+    pair = np.unique((np.minimum(one, two) * nodes + np.maximum(one, two))[one != two])
+    return pair // nodes, pair % nodes
+
+
+def packed(t: pa.Table) -> pa.Table:
+    """The rows of bits.stream() for the records of a task's repositories, with a request for each package."""
+    t = t.combine_chunks()
+    ends = bits._ends(t)
+    x = Atoms(t, np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)), len(ends))
+    owner, clause, target, has = resolved(x)
+    lo, hi = conflicts(x)
+    repo = whole(t.column("repo").take(pa.array(ends - 1)))
+    run, uid = x.node_run, x.node_uid
+    return bits.packed(repo, (run[owner], uid[owner], clause, uid[target], has), (run[lo], uid[lo], uid[hi]), (run, uid))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from solvarium.functions.versions import dense_numbers
 from solvarium.operators import atoms, bits, futures, sat
 from solvarium.operators.graphs import cone, reverse
-from solvarium.operators.model import Universe, records, resolve_conflicts, resolve_deps
+from solvarium.operators.model import Universe, records, resolve_conflicts, resolve_deps, within
 from solvarium.plans.lineage import cut
 
 
@@ -99,8 +99,7 @@ def challenged(u: Universe, members: DataFrame) -> DataFrame:
         rest = crowd if rest is None else rest.unionByName(crowd)
     if rest is None:
         return out
-    of = lambda df: df.join(rest, "repo", "left_semi")
-    return out.unionByName(_challenged_joined(Universe(of(u.packages), of(u.deps), of(u.confs), of(u.provs)), of(members)))
+    return out.unionByName(_challenged_joined(within(u, rest), members.join(rest, "repo", "left_semi")))
 
 
 def _challenged_joined(u: Universe, members: DataFrame) -> DataFrame:

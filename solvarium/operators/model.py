@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from solvarium.plans.lineage import cut
+
 
 @dataclass(frozen=True)
 class Universe:
@@ -77,6 +79,16 @@ def resolve_conflicts(u: Universe) -> DataFrame:
     return found.select("repo", F.least("uid", "target").alias("lo"), F.greatest("uid", "target").alias("hi")).distinct()
 
 
+def resolved(u: Universe) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(packages, resolved dependencies, conflicts), each written once."""
+    return u.packages, cut(resolve_deps(u)), cut(resolve_conflicts(u))
+
+
+def within(u: Universe, repos: DataFrame) -> Universe:
+    """The repositories of the universe that repos(repo) names."""
+    return Universe(*(t.join(repos, "repo", "left_semi") for t in (u.packages, u.deps, u.confs, u.provs)))
+
+
 def latest(packages: DataFrame, n: int = 1) -> DataFrame:
     """The n highest versions of each name, by a top-k per group."""
     from pyspark.sql import Window

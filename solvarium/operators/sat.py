@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from solvarium.operators import bits
 from solvarium.operators.clauses import Sat
 from solvarium.operators.graphs import cone, dependency_closure
+from solvarium.operators.model import Universe, within
+from solvarium.operators.model import resolved as resolved_parts
 from solvarium.plans.lineage import cut
 
 #: Steps of the backtracking search, and then conflicts of the learning one (None: as many as it needs).
@@ -356,7 +358,38 @@ def _coinstallable_joined(pairs: DataFrame, resolved: DataFrame, conflicts: Data
 
 def strong_dependencies(packages: DataFrame, resolved: DataFrame, conflicts: DataFrame) -> DataFrame:
     """(repo, uid, dep, status): dep is in every installation of the installable package uid, itself left out. Status
-    unknown: not decided within the budget; with dep = uid, the package itself."""
+    unknown: not decided within the budget; with dep = uid, the package itself. Repositories that a truth table covers are
+    told by it, wider ones by joined cones."""
+    from solvarium.operators import flatten, tables
+
+    found, rest = tables.told(_strong_dependencies, _STRONG.format(packages.schema["repo"].dataType.simpleString()), resolved, conflicts, flatten._each(packages))
+    if rest is None:
+        return found
+    return found.unionByName(_strong_dependencies_joined(*(cut(t.join(rest, "repo", "left_semi")) for t in (packages, resolved, conflicts))))
+
+
+def strong_dependencies_of(u: Universe) -> DataFrame:
+    """strong_dependencies() of a universe, narrow repositories resolved where they are told."""
+    from solvarium.operators import tables
+
+    found, rest = tables.told_of(_strong_dependencies, _STRONG.format(u.packages.schema["repo"].dataType.simpleString()), u)
+    return found if rest is None else found.unionByName(_strong_dependencies_joined(*resolved_parts(within(u, rest))))
+
+
+_STRONG = "repo {}, uid int, dep int, status string"
+
+
+def _strong_dependencies(x, sets):
+    """The task of strong_dependencies()."""
+    from solvarium.operators import tables
+
+    run, p, q = np.nonzero(tables.strong(x, sets)[:, :, None] >> np.arange(tables.WIDTH) & 1)
+    uid = lambda place: pa.array(x.uid[x.start[run] + place], pa.int32())
+    return run, uid(p), uid(q), pa.array(np.full(len(run), "broken"), pa.string())
+
+
+def _strong_dependencies_joined(packages: DataFrame, resolved: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """strong_dependencies() by joined cones."""
     broken = cut(horn_broken(resolved))
     asked, limit = cut(packages.select("repo", F.col("uid").alias("req"), F.array("uid").alias("need"))), BUDGET
     dead, inside, fights, live = _cones(asked, resolved, conflicts, broken)
@@ -398,8 +431,7 @@ def _strong_conflicts(x, sets):
     """The task of strong_conflicts()."""
     from solvarium.operators import tables
 
-    asked = np.zeros(len(sets.many), np.int64)
-    np.bitwise_or.at(asked, x.run, np.where(sets.narrow[x.run], tables.low(x.need), 0))
+    asked = tables.asked(x, sets)
     can = [(asked >> p & 1 == 1) & (sets.valid & tables.SOME[1 << p]).any(axis=1) for p in range(tables.WIDTH)]
     run, lo, hi = [], [], []
     for q in range(tables.WIDTH):

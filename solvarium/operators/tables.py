@@ -11,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from solvarium.operators import bits
+from solvarium.operators import atoms, bits
+from solvarium.operators.model import Universe, records
 from solvarium.plans.lineage import cut
 
 #: Packages of a repository that a truth table covers.
@@ -98,6 +99,44 @@ def low(words: np.ndarray) -> np.ndarray:
     return (words[:, 0] & np.uint64(255)).astype(np.int64)
 
 
+def asked(x: bits.Chunk, sets: Sets) -> np.ndarray:
+    """The places that a request of each run names, none of wide runs."""
+    out = np.zeros(len(sets.many), np.int64)
+    np.bitwise_or.at(out, x.run, np.where(sets.narrow[x.run], low(x.need), 0))
+    return out
+
+
+def strong(x: bits.Chunk, sets: Sets) -> np.ndarray:
+    """[run, place]: what else every valid set with the place holds, nothing for places not asked for or in no set."""
+    out = np.zeros((len(sets.many), WIDTH), np.int64)
+    here = asked(x, sets)
+    for p in range(WIDTH):
+        held = sets.valid & SOME[1 << p]
+        fine = held.any(axis=1) & (here >> p & 1 == 1)
+        for q in range(WIDTH):
+            if q != p:
+                out[:, p] |= (fine & ~(held & ~SOME[1 << q]).any(axis=1)).astype(np.int64) << q
+    return out
+
+
+def edges(x: bits.Chunk, sets: Sets) -> np.ndarray:
+    """[run, place]: the other places that its alternatives name."""
+    out = np.zeros((len(sets.many), WIDTH), np.int64)
+    run = x.node_run[x.src]
+    at = np.flatnonzero(sets.narrow[run] & (x.src != x.dst))
+    np.bitwise_or.at(out, (run[at], x.place[x.src[at]]), 1 << x.place[x.dst[at]])
+    return out
+
+
+def back(of: np.ndarray) -> np.ndarray:
+    """The edges turned round."""
+    out = np.zeros_like(of)
+    for p in range(WIDTH):
+        for q in range(WIDTH):
+            out[:, q] |= (of[:, p] >> q & 1) << p
+    return out
+
+
 def members(x: bits.Chunk, run: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The uids of each set, one after the other, and how many each has."""
     words = np.zeros((len(sets), x.words), np.uint64)
@@ -116,11 +155,26 @@ def told(task, schema: str, resolved: DataFrame, conflicts: DataFrame | None = N
     tables = [resolved, *([conflicts] if conflicts is not None else []), *([requests] if requests is not None else [])]
     crowd = bits.crowded(*tables, *more)
     small = bits.split(crowd, resolved, conflicts, requests, *more)[0] if crowd is not None else [resolved, conflicts, requests, *more]
+    return _parted(bits.stream(*small[:3], more=small[3:]).mapInArrow(_run(task, schema), f"{schema}, wide boolean"), crowd)
+
+
+def told_of(task, schema: str, u: Universe) -> tuple[DataFrame, DataFrame | None]:
+    """told() of a universe with a request for each package: records go through one shuffle and are resolved where they are
+    asked, so that no table of alternatives or conflicts is written."""
+    rows = records(u).where("repo IS NOT NULL AND uid IS NOT NULL")
+    crowd = atoms.crowded(rows)
+    small = rows if crowd is None else rows.join(crowd, "repo", "left_anti")
+    small = small.repartition("repo").sortWithinPartitions("repo", "uid")
+    return _parted(small.mapInArrow(_run(task, schema, atoms.packed), f"{schema}, wide boolean"), crowd)
+
+
+def _run(task, schema: str, made=lambda t: t):
+    """The task of told(): `made` are the rows of a stream that a table stands for."""
     names = [c.strip().split(" ", 1)[0].strip("`") for c in bits.fields(schema)]
 
     def run(batches):
         for t in bits.chunks(batches):
-            x = bits.Chunk(t)
+            x = bits.Chunk(made(t))
             sets = Sets(x)
             at, *columns = task(x, sets)
             yield pa.RecordBatch.from_arrays([repos(x, at), *columns, pa.array(np.zeros(len(at), bool))], names=[*names, "wide"])
@@ -128,7 +182,12 @@ def told(task, schema: str, resolved: DataFrame, conflicts: DataFrame | None = N
             if len(wide):
                 yield pa.RecordBatch.from_arrays([repos(x, wide), *(pa.nulls(len(wide), c.type) for c in columns), pa.array(np.ones(len(wide), bool))], names=[*names, "wide"])
 
-    out = cut(bits.stream(*small[:3], more=small[3:]).mapInArrow(run, f"{schema}, wide boolean"))
+    return run
+
+
+def _parted(said: DataFrame, crowd: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """What was told, and (repo) of those that are wide or crowded."""
+    out = cut(said)
     rest = out.where("wide").select("repo")
     rest = None if rest.isEmpty() else rest
     if crowd is not None:

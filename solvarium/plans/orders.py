@@ -133,8 +133,7 @@ def consistent_repositories(spark, sf_dir):
 
 @query("SELECT s.repo, s.uid, p.uid AS dep FROM fx_strong s JOIN fx_pkg p ON p.repo = s.repo AND (s.strong & p.bit) <> 0 AND p.uid <> s.uid")
 def strong_dependencies(spark, sf_dir):
-    _, packages, deps, confs = resolved(spark, sf_dir)
-    return sat.strong_dependencies(packages, deps, confs).where("status = 'broken'").select("repo", "uid", "dep")
+    return sat.strong_dependencies_of(order_universe(spark, sf_dir)).where("status = 'broken'").select("repo", "uid", "dep")
 
 
 @query("SELECT s.repo, p.uid, count(*) AS impact FROM fx_strong s JOIN fx_pkg p ON p.repo = s.repo AND (s.strong & p.bit) <> 0 AND p.uid <> s.uid GROUP BY ALL")
