@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from solvarium.operators import bits
 from solvarium.operators.clauses import Sat
-from solvarium.operators.graphs import cone, dependency_closure
+from solvarium.operators.graphs import cone, dependency_closure, dependency_edges
 from solvarium.operators.model import Universe, within
 from solvarium.operators.model import resolved as resolved_parts
 from solvarium.plans.lineage import cut
@@ -658,6 +658,31 @@ def impact(strong: DataFrame, edges: DataFrame, packages: DataFrame) -> DataFram
     return out
 
 
+def impact_of(u: Universe) -> DataFrame:
+    """impact() of a universe: narrow repositories are told in a task, with nothing joined."""
+    from solvarium.operators import tables
+
+    kind = u.packages.schema["repo"].dataType.simpleString()
+    names = ("strong_out", "strong_in", "direct_out", "direct_in")
+    found, rest = tables.told_of(_impact, f"repo {kind}, uid int, {', '.join(f'{c} bigint' for c in names)}", u)
+    none = u.packages.where("repo IS NULL OR uid IS NULL").select("repo", "uid", *[F.lit(0).cast("bigint").alias(c) for c in names])
+    if rest is None:
+        return found.unionByName(none)
+    packages, resolved, conflicts = resolved_parts(within(u, rest))
+    strong = cut(_strong_dependencies_joined(packages, resolved, conflicts).where("status = 'broken'").select("repo", "uid", "dep"))
+    return found.unionByName(none).unionByName(impact(strong, dependency_edges(resolved), packages))
+
+
+def _impact(x, sets):
+    """The task of impact_of()."""
+    from solvarium.operators import tables
+
+    strong, direct = tables.strong(x, sets), tables.edges(x, sets)
+    run, p = np.nonzero(tables.asked(x, sets)[:, None] >> np.arange(tables.WIDTH) & 1)
+    counts = (np.bitwise_count(of[run, p]).astype(np.int64) for of in (strong, tables.back(strong), direct, tables.back(direct)))
+    return run, pa.array(x.uid[x.start[run] + p], pa.int32()), *map(pa.array, counts)
+
+
 def explanation(resolved: DataFrame, broken: DataFrame) -> DataFrame:
     """(repo, root, src, dst, kind) of Horn-broken packages: from each root, the dependencies on broken packages that no
     working one replaces (kind dependency), down to clauses that nothing provides (kind missing, dst null)."""

@@ -181,9 +181,7 @@ def minimal_installations(spark, sf_dir):
     " (SELECT count(*) FROM e WHERE e.repo = p.repo AND e.uid = p.uid) AS direct_out, (SELECT count(*) FROM e WHERE e.repo = p.repo AND e.target = p.uid) AS direct_in FROM fx_pkg p"
 )
 def impact_table(spark, sf_dir):
-    _, packages, deps, confs = resolved(spark, sf_dir)
-    strong = cut(sat.strong_dependencies(packages, deps, confs).where("status = 'broken'").select("repo", "uid", "dep"))
-    return sat.impact(strong, graphs.dependency_edges(deps), packages)
+    return sat.impact_of(order_universe(spark, sf_dir))
 
 
 _DOMINATED = (

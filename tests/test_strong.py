@@ -16,16 +16,17 @@ def joined(u):
 
 
 def wanted(u):
-    strong, _, _ = joined(u)
-    return [rows(strong)]
+    strong, edges, packages = joined(u)
+    impact = sat.impact(strong, edges, packages.select("repo", "uid").distinct())
+    return [rows(strong), rows(impact)]
 
 
 def found(u):
-    return [rows(sat.strong_dependencies_of(u))]
+    return [rows(sat.strong_dependencies_of(u)), rows(sat.impact_of(u))]
 
 
 def test_strong_dependencies_of_narrow_repositories_take_no_joins(spark, monkeypatch):
-    """The same strong dependencies as by joined cones, from tables or from records."""
+    """The same strong dependencies and impact as by joined cones, from tables or from records."""
     u, _ = universe(spark, [1, 2, 5, 6, 7, 8] * 8)
     want = wanted(u)
     parts = model.resolved(u)
@@ -42,3 +43,10 @@ def test_strong_dependencies_of_wider_and_crowded_repositories_are_whole(spark,
     monkeypatch.setattr(sat.bits, "SMALL", small)
     assert found(u) == want and rows(sat.strong_dependencies(*model.resolved(u))) == want[0]
 
+
+
+def test_impact_counts_packages_without_a_repository(spark):
+    u, _ = universe(spark, [3])
+    lost = spark.createDataFrame([(None, 1, "a", 1), (0, None, "a", 1)], u.packages.schema)
+    more = model.Universe(u.packages.unionByName(lost), u.deps, u.confs, u.provs)
+    assert rows(sat.impact_of(more)) == sorted(rows(sat.impact_of(u)) + rows(lost.selectExpr("repo", "uid", *[f"0 AS {c}" for c in ("strong_out", "strong_in", "direct_out", "direct_in")])))
