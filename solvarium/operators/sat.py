@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from solvarium.operators import bits
 from solvarium.operators.clauses import Sat
-from solvarium.operators.graphs import cone, dependency_closure, dependency_edges
+from solvarium.operators.graphs import cone, dependency_closure, dependency_edges, direct_dominators_within
 from solvarium.operators.model import Universe, within
 from solvarium.operators.model import resolved as resolved_parts
 from solvarium.plans.lineage import cut
@@ -683,6 +683,36 @@ def _impact(x, sets):
     return run, pa.array(x.uid[x.start[run] + p], pa.int32()), *map(pa.array, counts)
 
 
+def strong_dominators(u: Universe, percent: float = 0) -> DataFrame:
+    """(repo, dominator, dominated) of graphs.direct_dominators_within() among the strong dependencies of a universe; in
+    narrow repositories told where these are."""
+    from solvarium.operators import tables
+
+    kind = u.packages.schema["repo"].dataType.simpleString()
+    found, rest = tables.told_of(_dominating(percent), f"repo {kind}, dominator int, dominated int", u)
+    if rest is None:
+        return found
+    strong = _strong_dependencies_joined(*resolved_parts(within(u, rest))).where("status = 'broken'")
+    return found.unionByName(direct_dominators_within(cut(strong.select("repo", F.col("uid").alias("src"), F.col("dep").alias("dst"))), percent))
+
+
+def _dominating(percent: float):
+    """The task of strong_dominators()."""
+    from solvarium.operators import tables
+
+    def task(x, sets):
+        strong = tables.strong(x, sets)
+        users = tables.back(strong)
+        run, p, q = np.nonzero(strong[:, :, None] >> np.arange(tables.WIDTH) & 1)
+        lacking = np.bitwise_count(users[run, q] & ~(users[run, p] | strong[run, p] | 1 << p)).astype(np.int64)
+        fine = lacking * 100 <= np.bitwise_count(users[run, q]) * percent
+        run, p, q = run[fine], p[fine], q[fine]
+        uid = lambda place: pa.array(x.uid[x.start[run] + place], pa.int32())
+        return run, uid(p), uid(q)
+
+    return task
+
+
 def explanation(resolved: DataFrame, broken: DataFrame) -> DataFrame:
     """(repo, root, src, dst, kind) of Horn-broken packages: from each root, the dependencies on broken packages that no
     working one replaces (kind dependency), down to clauses that nothing provides (kind missing, dst null)."""

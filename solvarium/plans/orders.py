@@ -168,8 +168,7 @@ def useless_alternatives(spark, sf_dir):
     " AND NOT EXISTS (SELECT 1 FROM d z WHERE z.repo = r.repo AND z.dominator = x.dominator AND z.dominated = r.dominator))"
 )
 def direct_dominators(spark, sf_dir):
-    strong = cut(strong_dependencies(spark, sf_dir).select("repo", F.col("uid").alias("src"), F.col("dep").alias("dst")))
-    return graphs.direct_dominators(strong)
+    return sat.strong_dominators(order_universe(spark, sf_dir))
 
 
 @query(

@@ -17,16 +17,17 @@ def joined(u):
 
 def wanted(u):
     strong, edges, packages = joined(u)
+    closed = strong.selectExpr("repo", "uid AS src", "dep AS dst")
     impact = sat.impact(strong, edges, packages.select("repo", "uid").distinct())
-    return [rows(strong), rows(impact)]
+    return [rows(strong), rows(impact), rows(graphs.direct_dominators(closed)), rows(graphs.direct_dominators_within(closed, 40))]
 
 
 def found(u):
-    return [rows(sat.strong_dependencies_of(u)), rows(sat.impact_of(u))]
+    return [rows(sat.strong_dependencies_of(u)), rows(sat.impact_of(u)), rows(sat.strong_dominators(u)), rows(sat.strong_dominators(u, 40))]
 
 
 def test_strong_dependencies_of_narrow_repositories_take_no_joins(spark, monkeypatch):
-    """The same strong dependencies and impact as by joined cones, from tables or from records."""
+    """The same strong dependencies, impact and dominators as by joined cones, from tables or from records."""
     u, _ = universe(spark, [1, 2, 5, 6, 7, 8] * 8)
     want = wanted(u)
     parts = model.resolved(u)
@@ -44,7 +45,6 @@ def test_strong_dependencies_of_wider_and_crowded_repositories_are_whole(spark,
     assert found(u) == want and rows(sat.strong_dependencies(*model.resolved(u))) == want[0]
 
 
-
 def test_impact_counts_packages_without_a_repository(spark):
     u, _ = universe(spark, [3])
     lost = spark.createDataFrame([(None, 1, "a", 1), (0, None, "a", 1)], u.packages.schema)
