@@ -194,9 +194,7 @@ _DOMINATED = (
 
 @query(_DOMINATED)
 def dominators_within_forty_percent(spark, sf_dir):
-    _, packages, deps, confs = resolved(spark, sf_dir)
-    strong = cut(sat.strong_dependencies(packages, deps, confs).where("status = 'broken'").select("repo", F.col("uid").alias("src"), F.col("dep").alias("dst")))
-    return graphs.direct_dominators_within(strong, 40)
+    return sat.strong_dominators(order_universe(spark, sf_dir), 40)
 
 
 @query(", c AS (SELECT repo, uid, max(target) AS target FROM (SELECT DISTINCT repo, uid, clause, target FROM fx_alt) GROUP BY repo, uid, clause HAVING count(*) = 1),"
