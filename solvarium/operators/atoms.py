@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solvarium.operators import bits
+from solvarium.operators.model import Universe, records
 from solvarium.plans.lineage import cut
 
 OPS = {"any": 0, "=": 1, "!=": 2, ">=": 3, ">": 4, "<=": 5, "<": 6}
@@ -27,6 +28,15 @@ def crowded(rows: DataFrame) -> DataFrame | None:
     return None if out.isEmpty() else out
 
 
+def crowded_of(u: Universe) -> DataFrame | None:
+    """crowded() of records(u); none is made where the number of packages tells that no repository is."""
+    if u.most is not None:
+        many = u.source.where("repo IS NOT NULL").groupBy("repo").agg(F.count("*").alias("n"))
+        if cut(many.where(F.col("n") * u.most > bits.SMALL)).isEmpty():
+            return None
+    return crowded(records(u))
+
+
 def whole(column) -> pa.Array:
     """A column as one array."""
     c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

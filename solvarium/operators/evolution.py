@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from solvarium.functions.versions import dense_numbers
 from solvarium.operators import atoms, bits, futures, sat
 from solvarium.operators.graphs import cone, reverse
-from solvarium.operators.model import Universe, records, resolve_conflicts, resolve_deps, within
+from solvarium.operators.model import Universe, records, resolve_conflicts, resolve_deps, together, within
 from solvarium.plans.lineage import cut
 
 
@@ -76,27 +76,30 @@ def _moves(u: Universe, own: DataFrame) -> DataFrame:
     return cut(targets(_asked(u).join(named, ["repo", "name"]).select("repo", "cluster", "op", "ver").distinct(), own))
 
 
-def challenged(u: Universe, members: DataFrame) -> DataFrame:
-    """(repo, cluster, target, equivalents, broken, unknown) of members(repo, cluster, uid): for each future in which all of
-    a cluster has moved to a target, how many packages that can be installed now could not be any more.
-
-    Repositories of up to tables.WIDTH packages are told by truth tables in one shuffle, wider ones by joins.
-    """
+def _listed(u: Universe, members: DataFrame, schema, task) -> tuple[DataFrame, DataFrame | None]:
+    """What task(number) tells of records and members in one shuffle, as schema(kinds of members, number); number: the type
+    of versions. And (repo) of those that are wide or crowded, None if there is none."""
     rows, members = records(u), members.select("repo", "cluster", "uid").where("repo IS NOT NULL AND cluster IS NOT NULL AND uid IS NOT NULL")
     kinds = {f.name: f.dataType.simpleString() for f in members.schema}
-    crowd = atoms.crowded(rows)
-    small = [rows, members] if crowd is None else bits.split(crowd, rows, members)[0]
-    none = lambda c: F.lit(None).cast(kinds["cluster"] if c == "cluster" else rows.schema[c].dataType).alias(c)
-    listed = small[0].select("repo", F.lit(0).alias("kind"), *rows.columns[1:], none("cluster"))
-    listed = listed.unionByName(small[1].select("repo", F.lit(1).alias("kind"), "uid", *[none(c) for c in rows.columns[2:]], "cluster"))
+    crowd = atoms.crowded_of(u)
     versions = [rows.schema["ver"].dataType, *(rows.schema[c].dataType.elementType["ver"].dataType for c in rows.columns[4:])]
     number = "bigint" if any(v.simpleString() == "bigint" for v in versions) else "int"
-    schema = f"repo {kinds['repo']}, cluster {kinds['cluster']}, target {number}, equivalents array<{number}>, broken bigint, unknown bigint, wide boolean"
-    said = cut(listed.repartition("repo").sortWithinPartitions("repo", "kind", "uid").mapInArrow(futures.told(number == "int"), schema))
+    said = cut(together(u, crowd, members).mapInArrow(task(number), schema(kinds, number)))
     out, rest = said.where("NOT wide").drop("wide"), said.where("wide").select("repo")
     rest = None if rest.isEmpty() else rest
     if crowd is not None:
         rest = crowd if rest is None else rest.unionByName(crowd)
+    return out, rest
+
+
+def challenged(u: Universe, members: DataFrame) -> DataFrame:
+    """(repo, cluster, target, equivalents, broken, unknown) of members(repo, cluster, uid): for each future in which all of
+    a cluster has moved to a target, how many packages that can be installed now could not be any more.
+
+    Repositories of up to tables.WIDTH packages are told by truth tables in one shuffle, wider ones by joins.
+    """
+    schema = lambda kinds, number: f"repo {kinds['repo']}, cluster {kinds['cluster']}, target {number}, equivalents array<{number}>, broken bigint, unknown bigint, wide boolean"
+    out, rest = _listed(u, members, schema, lambda number: futures.told(number == "int"))
     if rest is None:
         return out
     return out.unionByName(_challenged_joined(within(u, rest), members.join(rest, "repo", "left_semi")))
@@ -166,7 +169,17 @@ def future(u: Universe, members: DataFrame, first: int = 1) -> Universe:
 
 def outdated(u: Universe, members: DataFrame) -> DataFrame:
     """(repo, uid, status) of every package in future(): one that is broken there can't be installed, whatever the others
-    become, until it changes itself."""
+    become, until it changes itself. Repositories that may become up to futures.MOST packages are put together and checked
+    in a task, after one shuffle; larger ones by joins."""
+    schema = lambda kinds, number: f"repo {kinds['repo']}, uid int, status string, wide boolean"
+    out, rest = _listed(u, members, schema, lambda number: futures.outdated(sat.BUDGET, 1))
+    if rest is None:
+        return out
+    return out.unionByName(_outdated_joined(within(u, rest), members.join(rest, "repo", "left_semi")))
+
+
+def _outdated_joined(u: Universe, members: DataFrame) -> DataFrame:
+    """outdated() by the tables of future()."""
     then = future(u, members)
     return sat.check(u.packages.select("repo", "uid"), cut(resolve_deps(then)), cut(resolve_conflicts(then)))
 

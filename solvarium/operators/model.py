@@ -6,6 +6,7 @@ A universe is a set of narrow tables; `repo` keys every one of them, so one plan
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,30 +15,58 @@ from pyspark.sql import functions as F
 from solvarium.plans.lineage import cut
 
 
+#: The columns of records().
+RECORD = ["repo", "uid", "name", "ver", "deps", "confs", "provs"]
+
+
 @dataclass(frozen=True)
 class Universe:
     """packages(repo, uid, name, ver, installed, ...); deps(repo, uid, clause, alt, name, op, ver): a clause is the
     disjunction of its alternatives; confs(repo, uid, name, op, ver); provs(repo, uid, name, ver): what a package
-    provides, itself included, ver null for an unversioned virtual name. `rows`, where they are at hand: the same as
-    records()."""
+    provides, itself included, ver null for an unversioned virtual name. `source`, where it is at hand: narrow rows (repo,
+    uid, ...), of which `derived` makes records() one by one, its other columns kept, with at most so many alternatives, conflicts and
+    provided names each, itself counted."""
 
     packages: DataFrame
     deps: DataFrame
     confs: DataFrame
     provs: DataFrame
-    rows: DataFrame | None = None
+    source: DataFrame | None = None
+    derived: Callable[[DataFrame], DataFrame] | None = None
+    most: int | None = None
 
 
 def records(u: Universe) -> DataFrame:
     """(repo, uid, name, ver, deps, confs, provs): a row a package, what it says as arrays of structs."""
-    keys, columns = ["repo", "uid"], ["repo", "uid", "name", "ver", "deps", "confs", "provs"]
-    if u.rows is not None:
-        return u.rows.select(*columns)
+    keys, columns = ["repo", "uid"], RECORD
+    if u.source is not None:
+        return u.derived(u.source).select(*columns)
     gather = lambda df, name, *cols: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
     out = u.packages.select("repo", "uid", "name", "ver").join(gather(u.deps, "deps", "clause", "alt", "name", "op", "ver"), keys, "left")
     return out.join(gather(u.confs, "confs", "name", "op", "ver"), keys, "left").join(gather(u.provs, "provs", "name", "ver"), keys, "left").select(*columns)
 
 
+def together(u: Universe, crowd: DataFrame | None, members: DataFrame | None = None) -> DataFrame:
+    """records() with a repository and a uid, but for those of crowd(repo): a repository's rows together and in order. What
+    they are derived from is shuffled and sorted in their place. With members(repo, cluster, uid) also `kind`, 0, `cluster`,
+    null, and after a repository's records a row of kind 1 for each member."""
+    source, columns, order = u.source if u.source is not None else records(u), RECORD, ["repo", "uid"]
+    source = source.where("repo IS NOT NULL AND uid IS NOT NULL")
+    if members is not None:
+        none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+        given = [F.col(f.name) if f.name in order else none(f.name, f.dataType) for f in source.schema]
+        source = source.select("*", F.lit(0).alias("kind"), none("cluster", members.schema["cluster"].dataType))
+        source = source.unionByName(members.select(*given, F.lit(1).alias("kind"), "cluster"))
+        columns, order = [*RECORD, "kind", "cluster"], ["repo", "kind", "uid"]
+    if crowd is not None:
+        source = source.join(crowd, "repo", "left_anti")
+    source = source.repartition("repo").sortWithinPartitions(*order)
+    out = u.derived(source) if u.source is not None else source
+    if members is not None:  # nothing is derived for a member
+        out = out.withColumns({c: F.when(F.col("kind") == 0, F.col(c)) for c in RECORD[4:]})
+    return out.select(*columns)
+
+
 def satisfies(have: Column, op: Column, want: Column) -> Column:
     """Whether version `have` meets the constraint; an unversioned provide (null) meets any."""
     return (

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from solvarium.operators import atoms, bits
-from solvarium.operators.model import Universe, records
+from solvarium.operators.model import Universe, together
 from solvarium.plans.lineage import cut
 
 #: Packages of a repository that a truth table covers.
@@ -161,11 +161,8 @@ def told(task, schema: str, resolved: DataFrame, conflicts: DataFrame | None = N
 def told_of(task, schema: str, u: Universe) -> tuple[DataFrame, DataFrame | None]:
     """told() of a universe with a request for each package: records go through one shuffle and are resolved where they are
     asked, so that no table of alternatives or conflicts is written."""
-    rows = records(u).where("repo IS NOT NULL AND uid IS NOT NULL")
-    crowd = atoms.crowded(rows)
-    small = rows if crowd is None else rows.join(crowd, "repo", "left_anti")
-    small = small.repartition("repo").sortWithinPartitions("repo", "uid")
-    return _parted(small.mapInArrow(_run(task, schema, atoms.packed), f"{schema}, wide boolean"), crowd)
+    crowd = atoms.crowded_of(u)
+    return _parted(together(u, crowd).mapInArrow(_run(task, schema, atoms.packed), f"{schema}, wide boolean"), crowd)
 
 
 def _run(task, schema: str, made=lambda t: t):

@@ -391,7 +391,7 @@ def challenged_clusters(spark, sf_dir):
 def outdated_packages(spark, sf_dir):
     """No SQL: the states of all names together are too many to enumerate; tests compare small repositories."""
     u = order_universe(spark, sf_dir)
-    clusters = order_packages(spark, sf_dir).select("repo", F.concat(F.lit("s"), F.col("sk") % 2).alias("cluster"), "uid")
+    clusters = u.packages.select("repo", F.concat(F.lit("s"), F.col("sk") % 2).alias("cluster"), "uid")
     return evolution.outdated(u, clusters).where("status <> 'ok'")
 
 

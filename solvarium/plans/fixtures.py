@@ -6,7 +6,7 @@ arithmetic edges inside blocks of 50 ids.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from solvarium.operators.model import Universe
@@ -22,7 +22,11 @@ def order_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("l_quantity").cast("int").alias("q"),
         (F.bool_and(status >= "F") & F.bool_or(status == "F")).alias("installed"),  # the least is F, without a buffer of text
     )
-    return rows.withColumns({"name": F.concat(F.lit("n"), F.col("pk") % 4), "ver": F.col("uid")})
+    return rows.withColumns({"name": name_of(), "ver": F.col("uid")})
+
+
+def name_of() -> Column:
+    return F.concat(F.lit("n"), F.col("pk") % 4)
 
 
 def order_universe(spark: SparkSession, sf_dir: str) -> Universe:
@@ -46,7 +50,8 @@ def order_universe(spark: SparkSession, sf_dir: str) -> Universe:
     own = F.struct("name", F.col("ver").cast("int").alias("ver"))
     virtual = F.when(F.expr("q % 3 = 0"), F.struct(F.concat(F.lit("v"), F.col("sk") % 3).alias("name"), F.lit(None).cast("int").alias("ver")))
     provs = some(own, virtual)
-    return Universe(p, rows(deps), rows(confs), rows(provs), p.select("*", deps.alias("deps"), confs.alias("confs"), provs.alias("provs")))
+    derived = lambda d: d.withColumns({"name": name_of(), "ver": F.col("uid")}).select("*", deps.alias("deps"), confs.alias("confs"), provs.alias("provs"))
+    return Universe(p, rows(deps), rows(confs), rows(provs), p.select("repo", "uid", "pk", "sk", "q"), derived, most=8)
 
 
 def part_graph(spark: SparkSession, sf_dir: str, acyclic: bool = False) -> tuple[DataFrame, DataFrame]:
