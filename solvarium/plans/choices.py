@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from solvarium.operators import explain, flatten, requests, sat, solutions
 from solvarium.plans.answers import asked
-from solvarium.plans.fixtures import ORDERS_SQL
+from solvarium.plans.fixtures import ORDERS_SQL, order_universe
 from solvarium.plans.lineage import cut
 from solvarium.plans.orders import known, resolved
 
@@ -142,19 +142,13 @@ _WHY = (
 )
 
 
-def _why(spark, sf_dir):
-    """Conflicts without which a package would go in, which are the same for every solver, are the reasons here."""
-    _, packages, deps, confs = resolved(spark, sf_dir)
-    reasons = sat.conflict_reasons(packages, deps, confs).where("alone")
-    return explain.explanation_graph(packages, deps, confs, reasons)
-
-
 def explanation_paths(spark, sf_dir):
-    return _why(spark, sf_dir)
+    """Conflicts without which a package would go in, which are the same for every solver, are the reasons here."""
+    return explain.explanation_graph_of(order_universe(spark, sf_dir), alone=True)
 
 
 def explanation_documents(spark, sf_dir):
-    return explain.explanation_documents(_why(spark, sf_dir))
+    return explain.explanation_documents_of(order_universe(spark, sf_dir), alone=True)
 
 
 QUERIES |= {"explanation_paths": explanation_paths, "explanation_documents": explanation_documents}

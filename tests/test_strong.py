@@ -1,6 +1,6 @@
 import pytest
 
-from solvarium.operators import graphs, model, sat
+from solvarium.operators import explain, graphs, model, sat
 from solvarium.plans.lineage import cut
 from test_futures import universe
 
@@ -50,3 +50,20 @@ def test_impact_counts_packages_without_a_repository(spark):
     lost = spark.createDataFrame([(None, 1, "a", 1), (0, None, "a", 1)], u.packages.schema)
     more = model.Universe(u.packages.unionByName(lost), u.deps, u.confs, u.provs)
     assert rows(sat.impact_of(more)) == sorted(rows(sat.impact_of(u)) + rows(lost.selectExpr("repo", "uid", *[f"0 AS {c}" for c in ("strong_out", "strong_in", "direct_out", "direct_in")])))
+
+
+def test_explanations_of_universes_are_told_at_once(spark, monkeypatch):
+    """The same graphs and documents as from tables; a wide repository's go by joins, and only by them."""
+    for sizes in ([1, 4, 6, 7, 8] * 6, [5, 12, 6]):
+        u, _ = universe(spark, sizes)
+        parts = model.resolved(u)
+        reasons = cut(sat.conflict_reasons(*parts))
+        for alone in (False, True):
+            graph = cut(explain.explanation_graph(*parts, reasons.where("alone") if alone else reasons))
+            want = rows(graph), rows(explain.explanation_documents(graph))
+            with monkeypatch.context() as m:
+                if 12 not in sizes:
+                    m.setattr(explain, "explanation_graph", None)
+                    m.setattr(explain, "explanation_documents", None)
+                assert (rows(explain.explanation_graph_of(u, alone)), rows(explain.explanation_documents_of(u, alone))) == want
+            assert len(want[1]) > 2
