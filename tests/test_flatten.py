@@ -107,3 +107,19 @@ def test_forced_conflicts_are_not_asked(spark):
     got = {(r.lo, r.hi) for r in sat.strong_conflicts(packages, deps, fights).collect()}
     ones, twos = {1, *range(10, 20)}, {2, 31, *range(20, 30)}
     assert got == {tuple(sorted((a, b))) for a in ones | {3, 30} for b in twos}
+
+
+def test_hot_conflicts_and_classes_are_dealt_over_keys(spark, monkeypatch):
+    """No key of a join holds all that crosses one conflict, nor all of one class; pairs are the same."""
+    deps = [(0, k, 1, 1) for k in range(10, 60)] + [(0, k, 1, 2) for k in range(60, 90)] + [(0, k, 2, 3) for k in range(10, 40)]
+    packages = spark.createDataFrame([(0, k) for k in (1, 2, 3, *range(10, 90))], "repo long, uid int")
+    deps = spark.createDataFrame(deps, "repo long, uid int, clause int, target int")
+    fights = spark.createDataFrame([(0, 1, 2)], "repo long, lo int, hi int")
+    rows = lambda df: sorted(tuple(r) for r in df.select("lo", "hi", "status").collect())
+    want = [(min(a, b), max(a, b), "broken") for a in (1, *range(10, 60)) for b in (2, *range(60, 90))]
+    assert rows(sat.strong_conflicts(packages, deps, fights)) == sorted(want)
+    monkeypatch.setattr(sat, "SPREAD", 100)
+    monkeypatch.setattr(sat, "CLASS", 10)
+    each = deps.selectExpr("repo", "uid AS root", "target AS uid")
+    assert [tuple(r) for r in sat._shares(each, fights).collect()] == [(0, 1, 2, 15)]
+    assert rows(sat.strong_conflicts(packages, deps, fights)) == sorted(want)
