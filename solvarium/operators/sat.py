@@ -395,6 +395,8 @@ def strong_dependencies(packages: DataFrame, resolved: DataFrame, conflicts: Dat
     told by it, wider ones by joined cones."""
     from solvarium.operators import flatten, tables
 
+    if BUDGET[0] < len(tables.SETS):  # a table holds so many sets
+        return _strong_dependencies_joined(packages, resolved, conflicts)
     found, rest = tables.told(_strong_dependencies, _STRONG.format(packages.schema["repo"].dataType.simpleString()), resolved, conflicts, flatten._each(packages))
     if rest is None:
         return found
@@ -405,6 +407,8 @@ def strong_dependencies_of(u: Universe) -> DataFrame:
     """strong_dependencies() of a universe, narrow repositories resolved where they are told."""
     from solvarium.operators import tables
 
+    if BUDGET[0] < len(tables.SETS):
+        return _strong_dependencies_joined(*resolved_parts(u))
     found, rest = tables.told_of(_strong_dependencies, _STRONG.format(u.packages.schema["repo"].dataType.simpleString()), u)
     return found if rest is None else found.unionByName(_strong_dependencies_joined(*resolved_parts(within(u, rest))))
 
